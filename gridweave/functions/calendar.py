@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from gridweave.functions.guards import flag, is_set
+from gridweave.functions.guards import flag
+from gridweave.functions.text import Expr, add, col, num
 
 # --- fixed values: cycle lengths, seasons, hour bands, meal weights --------------------
 CYCLES = {"hour": ("hour", 24), "day": ("day_of_week", 7), "month": ("month", 12)}
 SEASON_MONTHS = {0: (12, 1, 2), 1: (3, 4), 2: (5, 6, 7, 8, 9)}
 SEASON_DEFAULT = 3
+NIGHT = (0, 5)
 HOUR_BANDS = {
     "morning_peak": (6, 8),
     "evening_peak": (18, 22),
@@ -29,84 +30,78 @@ MEAL_WEIGHTS = {
 VACATION_MONTHS = (6, 7)
 
 
-def hour_start(ts: Column) -> Column:
+def between(e: Expr, limits: tuple[int, int]) -> Expr:
+    """Closed at both ends."""
+    return f"{e} BETWEEN {limits[0]} AND {limits[1]}"
+
+
+def hour_start(ts: str) -> Expr:
     """Start of the hour as wall-clock time, whatever the session time zone is."""
-    return F.make_timestamp_ntz(
-        F.year(ts), F.month(ts), F.dayofmonth(ts), F.hour(ts), F.lit(0), F.lit(0)
-    )
+    return f"make_timestamp_ntz(year({ts}), month({ts}), day({ts}), hour({ts}), 0, 0)"
 
 
-def day_start(ts: Column) -> Column:
-    return F.to_date(ts).cast("timestamp_ntz")
+def day_start(ts: str) -> Expr:
+    return f"CAST(to_date({ts}) AS TIMESTAMP_NTZ)"
 
 
-def grid_index(ts: Column, step: str) -> Column:
+def grid_index(ts: str, step: str) -> Expr:
     """Whole steps since 1970-01-01 on an hourly or daily grid."""
-    days = F.unix_date(F.to_date(ts)).cast("bigint")
+    days = f"bigint(unix_date(to_date({ts})))"
     if step == "day":
         return days
     if step == "hour":
-        return days * 24 + F.hour(ts)
+        return f"({days} * 24 + hour({ts}))"
     raise ValueError(f"step must be 'hour' or 'day', not {step!r}")
 
 
-def date_parts(ts: Column) -> dict[str, Column]:
+def date_parts(ts: str) -> dict[str, Expr]:
     return {
-        "hour": F.hour(ts),
-        "day_of_week": F.weekday(ts),
-        "day_of_year": F.dayofyear(ts),
-        "month": F.month(ts),
-        "is_weekend": flag(F.weekday(ts) >= 5),
+        "hour": f"hour({ts})",
+        "day_of_week": f"weekday({ts})",
+        "day_of_year": f"dayofyear({ts})",
+        "month": f"month({ts})",
+        "is_weekend": flag(f"weekday({ts}) >= 5"),
     }
 
 
-def cyclic(c: Column, period: int) -> tuple[Column, Column]:
-    angle = F.lit(2.0) * F.pi() * c / F.lit(float(period))
-    return F.sin(angle), F.cos(angle)
+def cyclic(e: Expr, period: int) -> tuple[Expr, Expr]:
+    angle = f"2.0D * pi() * {e} / {num(period)}"
+    return f"sin({angle})", f"cos({angle})"
 
 
-def season(month: Column) -> Column:
-    branches = F
-    for code, months in SEASON_MONTHS.items():
-        branches = branches.when(month.isin(*months), F.lit(code))
-    return branches.otherwise(F.lit(SEASON_DEFAULT))
+def season(month: Expr) -> Expr:
+    branches = " ".join(f"WHEN {month} IN {months} THEN {code}" for code, months in SEASON_MONTHS.items())
+    return f"CASE {branches} ELSE {SEASON_DEFAULT} END"
 
 
-def usage_period(hour: Column) -> Column:
+def usage_period(hour: Expr) -> Expr:
     """0 night, 2 morning or evening, 1 otherwise; the first match wins."""
-    return (
-        F.when(hour.between(0, SLEEP_UNTIL), F.lit(0))
-        .when(hour.between(*HOUR_BANDS["morning_peak"]) | hour.between(*HOUR_BANDS["evening_peak"]), F.lit(2))
-        .otherwise(F.lit(1))
-    )
-
-
-def meal_activity() -> Column:
-    terms = [F.lit(weight) * F.col(name) for name, weight in MEAL_WEIGHTS.items()]
-    return terms[0] + terms[1] + terms[2] + terms[3]
+    busy = f"{between(hour, HOUR_BANDS['morning_peak'])} OR {between(hour, HOUR_BANDS['evening_peak'])}"
+    return f"CASE WHEN {between(hour, NIGHT)} THEN 0 WHEN {busy} THEN 2 ELSE 1 END"
 
 
 def add_calendar(df: DataFrame, ts: str = "datetime") -> DataFrame:
     """All calendar and habit columns. Needs ``holiday_effect`` (see operators.holidays)."""
-    out = df.withColumns(date_parts(F.col(ts)))
-    hour, month = F.col("hour"), F.col("month")
     waves = {}
     for name, (source, period) in CYCLES.items():
-        waves[f"{name}_sin"], waves[f"{name}_cos"] = cyclic(F.col(source), period)
-    out = out.withColumns(
+        waves[f"{name}_sin"], waves[f"{name}_cos"] = cyclic(source, period)
+    with_parts = add(df, date_parts(col(ts)))
+    with_classes = add(
+        with_parts,
         {
-            "is_workday": flag((F.col("is_weekend") == 0) & (F.col("holiday_effect") == 0)),
             **waves,
-            "season_code": season(month),
-            "sleep_hour": flag((hour <= SLEEP_UNTIL) | (hour >= SLEEP_FROM)),
-            **{name: flag(hour.between(*band)) for name, band in HOUR_BANDS.items()},
-            "school_vacation": flag(month.isin(*VACATION_MONTHS)),
-            "usage_period": usage_period(hour),
-        }
+            "is_workday": flag("is_weekend = 0 AND holiday_effect = 0"),
+            "season_code": season("month"),
+            "sleep_hour": flag(f"hour <= {SLEEP_UNTIL} OR hour >= {SLEEP_FROM}"),
+            **{name: flag(between("hour", band)) for name, band in HOUR_BANDS.items()},
+            "school_vacation": flag(f"month IN {VACATION_MONTHS}"),
+            "usage_period": usage_period("hour"),
+        },
     )
-    return out.withColumns(
+    return add(
+        with_classes,
         {
-            "working_hour": flag(hour.between(*WORK_HOURS) & is_set(F.col("is_workday"))),
-            "meal_activity": meal_activity(),
-        }
+            "working_hour": flag(f"{between('hour', WORK_HOURS)} AND is_workday = 1"),
+            "meal_activity": " + ".join(f"{num(weight)} * {name}" for name, weight in MEAL_WEIGHTS.items()),
+        },
     )

@@ -2,29 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from gridweave.fixed_values import METRIC_EPS
+from gridweave.functions.text import Expr, num
+
+METRICS = ("mae", "rmse", "mape", "r2")
 
 
-def ape(actual: Column, prediction: Column) -> Column:
-    """Absolute percentage error, in percent, guarded near zero."""
-    guard = F.when(actual.isNotNull(), F.greatest(F.abs(actual), F.lit(METRIC_EPS)))
-    return F.abs(actual - prediction) / guard * F.lit(100.0)
+def ape(actual: Expr, prediction: Expr) -> Expr:
+    """Absolute percentage error, in percent, guarded near zero; null when either value is."""
+    return f"abs({actual} - {prediction}) / greatest(abs({actual}), {num(METRIC_EPS)}) * 100.0D"
 
 
-def metric_aggregates(actual: Column, prediction: Column) -> dict[str, Column]:
+def metric_aggregates(actual: Expr, prediction: Expr) -> dict[str, Expr]:
     """MAE, RMSE, MAPE and R2 as aggregates of one pass."""
-    error = actual - prediction
-    total = F.var_pop(actual) * F.count(actual)
-    residual = F.sum(error * error)
+    error = f"({actual} - {prediction})"
+    total = f"var_pop({actual}) * count({actual})"
     return {
-        "mae": F.avg(F.abs(error)),
-        "rmse": F.sqrt(F.avg(error * error)),
-        "mape": F.avg(ape(actual, prediction)),
-        "r2": F.when(total > METRIC_EPS, F.lit(1.0) - residual / total).otherwise(F.lit(0.0)),
+        "mae": f"avg(abs({error}))",
+        "rmse": f"sqrt(avg({error} * {error}))",
+        "mape": f"avg({ape(actual, prediction)})",
+        "r2": f"CASE WHEN {total} > {num(METRIC_EPS)} THEN 1.0D - sum({error} * {error}) / ({total}) ELSE 0.0D END",
     }
-
-
-METRICS = ("mae", "rmse", "mape", "r2")

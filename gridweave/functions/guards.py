@@ -2,81 +2,69 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from gridweave.functions.text import Expr, col, num, put
 
-def clip(c: Column, lo: float | None = None, hi: float | None = None) -> Column:
-    """Limit to [lo, hi]; null stays null (greatest/least alone would replace it)."""
-    limited = c
-    if lo is not None:
-        limited = F.greatest(limited, F.lit(float(lo)))
-    if hi is not None:
-        limited = F.least(limited, F.lit(float(hi)))
-    return F.when(c.isNotNull(), limited)
+INFINITY = "double('infinity')"
 
 
-def flag(condition: Column) -> Column:
-    """0/1 integer; an unknown condition counts as 0."""
-    return F.coalesce(condition, F.lit(False)).cast("int")
+def clip(e: Expr, lo: float | None = None, hi: float | None = None) -> Expr:
+    """Limit to [lo, hi]; null stays null (greatest/least alone would replace it)."""
+    limited = e if lo is None else f"greatest({e}, {num(lo)})"
+    limited = limited if hi is None else f"least({limited}, {num(hi)})"
+    return f"CASE WHEN ({e}) IS NOT NULL THEN {limited} END"
 
 
-def is_set(c: Column) -> Column:
-    """A 0/1 flag as a condition."""
-    return c == 1
+def flag(condition: Expr) -> Expr:
+    """0/1 integer; an unknown condition counts as 0."""
+    return f"int(coalesce({condition}, false))"
 
 
-def half_even(c: Column, decimals: int) -> Column:
+def half_even(e: Expr, decimals: int) -> Expr:
     """Scale, round half to even, scale back, in doubles; never returns -0.0."""
-    factor = float(10**decimals)
-    return F.rint(c * F.lit(factor)) / F.lit(factor) + F.lit(0.0)
+    factor = num(10**decimals)
+    return f"(rint(({e}) * {factor}) / {factor} + 0.0D)"
 
 
-def to_units(c: Column, decimals: int) -> Column:
+def to_units(e: Expr, decimals: int) -> Expr:
     """Exact whole-number form of a value with a fixed number of decimals."""
-    return F.rint(c * F.lit(float(10**decimals))).cast("bigint")
+    return f"bigint(rint(({e}) * {num(10**decimals)}))"
 
 
-def ratio(num: Column, den: Column) -> Column:
-    """Null instead of an error when the divisor is zero."""
-    return F.try_divide(num, den)
-
-
-def not_finite(c: Column) -> Column:
+def not_finite(e: Expr) -> Expr:
     """NaN or infinite; null counts as missing, not as infinite."""
-    x = c.cast("double")
-    return F.coalesce(F.isnan(x) | (F.abs(x) == F.lit(float("inf"))), F.lit(False))
+    return f"coalesce(isnan({e}) OR abs(double({e})) = {INFINITY}, false)"
 
 
-def missing_or_not_finite(c: Column) -> Column:
-    return c.isNull() | not_finite(c)
+def infinite(e: Expr) -> Expr:
+    return f"coalesce(abs(double({e})) = {INFINITY}, false)"
 
 
-def infinite(c: Column) -> Column:
-    return F.coalesce(F.abs(c.cast("double")) == F.lit(float("inf")), F.lit(False))
+def missing_or_not_finite(e: Expr) -> Expr:
+    return f"(({e}) IS NULL OR {not_finite(e)})"
 
 
-def nan_to_null(df: DataFrame) -> DataFrame:
-    """Missing values arrive as NaN; Spark orders NaN above all numbers, so drop it at ingest."""
-    floating = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
-    return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in floating})
+def number(e: Expr) -> Expr:
+    """Text or number to double; anything unparsable, and NaN, becomes null."""
+    return f"nullif(try_cast({e} AS DOUBLE), double('NaN'))"
 
 
-def number(c: Column) -> Column:
-    """Text or number to double; anything unparsable, and NaN, becomes null."""
-    x = c.try_cast("double")
-    return F.when(~F.isnan(x), x)
+def parse_time(e: Expr) -> Expr:
+    """Text to wall-clock time; null when it does not parse."""
+    return f"try_cast({e} AS TIMESTAMP_NTZ)"
 
 
-def difference(left: Column, right: Column) -> Column:
+def difference(left: Expr, right: Expr) -> Expr:
     """Null when either side is null."""
-    return left - right
+    return f"({left} - {right})"
 
 
-def null_safe_equal(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    """Join condition that also matches null keys, so no row is lost."""
-    condition = F.lit(True)
-    for k in keys:
-        condition = condition & left[k].eqNullSafe(right[k])
-    return condition
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """Missing values arrive as NaN; Spark orders NaN above all numbers, so drop it at ingest."""
+    floating = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+    if not floating:
+        return df
+    kept = df.columns
+    return put(df, {c: f"CASE WHEN NOT isnan({col(c)}) THEN {col(c)} END" for c in floating}).select(*kept)

@@ -2,25 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from gridweave.functions.text import Expr, col, select
 
-def flat_columns(schema: T.StructType, prefix: str = "") -> dict[str, Column]:
+
+def flat_columns(schema: T.StructType, path: tuple[str, ...] = ()) -> dict[str, Expr]:
     """Dotted name -> expression for every leaf; arrays become JSON text."""
-    out: dict[str, Column] = {}
+    out: dict[str, Expr] = {}
     for field in schema.fields:
-        path = f"{prefix}.{field.name}" if prefix else field.name
-        column = F.col(".".join(f"`{part}`" for part in path.split(".")))
+        here = (*path, field.name)
+        expr = ".".join(col(part) for part in here)
         if isinstance(field.dataType, T.StructType):
-            out.update(flat_columns(field.dataType, path))
-        elif isinstance(field.dataType, T.ArrayType):
-            out[path] = F.to_json(column)
+            out.update(flat_columns(field.dataType, here))
         else:
-            out[path] = column
+            out[".".join(here)] = f"to_json({expr})" if isinstance(field.dataType, T.ArrayType) else expr
     return out
 
 
 def flatten(df: DataFrame) -> DataFrame:
-    return df.select(*[c.alias(name) for name, c in flat_columns(df.schema).items()])
+    return df.selectExpr(*select([], flat_columns(df.schema)))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from gridweave.functions.guards import clip, flag
+from gridweave.functions.text import Expr, add, num, put
 
 # --- fixed values: thresholds and physical limits --------------------------------------
 COOLING_ABOVE = 27.0
@@ -18,26 +18,27 @@ DARK_FROM, DARK_UNTIL = 18, 5
 PHYSICAL_LIMITS = {"rain": (0.0, None), "humidity": (0.0, 100.0), "cloud_cover": (0.0, 100.0)}
 
 
-def dark(hour: Column) -> Column:
-    return (hour >= DARK_FROM) | (hour <= DARK_UNTIL)
+def dark(hour: Expr) -> Expr:
+    return f"({hour} >= {DARK_FROM} OR {hour} <= {DARK_UNTIL})"
 
 
 def clamp_physical(df: DataFrame) -> DataFrame:
-    return df.withColumns({c: clip(F.col(c), lo, hi) for c, (lo, hi) in PHYSICAL_LIMITS.items()})
+    return put(df, {c: clip(c, lo, hi) for c, (lo, hi) in PHYSICAL_LIMITS.items()})
 
 
 def add_weather_features(df: DataFrame) -> DataFrame:
     """Degrees, flags and the temperature-humidity product; needs ``hour``."""
-    temperature, humidity = F.col("temperature"), F.col("humidity")
-    felt, rain = F.col("apparent_temperature"), F.col("rain")
-    return df.withColumns(
+    return add(
+        df,
         {
-            "cooling_degree": clip(felt - F.lit(COOLING_ABOVE), lo=0),
-            "heating_degree": clip(F.lit(HEATING_BELOW) - felt, lo=0),
-            "humid_hot": flag((temperature >= HUMID_HOT_TEMPERATURE) & (humidity >= HUMID_HOT_HUMIDITY)),
-            "rainy_hour": flag(rain > 0),
-            "heavy_rain": flag(rain >= HEAVY_RAIN),
-            "dark_or_cloudy": flag(dark(F.col("hour")) | (F.col("cloud_cover") >= CLOUDY)),
-            "temp_humidity_interaction": temperature * humidity,
-        }
+            "cooling_degree": clip(f"apparent_temperature - {num(COOLING_ABOVE)}", lo=0),
+            "heating_degree": clip(f"{num(HEATING_BELOW)} - apparent_temperature", lo=0),
+            "humid_hot": flag(
+                f"temperature >= {num(HUMID_HOT_TEMPERATURE)} AND humidity >= {num(HUMID_HOT_HUMIDITY)}"
+            ),
+            "rainy_hour": flag("rain > 0"),
+            "heavy_rain": flag(f"rain >= {num(HEAVY_RAIN)}"),
+            "dark_or_cloudy": flag(f"{dark('hour')} OR cloud_cover >= {num(CLOUDY)}"),
+            "temp_humidity_interaction": "temperature * humidity",
+        },
     )

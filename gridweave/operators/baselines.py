@@ -10,13 +10,15 @@ from pyspark.ml.regression import (
     LinearRegression,
     RandomForestRegressor,
 )
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.fixed_values import TREE_SEED
 from gridweave.functions.errors import METRICS, metric_aggregates
+from gridweave.functions.text import Expr, col, quote, select, table
 from gridweave.operators.quality import DataQualityError
 from gridweave.operators.scaling import Stats, unscaled
+from gridweave.operators.summary import grouped
 from gridweave.session import ensure_checkpoint_dir
 
 # --- fixed values: model parameters ------------------------------------------------------
@@ -54,7 +56,7 @@ def regressors(**sizes: int) -> dict[str, object]:
 def fit(train: DataFrame, name: str, features: list[str], target: str, **sizes: int) -> PipelineModel:
     """Scaled features against the raw target."""
     ensure_checkpoint_dir(train.sparkSession)
-    labelled = train.select(*features, F.col(target).cast("double").alias("label"))
+    labelled = train.selectExpr(*select(features, {"label": f"double({col(target)})"}))
     assembler = VectorAssembler(inputCols=list(features), outputCol="features")
     return Pipeline(stages=[assembler, regressors(**sizes)[name]]).fit(labelled)
 
@@ -62,7 +64,7 @@ def fit(train: DataFrame, name: str, features: list[str], target: str, **sizes:
 def predict(model: PipelineModel, df: DataFrame, name: str, keys: list[str], target: str) -> DataFrame:
     """Long rows (keys, model, actual, prediction)."""
     scored = model.transform(df)
-    return scored.select(*keys, F.lit(name).alias("model"), F.col(target).alias("actual"), "prediction")
+    return scored.selectExpr(*select(keys, {"model": quote(name), "actual": col(target)}), "prediction")
 
 
 def predictions_wide(long: DataFrame, keys: list[str]) -> DataFrame:
@@ -71,24 +73,23 @@ def predictions_wide(long: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def score_models(long: DataFrame, by: list[str]) -> DataFrame:
-    aggregates = metric_aggregates(F.col("actual"), F.col("prediction"))
-    return long.groupBy(*by).agg(*[a.alias(n) for n, a in aggregates.items()])
+    return grouped(long, by, metric_aggregates("actual", "prediction"))
 
 
 def comparison_table(metrics: DataFrame) -> DataFrame:
     """One row per (dataset, horizon, metric), one column per model."""
-    entries = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in METRICS])
-    long = metrics.select("dataset", "horizon", "model", F.inline(entries))
+    entries = table({"metric": quote(m), "value": m} for m in METRICS)
+    long = metrics.selectExpr("dataset", "horizon", "model", f"inline({entries})")
     return long.groupBy("dataset", "horizon", "metric").pivot("model", list(MODEL_NAMES)).agg(F.first("value"))
 
 
-def persistence(df: DataFrame, stats: Stats | None = None, scaled_name: str = "load_lag_24_scaled") -> Column:
+def persistence(df: DataFrame, stats: Stats | None = None, scaled_name: str = "load_lag_24_scaled") -> Expr:
     """The load 24 rows before the feature row, from the raw column or else the scaled one."""
-    has_raw, has_scaled = LAG_COLUMN in df.columns, scaled_name in df.columns and stats is not None
-    if has_raw and has_scaled:
-        return F.coalesce(F.col(LAG_COLUMN), unscaled(F.col(scaled_name), LAG_COLUMN, stats))
-    if has_raw:
-        return F.col(LAG_COLUMN)
-    if has_scaled:
-        return unscaled(F.col(scaled_name), LAG_COLUMN, stats)
-    raise DataQualityError("cannot build the lag-24 baseline: load_lag_24 is missing")
+    sources = []
+    if LAG_COLUMN in df.columns:
+        sources.append(LAG_COLUMN)
+    if scaled_name in df.columns and stats is not None:
+        sources.append(unscaled(scaled_name, LAG_COLUMN, stats))
+    if not sources:
+        raise DataQualityError("cannot build the lag-24 baseline: load_lag_24 is missing")
+    return f"coalesce({', '.join(sources)})"

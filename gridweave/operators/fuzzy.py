@@ -2,7 +2,7 @@
 
 Two forms of the layers:
 
-* column expressions that turn rows into (row, input, set) or (row, rule) rows, for reports;
+* SQL expressions that turn rows into (row, input, set) or (row, rule) rows, for reports;
 * batch scoring and partial normal equations with NumPy on Arrow batches, for the bulk work.
 
 The fit needs D'D and D'y only (D: rows x rules*(inputs+1)). Every task adds up its own part
@@ -17,16 +17,19 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.cloudpickle import register_pickle_by_value
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridweave.fixed_values import CORE_FEATURES, EPS, MIN_SIGMA, N_MFS, RIDGE_ALPHA, SEED
-from gridweave.operators.quality import DataQualityError
+from gridweave.functions import kernels
+from gridweave.functions.text import Expr, add, array, col, num, put, quote, select, struct, table
+from gridweave.operators.quality import DataQualityError, finite_report, raise_on_violations
 from gridweave.operators.quantiles import exact_quantiles
 
-Z_LIMIT = 1e6
-SEGMENT = 512
-BATCH_CELLS = 4_000_000
+# the executors need no installed copy of the package: the kernels are pickled by value
+register_pickle_by_value(kernels)
+
 # limits of the exponent before exp() under- or overflows
 EXP_LIMITS = (-745.0, 709.0)
 
@@ -64,6 +67,9 @@ class FuzzyModel:
     def width(self) -> int:
         return self.n_rules * (len(self.features) + 1)
 
+    def batch_rules(self) -> kernels.Rules:
+        return kernels.Rules(self.mu, self.sigma, self.rules, self.coefficients)
+
 
 def default_centers(n_mfs: int) -> np.ndarray:
     return np.array([0.5]) if n_mfs == 1 else np.linspace(0.33, 0.67, n_mfs)
@@ -92,40 +98,7 @@ def initialize_memberships(
     )
 
 
-# --- batch kernels (NumPy on one Arrow batch) ---------------------------------------------
-
-
-def _normalized(x: np.ndarray, model: FuzzyModel) -> np.ndarray:
-    """Rows x rules: strengths divided by their sum, via logs so that tiny ones survive."""
-    z = np.clip((x[:, :, None] - model.mu) / model.sigma, -Z_LIMIT, Z_LIMIT)
-    log_sets = -0.5 * z * z
-    logs = sum(log_sets[:, i, model.rules[:, i]] for i in range(x.shape[1]))
-    weights = np.exp(logs - logs.max(axis=1, keepdims=True))
-    return weights / weights.sum(axis=1, keepdims=True)
-
-
-def _design(x: np.ndarray, model: FuzzyModel) -> np.ndarray:
-    basis = np.column_stack([np.ones(len(x)), x])
-    return (_normalized(x, model)[:, :, None] * basis[:, None, :]).reshape(len(x), model.width)
-
-
-def _slices(rows: int, cells_per_row: int) -> Iterator[slice]:
-    step = max(1, BATCH_CELLS // cells_per_row)
-    for start in range(0, rows, step):
-        yield slice(start, start + step)
-
-
-def _predict(x: np.ndarray, model: FuzzyModel) -> np.ndarray:
-    out = np.full(len(x), np.nan)
-    usable = np.isfinite(x).all(axis=1)
-    known = x[usable]
-    parts = []
-    for part in _slices(len(known), model.n_rules * max(1, x.shape[1])):
-        rows = known[part]
-        basis = np.column_stack([np.ones(len(rows)), rows])
-        parts.append((_normalized(rows, model) * (basis @ model.coefficients.T)).sum(axis=1))
-    out[usable] = np.concatenate(parts) if parts else []
-    return out
+# --- scoring ------------------------------------------------------------------------------
 
 
 def score(df: DataFrame, model: FuzzyModel, output: str = "prediction") -> DataFrame:
@@ -135,13 +108,15 @@ def score(df: DataFrame, model: FuzzyModel, output: str = "prediction") -> DataF
     columns cross to Python.
     """
 
+    rules = model.batch_rules()
+
     @F.pandas_udf("double")
     def predict(columns: pd.DataFrame) -> pd.Series:
-        return pd.Series(_predict(columns.to_numpy(dtype=float), model))
+        return pd.Series(kernels.predict(columns.to_numpy(dtype=float), rules))
 
-    inputs = F.struct(*[F.col(f).cast("double").alias(f) for f in model.features])
+    inputs = F.expr(struct({f: f"double({col(f)})" for f in model.features}))
     raw = df.withColumn(output, predict(inputs))
-    return raw.withColumn(output, F.when(~F.isnan(output), F.col(output)))
+    return put(raw, {output: f"nullif({col(output)}, double('NaN'))"})
 
 
 # --- distributed fit ----------------------------------------------------------------------
@@ -154,41 +129,16 @@ def partial_sums(df: DataFrame, model: FuzzyModel, targets: list[str]) -> DataFr
     the shuffled volume depends on cores and model size, not on the number of input files.
     Segments are re-distributed and added in a stream: a task holds one total per segment.
     """
-    width, n_targets = model.width, len(targets)
-    names = list(model.features)
-    rows, cols = np.triu_indices(width)
+    names, rules = list(model.features), model.batch_rules()
 
     def accumulate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gram, moment, seen = np.zeros((width, width)), np.zeros((n_targets, width)), False
-        for batch in batches:
-            x = batch[names].to_numpy(dtype=float)
-            y = batch[targets].to_numpy(dtype=float)
-            for part in _slices(len(x), width):
-                design = _design(x[part], model)
-                gram += design.T @ design
-                moment += y[part].T @ design
-                seen = True
-        if seen:
-            packed = np.concatenate([gram[rows, cols], moment.ravel()])
-            cuts = range(0, len(packed), SEGMENT)
-            yield pd.DataFrame({"segment": [c // SEGMENT for c in cuts], "values": [packed[c : c + SEGMENT] for c in cuts]})
-
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        totals: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for segment, values in zip(batch["segment"], batch["values"]):
-                if segment in totals:
-                    totals[segment] += values
-                else:
-                    totals[segment] = np.array(values, dtype=float)
-        if totals:
-            yield pd.DataFrame({"segment": list(totals), "values": list(totals.values())})
-
-    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in [*names, *targets]])
+        return kernels.partial_sums(batches, names, targets, rules)
+
+    numbers = df.selectExpr(*select([], {c: f"double({col(c)})" for c in [*names, *targets]}))
     tasks = df.sparkSession.sparkContext.defaultParallelism
     schema = "segment bigint, values array<double>"
     parts = numbers.coalesce(tasks).mapInPandas(accumulate, schema)
-    return parts.repartition("segment").mapInPandas(add, schema)
+    return parts.repartition("segment").mapInPandas(kernels.add_segments, schema)
 
 
 def unpack(sums: DataFrame, width: int, n_targets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -214,18 +164,12 @@ def solve(gram: np.ndarray, moment: np.ndarray, alpha: float) -> np.ndarray:
         return np.linalg.lstsq(system, moment, rcond=None)[0]
 
 
-def check_fit_input(df: DataFrame, columns: list[str]) -> None:
-    from gridweave.operators.quality import finite_report, raise_on_violations
-
-    raise_on_violations(finite_report(df, columns), "fit input")
-
-
 def fit_consequents(
     df: DataFrame, model: FuzzyModel, targets: list[str], alpha: float | None = None
 ) -> dict[str, FuzzyModel]:
     """One fitted model per target from a single pass: one D'D, one D'y per target."""
     alpha = model.ridge_alpha if alpha is None else alpha
-    check_fit_input(df, [*model.features, *targets])
+    raise_on_violations(finite_report(df, [*model.features, *targets]), "fit input")
     gram, moments = unpack(partial_sums(df, model, targets), model.width, len(targets))
     shape = (model.n_rules, len(model.features) + 1)
     return {
@@ -236,160 +180,113 @@ def fit_consequents(
 
 def split_rmse(df: DataFrame, actual: str, prediction: str) -> DataFrame:
     """RMSE, rows and unusable predictions per split from one scoring pass."""
-    error = F.col(prediction) - F.col(actual)
+    error = f"({col(prediction)} - {col(actual)})"
     return df.groupBy("split").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.sqrt(F.avg(error * error)).alias("rmse"),
-        F.count_if(F.col(prediction).isNull()).alias("not_finite"),
+        F.expr("count(*)").alias("rows"),
+        F.expr(f"sqrt(avg({error} * {error}))").alias("rmse"),
+        F.expr(f"count_if({col(prediction)} IS NULL)").alias("not_finite"),
     )
 
 
-# --- layers as column expressions ----------------------------------------------------------
+# --- layers as SQL expressions ---------------------------------------------------------------
 
 
-def _array(values) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values])
-
-
-def log_membership(x: Column, mu: Column, sigma: Column) -> Column:
-    z = F.greatest(F.lit(-Z_LIMIT), F.least(F.lit(Z_LIMIT), (x - mu) / sigma))
-    return F.lit(-0.5) * z * z
+def log_membership(x: Expr, mu: float, sigma: float) -> Expr:
+    z = f"greatest({num(-kernels.Z_LIMIT)}, least({num(kernels.Z_LIMIT)}, ({x} - {num(mu)}) / {num(sigma)}))"
+    return f"-0.5D * {z} * {z}"
 
 
 def membership_rows(df: DataFrame, model: FuzzyModel, keys: list[str]) -> DataFrame:
-    """(keys, input, set, membership) rows."""
-    entries = []
-    for i, f in enumerate(model.features):
-        for j in range(model.n_mfs):
-            grade = F.exp(log_membership(F.col(f), F.lit(float(model.mu[i, j])), F.lit(float(model.sigma[i, j]))))
-            entries.append(F.struct(F.lit(f).alias("input"), F.lit(j).alias("mf"), grade.alias("membership")))
-    return df.select(*keys, F.inline(F.array(*entries)))
-
-
-def _rule_logs(model: FuzzyModel) -> Column:
-    """array<double>: log strength of every rule, from per-input arrays of log memberships."""
-    per_input = F.array(
-        *[
-            F.array(
-                *[
-                    log_membership(F.col(f), F.lit(float(m)), F.lit(float(s)))
-                    for m, s in zip(model.mu[i], model.sigma[i])
-                ]
-            )
-            for i, f in enumerate(model.features)
-        ]
+    """(keys, input, mf, membership) rows."""
+    entries = table(
+        {
+            "input": quote(f),
+            "mf": str(j),
+            "membership": f"exp({log_membership(col(f), model.mu[i, j], model.sigma[i, j])})",
+        }
+        for i, f in enumerate(model.features)
+        for j in range(model.n_mfs)
     )
-    return per_input
+    return df.selectExpr(*keys, f"inline({entries})")
 
 
 def add_rule_logs(df: DataFrame, model: FuzzyModel) -> DataFrame:
-    """Adds ``_logs``: one log strength per rule, ordered by rule number."""
-    with_sets = df.withColumn("_sets", _rule_logs(model))
-    grid = F.array(*[F.array(*[F.lit(int(j)) for j in rule]) for rule in model.rules])
-
-    def strength(rule: Column) -> Column:
-        picked = F.zip_with(F.col("_sets"), rule, lambda sets, j: F.get(sets, j))
-        return F.aggregate(picked, F.lit(0.0), lambda total, v: total + v)
-
-    return with_sets.withColumn("_logs", F.transform(grid, strength)).drop("_sets")
+    """Adds ``_logs``: one log strength per rule, ordered by rule number.
 
-
-def _rule_rows(df: DataFrame, keys: list[str], array: str, name: str) -> DataFrame:
-    return df.select(*keys, F.posexplode(array).alias("rule", name))
+    The log memberships form an array of arrays; a rule is an array of set numbers.
+    """
+    sets = array(
+        array(log_membership(col(f), m, s) for m, s in zip(model.mu[i], model.sigma[i]))
+        for i, f in enumerate(model.features)
+    )
+    grid = array(array(str(int(j)) for j in rule) for rule in model.rules)
+    strength = "aggregate(zip_with(_sets, rule, (grades, j) -> grades[j]), 0.0D, (total, v) -> total + v)"
+    return add(add(df, {"_sets": sets}), {"_logs": f"transform({grid}, rule -> {strength})"}).drop("_sets")
 
 
 def firing_rows(df: DataFrame, model: FuzzyModel, keys: list[str]) -> DataFrame:
     """(keys, rule, strength): product of the rule's memberships."""
-    rows = _rule_rows(add_rule_logs(df, model), keys, "_logs", "_log")
-    limited = F.greatest(F.lit(EXP_LIMITS[0]), F.least(F.lit(EXP_LIMITS[1]), F.col("_log")))
-    return rows.select(*keys, "rule", F.exp(limited).alias("strength"))
+    rows = add_rule_logs(df, model).selectExpr(*keys, "posexplode(_logs) AS (rule, _log)")
+    low, high = (num(v) for v in EXP_LIMITS)
+    return rows.selectExpr(*keys, "rule", f"exp(greatest({low}, least({high}, _log))) AS strength")
 
 
 def add_normalized(df: DataFrame, model: FuzzyModel) -> DataFrame:
     """Adds ``_weights``: strengths of all rules divided by their sum, computed inside the row."""
-    logs = add_rule_logs(df, model)
-    shifted = logs.withColumn("_top", F.array_max("_logs")).withColumn(
-        "_exp", F.transform("_logs", lambda v: F.exp(v - F.col("_top")))
-    )
-    summed = shifted.withColumn("_sum", F.aggregate("_exp", F.lit(0.0), lambda total, v: total + v))
-    return summed.withColumn("_weights", F.transform("_exp", lambda v: v / F.col("_sum"))).drop(
-        "_logs", "_top", "_exp", "_sum"
-    )
+    shifted = add(add_rule_logs(df, model), {"_top": "array_max(_logs)"})
+    raised = add(shifted, {"_exp": "transform(_logs, v -> exp(v - _top))"})
+    summed = add(raised, {"_sum": "aggregate(_exp, 0.0D, (total, v) -> total + v)"})
+    return add(summed, {"_weights": "transform(_exp, v -> v / _sum)"}).drop("_logs", "_top", "_exp", "_sum")
 
 
 def normalized_rows(df: DataFrame, model: FuzzyModel, keys: list[str]) -> DataFrame:
-    return _rule_rows(add_normalized(df, model), keys, "_weights", "weight")
+    return add_normalized(df, model).selectExpr(*keys, "posexplode(_weights) AS (rule, weight)")
 
 
 def active_rules(df: DataFrame, model: FuzzyModel, keys: list[str], k: int = 3) -> DataFrame:
     """The ``k`` strongest rules of every row, ranked inside the row; no shuffle."""
-    weighted = add_normalized(df, model)
-    ranked = F.transform(
-        "_weights", lambda w, i: F.struct((-w).alias("neg"), i.alias("rule"), w.alias("weight"))
-    )
-    top = F.slice(F.array_sort(ranked), 1, k)
-    exploded = weighted.select(*keys, F.posexplode(top).alias("_rank", "_e"))
-    return exploded.select(
-        *keys, (F.col("_rank") + 1).alias("rank"), F.col("_e.rule").alias("rule"), F.col("_e.weight").alias("weight")
-    )
+    entry = struct({"neg": "-w", "rule": "i", "weight": "w"})
+    top = f"slice(array_sort(transform(_weights, (w, i) -> {entry})), 1, {k})"
+    ranked = add_normalized(df, model).selectExpr(*keys, f"posexplode({top}) AS (_rank, _e)")
+    return ranked.selectExpr(*keys, "_rank + 1 AS rank", "_e.rule AS rule", "_e.weight AS weight")
 
 
 def rule_grid_rows(spark: SparkSession, n_mfs: int, features: tuple[str, ...]) -> DataFrame:
     """(rule, one set number per input) rows: digits of the rule number in base ``n_mfs``."""
     n = len(features)
-    rules = spark.range(n_mfs**n).withColumnRenamed("id", "rule")
-    return rules.select(
-        F.col("rule").cast("int").alias("rule"),
-        *[
-            (F.floor(F.col("rule") / (n_mfs ** (n - 1 - i))) % n_mfs).cast("int").alias(f"mf_{f}")
-            for i, f in enumerate(features)
-        ],
-    )
+    digits = {f"mf_{f}": f"int(id div {n_mfs ** (n - 1 - i)} % {n_mfs})" for i, f in enumerate(features)}
+    return spark.range(n_mfs**n).selectExpr("int(id) AS rule", *select([], digits))
 
 
 def rule_usage(df: DataFrame, model: FuzzyModel) -> DataFrame:
     """Every rule of the grid with the rows it dominates and its total weight."""
-    strongest = add_normalized(df, model).select(
-        F.posexplode("_weights").alias("rule", "weight"), F.array_max("_weights").alias("_top")
-    )
-    used = strongest.groupBy("rule").agg(
-        F.count_if(F.col("weight") == F.col("_top")).alias("dominant_rows"), F.sum("weight").alias("total_weight")
+    weighted = add_normalized(df, model).selectExpr("array_max(_weights) AS _top", "posexplode(_weights) AS (rule, weight)")
+    used = weighted.groupBy("rule").agg(
+        F.expr("count_if(weight = _top)").alias("dominant_rows"), F.expr("sum(weight)").alias("total_weight")
     )
     grid = rule_grid_rows(df.sparkSession, model.n_mfs, model.features)
     return grid.join(used, "rule", "left").fillna(0, ["dominant_rows", "total_weight"])
 
 
 def sugeno_rows(df: DataFrame, model: FuzzyModel, keys: list[str], output: str = "prediction") -> DataFrame:
-    """The whole forward pass as column expressions: weights times linear rule outputs."""
-    weighted = add_normalized(df, model)
-    coefficients = F.array(*[_array(c) for c in model.coefficients])
-    inputs = F.array(F.lit(1.0), *[F.col(f) for f in model.features])
-    based = weighted.withColumn("_x", inputs)
-
-    def rule_output(c: Column) -> Column:
-        return F.aggregate(F.zip_with(c, F.col("_x"), lambda a, b: a * b), F.lit(0.0), lambda total, v: total + v)
-
-    terms = F.zip_with("_weights", F.transform(coefficients, rule_output), lambda w, f: w * f)
-    return based.select(*keys, F.aggregate(terms, F.lit(0.0), lambda total, v: total + v).alias(output))
+    """The whole forward pass as SQL expressions: weights times linear rule outputs."""
+    based = add(add_normalized(df, model), {"_x": array(["1.0D", *[f"double({col(f)})" for f in model.features]])})
+    coefficients = array(array(num(v) for v in c) for c in model.coefficients)
+    rule_output = "aggregate(zip_with(c, _x, (a, b) -> a * b), 0.0D, (total, v) -> total + v)"
+    terms = f"zip_with(_weights, transform({coefficients}, c -> {rule_output}), (w, f) -> w * f)"
+    return based.selectExpr(*keys, f"aggregate({terms}, 0.0D, (total, v) -> total + v) AS {col(output)}")
 
 
 def gram_rows(df: DataFrame, model: FuzzyModel, targets: list[str]) -> DataFrame:
     """D'D and D'y as (i, j, value) rows; ``j`` = -1 - k marks D'y of target k."""
-    width = model.width
-    rows, cols = np.triu_indices(width)
-    triangle = len(rows)
-    sums = partial_sums(df, model, targets)
-    cells = sums.select(
-        (F.col("segment") * SEGMENT).alias("_start"), F.posexplode("values").alias("_at", "value")
-    ).withColumn("_cell", F.col("_start") + F.col("_at"))
-    spark = df.sparkSession
-    index = spark.createDataFrame(
-        pd.DataFrame(
-            {
-                "_cell": np.arange(triangle + width * len(targets)),
-                "i": np.concatenate([rows, np.tile(np.arange(width), len(targets))]),
-                "j": np.concatenate([cols, np.repeat(-1 - np.arange(len(targets)), width)]),
-            }
-        )
+    rows, cols = np.triu_indices(model.width)
+    index = pd.DataFrame(
+        {
+            "_cell": np.arange(len(rows) + model.width * len(targets)),
+            "i": np.concatenate([rows, np.tile(np.arange(model.width), len(targets))]),
+            "j": np.concatenate([cols, np.repeat(-1 - np.arange(len(targets)), model.width)]),
+        }
     )
-    return cells.join(index, "_cell").select("i", "j", "value")
+    cells = partial_sums(df, model, targets).selectExpr("segment", "posexplode(values) AS (_at, value)")
+    placed = cells.selectExpr(f"segment * {kernels.SEGMENT} + _at AS _cell", "value")
+    return placed.join(df.sparkSession.createDataFrame(index), "_cell").select("i", "j", "value")

@@ -2,40 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.functions.guards import null_safe_equal
+from gridweave.functions.text import Expr, add, col, window
 from gridweave.operators.series import BUCKET_STEPS, PLAIN_ROWS, Series, with_positions
 
+FROM_START = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+BEFORE_THIS = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+STEP_INTERVAL = {"hour": "INTERVAL 1 HOUR", "day": "INTERVAL 1 DAY"}
+
 
 def dense_grid(panel: DataFrame, series: Series) -> DataFrame:
     """One row per series and step between the panel's first and last time.
 
     The span is two scalar values (no join); each series key expands to ``span`` rows.
     """
-    span = panel.agg(F.min(series.time).alias("lo"), F.max(series.time).alias("hi"))
-    unit = {"hour": "INTERVAL 1 HOUR", "day": "INTERVAL 1 DAY"}[series.step]
-    steps = F.sequence(span.select("lo").scalar(), span.select("hi").scalar(), F.expr(unit))
+    lo = panel.agg(F.min(series.time)).scalar()
+    hi = panel.agg(F.max(series.time)).scalar()
+    steps = F.sequence(lo, hi, F.expr(STEP_INTERVAL[series.step]))
     grid = panel.select(*series.keys).distinct().select(*series.keys, F.explode(steps).alias(series.time))
     return grid.join(panel, [*series.keys, series.time], "left")
 
 
-def _between(position: Column, before: Column, after: Column) -> Column:
-    """Value at ``position`` on the line through two known (pos, val) points, or the nearest edge."""
-    slope = F.try_divide(after["val"] - before["val"], (after["pos"] - before["pos"]).cast("double"))
-    inner = before["val"] + (position - before["pos"]) * slope
-    return (
-        F.when(before.isNotNull() & after.isNotNull(), inner)
-        .when(before.isNotNull(), before["val"])
-        .when(after.isNotNull(), after["val"])
-    )
+def _known(c: str) -> Expr:
+    """(position, value) of a filled row, null otherwise."""
+    return f"CASE WHEN {col(c)} IS NOT NULL THEN named_struct('pos', _pos, 'val', double({col(c)})) END"
 
 
-def _known(column: str) -> Column:
-    return F.when(
-        F.col(column).isNotNull(),
-        F.struct(F.col("_pos").alias("pos"), F.col(column).cast("double").alias("val")),
+def _between(c: str) -> Expr:
+    """The value itself, or the line between its two neighbours, or the only neighbour."""
+    b, a = col(f"_b_{c}"), col(f"_a_{c}")
+    inner = f"{b}.val + (_pos - {b}.pos) * ({a}.val - {b}.val) / double({a}.pos - {b}.pos)"
+    return (
+        f"CASE WHEN {col(c)} IS NOT NULL THEN double({col(c)}) "
+        f"WHEN {b} IS NULL THEN {a}.val WHEN {a} IS NULL THEN {b}.val ELSE {inner} END"
     )
 
 
@@ -52,64 +53,41 @@ def interpolate(
     Both directions use frames that start at the first row (the second one over the reversed
     order): a frame that ends at the last row would be re-read for every row.
     """
-    keys = list(series.keys)
+    kept, keys = df.columns, list(series.keys)
     if bound is not None and bound <= PLAIN_ROWS:
-        order = Window.partitionBy(*keys).orderBy(series.time)
-        positioned = df.withColumn("_pos", F.row_number().over(order).cast("bigint"))
-        parts, extra = keys, {}
+        positioned = add(df, {"_pos": f"bigint(row_number() OVER {window(keys, col(series.time))})"})
+        parts, carried = keys, False
     else:
-        positioned = with_positions(df, series, bucket_steps)
-        parts = keys + ["_bucket"]
-        positioned, extra = _with_neighbours(positioned, keys, columns)
+        positioned = _with_neighbours(with_positions(df, series, bucket_steps), keys, columns)
+        parts, carried = [*keys, "_bucket"], True
 
-    up = Window.partitionBy(*parts).orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy(*parts).orderBy(F.col("_pos").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    filled = {}
+    up = window(parts, "_pos", FROM_START)
+    down = window(parts, "_pos DESC", FROM_START)
+    sides = {}
     for c in columns:
-        before = F.last(_known(c), ignorenulls=True).over(up)
-        after = F.last(_known(c), ignorenulls=True).over(down)
-        if extra:
-            before = F.coalesce(before, F.col(extra[c][0]))
-            after = F.coalesce(after, F.col(extra[c][1]))
-        filled[c] = (before, after)
-    staged = positioned.withColumns(
-        {f"_{side}_{c}": pair[i] for c, pair in filled.items() for i, side in enumerate(("b", "a"))}
-    )
-    result = staged.withColumns(
-        {
-            c: F.coalesce(F.col(c).cast("double"), _between(F.col("_pos"), F.col(f"_b_{c}"), F.col(f"_a_{c}")))
-            for c in columns
-        }
-    )
-    return result.select(*df.columns)
+        before = f"last({_known(c)}, true) OVER {up}"
+        after = f"last({_known(c)}, true) OVER {down}"
+        sides[f"_b_{c}"] = f"coalesce({before}, {col(f'_prev_{c}')})" if carried else before
+        sides[f"_a_{c}"] = f"coalesce({after}, {col(f'_next_{c}')})" if carried else after
+    staged = add(positioned, sides)
+    return staged.selectExpr(*[f"{_between(c)} AS {col(c)}" if c in columns else col(c) for c in kept])
 
 
-def _with_neighbours(
-    positioned: DataFrame, keys: list[str], columns: list[str]
-) -> tuple[DataFrame, dict[str, tuple[str, str]]]:
+def _with_neighbours(positioned: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Joins to every bucket the last known value before it and the first known value after it.
 
     The per-series windows see one summary row per bucket.
     """
     edges = positioned.groupBy(*keys, "_bucket").agg(
-        *[
-            edge
-            for c in columns
-            for edge in (F.max(_known(c)).alias(f"_last_{c}"), F.min(_known(c)).alias(f"_first_{c}"))
-        ]
+        *[F.expr(f"max({_known(c)})").alias(f"_last_{c}") for c in columns],
+        *[F.expr(f"min({_known(c)})").alias(f"_first_{c}") for c in columns],
     )
-    past = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    future = Window.partitionBy(*keys).orderBy(F.col("_bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    names = {c: (f"_prev_{c}", f"_next_{c}") for c in columns}
-    carried = edges.select(
-        *keys,
-        "_bucket",
-        *[
-            F.last(f"_{end}_{c}", ignorenulls=True).over(window).alias(names[c][i])
-            for c in columns
-            for i, (end, window) in enumerate((("last", past), ("first", future)))
-        ],
+    past, future = window(keys, "_bucket", BEFORE_THIS), window(keys, "_bucket DESC", BEFORE_THIS)
+    neighbours = edges.selectExpr(
+        *[f"{col(k)} AS `_k_{k}`" for k in keys],
+        "_bucket AS _k_bucket",
+        *[f"last({col(f'_last_{c}')}, true) OVER {past} AS {col(f'_prev_{c}')}" for c in columns],
+        *[f"last({col(f'_first_{c}')}, true) OVER {future} AS {col(f'_next_{c}')}" for c in columns],
     )
-    joined = positioned.join(carried, null_safe_equal(positioned, carried, keys + ["_bucket"]), "left")
-    kept = [positioned[c] for c in positioned.columns]
-    return joined.select(*kept, *[carried[n] for pair in names.values() for n in pair]), names
+    match = " AND ".join([f"{col(k)} <=> `_k_{k}`" for k in keys] + ["_bucket <=> _k_bucket"])
+    return positioned.join(neighbours, F.expr(match), "left").drop(*[f"_k_{k}" for k in keys], "_k_bucket")

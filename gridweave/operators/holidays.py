@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridweave.fixed_values import HOLIDAYS
+from gridweave.functions.text import add, any_of, col
 
 BROADCAST_DATES = 200_000
 
@@ -19,27 +20,22 @@ def holiday_intervals(spark: SparkSession) -> DataFrame:
 
 def interval_dates(intervals: DataFrame) -> DataFrame:
     """Intervals to distinct dates, so the range join becomes an equi join."""
-    days = F.explode(F.sequence("start_date", "end_date", F.expr("INTERVAL 1 DAY")))
-    return intervals.filter("start_date <= end_date").select(days.alias("_holiday")).distinct()
+    valid = intervals.filter("start_date <= end_date")
+    return valid.selectExpr("explode(sequence(start_date, end_date, INTERVAL 1 DAY)) AS _holiday").distinct()
 
 
 def mark_holidays(df: DataFrame, intervals: DataFrame | None = None, ts: str = "datetime") -> DataFrame:
     """Adds ``holiday_effect``: 1 when the day of ``ts`` lies in any interval.
 
-    The date list is broadcast when its counted size is small; a larger calendar joins on the date.
+    The fixed calendar is a constant condition of the projection. A calendar given as a table
+    joins on the date; it is broadcast only when its counted size is small.
     """
     if intervals is None:
-        # the fixed calendar: a constant list of days, checked by a hash set in the projection
-        days = sorted({d for a, b in HOLIDAYS for d in _days(a, b)})
-        hit = F.to_date(ts).isin(*days)
-        return df.withColumn("holiday_effect", F.coalesce(hit, F.lit(False)).cast("int"))
+        day = f"to_date({col(ts)})"
+        hit = any_of(f"{day} BETWEEN DATE'{a}' AND DATE'{b}'" for a, b in HOLIDAYS)
+        return add(df, {"holiday_effect": f"int(coalesce({hit}, false))"})
     dates = interval_dates(intervals)
     if dates.count() <= BROADCAST_DATES:
         dates = F.broadcast(dates)
-    joined = df.join(dates, F.to_date(df[ts]) == dates["_holiday"], "left")
-    return joined.withColumn("holiday_effect", F.col("_holiday").isNotNull().cast("int")).drop("_holiday")
-
-
-def _days(start: str, end: str) -> list[date]:
-    first, last = date.fromisoformat(start).toordinal(), date.fromisoformat(end).toordinal()
-    return [date.fromordinal(o) for o in range(first, last + 1)]
+    joined = df.join(dates, F.expr(f"to_date({col(ts)}) = _holiday"), "left")
+    return add(joined, {"holiday_effect": "int(_holiday IS NOT NULL)"}).drop("_holiday")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from gridweave.fixed_values import PROFILE_COLUMNS, PROFILES
+from gridweave.functions.text import Expr, num, quote, table
 
 PROFILE_SCHEMA = (
     "profile_code int, profile_name string, household_size int, base_load_kw double, "
@@ -18,15 +18,14 @@ def profile_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(PROFILES), PROFILE_SCHEMA)
 
 
-def _profile_array() -> Column:
-    return F.array(
-        *[F.struct(*[F.lit(v).alias(c) for c, v in zip(PROFILE_COLUMNS, row)]) for row in PROFILES]
-    )
+def _literal(v: object) -> Expr:
+    return quote(v) if isinstance(v, str) else num(v) if isinstance(v, float) else str(v)
 
 
 def fan_out(weather: DataFrame) -> DataFrame:
     """Every weather row once per profile: the four profiles are a constant array, not a join."""
-    return weather.select("*", F.inline(_profile_array()))
+    rows = [{c: _literal(v) for c, v in zip(PROFILE_COLUMNS, profile)} for profile in PROFILES]
+    return weather.selectExpr("*", f"inline({table(rows)})")
 
 
 def attach(df: DataFrame, profiles: DataFrame) -> DataFrame:

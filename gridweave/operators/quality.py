@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridweave.fixed_values import PARITY_TOLERANCE
-from gridweave.functions.guards import infinite, missing_or_not_finite, number
+from gridweave.functions.guards import infinite, missing_or_not_finite, number, parse_time
+from gridweave.functions.text import Expr, aggregate_rows, any_of, col, num, quote
 
 
 class DataQualityError(ValueError):
@@ -27,52 +28,48 @@ def require_columns(df: DataFrame, required: list[str], what: str) -> DataFrame:
 
 def required_columns_report(df: DataFrame, required: list[str]) -> DataFrame:
     """One row per required column with its presence and how many rows hold a value."""
-    counted = [
-        F.struct(
-            F.lit(c).alias("column"),
-            F.lit(int(c in df.columns)).alias("present"),
-            (F.count(F.col(c)) if c in df.columns else F.lit(0).cast("bigint")).alias("filled_rows"),
-        )
-        for c in required
-    ]
-    return df.agg(F.array(*counted).alias("_r")).select(F.inline("_r"))
-
-
-def long_counts(df: DataFrame, counts: dict[tuple[str, str], Column]) -> DataFrame:
-    """One pass of conditional counts, turned into (check, column, violations) rows."""
-    entries = [
-        F.struct(
-            F.lit(check).alias("check"),
-            F.lit(column).alias("column"),
-            F.count_if(condition).alias("violations"),
-        )
-        for (check, column), condition in counts.items()
-    ]
-    return df.agg(F.array(*entries).alias("_r")).select(F.inline("_r"))
+    present = set(df.columns)
+    return aggregate_rows(
+        df,
+        [
+            {
+                "column": quote(c),
+                "present": str(int(c in present)),
+                "filled_rows": f"count({col(c)})" if c in present else "0L",
+            }
+            for c in required
+        ],
+    )
+
+
+def long_counts(df: DataFrame, counts: dict[tuple[str, str], Expr]) -> DataFrame:
+    """One pass of conditional counts, as (check, column, violations) rows."""
+    return aggregate_rows(
+        df,
+        [
+            {"check": quote(check), "column": quote(column), "violations": f"count_if({condition})"}
+            for (check, column), condition in counts.items()
+        ],
+    )
 
 
 def quality_checks(
     df: DataFrame, features: list[str], targets: list[str], text_time: str | None = None
 ) -> DataFrame:
     """Missing or non-numeric, infinite, negative target and unparsable time, in one scan."""
-    counts: dict[tuple[str, str], Column] = {}
+    counts: dict[tuple[str, str], Expr] = {}
     for c in [*features, *targets]:
-        counts["missing_or_non_numeric", c] = number(F.col(c)).isNull()
-        counts["infinite", c] = infinite(number(F.col(c)))
+        counts["missing_or_non_numeric", c] = f"{number(col(c))} IS NULL"
+        counts["infinite", c] = infinite(number(col(c)))
     for c in targets:
-        counts["negative", c] = F.coalesce(number(F.col(c)) < 0, F.lit(False))
+        counts["negative", c] = f"coalesce({number(col(c))} < 0, false)"
     if text_time is not None:
-        counts["invalid_time", text_time] = parse_time(F.col(text_time)).isNull()
+        counts["invalid_time", text_time] = f"{parse_time(col(text_time))} IS NULL"
     return long_counts(df, counts)
 
 
-def parse_time(c: Column) -> Column:
-    """Text to wall-clock time; null when it does not parse."""
-    return c.try_cast("timestamp_ntz")
-
-
 def finite_report(df: DataFrame, columns: list[str]) -> DataFrame:
-    return long_counts(df, {("not_finite", c): missing_or_not_finite(F.col(c)) for c in columns})
+    return long_counts(df, {("not_finite", c): missing_or_not_finite(col(c)) for c in columns})
 
 
 def raise_on_violations(report: DataFrame, what: str) -> None:
@@ -83,24 +80,20 @@ def raise_on_violations(report: DataFrame, what: str) -> None:
         raise DataQualityError(f"{what}: {details}")
 
 
-def invalid_row_condition(columns: list[str], target: str) -> Column:
+def invalid_row(columns: list[str], target: str) -> Expr:
     """True for rows to remove: a null in any listed column, or a negative target."""
-    null = F.lit(False)
-    for c in [*columns, target]:
-        null = null | F.col(c).isNull()
-    return null | F.coalesce(F.col(target) < 0, F.lit(False))
+    nulls = any_of(f"{col(c)} IS NULL" for c in [*columns, target])
+    return f"({nulls} OR {col(target)} < 0)"
 
 
 def remove_invalid_rows(df: DataFrame, columns: list[str], target: str) -> DataFrame:
-    return df.filter(~invalid_row_condition(columns, target))
+    return df.filter(f"NOT {invalid_row(columns, target)}")
 
 
 def removed_row_count(df: DataFrame, columns: list[str], target: str) -> DataFrame:
-    bad = invalid_row_condition(columns, target)
-    return df.agg(
-        F.count(F.lit(1)).alias("rows_before"),
-        F.count_if(bad).alias("removed_rows"),
-        F.count_if(~bad).alias("rows_after"),
+    bad = invalid_row(columns, target)
+    return df.selectExpr(
+        "count(*) AS rows_before", f"count_if({bad}) AS removed_rows", f"count_if(NOT {bad}) AS rows_after"
     )
 
 
@@ -111,30 +104,27 @@ def raw_scaled_parity(raw: DataFrame, scaled: DataFrame, keys: list[str], target
     pair every copy of a repeated key with every other copy.
     """
 
-    def side(df: DataFrame, name: str) -> DataFrame:
-        return df.select(*keys, F.lit(name).alias("_side"), F.col(target).cast("double").alias("_t"))
+    def side(df: DataFrame, raw_row: int) -> DataFrame:
+        return df.selectExpr(*keys, f"{raw_row} AS _is_raw", f"double({col(target)}) AS _t")
 
-    both = side(raw, "raw").unionByName(side(scaled, "scaled"))
-    is_raw, is_scaled = F.col("_side") == "raw", F.col("_side") == "scaled"
+    both = side(raw, 1).unionByName(side(scaled, 0))
     per_key = both.groupBy(*keys).agg(
-        F.count_if(is_raw).alias("_raw"),
-        F.count_if(is_scaled).alias("_scaled"),
-        (F.max("_t") - F.min("_t")).alias("_gap"),
+        F.expr("count_if(_is_raw = 1)").alias("_raw"),
+        F.expr("count_if(_is_raw = 0)").alias("_scaled"),
+        F.expr("max(_t) - min(_t)").alias("_gap"),
     )
-    return per_key.agg(
-        F.coalesce(F.sum("_raw"), F.lit(0)).alias("raw_rows"),
-        F.coalesce(F.sum("_scaled"), F.lit(0)).alias("scaled_rows"),
-        F.count_if(F.col("_raw") != F.col("_scaled")).alias("key_mismatches"),
-        F.count_if(
-            (F.col("_raw") == 1) & (F.col("_scaled") == 1) & (F.col("_gap") > PARITY_TOLERANCE)
-        ).alias("target_mismatches"),
-        F.count_if((F.col("_raw") > 1) | (F.col("_scaled") > 1)).alias("repeated_keys"),
+    return per_key.selectExpr(
+        "coalesce(sum(_raw), 0) AS raw_rows",
+        "coalesce(sum(_scaled), 0) AS scaled_rows",
+        "count_if(_raw != _scaled) AS key_mismatches",
+        f"count_if(_raw = 1 AND _scaled = 1 AND _gap > {num(PARITY_TOLERANCE)}) AS target_mismatches",
+        "count_if(_raw > 1 OR _scaled > 1) AS repeated_keys",
     )
 
 
 def stats_coverage(spark: SparkSession, stats: DataFrame, expected: list[str]) -> DataFrame:
     """Expected columns without a statistics row, and rows with a non-positive or missing range."""
     wanted = spark.createDataFrame([(c,) for c in expected], "`column` string")
-    absent = wanted.join(stats, "column", "left_anti").select("column", F.lit("missing").alias("problem"))
-    bad_range = stats.filter(missing_or_not_finite(F.col("range")) | (F.col("range") <= 0))
-    return absent.unionByName(bad_range.select("column", F.lit("bad_range").alias("problem")))
+    absent = wanted.join(stats, "column", "left_anti").selectExpr("column", "'missing' AS problem")
+    bad_range = stats.filter(f"{missing_or_not_finite('`range`')} OR `range` <= 0")
+    return absent.unionByName(bad_range.selectExpr("column", "'bad_range' AS problem"))

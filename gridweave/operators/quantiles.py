@@ -10,28 +10,27 @@ to be ordered. Results are the same either way.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridweave.functions.text import Expr, add, array, col, num, quote, table, window
 from gridweave.session import ensure_checkpoint_dir
 
 BUFFER_ROWS = 1_000_000
 ACCURACY = 10_000
 START_MARGIN = 3.0 / ACCURACY
+GRID = 1000
 
 
 def long_values(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """(keys, column, value) rows without nulls."""
-    entries = F.array(
-        *[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns]
-    )
-    return df.select(*keys, F.inline(entries)).filter(F.col("value").isNotNull())
+    entries = table({"column": quote(c), "value": f"double({col(c)})"} for c in columns)
+    return df.selectExpr(*keys, f"inline({entries})").filter("value IS NOT NULL")
 
 
 def largest_group(df: DataFrame, keys: list[str], columns: list[str]) -> int:
-    counts = df.groupBy(*keys).agg(*[F.count(c).alias(f"_{i}") for i, c in enumerate(columns)])
-    top = counts.agg(F.max(F.greatest(F.lit(0), *[F.col(f"_{i}") for i in range(len(columns))]))).first()
-    return int(top[0] or 0)
+    most = "greatest(0, " + ", ".join(f"count({col(c)})" for c in columns) + ")"
+    return int(df.groupBy(*keys).agg(F.expr(most).alias("_n")).agg(F.max("_n")).first()[0] or 0)
 
 
 def exact_quantiles(
@@ -41,33 +40,22 @@ def exact_quantiles(
     """Rows (keys, column, quantiles) where ``quantiles`` follows ``probabilities``."""
     keys = list(keys or [])
     if largest_group(df, keys, columns) <= buffer_rows:
-        buffered = df.groupBy(*keys).agg(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(c).alias("column"),
-                        F.percentile(F.col(c).cast("double"), [float(p) for p in probabilities]).alias("quantiles"),
-                    )
-                    for c in columns
-                ]
-            ).alias("_r")
+        levels = array(num(p) for p in probabilities)
+        entries = table(
+            {"column": quote(c), "quantiles": f"percentile(double({col(c)}), {levels})"} for c in columns
         )
-        return buffered.select(*keys, F.inline("_r")).filter("quantiles is not null")
+        buffered = df.groupBy(*keys).agg(F.expr(entries).alias("_r"))
+        return buffered.selectExpr(*keys, "inline(_r)").filter("quantiles IS NOT NULL")
     return _narrowed(long_values(df, keys, columns), [*keys, "column"], probabilities, buffer_rows)
 
 
 def _targets(values: DataFrame, group: list[str], probabilities: list[float]) -> DataFrame:
     """Two ranks (0-based) per group and probability, the values between which it interpolates."""
-    probs = F.array(*[F.struct(F.lit(i).alias("_i"), F.lit(float(p)).alias("_p")) for i, p in enumerate(probabilities)])
+    levels = table({"_i": str(i), "_p": num(p)} for i, p in enumerate(probabilities))
     sizes = values.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    wanted = sizes.select(*group, "_n", F.inline(probs))
-    rank = F.col("_p") * (F.col("_n") - 1)
-    return wanted.select(
-        *group,
-        "_i",
-        F.floor(rank).alias("_lo_rank"),
-        F.ceil(rank).alias("_hi_rank"),
-        (rank - F.floor(rank)).alias("_frac"),
+    ranks = sizes.selectExpr(*group, "_n", f"inline({levels})").selectExpr(*group, "_i", "_p * (_n - 1) AS _rank")
+    return ranks.selectExpr(
+        *group, "_i", "floor(_rank) AS _lo_rank", "ceil(_rank) AS _hi_rank", "_rank - floor(_rank) AS _frac"
     )
 
 
@@ -75,27 +63,25 @@ def _brackets(inside: DataFrame, targets: DataFrame, group: list[str], margin: f
     """Approximate value bracket per target, from the rows still in play."""
     slot = [*group, "_i"]
     state = inside.groupBy(*slot).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.first("_below").alias("_below"),
-        F.approx_percentile(
-            "value", F.array(*[F.lit(k / 1000.0) for k in range(1001)]), F.lit(ACCURACY)
-        ).alias("_grid"),
-        F.min("value").alias("_min"),
-        F.max("value").alias("_max"),
+        F.expr("count(*)").alias("_n"),
+        F.expr("first(_below)").alias("_below"),
+        F.expr(f"approx_percentile(value, transform(sequence(0, {GRID}), i -> i / {num(GRID)}), {ACCURACY})").alias("_grid"),
+        F.expr("min(value)").alias("_min"),
+        F.expr("max(value)").alias("_max"),
     )
-    joined = state.join(targets, slot)
-    low = (F.col("_lo_rank") - F.col("_below")) / F.col("_n") - margin
-    high = (F.col("_hi_rank") + 1 - F.col("_below")) / F.col("_n") + margin
     # grid entries outside the wanted fraction bound the bracket; the ends use true min and max
-    low_at = F.floor(low * 1000).cast("int")
-    high_at = F.ceil(high * 1000).cast("int")
-    return joined.select(
+    placed = state.join(targets, slot).selectExpr(
+        "*",
+        f"int(floor(((_lo_rank - _below) / _n - {num(margin)}) * {GRID})) AS _from",
+        f"int(ceil(((_hi_rank + 1 - _below) / _n + {num(margin)}) * {GRID})) AS _to",
+    )
+    return placed.selectExpr(
         *slot,
         "_lo_rank",
         "_hi_rank",
         "_frac",
-        F.when(low_at <= 0, F.col("_min")).otherwise(F.get("_grid", low_at)).alias("_lo"),
-        F.when(high_at >= 1000, F.col("_max")).otherwise(F.get("_grid", high_at)).alias("_hi"),
+        "CASE WHEN _from <= 0 THEN _min ELSE _grid[_from] END AS _lo",
+        f"CASE WHEN _to >= {GRID} THEN _max ELSE _grid[_to] END AS _hi",
     )
 
 
@@ -103,7 +89,7 @@ def _narrowed(values: DataFrame, group: list[str], probabilities: list[float], b
     ensure_checkpoint_dir(values.sparkSession)
     slot = [*group, "_i"]
     targets = _targets(values, group, probabilities).checkpoint()
-    slots = targets.select(*slot, F.lit(0).cast("bigint").alias("_below"))
+    slots = targets.selectExpr(*slot, "0L AS _below")
     # the rows of a group enter once per wanted probability, as partial aggregates only
     inside = values.join(slots, group)
     margin, last = START_MARGIN, None
@@ -111,18 +97,18 @@ def _narrowed(values: DataFrame, group: list[str], probabilities: list[float], b
         limits = _brackets(inside, targets, group, margin).checkpoint()
         placed = values.join(limits, group)
         found = placed.groupBy(*slot).agg(
-            F.count_if(F.col("value") < F.col("_lo")).alias("_below"),
-            F.count_if(F.col("value").between(F.col("_lo"), F.col("_hi"))).alias("_inside"),
+            F.expr("count_if(value < _lo)").alias("_below"),
+            F.expr("count_if(value BETWEEN _lo AND _hi)").alias("_inside"),
         )
         proven = limits.join(found, slot).checkpoint()
-        ok = (F.col("_below") <= F.col("_lo_rank")) & (F.col("_hi_rank") < F.col("_below") + F.col("_inside"))
-        misses, widest = proven.agg(
-            F.count_if(~ok), F.max(F.when(F.col("_lo") < F.col("_hi"), F.col("_inside")).otherwise(F.lit(0)))
+        misses, widest = proven.selectExpr(
+            "count_if(NOT (_below <= _lo_rank AND _hi_rank < _below + _inside))",
+            "max(CASE WHEN _lo < _hi THEN _inside ELSE 0 END)",
         ).first()
         if misses:
             margin *= 10
             continue
-        inside = values.join(proven, group).filter(F.col("value").between(F.col("_lo"), F.col("_hi")))
+        inside = values.join(proven, group).filter("value BETWEEN _lo AND _hi")
         if widest <= buffer_rows or widest == last:
             return _ordered(inside, group)
         last = widest
@@ -136,15 +122,14 @@ def _ordered(inside: DataFrame, group: list[str]) -> DataFrame:
     distinct = inside.groupBy(*slot, "_lo_rank", "_hi_rank", "_frac", "_below", "value").agg(
         F.count(F.lit(1)).alias("_c")
     )
-    running = Window.partitionBy(*slot).orderBy("value")
-    ends = distinct.withColumn("_end", F.col("_below") + F.sum("_c").over(running))
-    starts = F.col("_end") - F.col("_c")
-
-    def at(rank: str) -> Column:
-        hit = (starts <= F.col(rank)) & (F.col(rank) < F.col("_end"))
-        return F.max(F.when(hit, F.col("value")))
-
-    picked = ends.groupBy(*slot, "_frac").agg(at("_lo_rank").alias("_a"), at("_hi_rank").alias("_b"))
-    value = F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_frac")
-    entries = picked.select(*group, F.struct(F.col("_i"), value.alias("v")).alias("_e"))
-    return entries.groupBy(*group).agg(F.sort_array(F.collect_list("_e"))["v"].alias("quantiles"))
+    order = window(slot, "value", "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW")
+    ends = add(distinct, {"_end": f"_below + sum(_c) OVER {order}"})
+
+    def at(rank: str) -> Expr:
+        return f"max(CASE WHEN _end - _c <= {rank} AND {rank} < _end THEN value END)"
+
+    picked = ends.groupBy(*slot, "_frac").agg(
+        F.expr(at("_lo_rank")).alias("_a"), F.expr(at("_hi_rank")).alias("_b")
+    )
+    entries = picked.selectExpr(*group, "named_struct('_i', _i, 'v', _a + (_b - _a) * _frac) AS _e")
+    return entries.groupBy(*group).agg(F.expr("sort_array(collect_list(_e)).v").alias("quantiles"))

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from gridweave.fixed_values import FEATURE_CLIP, META_COLUMNS, TARGET_CLIP
 from gridweave.functions.guards import clip
+from gridweave.functions.text import Expr, aggregate_rows, col, num, quote, select
 from gridweave.operators.quality import DataQualityError
 
 
@@ -24,18 +24,18 @@ Stats = dict[str, ColumnStats]
 
 def minmax_stats(train: DataFrame, columns: list[str]) -> DataFrame:
     """Long table (column, min, max, range) from one aggregate; a constant column gets range 1."""
-    entries = []
+    rows = []
     for c in columns:
-        lo, hi = F.min(F.col(c).cast("double")), F.max(F.col(c).cast("double"))
-        entries.append(
-            F.struct(
-                F.lit(c).alias("column"),
-                lo.alias("min"),
-                hi.alias("max"),
-                F.when(hi == lo, F.lit(1.0)).otherwise(hi - lo).alias("range"),
-            )
+        lo, hi = f"min(double({col(c)}))", f"max(double({col(c)}))"
+        rows.append(
+            {
+                "column": quote(c),
+                "min": lo,
+                "max": hi,
+                "range": f"CASE WHEN {hi} = {lo} THEN 1.0D ELSE {hi} - {lo} END",
+            }
         )
-    return train.agg(F.array(*entries).alias("_r")).select(F.inline("_r"))
+    return aggregate_rows(train, rows)
 
 
 def collect_stats(stats: DataFrame) -> Stats:
@@ -49,24 +49,24 @@ def stats_table(spark: SparkSession, stats: Stats) -> DataFrame:
 
 
 def _of(stats: Stats, column: str) -> ColumnStats:
-    if column not in stats:
+    if column not in stats or stats[column].span is None:
         raise DataQualityError(f"missing scaler statistics for {column!r}")
     return stats[column]
 
 
-def scaled(column: str, stats: Stats, limits: tuple[float, float] = FEATURE_CLIP) -> Column:
+def scaled(column: str, stats: Stats, limits: tuple[float, float] = FEATURE_CLIP) -> Expr:
     s = _of(stats, column)
-    return clip((F.col(column).cast("double") - F.lit(s.lo)) / F.lit(s.span), *limits)
+    return clip(f"(double({col(column)}) - {num(s.lo)}) / {num(s.span)}", *limits)
 
 
-def scaled_target(target: str, stats: Stats) -> Column:
+def scaled_target(target: str, stats: Stats) -> Expr:
     return scaled(target, stats, TARGET_CLIP)
 
 
-def unscaled(c: Column, column: str, stats: Stats) -> Column:
+def unscaled(e: Expr, column: str, stats: Stats) -> Expr:
     """Back to raw units; the same for features and targets."""
     s = _of(stats, column)
-    return c * F.lit(s.span) + F.lit(s.lo)
+    return f"({e} * {num(s.span)} + {num(s.lo)})"
 
 
 def raw_frame(df: DataFrame, features: list[str], target: str, extra: list[str] | None = None) -> DataFrame:
@@ -74,16 +74,13 @@ def raw_frame(df: DataFrame, features: list[str], target: str, extra: list[str]
 
 
 def scaled_frame(
-    df: DataFrame, features: list[str], target: str, stats: Stats, extra: list[str] | None = None
+    df: DataFrame, features: list[str], target: str, stats: Stats, extra: dict[str, Expr] | None = None
 ) -> DataFrame:
     """Scaled features, the raw target, and the scaled target beside it: one projection."""
-    return df.select(
-        *META_COLUMNS,
-        *[scaled(c, stats).alias(c) for c in features],
-        target,
-        scaled_target(target, stats).alias(f"{target}_scaled"),
-        *(extra or []),
-    )
+    exprs = {c: scaled(c, stats) for c in features}
+    exprs[target] = col(target)
+    exprs[f"{target}_scaled"] = scaled_target(target, stats)
+    return df.selectExpr(*select(META_COLUMNS, {**exprs, **(extra or {})}))
 
 
 def feature_columns(df: DataFrame, target: str) -> list[str]:

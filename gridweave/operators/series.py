@@ -12,11 +12,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.functions.calendar import grid_index
-from gridweave.functions.guards import half_even, null_safe_equal, to_units
+from gridweave.functions.guards import half_even, to_units
+from gridweave.functions.text import Expr, add, col, cols, num, put, struct, window
 
 PLAIN_ROWS = 1_000_000
 CHUNK_ROWS = 8192
@@ -34,81 +35,86 @@ class Series:
 
 def rows_bound(df: DataFrame, time: str, step: str = "hour") -> int:
     """Grid steps between the first and last time: no series can have more rows than this."""
-    index = grid_index(F.col(time), step)
-    first, last = df.agg(F.min(index), F.max(index)).first()
+    first, last = df.selectExpr(
+        f"{grid_index(f'min({col(time)})', step)}", f"{grid_index(f'max({col(time)})', step)}"
+    ).first()
     return 0 if first is None else int(last - first) + 1
 
 
 def with_positions(df: DataFrame, series: Series, bucket_steps: int = BUCKET_STEPS) -> DataFrame:
-    """Adds ``_pos``, the 0-based row position inside the series, without a per-series window.
+    """Adds ``_bucket`` and ``_pos``, the 0-based row position inside the series.
 
     Buckets of the time grid hold at most ``bucket_steps`` rows. Only bucket counts travel to
-    a per-series window, and an hourly calendar has about two buckets a year.
+    a per-series window, and an hourly calendar has about two buckets a year. The join and the
+    numbering share the partitioning by (key, bucket).
     """
     keys = list(series.keys)
-    bucketed = df.withColumn("_bucket", F.floor(grid_index(F.col(series.time), series.step) / bucket_steps))
+    bucketed = add(df, {"_bucket": f"floor({grid_index(col(series.time), series.step)} / {bucket_steps})"})
     counts = bucketed.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy(*[bucketed[k] for k in keys], bucketed["_bucket"]).orderBy(bucketed[series.time])
-    joined = bucketed.join(offsets, null_safe_equal(bucketed, offsets, keys + ["_bucket"]), "left")
-    return joined.select(
-        *[bucketed[c] for c in bucketed.columns],
-        (offsets["_offset"] + F.row_number().over(inside) - 1).alias("_pos"),
+    before = window(keys, "_bucket", "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING")
+    offsets = counts.selectExpr(
+        *[f"{col(k)} AS `_k_{k}`" for k in keys], "_bucket AS _k_bucket", f"coalesce(sum(_n) OVER {before}, 0) AS _offset"
     )
+    match = " AND ".join([f"{col(k)} <=> `_k_{k}`" for k in keys] + ["_bucket <=> _k_bucket"])
+    inside = window([*keys, "_bucket"], col(series.time))
+    joined = bucketed.join(offsets, F.expr(match), "left")
+    numbered = add(joined, {"_pos": f"_offset + row_number() OVER {inside} - 1"})
+    return numbered.drop(*[f"_k_{k}" for k in keys], "_k_bucket", "_offset")
 
 
 def with_chunks(df: DataFrame, before: int, after: int, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Adds ``_chunk`` and ``_own``; rows within reach of a neighbouring chunk are copied to it."""
     if before >= chunk_rows or after >= chunk_rows:
         raise ValueError("the window reach must be smaller than a chunk")
-    chunk = F.floor(F.col("_pos") / chunk_rows)
-    offset = F.col("_pos") % chunk_rows
-    copies = [F.struct(chunk.alias("_chunk"), F.lit(True).alias("_own"))]
-    if before:
-        copies.append(
-            F.when(offset >= chunk_rows - before, F.struct((chunk + 1).alias("_chunk"), F.lit(False).alias("_own")))
-        )
-    if after:
-        copies.append(
-            F.when(
-                (offset < after) & (chunk > 0),
-                F.struct((chunk - 1).alias("_chunk"), F.lit(False).alias("_own")),
-            )
-        )
-    return df.select("*", F.inline(F.filter(F.array(*copies), lambda s: s.isNotNull())))
+    chunk, offset = f"floor(_pos / {chunk_rows})", f"_pos % {chunk_rows}"
+
+    def copy(to: Expr, own: str, condition: Expr) -> Expr:
+        return f"CASE WHEN {condition} THEN {struct({'_chunk': to, '_own': own})} END"
+
+    copies = ", ".join(
+        [
+            copy(chunk, "true", "true"),
+            copy(f"{chunk} + 1", "false", f"{offset} >= {chunk_rows - before}"),
+            copy(f"{chunk} - 1", "false", f"{offset} < {after} AND _pos >= {chunk_rows}"),
+        ]
+    )
+    return df.selectExpr("*", f"inline(array_compact(array({copies})))")
 
 
 def over_series(
     df: DataFrame,
     series: Series,
-    columns: Callable[[WindowSpec], dict[str, Column]],
+    columns: Callable[[list[str], str], dict[str, Expr]],
     *,
     before: int,
     after: int,
     bound: int | None = None,
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
-    """Evaluate row-position window expressions that look at most ``before`` / ``after`` rows away."""
+    """Evaluate window expressions that look at most ``before`` / ``after`` rows away.
+
+    ``columns(keys, order)`` gives the expressions for the partitioning that was chosen.
+    """
     if bound is not None and bound <= PLAIN_ROWS:
-        return df.withColumns(columns(Window.partitionBy(*series.keys).orderBy(series.time)))
+        return add(df, columns(list(series.keys), col(series.time)))
     chunks = with_chunks(with_positions(df, series), before, after, chunk_rows)
-    window = Window.partitionBy(*series.keys, "_chunk").orderBy("_pos")
-    return chunks.withColumns(columns(window)).filter("_own").drop("_bucket", "_pos", "_chunk", "_own")
+    made = add(chunks, columns([*series.keys, "_chunk"], "_pos"))
+    return made.filter("_own").drop("_bucket", "_pos", "_chunk", "_own")
 
 
-def rolling_mean_before(value: Column, rows: int, window: WindowSpec, decimals: int | None) -> Column:
+def rolling_mean_before(value: Expr, rows: int, keys: list[str], order: str, decimals: int | None) -> Expr:
     """Mean of the ``rows`` rows before the current one; null unless all of them hold a value.
 
     With ``decimals`` the sum runs over exact whole numbers, so neither row order nor engine
     can move a value across a rounding edge.
     """
-    frame = window.rowsBetween(-rows, -1)
-    full = F.count(value).over(frame) == rows
+    frame = window(keys, order, f"ROWS BETWEEN {rows} PRECEDING AND 1 PRECEDING")
     if decimals is None:
-        return F.when(full, F.avg(value).over(frame))
-    units = F.sum(to_units(value, decimals)).over(frame)
-    return F.when(full, F.rint(units / F.lit(float(rows))) / F.lit(float(10**decimals)))
+        mean = f"avg({value}) OVER {frame}"
+    else:
+        units = f"sum({to_units(value, decimals)}) OVER {frame}"
+        mean = f"rint({units} / {num(rows)}) / {num(10**decimals)}"
+    return f"CASE WHEN count({value}) OVER {frame} = {rows} THEN {mean} END"
 
 
 def add_lag_block(
@@ -132,11 +138,11 @@ def add_lag_block(
     leads = {"target_1h": 1, "target_24h": 24} if leads is None else leads
     rolling = {"load_rolling_3": 3, "load_rolling_24": 24} if rolling is None else rolling
 
-    def columns(window: WindowSpec) -> dict[str, Column]:
-        v = F.col(value)
-        out = {name: F.lag(v, k).over(window) for name, k in lags.items()}
-        out.update({name: F.lead(v, k).over(window) for name, k in leads.items()})
-        out.update({name: rolling_mean_before(v, n, window, decimals) for name, n in rolling.items()})
+    def columns(keys: list[str], order: str) -> dict[str, Expr]:
+        v, over = col(value), window(keys, order)
+        out = {name: f"lag({v}, {k}) OVER {over}" for name, k in lags.items()}
+        out.update({name: f"lead({v}, {k}) OVER {over}" for name, k in leads.items()})
+        out.update({name: rolling_mean_before(v, n, keys, order, decimals) for name, n in rolling.items()})
         return out
 
     made = over_series(
@@ -148,11 +154,10 @@ def add_lag_block(
         bound=bound,
         chunk_rows=chunk_rows,
     )
-    names = [*lags, *leads, *rolling]
     if drop_incomplete:
-        made = made.dropna(subset=names)
-    if decimals is not None:
-        made = made.withColumns({n: half_even(F.col(n), decimals) for n in [*lags, *leads]})
+        made = made.dropna(subset=[*lags, *leads, *rolling])
+    if decimals is not None and (lags or leads):
+        made = put(made, {n: half_even(col(n), decimals) for n in [*lags, *leads]})
     return made
 
 
@@ -162,10 +167,10 @@ def first_rows(df: DataFrame, series: Series, rows: int) -> DataFrame:
     Spark cuts each map task's output to ``rows`` per series before the exchange
     (WindowGroupLimit), so a hot series costs no more than tasks x rows.
     """
-    window = Window.partitionBy(*series.keys).orderBy(series.time)
-    return df.withColumn("_rn", F.row_number().over(window)).filter(F.col("_rn") <= rows).drop("_rn")
+    numbered = add(df, {"_rn": f"row_number() OVER {window(series.keys, col(series.time))}"})
+    return numbered.filter(f"_rn <= {rows}").drop("_rn")
 
 
-def first_series(df: DataFrame, series: Series) -> Column:
-    """Aggregate: the key of the first row in (key, time) order."""
-    return F.min(F.struct(*series.keys))
+def first_series(df: DataFrame, series: Series) -> DataFrame:
+    """Key of the first row in (key, time) order: one partial aggregate, no sort."""
+    return df.selectExpr(f"array(min(struct({cols(series.keys)}))) AS _r").selectExpr("inline(_r)")

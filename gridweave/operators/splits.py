@@ -2,39 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.fixed_values import TRAIN_END, VALIDATION_START
+from gridweave.functions.text import Expr, add
 from gridweave.operators.quality import DataQualityError
 
 
-def at(moment: str) -> Column:
-    return F.lit(moment).cast("timestamp_ntz")
+def at(moment: str) -> Expr:
+    return f"TIMESTAMP_NTZ'{moment}'"
 
 
 def train_test(df: DataFrame, train_end: str = TRAIN_END, ts: str = "datetime") -> tuple[DataFrame, DataFrame]:
     """Strictly before, and on or after; the filters reach the scan."""
-    return df.filter(F.col(ts) < at(train_end)), df.filter(F.col(ts) >= at(train_end))
+    return df.filter(f"{ts} < {at(train_end)}"), df.filter(f"{ts} >= {at(train_end)}")
 
 
 def add_split(df: DataFrame, train_end: str = TRAIN_END, ts: str = "datetime") -> DataFrame:
-    return df.withColumn("split", F.when(F.col(ts) < at(train_end), "train").otherwise("test"))
+    return add(df, {"split": f"CASE WHEN {ts} < {at(train_end)} THEN 'train' ELSE 'test' END"})
 
 
 def add_fit_split(
     df: DataFrame, validation_start: str = VALIDATION_START, train_end: str = TRAIN_END, ts: str = "datetime"
 ) -> DataFrame:
     """train_fit before ``validation_start``, validation before ``train_end``, then test."""
+    train = f"{ts} < {at(train_end)}"
     part = (
-        F.when(F.col(ts) < F.least(at(validation_start), at(train_end)), "train_fit")
-        .when(F.col(ts) < at(train_end), "validation")
-        .otherwise("test")
+        f"CASE WHEN {train} AND {ts} < {at(validation_start)} THEN 'train_fit' "
+        f"WHEN {train} THEN 'validation' ELSE 'test' END"
     )
-    return df.withColumn("split", part)
+    return add(df, {"split": part})
 
 
-def subset(df: DataFrame, condition: Column) -> DataFrame:
+def subset(df: DataFrame, condition: Expr) -> DataFrame:
     """Keys, features and targets live in one frame, so one filter keeps them aligned."""
     return df.filter(condition)
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridweave.fixed_values import HISTOGRAM_BINS
+from gridweave.functions.text import Expr, aggregate_rows, col, num, quote, select, table
 from gridweave.operators.quantiles import BUFFER_ROWS, exact_quantiles
 
 QUARTILES = [0.25, 0.5, 0.75]
@@ -22,38 +23,42 @@ def text_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
 
 
+def grouped(df: DataFrame, keys: list[str], aggregates: dict[str, Expr]) -> DataFrame:
+    return df.groupBy(*keys).agg(*[F.expr(e).alias(n) for n, e in aggregates.items()])
+
+
 def split_summary(df: DataFrame, target: str, horizon: str, ts: str = "datetime") -> DataFrame:
     """Rows, time span and target statistics for all rows and each split, in one pass."""
-    t = F.col(target)
-    rolled = df.groupingSets([["split"], []], "split").agg(
-        F.grouping("split").alias("_all"),
-        F.count(F.lit(1)).alias("rows"),
-        F.min(ts).alias("start_datetime"),
-        F.max(ts).alias("end_datetime"),
-        F.avg(t).alias("target_mean"),
-        F.stddev_samp(t).alias("target_std"),
-        F.min(t).alias("target_min"),
-        F.max(t).alias("target_max"),
-    )
-    return rolled.select(
-        F.lit(horizon).alias("horizon"),
-        F.lit(target).alias("target_column"),
-        F.when(F.col("_all") == 1, "all").otherwise(F.col("split")).alias("split"),
-        *[c for c in rolled.columns if c not in ("split", "_all")],
-    )
+    aggregates = {
+        "_all": "grouping(split)",
+        "rows": "count(*)",
+        "start_datetime": f"min({ts})",
+        "end_datetime": f"max({ts})",
+        "target_mean": f"avg({target})",
+        "target_std": f"stddev_samp({target})",
+        "target_min": f"min({target})",
+        "target_max": f"max({target})",
+    }
+    rolled = df.rollup("split").agg(*[F.expr(e).alias(n) for n, e in aggregates.items()])
+    named = {
+        "horizon": quote(horizon),
+        "target_column": quote(target),
+        "split": "CASE WHEN _all = 1 THEN 'all' ELSE split END",
+    }
+    return rolled.selectExpr(*select([], named), *[n for n in aggregates if n != "_all"])
 
 
 def target_stats(df: DataFrame, target: str, ts: str = "datetime", series: str = "profile_code") -> DataFrame:
-    t = F.col(target)
-    return df.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.min(ts).alias("start"),
-        F.max(ts).alias("end"),
-        F.count_distinct(series).alias("profile_count"),
-        F.min(t).alias("min"),
-        F.max(t).alias("max"),
-        F.avg(t).alias("mean"),
-        F.stddev_pop(t).alias("std"),
+    t = col(target)
+    return df.selectExpr(
+        "count(*) AS rows",
+        f"min({ts}) AS start",
+        f"max({ts}) AS end",
+        f"count(DISTINCT {col(series)}) AS profile_count",
+        f"min({t}) AS min",
+        f"max({t}) AS max",
+        f"avg({t}) AS mean",
+        f"stddev_pop({t}) AS std",
     )
 
 
@@ -62,116 +67,92 @@ def describe(
 ) -> DataFrame:
     """count, mean, sample std, min, exact quartiles, max per column (and per key)."""
     keys = list(keys or [])
-    moments = df.groupBy(*keys).agg(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(c).alias("column"),
-                    F.count(c).alias("count"),
-                    F.avg(c).cast("double").alias("mean"),
-                    F.stddev_samp(c).alias("std"),
-                    F.min(c).cast("double").alias("min"),
-                    F.max(c).cast("double").alias("max"),
-                )
-                for c in columns
-            ]
-        ).alias("_r")
+    entries = table(
+        {
+            "column": quote(c),
+            "count": f"count({col(c)})",
+            "mean": f"double(avg({col(c)}))",
+            "std": f"stddev_samp({col(c)})",
+            "min": f"double(min({col(c)}))",
+            "max": f"double(max({col(c)}))",
+        }
+        for c in columns
     )
-    moments = moments.select(*keys, F.inline("_r"))
+    moments = grouped(df, keys, {"_r": entries}).selectExpr(*keys, "inline(_r)")
     quartiles = exact_quantiles(df, columns, QUARTILES, keys, buffer_rows)
     joined = moments.join(quartiles, [*keys, "column"], "left")
-    return joined.select(
-        *keys,
-        "column",
-        "count",
-        "mean",
-        "std",
-        "min",
-        *[F.get("quantiles", F.lit(i)).alias(n) for i, n in enumerate(("p25", "p50", "p75"))],
-        "max",
-    )
+    picked = {"p25": "quantiles[0]", "p50": "quantiles[1]", "p75": "quantiles[2]"}
+    return joined.selectExpr(*select([*keys, "column", "count", "mean", "std", "min"], picked), "max")
 
 
 def indicator_rates(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.agg(*[F.avg(c).alias(c) for c in columns])
+    return df.selectExpr(*select([], {c: f"avg({col(c)})" for c in columns}))
 
 
 def group_mean(df: DataFrame, key: str, value: str, name: str | None = None) -> DataFrame:
     return df.groupBy(key).agg(F.avg(value).alias(name or f"mean_{value}"))
 
 
-def series_count(df: DataFrame, key: str, approximate: bool = False) -> Column:
-    return F.approx_count_distinct(key) if approximate else F.count_distinct(key)
+def series_count(df: DataFrame, key: str, approximate: bool = False) -> DataFrame:
+    """Number of distinct keys; the estimate needs no shuffle of the keys."""
+    count = f"approx_count_distinct({col(key)})" if approximate else f"count(DISTINCT {col(key)})"
+    return df.selectExpr(f"{count} AS series")
 
 
 def histogram(df: DataFrame, value: str, bins: int = HISTOGRAM_BINS) -> DataFrame:
     """Counts in equal-width bins between min and max; the last bin includes its upper edge.
 
-    The limits are two scalar subqueries over the same input, so no join and no driver round trip.
+    The limits are two scalar subqueries over the same input, so no join and no driver round
+    trip. A single repeated value gets the unit interval around it.
     """
-    data = df.select(F.col(value).cast("double").alias("_v")).filter("_v is not null")
-    limits = data.agg(F.min("_v").alias("lo"), F.max("_v").alias("hi"))
-    # a single value gets the unit interval around it, as usual for histograms
-    limits = limits.select(
-        F.when(F.col("lo") == F.col("hi"), F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
-        F.when(F.col("lo") == F.col("hi"), F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"),
+    data = df.selectExpr(f"double({col(value)}) AS _v").filter("_v IS NOT NULL")
+    half = "CASE WHEN min(_v) = max(_v) THEN 0.5D ELSE 0.0D END"
+    lo = data.selectExpr(f"min(_v) - {half} AS lo").scalar()
+    hi = data.selectExpr(f"max(_v) + {half} AS hi").scalar()
+    limits = data.select("_v", lo.alias("_lo"), hi.alias("_hi"))
+    binned = limits.selectExpr(
+        "_lo", "_hi", f"int(least(width_bucket(_v, _lo, _hi, {bins}), {bins}) - 1) AS bin"
     )
-    lo, hi = limits.select("lo").scalar(), limits.select("hi").scalar()
-    bin_no = F.least(F.width_bucket(F.col("_v"), lo, hi, F.lit(bins)), F.lit(bins)) - 1
-    counts = data.groupBy(bin_no.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("rows"))
-    width = (hi - lo) / F.lit(float(bins))
-    return counts.select(
-        "bin", (lo + F.col("bin") * width).alias("bin_start"), (lo + (F.col("bin") + 1) * width).alias("bin_end"), "rows"
+    counts = binned.groupBy("bin", "_lo", "_hi").agg(F.count(F.lit(1)).alias("rows"))
+    width = f"(_hi - _lo) / {num(bins)}"
+    return counts.selectExpr(
+        "bin", f"_lo + bin * {width} AS bin_start", f"_lo + (bin + 1) * {width} AS bin_end", "rows"
     )
 
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """Pearson correlation of every pair, pairwise complete, in one aggregate: (x, y, r) rows."""
-    entries = []
+    rows = []
     for i, x in enumerate(columns):
         for y in columns[i:]:
-            r = F.corr(F.col(x).cast("double"), F.col(y).cast("double"))
+            r = f"corr(double({col(x)}), double({col(y)}))"
             pairs = [(x, y)] if x == y else [(x, y), (y, x)]
-            entries += [F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), r.alias("r")) for a, b in pairs]
-    return df.agg(F.array(*entries).alias("_r")).select(F.inline("_r"))
+            rows += [{"x": quote(a), "y": quote(b), "r": r} for a, b in pairs]
+    return aggregate_rows(df, rows)
 
 
 def top_correlations(df: DataFrame, target: str, limit: int = 15) -> DataFrame:
     """The highest correlations with the target, itself included; undefined ones come last."""
-    entries = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("column"),
-                F.corr(F.col(c).cast("double"), F.col(target).cast("double")).alias("r"),
-            )
-            for c in numeric_columns(df)
-        ]
-    )
-    rows = df.agg(entries.alias("_r")).select(F.inline("_r"))
-    r = F.when(~F.isnan("r"), F.col("r"))
-    return rows.select("column", r.alias("r")).orderBy(F.desc_nulls_last("r"), "column").limit(limit)
+    rows = [
+        {"column": quote(c), "r": f"nullif(corr(double({col(c)}), double({col(target)})), double('NaN'))"}
+        for c in numeric_columns(df)
+    ]
+    return aggregate_rows(df, rows).orderBy(F.desc_nulls_last("r"), "column").limit(limit)
 
 
 def missing_report(df: DataFrame) -> DataFrame:
-    entries = F.array(
-        *[F.struct(F.lit(c).alias("column"), F.count_if(F.col(c).isNull()).alias("missing")) for c in df.columns]
+    return aggregate_rows(
+        df, [{"column": quote(c), "missing": f"count_if({col(c)} IS NULL)"} for c in df.columns]
     )
-    return df.agg(entries.alias("_r")).select(F.inline("_r"))
 
 
 def shape_report(df: DataFrame) -> DataFrame:
-    """Position, name, type and the row count."""
-    entries = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("position"),
-                F.lit(f.name).alias("column"),
-                F.lit(f.dataType.simpleString()).alias("type"),
-            )
-            for i, f in enumerate(df.schema.fields)
-        ]
+    """The row count with position, name and type of every column."""
+    entries = table(
+        {"position": str(i), "column": quote(f.name), "type": quote(f.dataType.simpleString())}
+        for i, f in enumerate(df.schema.fields)
     )
-    return df.agg(F.count(F.lit(1)).alias("rows")).select("rows", F.inline(entries))
+    return df.selectExpr("count(*) AS rows").selectExpr("rows", f"inline({entries})")
 
 
 def low_cardinality_columns(df: DataFrame, limit: int = 15) -> list[str]:
@@ -182,27 +163,26 @@ def low_cardinality_columns(df: DataFrame, limit: int = 15) -> list[str]:
     """
     text = set(text_columns(df))
     others = [c for c in df.columns if c not in text]
-    estimate = df.agg(*[F.approx_count_distinct(c).alias(c) for c in others]).first() if others else {}
+    if not others:
+        return sorted(text)[:limit]
+    estimate = df.selectExpr(*select([], {c: f"approx_count_distinct({col(c)})" for c in others})).first()
     candidates = [c for c in others if estimate[c] <= FEW_ESTIMATE]
-    few = set()
+    few = {c for c in candidates if estimate[c] == 0}
     if candidates:
-        pairs = _value_counts(df, candidates).filter("value is not null")
-        sizes = pairs.groupBy("column").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= FEW_DISTINCT)
-        few = {r["column"] for r in sizes.collect()}
-        few |= {c for c in candidates if estimate[c] == 0}
+        pairs = value_counts(df, candidates).filter("value IS NOT NULL")
+        sizes = pairs.groupBy("column").agg(F.count(F.lit(1)).alias("n")).filter(f"n <= {FEW_DISTINCT}")
+        few |= {r["column"] for r in sizes.collect()}
     return sorted(text | few)[:limit]
 
 
-def _value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
-    entries = F.array(
-        *[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns]
-    )
-    return df.select(F.inline(entries)).groupBy("column", "value").agg(F.count(F.lit(1)).alias("rows"))
+def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    entries = table({"column": quote(c), "value": f"string({col(c)})"} for c in columns)
+    return df.selectExpr(f"inline({entries})").groupBy("column", "value").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def low_cardinality(df: DataFrame, limit: int = 15) -> DataFrame:
     """Values of the low-cardinality columns as rows, so a wide text column stays distributed."""
-    return _value_counts(df, low_cardinality_columns(df, limit))
+    return value_counts(df, low_cardinality_columns(df, limit))
 
 
 def top_rows(df: DataFrame, value: str, tie: list[str], n: int = 10) -> DataFrame:
@@ -218,9 +198,7 @@ def tail(df: DataFrame, order: list[str], n: int = 5) -> DataFrame:
 
 
 def low_values(df: DataFrame, value: str, below: float = 1.0) -> DataFrame:
-    v = F.col(value)
-    return df.agg(
-        F.min(v).alias("actual_min"),
-        F.avg(v).alias("actual_mean"),
-        F.count_if(v < below).alias("values_below"),
+    v = col(value)
+    return df.selectExpr(
+        f"min({v}) AS actual_min", f"avg({v}) AS actual_mean", f"count_if({v} < {num(below)}) AS values_below"
     )

@@ -6,85 +6,68 @@ events still reduces to one partial row per task and cell.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.fixed_values import DIAGNOSTIC_COLUMNS, LOAD_DECIMALS, PROFILES
 from gridweave.functions.calendar import day_start, hour_start
 from gridweave.functions.guards import to_units
+from gridweave.functions.text import Expr, add, num, quote
 
-UNITS = float(10**LOAD_DECIMALS)
 # event type -> diagnostic flag column of the load table
 FLAG_EVENTS = dict(zip(("view", "click", "purchase", "signup", "error"), DIAGNOSTIC_COLUMNS))
 
 
-def exact_sum(value: Column) -> Column:
+def exact_sum(value: Expr) -> Expr:
     """Order-independent sum of a value with at most four decimals."""
-    return F.sum(to_units(value, LOAD_DECIMALS)) / F.lit(UNITS)
+    return f"sum({to_units(value, LOAD_DECIMALS)}) / {num(10**LOAD_DECIMALS)}"
 
 
-def exact_mean(value: Column) -> Column:
-    return exact_sum(value) / F.count(value)
+# Weather stand-ins of one cell of events; ``_k`` is the number in ``props``.
+WEATHER = {
+    "temperature": "(min(value) + max(value)) / 2.0D",
+    "humidity": "double(sum(_k)) / count(_k)",
+    "apparent_temperature": f"{exact_sum('value')} / count(value)",
+    "rain": "double(min(_k))",
+    "wind_speed": "double(count(*))",
+    "cloud_cover": "double(max(_k))",
+}
+K_OF_PROPS = "try_cast(get_json_object(props, '$.k') AS BIGINT)"
 
 
-def props_k(props: str = "props") -> Column:
-    return F.get_json_object(props, "$.k").try_cast("bigint")
+def grouped(df: DataFrame, keys: list[str], aggregates: dict[str, Expr]) -> DataFrame:
+    return df.groupBy(*keys).agg(*[F.expr(e).alias(n) for n, e in aggregates.items()])
 
 
-def weather_aggregates() -> dict[str, Column]:
-    """Weather stand-ins of one cell of events."""
-    return {
-        "temperature": (F.min("value") + F.max("value")) / F.lit(2.0),
-        "humidity": F.sum("_k").cast("double") / F.count("_k"),
-        "apparent_temperature": exact_mean(F.col("value")),
-        "rain": F.min("_k").cast("double"),
-        "wind_speed": F.count(F.lit(1)).cast("double"),
-        "cloud_cover": F.max("_k").cast("double"),
-    }
-
-
-def _hourly(events: DataFrame, keys: dict[str, Column], aggregates: dict[str, Column]) -> DataFrame:
-    cells = events.withColumns({**keys, "datetime": hour_start(F.col("ts")), "_k": props_k()})
-    return cells.groupBy(*keys, "datetime").agg(*[c.alias(n) for n, c in aggregates.items()])
+def _hourly(events: DataFrame, keys: dict[str, Expr], aggregates: dict[str, Expr]) -> DataFrame:
+    cells = add(events, {**keys, "datetime": hour_start("ts"), "_k": K_OF_PROPS})
+    return grouped(cells, [*keys, "datetime"], aggregates)
 
 
 def hourly_panel(events: DataFrame) -> DataFrame:
     """Series per event type and hour."""
-    return _hourly(
-        events,
-        {"series_id": F.col("event_type")},
-        {
-            "load_kwh": exact_sum(F.col("value")),
-            **weather_aggregates(),
-            "occupancy_level": F.count_distinct("user_id"),
-        },
-    )
+    values = {"load_kwh": exact_sum("value"), **WEATHER, "occupancy_level": "count(DISTINCT user_id)"}
+    return _hourly(events, {"series_id": "event_type"}, values)
 
 
 def hourly_weather(events: DataFrame) -> DataFrame:
     """One weather row per hour, without a series key."""
-    return _hourly(events, {}, weather_aggregates())
+    return _hourly(events, {}, WEATHER)
 
 
 def hourly_load(events: DataFrame) -> DataFrame:
     """Load and event flags per household profile and hour."""
-    flags = {
-        name: F.max((F.col("event_type") == kind).cast("int")) for kind, name in FLAG_EVENTS.items()
-    }
-    profile = (F.col("user_id") % len(PROFILES)).cast("int")
-    return _hourly(
-        events, {"profile_code": profile}, {"load_kwh": exact_sum(F.col("value")), **flags}
-    )
+    flags = {name: f"max(int(event_type = {quote(kind)}))" for kind, name in FLAG_EVENTS.items()}
+    profile = f"int(user_id % {len(PROFILES)})"
+    return _hourly(events, {"profile_code": profile}, {"load_kwh": exact_sum("value"), **flags})
 
 
 def user_hour_panel(events: DataFrame) -> DataFrame:
     """Series per user and hour: many sparse series."""
-    return _hourly(
-        events, {"series_id": F.col("user_id")}, {"load_kwh": exact_sum(F.col("value"))}
-    )
+    return _hourly(events, {"series_id": "user_id"}, {"load_kwh": exact_sum("value")})
 
 
 def supplier_daily_panel(lineitem: DataFrame) -> DataFrame:
     """Series per supplier and shipping day."""
-    days = lineitem.withColumns({"series_id": F.col("l_suppkey"), "datetime": day_start(F.col("l_shipdate"))})
-    return days.groupBy("series_id", "datetime").agg(exact_sum(F.col("l_quantity")).alias("load_kwh"))
+    days = add(lineitem, {"series_id": "l_suppkey", "datetime": day_start("l_shipdate")})
+    return grouped(days, ["series_id", "datetime"], {"load_kwh": exact_sum("l_quantity")})

@@ -15,6 +15,7 @@ from gridweave.fixed_values import (
     TARGETS,
     TRAIN_END,
 )
+from gridweave.functions.text import Expr
 from gridweave.operators.quality import remove_invalid_rows, require_columns
 from gridweave.operators.scaling import Stats, collect_stats, minmax_stats, raw_frame, scaled_frame, stats_table
 from gridweave.operators.splits import add_split, require_splits, train_test
@@ -34,11 +35,12 @@ class Prepared:
     rows: DataFrame
     stats: Stats
 
-    def scaled(self, feature_set: str, extra: list[str] | None = None) -> DataFrame:
-        return scaled_frame(self.rows, list(FEATURE_SETS[feature_set]), self.target, self.stats, extra or ["split"])
+    def scaled(self, feature_set: str, extra: dict[str, Expr] | None = None) -> DataFrame:
+        more = {"split": "split"} if extra is None else extra
+        return scaled_frame(self.rows, list(FEATURE_SETS[feature_set]), self.target, self.stats, more)
 
-    def raw(self, feature_set: str, extra: list[str] | None = None) -> DataFrame:
-        return raw_frame(self.rows, list(FEATURE_SETS[feature_set]), self.target, extra or ["split"])
+    def raw(self, feature_set: str) -> DataFrame:
+        return raw_frame(self.rows, list(FEATURE_SETS[feature_set]), self.target, ["split"])
 
 
 def prepare(

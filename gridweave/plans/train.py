@@ -12,10 +12,11 @@ from gridweave.fixed_values import (
     META_COLUMNS,
     N_MFS,
     RIDGE_ALPHA,
-    TARGETS,
     TRAIN_END,
     VALIDATION_START,
 )
+from gridweave.functions.errors import metric_aggregates
+from gridweave.functions.text import Expr, add, array, num, quote, select
 from gridweave.operators import baselines, evaluate, fuzzy
 from gridweave.operators.quality import (
     DataQualityError,
@@ -28,6 +29,8 @@ from gridweave.operators.quality import (
 from gridweave.operators.scaling import Stats, feature_columns, stats_table, unscaled
 from gridweave.operators.splits import add_fit_split, require_splits
 from gridweave.plans.preprocess import Prepared
+from gridweave.session import scratch_path
+from gridweave.sources.models import save_baseline
 
 KEYS = ["profile_code", "datetime"]
 
@@ -46,8 +49,7 @@ def fit_data(
     prepared: Prepared, validation_start: str = VALIDATION_START, train_end: str = TRAIN_END
 ) -> FitData:
     """Scaled core rows with the raw lag kept beside them; scaled and raw never part."""
-    raw_lag = F.col("load_lag_24").alias("raw_lag_24")
-    rows = prepared.scaled("core", extra=[raw_lag])
+    rows = prepared.scaled("core", extra={"raw_lag_24": "load_lag_24"})
     return FitData(prepared.horizon, prepared.target, add_fit_split(rows, validation_start, train_end), prepared.stats)
 
 
@@ -107,7 +109,7 @@ def fit_shared(
 def score_fit_data(data: FitData, model: fuzzy.FuzzyModel) -> DataFrame:
     """All splits scored in one pass, in scaled and in raw units."""
     scored = fuzzy.score(data.rows, model, "predicted_scaled")
-    return scored.withColumn("predicted", unscaled(F.col("predicted_scaled"), data.target, data.stats))
+    return add(scored, {"predicted": unscaled("predicted_scaled", data.target, data.stats)})
 
 
 def fit_diagnostics(scored: DataFrame, target: str) -> DataFrame:
@@ -121,9 +123,7 @@ def test_predictions(data: FitData, model: fuzzy.FuzzyModel, text_time: bool = T
     """
     test = replace(data, rows=data.rows.filter(F.col("split") == "test"))
     scored = score_fit_data(test, model)
-    return evaluate.prediction_frame(
-        scored, F.col(data.target), F.col("predicted"), F.col("raw_lag_24"), text_time
-    )
+    return evaluate.prediction_frame(scored, data.target, "predicted", "raw_lag_24", text_time=text_time)
 
 
 def run_records(
@@ -134,30 +134,30 @@ def run_records(
     Every number comes from one scoring pass over all splits.
     """
     scored = score_fit_data(data, model)
-    scaled_error = F.col("predicted_scaled") - F.col(f"{data.target}_scaled")
-    is_split = {s: F.col("split") == s for s in ("train_fit", "validation", "test")}
-
-    def rmse(split: str):
-        return F.sqrt(F.avg(F.when(is_split[split], scaled_error * scaled_error)))
-
-    actual = F.when(is_split["test"], F.col(data.target))
-    predicted = F.when(is_split["test"], F.col("predicted"))
-    test = evaluate.metric_aggregates(actual, predicted)
-    return scored.agg(
-        F.lit(run_id).alias("run_id"),
-        F.lit(data.horizon).alias("horizon"),
-        *[F.count_if(c).alias(f"{s}_rows") for s, c in is_split.items()],
-        F.lit(model.ridge_alpha).alias("ridge_alpha"),
-        F.lit(model.n_mfs).alias("n_mfs"),
-        F.lit(model.n_rules).alias("n_rules"),
-        F.lit(validation_start).alias("validation_start"),
-        F.lit(model.seed).alias("seed"),
-        F.array(*[F.lit(f) for f in model.features]).alias("feature_order"),
-        rmse("train_fit").alias("train_rmse_scaled"),
-        rmse("validation").alias("validation_rmse_scaled"),
-        *[a.alias(f"test_{n}") for n, a in test.items()],
-        (F.count_if(F.col("predicted_scaled").isNull()) == 0).alias("predictions_finite"),
+    error = f"(predicted_scaled - {data.target}_scaled)"
+
+    def rmse(split: str) -> Expr:
+        return f"sqrt(avg(CASE WHEN split = '{split}' THEN {error} * {error} END))"
+
+    test = metric_aggregates(
+        f"CASE WHEN split = 'test' THEN {data.target} END", "CASE WHEN split = 'test' THEN predicted END"
     )
+    record = {
+        "run_id": quote(run_id),
+        "horizon": quote(data.horizon),
+        **{f"{s}_rows": f"count_if(split = '{s}')" for s in ("train_fit", "validation", "test")},
+        "ridge_alpha": num(model.ridge_alpha),
+        "n_mfs": str(model.n_mfs),
+        "n_rules": str(model.n_rules),
+        "validation_start": quote(validation_start),
+        "seed": str(model.seed),
+        "feature_order": array(quote(f) for f in model.features),
+        "train_rmse_scaled": rmse("train_fit"),
+        "validation_rmse_scaled": rmse("validation"),
+        **{f"test_{n}": e for n, e in test.items()},
+        "predictions_finite": "count_if(predicted_scaled IS NULL) = 0",
+    }
+    return scored.selectExpr(*select([], record))
 
 
 def train_baselines(
@@ -169,9 +169,6 @@ def train_baselines(
     The scaled rows are written once (``base`` or the shared folder) so that the many passes of
     the tree learners read a table instead of rebuilding the features.
     """
-    from gridweave.session import scratch_path
-    from gridweave.sources.models import save_baseline
-
     spark = prepared.rows.sparkSession
     frame = prepared.scaled(dataset)
     path = scratch_path(spark, f"baseline-{dataset}-{prepared.horizon}")
@@ -184,8 +181,9 @@ def train_baselines(
         model = baselines.fit(train, name, features, prepared.target, **sizes)
         if base is not None:
             save_baseline(model, base, dataset, name, prepared.horizon)
-        rows = baselines.predict(model, test, name, list(META_COLUMNS), prepared.target).select(
-            F.lit(dataset).alias("dataset"), F.lit(prepared.horizon).alias("horizon"), "*"
+        rows = add(
+            baselines.predict(model, test, name, list(META_COLUMNS), prepared.target),
+            {"dataset": quote(dataset), "horizon": quote(prepared.horizon)},
         )
         out = rows if out is None else out.unionByName(rows)
     return out

@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # call sites are captured by several extra JVM calls per expression; wide plans feel it
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridweave.functions.guards import nan_to_null
 from gridweave.functions.nested import flatten
+from gridweave.functions.text import col, select
 
 TIMESTAMP_TEXT = "yyyy-MM-dd HH:mm:ss"
 PREDICTION_DECIMALS = 10
@@ -32,7 +33,7 @@ def drop_empty_unnamed(df: DataFrame) -> DataFrame:
     candidates = [c for c in df.columns if c.startswith(UNNAMED)]
     if not candidates:
         return df
-    filled = df.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in candidates]).first()
+    filled = df.selectExpr(*select([], {c: f"count({col(c)})" for c in candidates})).first()
     return df.drop(*[c for c in candidates if filled[c] == 0])
 
 
@@ -85,12 +86,10 @@ def read_stats(spark: SparkSession, base: str, kind: str, horizon: str) -> DataF
 def fixed_decimals(df: DataFrame, decimals: int = PREDICTION_DECIMALS) -> DataFrame:
     """Doubles as text with a fixed number of decimals."""
 
-    def text(field: T.StructField) -> Column:
-        if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-            return F.format_string(f"%.{decimals}f", F.col(field.name)).alias(field.name)
-        return F.col(field.name)
-
-    return df.select(*[text(f) for f in df.schema.fields])
+    doubles = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+    return df.selectExpr(
+        *[f"format_string('%.{decimals}f', {col(c)}) AS {col(c)}" if c in doubles else col(c) for c in df.columns]
+    )
 
 
 def write_predictions(df: DataFrame, path: str) -> None:

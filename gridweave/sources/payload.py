@@ -6,43 +6,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.fixed_values import PAYLOAD_FIELDS
+from gridweave.functions.text import col, cols, quote, struct
 
-PAYLOAD_TIME = "yyyy-MM-dd'T'HH:mm"
-VALUE_FIELDS = tuple(f for f in PAYLOAD_FIELDS if f != "time")
-PAYLOAD_SCHEMA = (
-    "struct<hourly: struct<time: array<string>, "
-    + ", ".join(f"{f}: array<double>" for f in VALUE_FIELDS)
-    + ">>"
-)
+PAYLOAD_TIME = quote("yyyy-MM-dd'T'HH:mm")
+VALUE_FIELDS = {f: c for f, c in PAYLOAD_FIELDS.items() if f != "time"}
+PAYLOAD_SCHEMA = "hourly struct<time: array<string>, " + ", ".join(f"{f}: array<double>" for f in VALUE_FIELDS) + ">"
+NO_DATA = "the payload has no hourly data"
 
 
 def explode_payload(df: DataFrame, text: str = "payload") -> DataFrame:
     """Rows of a payload column to hourly rows; a payload without ``hourly`` fails the query."""
-    parsed = df.withColumn("_hourly", F.from_json(F.col(text), PAYLOAD_SCHEMA)["hourly"])
-    checked = parsed.withColumn(
-        "_hourly",
-        F.when(F.col("_hourly").isNotNull(), F.col("_hourly")).otherwise(
-            F.raise_error(F.lit("the payload has no hourly data"))
-        ),
+    keys = [c for c in df.columns if c != text]
+    parsed = df.selectExpr(*keys, f"from_json({col(text)}, {quote(PAYLOAD_SCHEMA)}).hourly AS _h")
+    checked = parsed.selectExpr(*keys, f"CASE WHEN _h IS NULL THEN raise_error({quote(NO_DATA)}) ELSE _h END AS _h")
+    arrays = ", ".join(f"_h.{col(f)}" for f in PAYLOAD_FIELDS)
+    rows = checked.selectExpr(*keys, f"inline(arrays_zip({arrays}))")
+    return rows.selectExpr(
+        *keys,
+        f"to_timestamp_ntz(`time`, {PAYLOAD_TIME}) AS datetime",
+        *[f"{col(f)} AS {col(c)}" for f, c in VALUE_FIELDS.items()],
     )
-    arrays = F.arrays_zip(*[F.col(f"_hourly.{f}").alias(f) for f in PAYLOAD_FIELDS])
-    rows = checked.select(*[c for c in df.columns if c != text], F.inline(arrays))
-    renamed = rows.withColumnsRenamed(PAYLOAD_FIELDS)
-    return renamed.withColumn("datetime", F.expr(f'to_timestamp_ntz(datetime, "{PAYLOAD_TIME}")'))
 
 
 def build_payload(weather: DataFrame, keys: list[str]) -> DataFrame:
     """The inverse: hourly rows to one payload per key and day (at most 24 entries per array)."""
-    inverse = {column: field for field, column in PAYLOAD_FIELDS.items()}
-    stamped = weather.withColumn("_day", F.to_date("datetime"))
-    entry = F.struct("datetime", *[c for c in inverse if c != "datetime"])
-    days = stamped.groupBy(*keys, "_day").agg(F.sort_array(F.collect_list(entry)).alias("_rows"))
-    arrays = [
-        (
-            F.transform("_rows", lambda r: F.date_format(r["datetime"], PAYLOAD_TIME))
-            if column == "datetime"
-            else F.col(f"_rows.{column}")
-        ).alias(field)
-        for field, column in PAYLOAD_FIELDS.items()
-    ]
-    return days.select(*keys, F.to_json(F.struct(F.struct(*arrays).alias("hourly"))).alias("payload"))
+    entry = f"struct(datetime, {cols(VALUE_FIELDS.values())})"
+    stamped = weather.selectExpr(*keys, "to_date(datetime) AS _day", f"{entry} AS _row")
+    days = stamped.groupBy(*keys, "_day").agg(F.expr("sort_array(collect_list(_row))").alias("_rows"))
+    hourly = {"time": f"transform(_rows, r -> date_format(r.datetime, {PAYLOAD_TIME}))"}
+    hourly.update({f: f"_rows.{col(c)}" for f, c in VALUE_FIELDS.items()})
+    return days.selectExpr(*keys, f"to_json({struct({'hourly': struct(hourly)})}) AS payload")
