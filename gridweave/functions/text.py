@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 Expr = str
 
@@ -48,6 +48,15 @@ def table(rows: Iterable[Mapping[str, Expr]]) -> Expr:
     return array(struct(r) for r in rows)
 
 
+def let(name: str, value: Expr, body: Expr) -> Expr:
+    """Evaluate ``value`` once per row and use it as ``name`` in ``body``.
+
+    A plain column used inside a lambda may be inlined there by the optimizer and then computed
+    again for every array element.
+    """
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
 def select(keep: Iterable[str], exprs: Mapping[str, Expr]) -> list[Expr]:
     """Arguments of ``selectExpr``: kept columns, then named expressions."""
     return [col(k) for k in keep] + [f"{e} AS {col(n)}" for n, e in exprs.items()]
@@ -63,6 +72,11 @@ def put(df: DataFrame, exprs: Mapping[str, Expr]) -> DataFrame:
     return df.selectExpr(f"* EXCEPT ({cols(exprs)})", *select([], exprs))
 
 
+def constant_rows(spark: SparkSession, rows: Iterable[Mapping[str, Expr]]) -> DataFrame:
+    """A small table from literals, without a trip through Python objects."""
+    return spark.sql(f"SELECT inline({table(rows)})")
+
+
 def aggregate_rows(df: DataFrame, rows: Iterable[Mapping[str, Expr]]) -> DataFrame:
     """One aggregate over the whole frame, laid out as rows."""
     return df.selectExpr(f"{table(rows)} AS _r").selectExpr("inline(_r)")

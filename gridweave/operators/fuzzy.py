@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from gridweave.fixed_values import CORE_FEATURES, EPS, MIN_SIGMA, N_MFS, RIDGE_ALPHA, SEED
 from gridweave.functions import kernels
-from gridweave.functions.text import Expr, add, array, col, num, put, quote, select, struct, table
+from gridweave.functions.text import Expr, array, col, let, num, put, quote, select, struct, table
 from gridweave.operators.quality import DataQualityError, finite_report, raise_on_violations
 from gridweave.operators.quantiles import exact_quantiles
 
@@ -210,8 +210,11 @@ def membership_rows(df: DataFrame, model: FuzzyModel, keys: list[str]) -> DataFr
     return df.selectExpr(*keys, f"inline({entries})")
 
 
-def add_rule_logs(df: DataFrame, model: FuzzyModel) -> DataFrame:
-    """Adds ``_logs``: one log strength per rule, ordered by rule number.
+SUM = "0.0D, (total, v) -> total + v"
+
+
+def rule_logs(model: FuzzyModel) -> Expr:
+    """array<double>: one log strength per rule, ordered by rule number.
 
     The log memberships form an array of arrays; a rule is an array of set numbers.
     """
@@ -220,34 +223,38 @@ def add_rule_logs(df: DataFrame, model: FuzzyModel) -> DataFrame:
         for i, f in enumerate(model.features)
     )
     grid = array(array(str(int(j)) for j in rule) for rule in model.rules)
-    strength = "aggregate(zip_with(_sets, rule, (grades, j) -> grades[j]), 0.0D, (total, v) -> total + v)"
-    return add(add(df, {"_sets": sets}), {"_logs": f"transform({grid}, rule -> {strength})"}).drop("_sets")
+    strength = f"aggregate(zip_with(sets, rule, (grades, j) -> grades[j]), {SUM})"
+    return let("sets", sets, f"transform({grid}, rule -> {strength})")
+
+
+def rule_strengths(model: FuzzyModel) -> Expr:
+    """Logs, their largest, and weights (strengths divided by their sum), all inside the row.
+
+    Logs rank rules without the rounding ties that exponentials have.
+    """
+    weights = struct({"logs": "logs", "top": "top", "weights": "transform(raised, v -> v / total)"})
+    summed = let("total", f"aggregate(raised, {SUM})", weights)
+    raised = let("raised", "transform(logs, v -> exp(v - top))", summed)
+    return let("logs", rule_logs(model), let("top", "array_max(logs)", raised))
 
 
 def firing_rows(df: DataFrame, model: FuzzyModel, keys: list[str]) -> DataFrame:
     """(keys, rule, strength): product of the rule's memberships."""
-    rows = add_rule_logs(df, model).selectExpr(*keys, "posexplode(_logs) AS (rule, _log)")
+    rows = df.selectExpr(*keys, f"posexplode({rule_logs(model)}) AS (rule, _log)")
     low, high = (num(v) for v in EXP_LIMITS)
     return rows.selectExpr(*keys, "rule", f"exp(greatest({low}, least({high}, _log))) AS strength")
 
 
-def add_normalized(df: DataFrame, model: FuzzyModel) -> DataFrame:
-    """Adds ``_weights``: strengths of all rules divided by their sum, computed inside the row."""
-    shifted = add(add_rule_logs(df, model), {"_top": "array_max(_logs)"})
-    raised = add(shifted, {"_exp": "transform(_logs, v -> exp(v - _top))"})
-    summed = add(raised, {"_sum": "aggregate(_exp, 0.0D, (total, v) -> total + v)"})
-    return add(summed, {"_weights": "transform(_exp, v -> v / _sum)"}).drop("_logs", "_top", "_exp", "_sum")
-
-
 def normalized_rows(df: DataFrame, model: FuzzyModel, keys: list[str]) -> DataFrame:
-    return add_normalized(df, model).selectExpr(*keys, "posexplode(_weights) AS (rule, weight)")
+    """(keys, rule, weight) rows; the weights of a row sum to 1."""
+    return df.selectExpr(*keys, f"posexplode({rule_strengths(model)}.weights) AS (rule, weight)")
 
 
 def active_rules(df: DataFrame, model: FuzzyModel, keys: list[str], k: int = 3) -> DataFrame:
     """The ``k`` strongest rules of every row, ranked inside the row; no shuffle."""
-    entry = struct({"neg": "-w", "rule": "i", "weight": "w"})
-    top = f"slice(array_sort(transform(_weights, (w, i) -> {entry})), 1, {k})"
-    ranked = add_normalized(df, model).selectExpr(*keys, f"posexplode({top}) AS (_rank, _e)")
+    entry = struct({"neg": "-v", "rule": "i", "weight": "r.weights[i]"})
+    top = f"slice(array_sort(transform(r.logs, (v, i) -> {entry})), 1, {k})"
+    ranked = df.selectExpr(*keys, f"posexplode({let('r', rule_strengths(model), top)}) AS (_rank, _e)")
     return ranked.selectExpr(*keys, "_rank + 1 AS rank", "_e.rule AS rule", "_e.weight AS weight")
 
 
@@ -260,9 +267,10 @@ def rule_grid_rows(spark: SparkSession, n_mfs: int, features: tuple[str, ...]) -
 
 def rule_usage(df: DataFrame, model: FuzzyModel) -> DataFrame:
     """Every rule of the grid with the rows it dominates and its total weight."""
-    weighted = add_normalized(df, model).selectExpr("array_max(_weights) AS _top", "posexplode(_weights) AS (rule, weight)")
-    used = weighted.groupBy("rule").agg(
-        F.expr("count_if(weight = _top)").alias("dominant_rows"), F.expr("sum(weight)").alias("total_weight")
+    entry = struct({"weight": "w", "dominant": "int(r.logs[i] = r.top)"})
+    entries = let("r", rule_strengths(model), f"transform(r.weights, (w, i) -> {entry})")
+    used = df.selectExpr(f"posexplode({entries}) AS (rule, _e)").groupBy("rule").agg(
+        F.expr("sum(_e.dominant)").alias("dominant_rows"), F.expr("sum(_e.weight)").alias("total_weight")
     )
     grid = rule_grid_rows(df.sparkSession, model.n_mfs, model.features)
     return grid.join(used, "rule", "left").fillna(0, ["dominant_rows", "total_weight"])
@@ -270,11 +278,11 @@ def rule_usage(df: DataFrame, model: FuzzyModel) -> DataFrame:
 
 def sugeno_rows(df: DataFrame, model: FuzzyModel, keys: list[str], output: str = "prediction") -> DataFrame:
     """The whole forward pass as SQL expressions: weights times linear rule outputs."""
-    based = add(add_normalized(df, model), {"_x": array(["1.0D", *[f"double({col(f)})" for f in model.features]])})
+    inputs = array(["1.0D", *[f"double({col(f)})" for f in model.features]])
     coefficients = array(array(num(v) for v in c) for c in model.coefficients)
-    rule_output = "aggregate(zip_with(c, _x, (a, b) -> a * b), 0.0D, (total, v) -> total + v)"
-    terms = f"zip_with(_weights, transform({coefficients}, c -> {rule_output}), (w, f) -> w * f)"
-    return based.selectExpr(*keys, f"aggregate({terms}, 0.0D, (total, v) -> total + v) AS {col(output)}")
+    outputs = f"transform({coefficients}, c -> aggregate(zip_with(c, x, (a, b) -> a * b), {SUM}))"
+    terms = f"zip_with({rule_strengths(model)}.weights, {let('x', inputs, outputs)}, (w, f) -> w * f)"
+    return df.selectExpr(*keys, f"aggregate({terms}, {SUM}) AS {col(output)}")
 
 
 def gram_rows(df: DataFrame, model: FuzzyModel, targets: list[str]) -> DataFrame:

@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-from datetime import date
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridweave.fixed_values import HOLIDAYS
-from gridweave.functions.text import add, any_of, col
+from gridweave.functions.text import add, any_of, col, constant_rows
 
 BROADCAST_DATES = 200_000
 
 
 def holiday_intervals(spark: SparkSession) -> DataFrame:
-    rows = [(date.fromisoformat(a), date.fromisoformat(b)) for a, b in HOLIDAYS]
-    return spark.createDataFrame(rows, "start_date date, end_date date")
+    return constant_rows(spark, [{"start_date": f"DATE'{a}'", "end_date": f"DATE'{b}'"} for a, b in HOLIDAYS])
 
 
 def interval_dates(intervals: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridweave.fixed_values import PARITY_TOLERANCE
 from gridweave.functions.guards import infinite, missing_or_not_finite, number, parse_time
-from gridweave.functions.text import Expr, aggregate_rows, any_of, col, num, quote
+from gridweave.functions.text import Expr, aggregate_rows, any_of, col, constant_rows, num, quote
 
 
 class DataQualityError(ValueError):
@@ -124,7 +124,7 @@ def raw_scaled_parity(raw: DataFrame, scaled: DataFrame, keys: list[str], target
 
 def stats_coverage(spark: SparkSession, stats: DataFrame, expected: list[str]) -> DataFrame:
     """Expected columns without a statistics row, and rows with a non-positive or missing range."""
-    wanted = spark.createDataFrame([(c,) for c in expected], "`column` string")
+    wanted = constant_rows(spark, [{"column": quote(c)} for c in expected])
     absent = wanted.join(stats, "column", "left_anti").selectExpr("column", "'missing' AS problem")
     bad_range = stats.filter(f"{missing_or_not_finite('`range`')} OR `range` <= 0")
     return absent.unionByName(bad_range.selectExpr("column", "'bad_range' AS problem"))

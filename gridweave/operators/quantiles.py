@@ -65,7 +65,7 @@ def _brackets(inside: DataFrame, targets: DataFrame, group: list[str], margin: f
     state = inside.groupBy(*slot).agg(
         F.expr("count(*)").alias("_n"),
         F.expr("first(_below)").alias("_below"),
-        F.expr(f"approx_percentile(value, transform(sequence(0, {GRID}), i -> i / {num(GRID)}), {ACCURACY})").alias("_grid"),
+        F.expr(f"approx_percentile(value, {array(num(g / GRID) for g in range(GRID + 1))}, {ACCURACY})").alias("_grid"),
         F.expr("min(value)").alias("_min"),
         F.expr("max(value)").alias("_max"),
     )
@@ -87,6 +87,8 @@ def _brackets(inside: DataFrame, targets: DataFrame, group: list[str], margin: f
 
 def _narrowed(values: DataFrame, group: list[str], probabilities: list[float], buffer_rows: int) -> DataFrame:
     ensure_checkpoint_dir(values.sparkSession)
+    # several passes follow: write the few columns once instead of rebuilding them every time
+    values = values.checkpoint()
     slot = [*group, "_i"]
     targets = _targets(values, group, probabilities).checkpoint()
     slots = targets.selectExpr(*slot, "0L AS _below")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridweave.fixed_values import FEATURE_CLIP, META_COLUMNS, TARGET_CLIP
 from gridweave.functions.guards import clip
-from gridweave.functions.text import Expr, aggregate_rows, col, num, quote, select
+from gridweave.functions.text import Expr, aggregate_rows, col, constant_rows, num, quote, select
 from gridweave.operators.quality import DataQualityError
 
 
@@ -44,8 +44,10 @@ def collect_stats(stats: DataFrame) -> Stats:
 
 
 def stats_table(spark: SparkSession, stats: Stats) -> DataFrame:
-    rows = [(c, s.lo, s.hi, s.span) for c, s in stats.items()]
-    return spark.createDataFrame(rows, "`column` string, min double, max double, `range` double")
+    return constant_rows(
+        spark,
+        [{"column": quote(c), "min": num(s.lo), "max": num(s.hi), "range": num(s.span)} for c, s in stats.items()],
+    )
 
 
 def _of(stats: Stats, column: str) -> ColumnStats:
