@@ -23,7 +23,7 @@ DIGITS = 6
 def rounded(df: DataFrame, columns: list[str], digits: int = DIGITS) -> DataFrame:
     """Computed doubles to a fixed number of digits, so that both engines print the same."""
     order = df.columns
-    return put(df, {c: half_even(col(c), digits) for c in columns}).select(*order)
+    return put(df, {c: half_even(col(c), digits) for c in columns}).selectExpr(*map(col, order))
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:

@@ -33,12 +33,14 @@ MODEL_NAMES = ("Linear Regression", "Decision Tree", "Random Forest", "Boosted T
 def regressors(**sizes: int) -> dict[str, object]:
     """Fresh estimators. ``sizes`` (forest_trees, boost_rounds) shrinks the ensembles for tests."""
     common = {"featuresCol": "features", "labelCol": "label"}
-    trees = {**common, "maxBins": TREE_BINS, "seed": TREE_SEED, "cacheNodeIds": True, "checkpointInterval": 10}
+    trees = {**common, "maxBins": TREE_BINS, "seed": TREE_SEED, "checkpointInterval": 10}
+    # deep trees keep each row's node instead of walking the tree again at every level
+    deep = {**trees, "cacheNodeIds": True}
     return {
         "Linear Regression": LinearRegression(**common, regParam=0.0),
-        "Decision Tree": DecisionTreeRegressor(**trees, maxDepth=TREE_DEPTH),
+        "Decision Tree": DecisionTreeRegressor(**deep, maxDepth=TREE_DEPTH),
         "Random Forest": RandomForestRegressor(
-            **trees,
+            **deep,
             numTrees=sizes.get("forest_trees", FOREST_TREES),
             maxDepth=FOREST_DEPTH,
             featureSubsetStrategy="all",
