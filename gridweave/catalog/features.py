@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from gridweave.catalog import inputs as i
 from gridweave.catalog import sql as q
 from gridweave.catalog.sql import r
+from gridweave.functions.calendar import hour_start
 from gridweave.functions.household import activity_windows, add_load_components, lighting_factor, load_components
 from gridweave.functions.text import add
 from gridweave.operators.dedup import duplicate_count, keep_first, repeated_rows
@@ -130,7 +131,7 @@ def gap_fill_linear_split_series(spark: SparkSession, sf: str) -> DataFrame:
 def dedup_first(spark: SparkSession, sf: str) -> DataFrame:
     """First event of every type and hour."""
     rows = i.events(spark, sf).selectExpr(
-        "event_type", f"{panel.hour_start('ts')} AS datetime", "ts", "event_id", "user_id", "value"
+        "event_type", f"{hour_start('ts')} AS datetime", "ts", "event_id", "user_id", "value"
     )
     return keep_first(rows, ["event_type", "datetime"], ["ts", "event_id"])
 

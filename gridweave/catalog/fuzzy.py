@@ -41,8 +41,8 @@ def _scaled(spark: SparkSession, sf: str) -> DataFrame:
     return i.prepared(spark, sf).scaled("core", extra={})
 
 
-def _fit_data(spark: SparkSession, sf: str, horizon: str = "1h") -> train.FitData:
-    return train.fit_data(i.prepared(spark, sf, horizon), i.VALIDATION_START, i.TRAIN_END)
+def _fit_data(spark: SparkSession, sf: str, horizon: str = "1h", stored: DataFrame | None = None) -> train.FitData:
+    return train.fit_data(i.prepared(spark, sf, horizon, stored), i.VALIDATION_START, i.TRAIN_END)
 
 
 def membership_init(spark: SparkSession, sf: str) -> DataFrame:
@@ -64,8 +64,7 @@ def membership_init(spark: SparkSession, sf: str) -> DataFrame:
 
 def core_quantiles(spark: SparkSession, sf: str) -> DataFrame:
     """Quartiles of the raw core features, by narrowing brackets."""
-    rows = i.wide_table(spark, sf)
-    found = exact_quantiles(rows, CORE, [0.25, 0.75], buffer_rows=200)
+    found = exact_quantiles(i.wide_table(spark, sf), CORE, [0.25, 0.75], buffer_rows=200)
     return i.rounded(found.selectExpr("`column`", "quantiles[0] AS p25", "quantiles[1] AS p75"), ["p25", "p75"])
 
 
@@ -110,7 +109,8 @@ def gram_matrix(spark: SparkSession, sf: str) -> DataFrame:
 
 def fuzzy_fit_predict(spark: SparkSession, sf: str) -> DataFrame:
     """Fit on train_fit, score every split, RMSE per split in scaled units, both horizons."""
-    data = [_fit_data(spark, sf, h) for h in ("1h", "24h")]
+    stored = i.stored_wide(spark, sf)
+    data = [_fit_data(spark, sf, h, stored) for h in ("1h", "24h")]
     models = train.fit_horizons(data)
     parts = [
         train.fit_diagnostics(train.score_fit_data(x, models[x.horizon]), x.target).selectExpr(
@@ -123,8 +123,8 @@ def fuzzy_fit_predict(spark: SparkSession, sf: str) -> DataFrame:
 
 def fuzzy_fit_shared(spark: SparkSession, sf: str) -> DataFrame:
     """Both horizons from one pass over the training rows, which keep the same rows."""
-    p = i.prepared(spark, sf)
-    other = i.prepared(spark, sf, "24h")
+    stored = i.stored_wide(spark, sf)
+    p, other = i.prepared(spark, sf, "1h", stored), i.prepared(spark, sf, "24h", stored)
     both = p.scaled("core", extra={"target_24h": "target_24h", "target_24h_scaled": scaled_target("target_24h", other.stats)})
     rows = add_fit_split(both, i.VALIDATION_START, i.TRAIN_END)
     models = train.fit_shared(rows, {"1h": "target_1h_scaled", "24h": "target_24h_scaled"})

@@ -11,6 +11,7 @@ from gridweave.functions.weather import add_weather_features, clamp_physical
 from gridweave.operators.holidays import mark_holidays
 from gridweave.operators.series import Series, add_lag_block, rows_bound
 from gridweave.plans import panel, preprocess, wide
+from gridweave.session import scratch_path
 from gridweave.sources.tables import read_table
 
 # the tables cover January 2024, so the split dates move there
@@ -59,5 +60,12 @@ def wide_table(spark: SparkSession, sf: str) -> DataFrame:
     return wide.wide_from_events(spark, events(spark, sf))
 
 
-def prepared(spark: SparkSession, sf: str, horizon: str = "1h", features: list[str] | None = None) -> preprocess.Prepared:
-    return preprocess.prepare(wide_table(spark, sf), horizon, TRAIN_END, features)
+def stored_wide(spark: SparkSession, sf: str) -> DataFrame:
+    """The wide table written once to the shared folder; the passes that follow only scan it."""
+    path = scratch_path(spark, "wide")
+    wide_table(spark, sf).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def prepared(spark: SparkSession, sf: str, horizon: str = "1h", stored: DataFrame | None = None) -> preprocess.Prepared:
+    return preprocess.prepare(stored_wide(spark, sf) if stored is None else stored, horizon, TRAIN_END)

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridweave.catalog import inputs as i
 from gridweave.catalog import sql as q
-from gridweave.fixed_values import META_COLUMNS
 from gridweave.operators import baselines, fuzzy
 from gridweave.operators.scaling import feature_columns
 from gridweave.plans import train
@@ -16,7 +15,8 @@ from gridweave.sources import files, models
 
 def _baseline(spark: SparkSession, sf: str, name: str, dataset: str = "extended", horizon: str = "1h") -> DataFrame:
     """Metrics on the test split of one model with its full parameters."""
-    long = train.train_baselines(i.prepared(spark, sf, horizon), dataset, (name,))
+    predictions = train.train_baselines(i.prepared(spark, sf, horizon), dataset, (name,))
+    long = train.baseline_rows(predictions, dataset, horizon)
     return baselines.score_models(long, ["dataset", "horizon", "model"])
 
 
@@ -39,20 +39,18 @@ def baseline_boosted(spark: SparkSession, sf: str) -> DataFrame:
 def baseline_comparison(spark: SparkSession, sf: str) -> DataFrame:
     """Linear model and tree on both feature sets and horizons, one column per model."""
     names = ("Linear Regression", "Decision Tree")
-    long = None
+    long, stored = None, i.stored_wide(spark, sf)
     for horizon in ("1h", "24h"):
-        prepared = i.prepared(spark, sf, horizon)
+        prepared = i.prepared(spark, sf, horizon, stored)
         for dataset in ("core", "extended"):
-            part = train.train_baselines(prepared, dataset, names)
+            part = train.baseline_rows(train.train_baselines(prepared, dataset, names), dataset, horizon)
             long = part if long is None else long.unionByName(part)
     return baselines.comparison_table(baselines.score_models(long, ["dataset", "horizon", "model"]))
 
 
 def baseline_predictions_wide(spark: SparkSession, sf: str) -> DataFrame:
     """One prediction column per model beside the actual value."""
-    names = ("Linear Regression", "Decision Tree")
-    long = train.train_baselines(i.prepared(spark, sf), "core", names)
-    return baselines.predictions_wide(long, list(META_COLUMNS))
+    return train.train_baselines(i.prepared(spark, sf), "core", ("Linear Regression", "Decision Tree"))
 
 
 def baseline_model_roundtrip(spark: SparkSession, sf: str) -> DataFrame:

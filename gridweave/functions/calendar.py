@@ -40,6 +40,10 @@ def hour_start(ts: str) -> Expr:
     return f"make_timestamp_ntz(year({ts}), month({ts}), day({ts}), hour({ts}), 0, 0)"
 
 
+def hour_of_day(day: Expr, hour: Expr) -> Expr:
+    return f"make_timestamp_ntz(year({day}), month({day}), day({day}), {hour}, 0, 0)"
+
+
 def day_start(ts: str) -> Expr:
     return f"CAST(to_date({ts}) AS TIMESTAMP_NTZ)"
 

@@ -63,15 +63,20 @@ def fit(train: DataFrame, name: str, features: list[str], target: str, **sizes:
     return Pipeline(stages=[assembler, regressors(**sizes)[name]]).fit(labelled)
 
 
-def predict(model: PipelineModel, df: DataFrame, name: str, keys: list[str], target: str) -> DataFrame:
-    """Long rows (keys, model, actual, prediction)."""
-    scored = model.transform(df)
-    return scored.selectExpr(*select(keys, {"model": quote(name), "actual": col(target)}), "prediction")
-
-
-def predictions_wide(long: DataFrame, keys: list[str]) -> DataFrame:
-    """One column per model beside the actual value."""
-    return long.groupBy(*keys, "actual").pivot("model", list(MODEL_NAMES)).agg(F.first("prediction"))
+def predict(models: dict[str, PipelineModel], df: DataFrame, keys: list[str], target: str) -> DataFrame:
+    """Keys, actual value and one prediction column per model: one pass, no shuffle."""
+    wide = df
+    for name, model in models.items():
+        # every stage adds its columns; they are dropped again before the next model adds its own
+        wide = model.transform(wide).withColumnRenamed("prediction", name).drop("features")
+    return wide.selectExpr(*select(keys, {"actual": col(target)}), *[col(n) for n in models])
+
+
+def predictions_long(wide: DataFrame, names: list[str], extra: dict[str, Expr] | None = None) -> DataFrame:
+    """One row per key and model."""
+    entries = table({"model": quote(n), "prediction": col(n)} for n in names)
+    kept = [c for c in wide.columns if c not in names]
+    return wide.selectExpr(*select(kept, extra or {}), f"inline({entries})")
 
 
 def score_models(long: DataFrame, by: list[str]) -> DataFrame:

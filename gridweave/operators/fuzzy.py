@@ -30,6 +30,7 @@ from gridweave.operators.quantiles import exact_quantiles
 # the executors need no installed copy of the package: the kernels are pickled by value
 register_pickle_by_value(kernels)
 
+FEW_PARTS = 2000
 # limits of the exponent before exp() under- or overflows
 EXP_LIMITS = (-745.0, 709.0)
 
@@ -81,11 +82,16 @@ def center_levels(n_mfs: int) -> list[float]:
 
 
 def initialize_memberships(
-    train: DataFrame, features: tuple[str, ...] = CORE_FEATURES, n_mfs: int = N_MFS, min_sigma: float = MIN_SIGMA
+    train: DataFrame,
+    features: tuple[str, ...] = CORE_FEATURES,
+    n_mfs: int = N_MFS,
+    min_sigma: float = MIN_SIGMA,
+    rows: int | None = None,
 ) -> FuzzyModel:
     """Set centers from exact quantiles of the training rows; a handful of numbers per input."""
     levels = center_levels(n_mfs)
-    found = {r["column"]: list(r["quantiles"]) for r in exact_quantiles(train, list(features), levels).collect()}
+    quantiles = exact_quantiles(train, list(features), levels, rows=rows)
+    found = {r["column"]: list(r["quantiles"]) for r in quantiles.collect()}
     if set(found) != set(features):
         raise DataQualityError(f"no values for: {sorted(set(features) - set(found))}")
     mu = np.array([found[f] for f in features], dtype=float)
@@ -125,8 +131,8 @@ def score(df: DataFrame, model: FuzzyModel, output: str = "prediction") -> DataF
 def partial_sums(df: DataFrame, model: FuzzyModel, targets: list[str]) -> DataFrame:
     """(segment, values): the packed upper triangle of D'D, then D'y per target, summed over all rows.
 
-    One partial result per task. The number of tasks is held to the cluster's parallelism, so
-    the shuffled volume depends on cores and model size, not on the number of input files.
+    One partial result per task. Beyond ``FEW_PARTS`` input partitions neighbouring ones share a
+    task, so the shuffled volume depends on the cluster and the model, not on the input size.
     Segments are re-distributed and added in a stream: a task holds one total per segment.
     """
     names, rules = list(model.features), model.batch_rules()
@@ -135,7 +141,7 @@ def partial_sums(df: DataFrame, model: FuzzyModel, targets: list[str]) -> DataFr
         return kernels.partial_sums(batches, names, targets, rules)
 
     numbers = df.selectExpr(*select([], {c: f"double({col(c)})" for c in [*names, *targets]}))
-    tasks = df.sparkSession.sparkContext.defaultParallelism
+    tasks = max(FEW_PARTS, 4 * df.sparkSession.sparkContext.defaultParallelism)
     schema = "segment bigint, values array<double>"
     parts = numbers.coalesce(tasks).mapInPandas(accumulate, schema)
     return parts.repartition("segment").mapInPandas(kernels.add_segments, schema)
@@ -167,10 +173,15 @@ def solve(gram: np.ndarray, moment: np.ndarray, alpha: float) -> np.ndarray:
 def fit_consequents(
     df: DataFrame, model: FuzzyModel, targets: list[str], alpha: float | None = None
 ) -> dict[str, FuzzyModel]:
-    """One fitted model per target from a single pass: one D'D, one D'y per target."""
+    """One fitted model per target from a single pass: one D'D, one D'y per target.
+
+    A missing or infinite input shows up in the sums, so the check costs no pass of its own.
+    """
     alpha = model.ridge_alpha if alpha is None else alpha
-    raise_on_violations(finite_report(df, [*model.features, *targets]), "fit input")
     gram, moments = unpack(partial_sums(df, model, targets), model.width, len(targets))
+    if not (np.isfinite(gram).all() and np.isfinite(moments).all()):
+        raise_on_violations(finite_report(df, [*model.features, *targets]), "fit input")
+        raise DataQualityError("fit input: the sums overflow")
     shape = (model.n_rules, len(model.features) + 1)
     return {
         t: replace(model, coefficients=solve(gram, moments[i], alpha).reshape(shape), ridge_alpha=alpha)

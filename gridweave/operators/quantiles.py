@@ -35,11 +35,15 @@ def largest_group(df: DataFrame, keys: list[str], columns: list[str]) -> int:
 
 def exact_quantiles(
     df: DataFrame, columns: list[str], probabilities: list[float], keys: list[str] | None = None,
-    buffer_rows: int = BUFFER_ROWS,
+    buffer_rows: int = BUFFER_ROWS, rows: int | None = None,
 ) -> DataFrame:
-    """Rows (keys, column, quantiles) where ``quantiles`` follows ``probabilities``."""
+    """Rows (keys, column, quantiles) where ``quantiles`` follows ``probabilities``.
+
+    ``rows`` is the row count of ``df`` when the caller already has it; it saves the count here.
+    """
     keys = list(keys or [])
-    if largest_group(df, keys, columns) <= buffer_rows:
+    bounded = rows is not None and rows <= buffer_rows
+    if bounded or largest_group(df, keys, columns) <= buffer_rows:
         levels = array(num(p) for p in probabilities)
         entries = table(
             {"column": quote(c), "quantiles": f"percentile(double({col(c)}), {levels})"} for c in columns

@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.fixed_values import DIAGNOSTIC_COLUMNS, LOAD_DECIMALS, PROFILES
-from gridweave.functions.calendar import day_start, hour_start
+from gridweave.functions.calendar import day_start, hour_of_day
 from gridweave.functions.guards import to_units
-from gridweave.functions.text import Expr, add, num, quote
+from gridweave.functions.text import Expr, add, num, quote, select
 
 # event type -> diagnostic flag column of the load table
 FLAG_EVENTS = dict(zip(("view", "click", "purchase", "signup", "error"), DIAGNOSTIC_COLUMNS))
@@ -40,8 +40,10 @@ def grouped(df: DataFrame, keys: list[str], aggregates: dict[str, Expr]) -> Data
 
 
 def _hourly(events: DataFrame, keys: dict[str, Expr], aggregates: dict[str, Expr]) -> DataFrame:
-    cells = add(events, {**keys, "datetime": hour_start("ts"), "_k": K_OF_PROPS})
-    return grouped(cells, [*keys, "datetime"], aggregates)
+    """Groups by date and hour number; the timestamp is put together once per cell, not per event."""
+    cells = add(events, {**keys, "_day": "to_date(ts)", "_hour": "hour(ts)", "_k": K_OF_PROPS})
+    grid = grouped(cells, [*keys, "_day", "_hour"], aggregates)
+    return grid.selectExpr(*select(keys, {"datetime": hour_of_day("_day", "_hour")}), *aggregates)
 
 
 def hourly_panel(events: DataFrame) -> DataFrame:
@@ -69,5 +71,6 @@ def user_hour_panel(events: DataFrame) -> DataFrame:
 
 def supplier_daily_panel(lineitem: DataFrame) -> DataFrame:
     """Series per supplier and shipping day."""
-    days = add(lineitem, {"series_id": "l_suppkey", "datetime": day_start("l_shipdate")})
-    return grouped(days, ["series_id", "datetime"], {"load_kwh": exact_sum("l_quantity")})
+    days = add(lineitem, {"series_id": "l_suppkey", "_day": "to_date(l_shipdate)"})
+    grid = grouped(days, ["series_id", "_day"], {"load_kwh": exact_sum("l_quantity")})
+    return grid.selectExpr("series_id", f"{day_start('_day')} AS datetime", "load_kwh")

@@ -83,9 +83,9 @@ def fit_horizons(
     """One model per horizon, each from its own training rows."""
     out = {}
     for d in data:
-        require_splits(d.rows, ("train_fit", "validation", "test"))
+        sizes = require_splits(d.rows, ("train_fit", "validation", "test"))
         train = d.rows.filter(F.col("split") == "train_fit")
-        start = fuzzy.initialize_memberships(train, features, n_mfs)
+        start = fuzzy.initialize_memberships(train, features, n_mfs, rows=sizes["train_fit"])
         target = f"{d.target}_scaled"
         fitted = fuzzy.fit_consequents(train, start, [target], alpha)[target]
         out[d.horizon] = replace(fitted, metadata={"horizon": d.horizon, "target_column": d.target})
@@ -164,7 +164,7 @@ def train_baselines(
     prepared: Prepared, dataset: str, names: tuple[str, ...] = baselines.MODEL_NAMES, base: str | None = None,
     **sizes: int,
 ) -> DataFrame:
-    """Fits the named models on the whole training part; long test predictions of all of them.
+    """Fits the named models on the whole training part; test predictions, a column per model.
 
     The scaled rows are written once (``base`` or the shared folder) so that the many passes of
     the tree learners read a table instead of rebuilding the features.
@@ -176,16 +176,14 @@ def train_baselines(
     stored = spark.read.parquet(path)
     features = feature_columns(stored, prepared.target)
     train, test = stored.filter("split = 'train'"), stored.filter("split = 'test'")
-    out = None
-    for name in names:
-        model = baselines.fit(train, name, features, prepared.target, **sizes)
-        if base is not None:
+    models = {name: baselines.fit(train, name, features, prepared.target, **sizes) for name in names}
+    if base is not None:
+        for name, model in models.items():
             save_baseline(model, base, dataset, name, prepared.horizon)
-        rows = add(
-            baselines.predict(model, test, name, list(META_COLUMNS), prepared.target),
-            {"dataset": quote(dataset), "horizon": quote(prepared.horizon)},
-        )
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    return baselines.predict(models, test, list(META_COLUMNS), prepared.target)
 
 
+def baseline_rows(predictions: DataFrame, dataset: str, horizon: str) -> DataFrame:
+    """Predictions of one run as (dataset, horizon, keys, actual, model, prediction) rows."""
+    names = [c for c in predictions.columns if c not in {*META_COLUMNS, "actual"}]
+    return baselines.predictions_long(predictions, names, {"dataset": quote(dataset), "horizon": quote(horizon)})
