@@ -19,8 +19,9 @@ def explode_payload(df: DataFrame, text: str = "payload") -> DataFrame:
     keys = [c for c in df.columns if c != text]
     parsed = df.selectExpr(*keys, f"from_json({col(text)}, {quote(PAYLOAD_SCHEMA)}).hourly AS _h")
     checked = parsed.selectExpr(*keys, f"CASE WHEN _h IS NULL THEN raise_error({quote(NO_DATA)}) ELSE _h END AS _h")
-    arrays = ", ".join(f"_h.{col(f)}" for f in PAYLOAD_FIELDS)
-    rows = checked.selectExpr(*keys, f"inline(arrays_zip({arrays}))")
+    # a field the payload lacks becomes nulls beside the hours it has
+    fields = checked.selectExpr(*keys, *[f"coalesce(_h.{col(f)}, array()) AS {col(f)}" for f in PAYLOAD_FIELDS])
+    rows = fields.selectExpr(*keys, f"inline(arrays_zip({cols(PAYLOAD_FIELDS)}))")
     return rows.selectExpr(
         *keys,
         f"to_timestamp_ntz(`time`, {PAYLOAD_TIME}) AS datetime",

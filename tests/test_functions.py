@@ -11,7 +11,7 @@ from gridweave.fixed_values import EXTENDED_FEATURES, PROFILES, WIDE_COLUMNS
 from gridweave.functions.calendar import add_calendar
 from gridweave.functions.guards import clip, flag, half_even, not_finite, number
 from gridweave.functions.nested import flatten
-from gridweave.functions.text import num
+from gridweave.functions.text import constant_rows, num
 from gridweave.functions.weather import add_weather_features, clamp_physical
 from gridweave.operators.holidays import holiday_intervals, mark_holidays
 from gridweave.plans.wide import household_rows
@@ -63,7 +63,13 @@ def test_holiday_interval_edges(spark, as_table):
 
 def test_overlapping_intervals_keep_rows(spark):
     df = spark.createDataFrame([(datetime(2024, 1, 2),)], "datetime timestamp_ntz")
-    spans = spark.sql("SELECT inline(array(struct(DATE'2024-01-01' AS start_date, DATE'2024-01-03' AS end_date), struct(DATE'2024-01-02', DATE'2024-01-05')))")
+    spans = constant_rows(
+        spark,
+        [
+            {"start_date": "DATE'2024-01-01'", "end_date": "DATE'2024-01-03'"},
+            {"start_date": "DATE'2024-01-02'", "end_date": "DATE'2024-01-05'"},
+        ],
+    )
     assert [r["holiday_effect"] for r in mark_holidays(df, spans).collect()] == [1]
 
 
