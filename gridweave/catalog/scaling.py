@@ -8,7 +8,6 @@ from gridweave.catalog import inputs as i
 from gridweave.catalog import sql as q
 from gridweave.catalog.sql import r
 from gridweave.fixed_values import CORE_FEATURES, EXTENDED_FEATURES, META_COLUMNS
-from gridweave.functions.guards import half_even
 from gridweave.functions.text import add, col, select
 from gridweave.operators.scaling import feature_columns, minmax_stats, scaled, unscaled
 from gridweave.operators.splits import add_fit_split, add_split, split_rows, subset, train_test
@@ -70,7 +69,7 @@ def feature_matrix(spark: SparkSession, sf: str) -> DataFrame:
     p = i.prepared(spark, sf)
     frame = p.scaled("core")
     names = feature_columns(frame, p.target)
-    digits = ", ".join(half_even(col(c), i.DIGITS) for c in names)
+    digits = ", ".join(i.printed(col(c)) for c in names)
     return frame.selectExpr("profile_code", "datetime", f"array_join(transform(array({digits}), x -> format_string('%.6f', x)), ' ') AS x", "target_1h AS y")
 
 

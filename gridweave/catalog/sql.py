@@ -11,15 +11,22 @@ from gridweave.fixed_values import (
     WIDE_COLUMNS,
 )
 
+# added before rounding, so that exact ties do not depend on the last bit of a sum
+PRINT_MARGIN = 0.0312345
 TRAIN_END = "TIMESTAMP '2024-01-23 00:00:00'"
 VALIDATION_START = "TIMESTAMP '2024-01-16 00:00:00'"
 ALL_FEATURES = sorted({*CORE_FEATURES, *EXTENDED_FEATURES})
 
 
-def r(expr: str, digits: int = 6) -> str:
+def half_even(expr: str, digits: int) -> str:
     return f"(round_even(({expr}) * 1e{digits}, 0) / 1e{digits} + 0e0)"
 
 
+def r(expr: str, digits: int = 6) -> str:
+    """Printed digits; see ``inputs.printed`` for the margin."""
+    return f"(round_even(({expr}) * 1e{digits} + CAST('{PRINT_MARGIN!r}' AS DOUBLE), 0) / 1e{digits} + 0e0)"
+
+
 def d(x: float) -> str:
     return f"CAST('{x!r}' AS DOUBLE)"
 
@@ -136,7 +143,7 @@ occ AS (
   FROM occ_6)"""
 HOUSEHOLDS = f"""
 households AS (
-  SELECT *, {r('share * household_size', 3)} AS occupancy_level, {r('share', 3)} AS occupancy_share FROM occ)"""
+  SELECT *, {half_even('share * household_size', 3)} AS occupancy_level, {half_even('share', 3)} AS occupancy_share FROM occ)"""
 
 
 def lag_block(source: str, name: str, key: str) -> str:
@@ -149,9 +156,9 @@ def lag_block(source: str, name: str, key: str) -> str:
 
     return f"""
 {name}_all AS (
-  SELECT *, {r(f'lag(load_kwh, 1) {over})', 4)} AS load_lag_1, {r(f'lag(load_kwh, 24) {over})', 4)} AS load_lag_24,
+  SELECT *, {half_even(f'lag(load_kwh, 1) {over})', 4)} AS load_lag_1, {half_even(f'lag(load_kwh, 24) {over})', 4)} AS load_lag_24,
          {rolling(3)} AS load_rolling_3, {rolling(24)} AS load_rolling_24,
-         {r(f'lead(load_kwh, 1) {over})', 4)} AS target_1h, {r(f'lead(load_kwh, 24) {over})', 4)} AS target_24h
+         {half_even(f'lead(load_kwh, 1) {over})', 4)} AS target_1h, {half_even(f'lead(load_kwh, 24) {over})', 4)} AS target_24h
   FROM {source}),
 {name} AS (
   SELECT * FROM {name}_all WHERE load_lag_1 IS NOT NULL AND load_lag_24 IS NOT NULL AND load_rolling_3 IS NOT NULL

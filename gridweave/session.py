@@ -29,12 +29,6 @@ def get_session(app: str = "gridweave", master: str | None = None, **extra: str)
     return builder.getOrCreate()
 
 
-def tune(spark: SparkSession) -> SparkSession:
-    """Settings that help in a session made elsewhere and can still be changed there."""
-    spark.conf.set("spark.python.sql.dataFrameDebugging.enabled", "false")
-    return spark
-
-
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir`` when the cluster names one."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
