@@ -12,8 +12,6 @@ from gridweave.fixed_values import CORE_FEATURES, MIN_SIGMA
 from gridweave.functions.text import constant_rows, num, quote
 from gridweave.operators import fuzzy
 from gridweave.operators.quantiles import exact_quantiles
-from gridweave.operators.scaling import scaled_target
-from gridweave.operators.splits import add_fit_split
 from gridweave.plans import train
 
 CORE = list(CORE_FEATURES)
@@ -123,15 +121,12 @@ def fuzzy_fit_predict(spark: SparkSession, sf: str) -> DataFrame:
 
 def fuzzy_fit_shared(spark: SparkSession, sf: str) -> DataFrame:
     """Both horizons from one pass over the training rows, which keep the same rows."""
-    stored = i.stored_wide(spark, sf)
-    p, other = i.prepared(spark, sf, "1h", stored), i.prepared(spark, sf, "24h", stored)
-    both = p.scaled("core", extra={"target_24h": "target_24h", "target_24h_scaled": scaled_target("target_24h", other.stats)})
-    rows = add_fit_split(both, i.VALIDATION_START, i.TRAIN_END)
-    models = train.fit_shared(rows, {"1h": "target_1h_scaled", "24h": "target_24h_scaled"})
-    scored = fuzzy.score(fuzzy.score(rows, models["1h"], "p1"), models["24h"], "p24")
-    return fuzzy.split_rmse(scored, "target_1h_scaled", "p1").join(
-        fuzzy.split_rmse(scored, "target_24h_scaled", "p24").selectExpr("split", "rmse AS rmse_24h"), "split"
-    )
+    data, models = train.fit_wide(i.stored_wide(spark, sf), i.VALIDATION_START, i.TRAIN_END)
+    parts = [
+        train.fit_diagnostics(train.score_fit_data(x, models[h]), x.target).selectExpr(f"'{h}' AS horizon", "*")
+        for h, x in data.items()
+    ]
+    return parts[0].unionByName(parts[1])
 
 
 QUERIES = {

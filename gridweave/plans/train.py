@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.fixed_values import (
@@ -12,27 +12,29 @@ from gridweave.fixed_values import (
     META_COLUMNS,
     N_MFS,
     RIDGE_ALPHA,
+    TARGETS,
     TRAIN_END,
     VALIDATION_START,
 )
 from gridweave.functions.errors import metric_aggregates
-from gridweave.functions.text import Expr, add, array, num, quote, select
+from gridweave.functions.text import Expr, add, any_of, array, num, quote, select, table
 from gridweave.operators import baselines, evaluate, fuzzy
 from gridweave.operators.quality import (
     DataQualityError,
+    invalid_row,
     quality_checks,
     raise_on_violations,
     raw_scaled_parity,
     require_columns,
     stats_coverage,
 )
-from gridweave.operators.scaling import Stats, feature_columns, stats_table, unscaled
+from gridweave.operators.scaling import Stats, feature_columns, scaled_target, stats_table, unscaled
 from gridweave.operators.splits import add_fit_split, require_splits
-from gridweave.plans.preprocess import Prepared
+from gridweave.plans.preprocess import ALL_FEATURES, Prepared, prepare
 from gridweave.session import scratch_path
 from gridweave.sources.models import save_baseline
 
-KEYS = ["profile_code", "datetime"]
+SPLITS = ("train_fit", "validation", "test")
 
 
 @dataclass(frozen=True)
@@ -83,8 +85,8 @@ def fit_horizons(
     """One model per horizon, each from its own training rows."""
     out = {}
     for d in data:
-        sizes = require_splits(d.rows, ("train_fit", "validation", "test"))
-        train = d.rows.filter(F.col("split") == "train_fit")
+        sizes = require_splits(d.rows, SPLITS)
+        train = d.rows.filter("split = 'train_fit'")
         start = fuzzy.initialize_memberships(train, features, n_mfs, rows=sizes["train_fit"])
         target = f"{d.target}_scaled"
         fitted = fuzzy.fit_consequents(train, start, [target], alpha)[target]
@@ -92,18 +94,39 @@ def fit_horizons(
     return out
 
 
-def fit_shared(
-    both: DataFrame, targets: dict[str, str], n_mfs: int = N_MFS, alpha: float = RIDGE_ALPHA,
-    features: tuple[str, ...] = CORE_FEATURES,
-) -> dict[str, fuzzy.FuzzyModel]:
-    """Models of all horizons from one pass, for horizons that keep the same rows and statistics.
+def horizons_agree(wide: DataFrame) -> bool:
+    """Whether every row is valid for all horizons or for none: one aggregate."""
+    bad = [invalid_row(ALL_FEATURES, t) for t in TARGETS.values()]
+    differs = any_of(f"{b} <> {bad[0]}" for b in bad[1:])
+    return wide.selectExpr(f"count_if(coalesce({differs}, true)) AS n").first()["n"] == 0
+
 
-    ``targets`` maps horizon to scaled target column; all of them must be filled in every row.
+def fit_wide(
+    wide: DataFrame,
+    validation_start: str = VALIDATION_START,
+    train_end: str = TRAIN_END,
+    n_mfs: int = N_MFS,
+    alpha: float = RIDGE_ALPHA,
+) -> tuple[dict[str, FitData], dict[str, fuzzy.FuzzyModel]]:
+    """Models of all horizons from one wide table.
+
+    Horizons that keep the same rows have the same scaled inputs, so they share the quantiles and
+    one pass for D'D and every D'y. Otherwise each horizon is fitted on its own rows.
     """
-    train = both.filter(F.col("split") == "train_fit")
-    start = fuzzy.initialize_memberships(train, features, n_mfs)
-    fitted = fuzzy.fit_consequents(train, start, list(targets.values()), alpha)
-    return {h: replace(fitted[t], metadata={"horizon": h, "target_column": t}) for h, t in targets.items()}
+    prepared = {h: prepare(wide, h, train_end) for h in TARGETS}
+    data = {h: fit_data(p, validation_start, train_end) for h, p in prepared.items()}
+    if not horizons_agree(wide):
+        return data, fit_horizons(list(data.values()), n_mfs, alpha)
+    first = next(iter(prepared.values()))
+    extra = {f"y_{h}": scaled_target(p.target, p.stats) for h, p in prepared.items()}
+    rows = add_fit_split(first.scaled("core", extra=extra), validation_start, train_end)
+    sizes = require_splits(rows, SPLITS)
+    train = rows.filter("split = 'train_fit'")
+    start = fuzzy.initialize_memberships(train, CORE_FEATURES, n_mfs, rows=sizes["train_fit"])
+    fitted = fuzzy.fit_consequents(train, start, list(extra), alpha)
+    return data, {
+        h: replace(fitted[f"y_{h}"], metadata={"horizon": h, "target_column": p.target}) for h, p in prepared.items()
+    }
 
 
 def score_fit_data(data: FitData, model: fuzzy.FuzzyModel) -> DataFrame:
@@ -121,17 +144,21 @@ def test_predictions(data: FitData, model: fuzzy.FuzzyModel, text_time: bool = T
 
     The split filter runs before scoring, so only test rows reach Python.
     """
-    test = replace(data, rows=data.rows.filter(F.col("split") == "test"))
+    test = replace(data, rows=data.rows.filter("split = 'test'"))
     scored = score_fit_data(test, model)
     return evaluate.prediction_frame(scored, data.target, "predicted", "raw_lag_24", text_time=text_time)
 
 
 def run_records(
-    data: FitData, model: fuzzy.FuzzyModel, run_id: str, validation_start: str = VALIDATION_START
+    data: FitData,
+    model: fuzzy.FuzzyModel,
+    run_id: str,
+    validation_start: str = VALIDATION_START,
+    paths: dict[str, str] | None = None,
 ) -> DataFrame:
     """One row per run and horizon: parameters, split rows, scaled and raw-unit metrics.
 
-    Every number comes from one scoring pass over all splits.
+    ``paths`` names the data read and the artifacts written. Every number comes from one scoring pass over all splits.
     """
     scored = score_fit_data(data, model)
     error = f"(predicted_scaled - {data.target}_scaled)"
@@ -144,8 +171,14 @@ def run_records(
     )
     record = {
         "run_id": quote(run_id),
+        "run_time": "localtimestamp()",
         "horizon": quote(data.horizon),
-        **{f"{s}_rows": f"count_if(split = '{s}')" for s in ("train_fit", "validation", "test")},
+        "target_column": quote(data.target),
+        "feature_set": quote("core"),
+        "paths": "map_from_entries(CAST({} AS ARRAY<STRUCT<name: STRING, path: STRING>>))".format(
+            table({"name": quote(n), "path": quote(p)} for n, p in sorted((paths or {}).items()))
+        ),
+        **{f"{s}_rows": f"count_if(split = '{s}')" for s in SPLITS},
         "ridge_alpha": num(model.ridge_alpha),
         "n_mfs": str(model.n_mfs),
         "n_rules": str(model.n_rules),

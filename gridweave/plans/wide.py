@@ -16,7 +16,6 @@ from gridweave.operators.profiles import fan_out, profile_table
 from gridweave.operators.quality import require_columns
 from gridweave.operators.series import Series, add_lag_block, rows_bound
 from gridweave.plans.panel import hourly_load, hourly_weather
-from gridweave.session import scratch_path
 
 HOUSEHOLD = Series(keys=("profile_code",))
 # eleven years of hours, about 40 MB of features
@@ -68,8 +67,11 @@ def build_wide(features: DataFrame, load: DataFrame, *, bound: int | None = None
 
 
 def wide_from_events(spark: SparkSession, events: DataFrame) -> DataFrame:
-    """The hourly features are written once, as small as the calendar, and read by both joins."""
+    """Weather and loads from one event table.
+
+    The row filter of ``build_wide`` needs the hours only, so its copy of the feature plan
+    shrinks to a scan of the time column.
+    """
     bound = rows_bound(events, "ts")
-    path = scratch_path(spark, "hourly-features")
-    add_features(clean_weather(hourly_weather(events), bound=bound)).write.parquet(path)
-    return build_wide(spark.read.parquet(path), hourly_load(events), bound=bound)
+    features = add_features(clean_weather(hourly_weather(events), bound=bound))
+    return build_wide(features, hourly_load(events), bound=bound)

@@ -111,6 +111,11 @@ def append_runs(runs: DataFrame, path: str) -> None:
     runs.write.mode("append").parquet(path)
 
 
+def write_model_predictions(predictions: DataFrame, path: str) -> None:
+    """Long prediction rows of all baselines, a folder per dataset and horizon."""
+    predictions.write.mode("overwrite").partitionBy("dataset", "horizon").parquet(path)
+
+
 def write_model_metrics(metrics: DataFrame, path: str) -> None:
     """All baseline metrics in one table, a folder per dataset and horizon."""
     metrics.write.mode("overwrite").partitionBy("dataset", "horizon").parquet(path)

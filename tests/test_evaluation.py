@@ -69,7 +69,9 @@ def test_missing_lag_fails(data):
 
 def test_run_end_to_end(spark, data, tmp_path):
     model = train.fit_horizons([data], n_mfs=1)["1h"]
-    record = train.run_records(data, model, "run").first()
+    record = train.run_records(data, model, "run", paths={"model": "shared/m1"}).first()
+    assert record["paths"] == {"model": "shared/m1"} and record["target_column"] == "load_kwh"
+    assert train.run_records(data, model, "run").first()["paths"] == {}
     assert (record["train_fit_rows"], record["validation_rows"], record["test_rows"]) == (48, 48, 48)
     assert record["n_rules"] == 1 and record["predictions_finite"] is True
     scored = train.score_fit_data(data, model).toPandas()
@@ -112,6 +114,8 @@ def test_baselines_fit_save_and_compare(spark, data, tmp_path):
     assert set(baselines.MODEL_NAMES) <= set(wide.columns) and wide.count() == 48
     long = train.baseline_rows(wide, "core", "1h")
     assert long.count() == 4 * 48
+    files.write_model_predictions(long, str(tmp_path / "predictions"))
+    assert spark.read.parquet(str(tmp_path / "predictions")).filter("dataset = 'core'").count() == 192
     scores = baselines.score_models(long, ["dataset", "horizon", "model"])
     table = baselines.comparison_table(scores).toPandas()
     assert sorted(table["metric"]) == ["mae", "mape", "r2", "rmse"]

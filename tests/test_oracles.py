@@ -30,3 +30,13 @@ def test_matches_sql(spark, sf, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - SLOW))
 def test_runs(spark, sf, name):
     assert len(QUERIES[name](spark, sf).toPandas()) > 0
+
+
+def test_shared_pass_equals_separate_fits(spark, sf):
+    rows = [
+        {(r["horizon"], r["split"]): (r["rows"], r["rmse"]) for r in QUERIES[name](spark, sf).collect()}
+        for name in ("fuzzy_fit_predict", "fuzzy_fit_shared")
+    ]
+    assert rows[0].keys() == rows[1].keys() and len(rows[0]) == 6
+    for key, (n, rmse) in rows[0].items():
+        assert rows[1][key][0] == n and rows[1][key][1] == pytest.approx(rmse, rel=1e-6)
