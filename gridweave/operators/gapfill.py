@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.functions.text import Expr, add, col, window
-from gridweave.operators.series import BUCKET_STEPS, PLAIN_ROWS, Series, with_positions
+from gridweave.operators.series import BUCKET_STEPS, PLAIN_ROWS, Series, cell, with_positions
 
 FROM_START = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 BEFORE_THIS = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
@@ -59,7 +59,7 @@ def interpolate(
         parts, carried = keys, False
     else:
         positioned = _with_neighbours(with_positions(df, series, bucket_steps), keys, columns)
-        parts, carried = [*keys, "_bucket"], True
+        parts, carried = ["_cell"], True
 
     up = window(parts, "_pos", FROM_START)
     down = window(parts, "_pos DESC", FROM_START)
@@ -84,10 +84,8 @@ def _with_neighbours(positioned: DataFrame, keys: list[str], columns: list[str])
     )
     past, future = window(keys, "_bucket", BEFORE_THIS), window(keys, "_bucket DESC", BEFORE_THIS)
     neighbours = edges.selectExpr(
-        *[f"{col(k)} AS `_k_{k}`" for k in keys],
-        "_bucket AS _k_bucket",
+        f"{cell(keys)} AS _cell",
         *[f"last({col(f'_last_{c}')}, true) OVER {past} AS {col(f'_prev_{c}')}" for c in columns],
         *[f"last({col(f'_first_{c}')}, true) OVER {future} AS {col(f'_next_{c}')}" for c in columns],
     )
-    match = " AND ".join([f"{col(k)} <=> `_k_{k}`" for k in keys] + ["_bucket <=> _k_bucket"])
-    return positioned.join(neighbours, F.expr(match), "left").drop(*[f"_k_{k}" for k in keys], "_k_bucket")
+    return positioned.join(neighbours, "_cell")

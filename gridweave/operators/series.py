@@ -42,24 +42,25 @@ def rows_bound(df: DataFrame, time: str, step: str = "hour") -> int:
 
 
 def with_positions(df: DataFrame, series: Series, bucket_steps: int = BUCKET_STEPS) -> DataFrame:
-    """Adds ``_bucket`` and ``_pos``, the 0-based row position inside the series.
+    """Adds ``_bucket``, ``_cell`` and ``_pos``, the 0-based row position inside the series.
 
     Buckets of the time grid hold at most ``bucket_steps`` rows. Only bucket counts travel to
-    a per-series window, and an hourly calendar has about two buckets a year. The join and the
-    numbering share the partitioning by (key, bucket).
+    a per-series window, and an hourly calendar has about two buckets a year. ``_cell`` is the
+    struct (keys, bucket): as one key it lets the join and the numbering share an exchange, and
+    null keys stay equal to each other.
     """
     keys = list(series.keys)
-    bucketed = add(df, {"_bucket": f"floor({grid_index(col(series.time), series.step)} / {bucket_steps})"})
+    numbered = add(df, {"_bucket": f"floor({grid_index(col(series.time), series.step)} / {bucket_steps})"})
+    bucketed = add(numbered, {"_cell": cell(keys)})
     counts = bucketed.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = window(keys, "_bucket", "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING")
-    offsets = counts.selectExpr(
-        *[f"{col(k)} AS `_k_{k}`" for k in keys], "_bucket AS _k_bucket", f"coalesce(sum(_n) OVER {before}, 0) AS _offset"
-    )
-    match = " AND ".join([f"{col(k)} <=> `_k_{k}`" for k in keys] + ["_bucket <=> _k_bucket"])
-    inside = window([*keys, "_bucket"], col(series.time))
-    joined = bucketed.join(offsets, F.expr(match), "left")
-    numbered = add(joined, {"_pos": f"_offset + row_number() OVER {inside} - 1"})
-    return numbered.drop(*[f"_k_{k}" for k in keys], "_k_bucket", "_offset")
+    offsets = counts.selectExpr(f"{cell(keys)} AS _cell", f"coalesce(sum(_n) OVER {before}, 0) AS _offset")
+    inside = window(["_cell"], col(series.time))
+    return add(bucketed.join(offsets, "_cell"), {"_pos": f"_offset + row_number() OVER {inside} - 1"}).drop("_offset")
+
+
+def cell(keys: list[str]) -> Expr:
+    return f"struct({cols([*keys, '_bucket'])})"
 
 
 def with_chunks(df: DataFrame, before: int, after: int, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -99,7 +100,7 @@ def over_series(
         return add(df, columns(list(series.keys), col(series.time)))
     chunks = with_chunks(with_positions(df, series), before, after, chunk_rows)
     made = add(chunks, columns([*series.keys, "_chunk"], "_pos"))
-    return made.filter("_own").drop("_bucket", "_pos", "_chunk", "_own")
+    return made.filter("_own").drop("_bucket", "_cell", "_pos", "_chunk", "_own")
 
 
 def rolling_mean_before(value: Expr, rows: int, keys: list[str], order: str, decimals: int | None) -> Expr:

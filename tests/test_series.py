@@ -68,6 +68,18 @@ def test_both_window_forms_agree_exactly(spark):
         pd.testing.assert_frame_equal(chunked[plain.columns], plain)
 
 
+def test_a_missing_key_is_a_series_of_its_own(spark):
+    pdf = make(np.random.default_rng(8), {"a": 200, "b": 90})
+    pdf.loc[pdf["series_id"] == "b", "series_id"] = None
+    df = frame(spark, pdf)
+    plain = read(add_lag_block(df, Series(), bound=6000))
+    chunked = read(add_lag_block(df, Series(), chunk_rows=32))
+    assert plain["series_id"].isna().sum() == 90 - 48
+    pd.testing.assert_frame_equal(chunked[plain.columns], plain)
+    filled = read(interpolate(df, Series(), ["load_kwh"], bucket_steps=16))
+    assert len(filled) == 290
+
+
 def test_one_hot_series_is_split_over_tasks(spark):
     """No chunk exceeds its size plus the copied edges, whatever the series length."""
     from gridweave.operators.series import with_chunks
