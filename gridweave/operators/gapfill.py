@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.functions.text import Expr, add, col, window
+from gridweave.functions.text import Expr, add, col, cols, window
 from gridweave.operators.series import BUCKET_STEPS, PLAIN_ROWS, Series, cell, with_positions
 
 FROM_START = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
@@ -22,7 +22,10 @@ def dense_grid(panel: DataFrame, series: Series) -> DataFrame:
     hi = panel.agg(F.max(series.time)).scalar()
     steps = F.sequence(lo, hi, F.expr(STEP_INTERVAL[series.step]))
     grid = panel.select(*series.keys).distinct().select(*series.keys, F.explode(steps).alias(series.time))
-    return grid.join(panel, [*series.keys, series.time], "left")
+    # one struct as the join key: a null series key matches itself
+    key = f"struct({cols([*series.keys, series.time])}) AS _g"
+    values = [c for c in panel.columns if c not in (*series.keys, series.time)]
+    return grid.selectExpr("*", key).join(panel.selectExpr(key, *map(col, values)), "_g", "left").drop("_g")
 
 
 def _known(c: str) -> Expr:

@@ -13,13 +13,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.functions.text import Expr, add, array, col, num, quote, table, window
+from gridweave.functions.text import Expr, add, array, col, cols, num, quote, table, window
 from gridweave.session import ensure_checkpoint_dir
 
 BUFFER_ROWS = 1_000_000
 ACCURACY = 10_000
 START_MARGIN = 3.0 / ACCURACY
 GRID = 1000
+BROADCAST_SLOTS = 100_000
 
 
 def long_values(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -89,19 +90,25 @@ def _brackets(inside: DataFrame, targets: DataFrame, group: list[str], margin: f
     )
 
 
-def _narrowed(values: DataFrame, group: list[str], probabilities: list[float], buffer_rows: int) -> DataFrame:
-    ensure_checkpoint_dir(values.sparkSession)
-    # several passes follow: write the few columns once instead of rebuilding them every time
-    values = values.checkpoint()
-    slot = [*group, "_i"]
+def _narrowed(long: DataFrame, keys: list[str], probabilities: list[float], buffer_rows: int) -> DataFrame:
+    ensure_checkpoint_dir(long.sparkSession)
+    group, slot = ["_g"], ["_g", "_i"]
+    # several passes follow: write the two columns once instead of rebuilding them every time;
+    # the keys form one struct, so that null keys match each other in the joins
+    values = long.selectExpr(f"struct({cols(keys)}) AS _g", "value").checkpoint()
     targets = _targets(values, group, probabilities).checkpoint()
-    slots = targets.selectExpr(*slot, "0L AS _below")
+    few = targets.count() <= BROADCAST_SLOTS
+
+    def lookup(df: DataFrame) -> DataFrame:
+        """One row per group and probability: small for few groups, else a join that AQE may split."""
+        return F.broadcast(df) if few else df
+
     # the rows of a group enter once per wanted probability, as partial aggregates only
-    inside = values.join(slots, group)
+    inside = values.join(lookup(targets.selectExpr(*slot, "0L AS _below")), group)
     margin, last = START_MARGIN, None
     while True:
         limits = _brackets(inside, targets, group, margin).checkpoint()
-        placed = values.join(limits, group)
+        placed = values.join(lookup(limits), group)
         found = placed.groupBy(*slot).agg(
             F.expr("count_if(value < _lo)").alias("_below"),
             F.expr("count_if(value BETWEEN _lo AND _hi)").alias("_inside"),
@@ -114,9 +121,9 @@ def _narrowed(values: DataFrame, group: list[str], probabilities: list[float], b
         if misses:
             margin *= 10
             continue
-        inside = values.join(proven, group).filter("value BETWEEN _lo AND _hi")
+        inside = values.join(lookup(proven), group).filter("value BETWEEN _lo AND _hi")
         if widest <= buffer_rows or widest == last:
-            return _ordered(inside, group)
+            return _ordered(inside, group).selectExpr("_g.*", "quantiles")
         last = widest
         inside = inside.select(*slot, "value", "_below")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridweave.fixed_values import HISTOGRAM_BINS
-from gridweave.functions.text import Expr, aggregate_rows, col, num, quote, select, table
+from gridweave.functions.text import Expr, aggregate_rows, col, cols, num, quote, select, table
 from gridweave.operators.quantiles import BUFFER_ROWS, exact_quantiles
 
 QUARTILES = [0.25, 0.5, 0.75]
@@ -80,7 +80,9 @@ def describe(
     )
     moments = grouped(df, keys, {"_r": entries}).selectExpr(*keys, "inline(_r)")
     quartiles = exact_quantiles(df, columns, QUARTILES, keys, buffer_rows)
-    joined = moments.join(quartiles, [*keys, "column"], "left")
+    # one struct as the join key: null keys match each other
+    key = f"struct({cols([*keys, 'column'])}) AS _g"
+    joined = moments.selectExpr("*", key).join(quartiles.selectExpr(key, "quantiles"), "_g", "left")
     picked = {"p25": "quantiles[0]", "p50": "quantiles[1]", "p75": "quantiles[2]"}
     return joined.selectExpr(*select([*keys, "column", "count", "mean", "std", "min"], picked), "max")
 

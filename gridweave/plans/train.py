@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from gridweave.fixed_values import (
     CORE_FEATURES,
@@ -17,7 +16,7 @@ from gridweave.fixed_values import (
     VALIDATION_START,
 )
 from gridweave.functions.errors import metric_aggregates
-from gridweave.functions.text import Expr, add, any_of, array, num, quote, select, table
+from gridweave.functions.text import Expr, add, any_of, array, cols, num, quote, select, table
 from gridweave.operators import baselines, evaluate, fuzzy
 from gridweave.operators.quality import (
     DataQualityError,
@@ -64,8 +63,8 @@ def fit_data_from_files(
     spark = scaled.sparkSession
     require_columns(scaled, [*META_COLUMNS, *features, target, f"{target}_scaled"], "scaled data")
     require_columns(raw, [*META_COLUMNS, *features, target], "raw data")
-    raise_on_violations(quality_checks(scaled, list(features), [target]), "scaled data")
-    raise_on_violations(quality_checks(raw, list(features), [target]), "raw data")
+    raise_on_violations(quality_checks(scaled, [*features, f"{target}_scaled"], [target], "datetime"), "scaled data")
+    raise_on_violations(quality_checks(raw, list(features), [target], "datetime"), "raw data")
     gaps = stats_coverage(spark, stats_table(spark, stats), [*features, target]).collect()
     if gaps:
         raise DataQualityError(f"scaler statistics: {[(g['column'], g['problem']) for g in gaps]}")
@@ -74,8 +73,9 @@ def fit_data_from_files(
         raise DataQualityError(f"raw and scaled rows do not match: {parity.asDict()}")
     if parity["repeated_keys"]:
         raise DataQualityError(f"{parity['repeated_keys']} repeated keys")
-    lag = raw.select(*META_COLUMNS, F.col("load_lag_24").alias("raw_lag_24"))
-    rows = scaled.drop("split").join(lag, list(META_COLUMNS))
+    key = f"struct({cols(META_COLUMNS)}) AS _g"
+    lag = raw.selectExpr(key, "load_lag_24 AS raw_lag_24")
+    rows = scaled.drop("split").selectExpr("*", key).join(lag, "_g").drop("_g")
     return FitData(horizon, target, add_fit_split(rows, validation_start, train_end), stats)
 
 

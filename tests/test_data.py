@@ -122,6 +122,8 @@ def test_files_to_fit_data_rejects_bad_input(processed):
         load(s=scaled_rows.drop("humidity"))
     with pytest.raises(DataQualityError, match=r"negative\(load_kwh\)"):
         load(r=put(raw, {"load_kwh": "load_kwh - 1000"}))
+    with pytest.raises(DataQualityError, match=r"invalid_time\(datetime\)=6"):
+        load(s=put(scaled_rows, {"datetime": "CASE WHEN hour(datetime) <> 2 THEN datetime END"}))
     with pytest.raises(DataQualityError, match="do not match"):
         load(r=raw.filter("hour(datetime) <> 1"))
     with pytest.raises(DataQualityError, match="scaler statistics"):

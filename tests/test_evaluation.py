@@ -10,7 +10,7 @@ from gridweave.operators.scaling import ColumnStats
 from gridweave.plans import train
 from gridweave.plans.preprocess import Prepared
 from gridweave.sources import files
-from gridweave.sources.models import load_baseline, save_baseline
+from gridweave.sources.models import load_baseline
 from gridweave.streaming.scoring import read_rows, score_stream, write_scores
 
 

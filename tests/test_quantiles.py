@@ -49,6 +49,13 @@ def test_per_group(data, limit):
             )
 
 
+def test_null_group_is_kept(spark):
+    df = spark.createDataFrame([(None, float(v)) for v in range(101)] + [("a", float(v)) for v in range(11)], "g string, v double")
+    for limit in (5, 10**6):
+        got = {r["g"]: (r["count"], r["p25"], r["p50"]) for r in describe(df, ["v"], ["g"], buffer_rows=limit).collect()}
+        assert got == {None: (101, 25.0, 50.0), "a": (11, 2.5, 5.0)}
+
+
 def test_histogram_equals_numpy(data):
     pdf, df = data
     counts, edges = np.histogram(pdf["normal"], bins=50)
