@@ -149,10 +149,14 @@ def partial_sums(df: DataFrame, model: FuzzyModel, targets: list[str]) -> DataFr
 
 def unpack(sums: DataFrame, width: int, n_targets: int) -> tuple[np.ndarray, np.ndarray]:
     """Driver side: model-sized matrices, whatever the number of input rows."""
-    found = {r["segment"]: r["values"] for r in sums.collect()}
-    if not found:
+    found = sums.toArrow().combine_chunks()
+    if not found.num_rows:
         raise DataQualityError("no rows to fit on")
-    packed = np.concatenate([found[i] for i in range(len(found))])
+    segments, values = found["segment"].to_numpy(), found["values"].combine_chunks()
+    # a single chunk is a list array already; its parts follow each other in row order
+    values = values.chunk(0) if hasattr(values, "chunk") else values
+    starts, flat = values.offsets.to_numpy(), values.values.to_numpy()
+    packed = np.concatenate([flat[starts[row] : starts[row + 1]] for row in np.argsort(segments)])
     triangle = width * (width + 1) // 2
     gram = np.zeros((width, width))
     rows, cols = np.triu_indices(width)
