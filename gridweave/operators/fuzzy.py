@@ -155,7 +155,8 @@ def unpack(sums: DataFrame, width: int, n_targets: int) -> tuple[np.ndarray, np.
     segments, values = found["segment"].to_numpy(), found["values"].combine_chunks()
     # a single chunk is a list array already; its parts follow each other in row order
     values = values.chunk(0) if hasattr(values, "chunk") else values
-    starts, flat = values.offsets.to_numpy(), values.values.to_numpy()
+    # a sum spoilt by a missing input arrives as null and becomes NaN here
+    starts, flat = values.offsets.to_numpy(), values.values.to_numpy(zero_copy_only=False)
     packed = np.concatenate([flat[starts[row] : starts[row + 1]] for row in np.argsort(segments)])
     triangle = width * (width + 1) // 2
     gram = np.zeros((width, width))
