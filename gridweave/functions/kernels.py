@@ -86,7 +86,7 @@ def add_segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for segment, values in zip(batch["segment"], batch["values"]):
             if segment in totals:
-                totals[segment] += values
+                totals[segment] += np.asarray(values, dtype=float)
             else:
                 totals[segment] = np.array(values, dtype=float)
     if totals:
