@@ -3,10 +3,11 @@
 import pytest
 from oracle import connect, differences
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from gridweave.catalog import all_oracles, all_queries
 
 SLOW = {"baseline_boosted", "baseline_forest"}
-QUERIES, SQL = queries(), oracle_sql()
+QUERIES, SQL = all_queries(), all_oracles()
 
 
 @pytest.fixture(scope="module")
