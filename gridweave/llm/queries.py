@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridweave.llm import exact_dedup
+from gridweave.llm import exact_dedup, licenses, packing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,12 +15,29 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    """The vocabulary that packing uses; every executor has it at the same place."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op7_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.memberships(table(spark, sf, "documents"))
 
 
+def op1_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(table(spark, sf, "documents"), tokenizer_path())
+
+
+def op10_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.report(table(spark, sf, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op7_exact_dedup": op7_exact_dedup,
+    "op1_best_fit_packing": op1_best_fit_packing,
+    "op10_license_scan": op10_license_scan,
 }
 
 ORACLE: dict[str, str] = {
