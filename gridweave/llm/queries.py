@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridweave.llm import exact_dedup, licenses, packing, secret_scan, simhash
+from gridweave.llm import exact_dedup, licenses, packing, secret_scan, sharding, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,12 +42,17 @@ def op5_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.classes(table(spark, sf, "documents"))
 
 
+def op6_sharding(spark: SparkSession, sf: str) -> DataFrame:
+    return sharding.shard(table(spark, sf, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op7_exact_dedup": op7_exact_dedup,
     "op1_best_fit_packing": op1_best_fit_packing,
     "op10_license_scan": op10_license_scan,
     "op2_secret_scan": op2_secret_scan,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_sharding": op6_sharding,
 }
 
 ORACLE: dict[str, str] = {
