@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridweave.llm import exact_dedup, licenses, packing, secret_scan, sharding, simhash
+from gridweave.llm import decontamination, exact_dedup, licenses, packing, secret_scan, sharding, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,6 +46,10 @@ def op6_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.shard(table(spark, sf, "documents"))
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op7_exact_dedup": op7_exact_dedup,
     "op1_best_fit_packing": op1_best_fit_packing,
@@ -53,6 +57,7 @@ QUERIES: dict[str, Query] = {
     "op2_secret_scan": op2_secret_scan,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_sharding": op6_sharding,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
 }
 
 ORACLE: dict[str, str] = {
