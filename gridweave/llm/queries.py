@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridweave.llm import decontamination, exact_dedup, licenses, packing, secret_scan, sharding, simhash, substring_dedup
+from gridweave.llm import decontamination, exact_dedup, language, licenses, packing, quality, secret_scan, sharding, simhash, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -54,6 +54,15 @@ def op9_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    found = language.identify(table(spark, sf, "documents"), "text", declared="lang", host="source", keep=["doc_id"])
+    return found.select("row.doc_id", "language", "confidence", "text_language", "accepted")
+
+
+def op4_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op7_exact_dedup": op7_exact_dedup,
     "op1_best_fit_packing": op1_best_fit_packing,
@@ -63,6 +72,8 @@ QUERIES: dict[str, Query] = {
     "op6_sharding": op6_sharding,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_substring_dedup": op9_substring_dedup,
+    "op3_language_id": op3_language_id,
+    "op4_quality_rules": op4_quality_rules,
 }
 
 ORACLE: dict[str, str] = {
