@@ -8,7 +8,6 @@ from gridweave.catalog import inputs as i
 from gridweave.catalog import sql as q
 from gridweave.catalog.sql import r
 from gridweave.functions.calendar import hour_start
-from gridweave.functions.household import activity_windows, add_load_components, lighting_factor, load_components
 from gridweave.functions.text import add
 from gridweave.operators.dedup import duplicate_count, keep_first, repeated_rows
 from gridweave.operators.evaluate import plot_window, plot_windows
@@ -44,10 +43,8 @@ def weather_flags(spark: SparkSession, sf: str) -> DataFrame:
     return i.rounded(out, ["humidity", "cooling_degree", "heating_degree", "temp_humidity_interaction"])
 
 
-def meal_and_windows(spark: SparkSession, sf: str) -> DataFrame:
-    made = add(i.panel_features(spark, sf), {**activity_windows(), "lighting_factor": lighting_factor()})
-    meals = ["breakfast_hour", "lunch_hour", "dinner_hour"]
-    out = made.select(*KEY, *meals, "meal_activity", *activity_windows(), "lighting_factor")
+def meal_hours(spark: SparkSession, sf: str) -> DataFrame:
+    out = i.panel_features(spark, sf).select(*KEY, "breakfast_hour", "lunch_hour", "dinner_hour", "meal_activity")
     return i.rounded(out, ["meal_activity"])
 
 
@@ -64,13 +61,6 @@ def profile_cross_occupancy(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def component_load(spark: SparkSession, sf: str) -> DataFrame:
-    flags = panel.hourly_load(i.events(spark, sf)).select("profile_code", "datetime", "laundry_activity")
-    rows = i.households(spark, sf).join(flags, ["profile_code", "datetime"])
-    names = [*load_components(), "expected_load"]
-    return i.rounded(add_load_components(rows).select("profile_code", "datetime", *names), names)
-
-
 def profile_attach(spark: SparkSession, sf: str) -> DataFrame:
     """Load per profile beside its attributes, by key."""
     loads = panel.hourly_load(i.events(spark, sf))
@@ -167,8 +157,8 @@ def wide_dataset(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        panel_hourly, calendar_features, weather_flags, meal_and_windows, holiday_range_join,
-        profile_cross_occupancy, component_load, profile_attach, array_json_to_rows, lag_target_rolling,
+        panel_hourly, calendar_features, weather_flags, meal_hours, holiday_range_join,
+        profile_cross_occupancy, profile_attach, array_json_to_rows, lag_target_rolling,
         lag_target_rolling_split_series, lag_target_user_hours, lag_supplier_daily, gap_fill_linear,
         gap_fill_linear_split_series, dedup_first, duplicate_rows, duplicate_row_count, first_profile,
         plot_window_first_series, plot_window_all_series, wide_dataset,
@@ -186,11 +176,11 @@ def _rounded(names: list[str]) -> str:
 
 _LAG_SELECT = f"SELECT series_id, datetime, load_kwh, {_cols(LAGS)} FROM lags"
 _GAP = q.BASE + f""",
-keys AS (SELECT DISTINCT series_id FROM panel),
-hours AS (SELECT unnest(generate_series(min(datetime), max(datetime), INTERVAL 1 HOUR)) AS datetime FROM panel),
-grid AS (SELECT keys.series_id, hours.datetime, load_kwh, apparent_temperature,
-                row_number() OVER (PARTITION BY keys.series_id ORDER BY hours.datetime) AS pos
-         FROM keys CROSS JOIN hours LEFT JOIN panel ON panel.series_id = keys.series_id AND panel.datetime = hours.datetime),
+hours AS (SELECT series_id, unnest(generate_series(min(datetime), max(datetime), INTERVAL 1 HOUR)) AS datetime
+          FROM panel GROUP BY series_id),
+grid AS (SELECT hours.series_id, hours.datetime, load_kwh, apparent_temperature,
+                row_number() OVER (PARTITION BY hours.series_id ORDER BY hours.datetime) AS pos
+         FROM hours LEFT JOIN panel ON panel.series_id = hours.series_id AND panel.datetime = hours.datetime),
 near AS (SELECT *,
            max(CASE WHEN load_kwh IS NOT NULL THEN pos END) OVER up AS b, min(CASE WHEN load_kwh IS NOT NULL THEN pos END) OVER down AS a
          FROM grid
@@ -204,11 +194,6 @@ SELECT series_id, datetime,
   {r("CASE WHEN a = b THEN bl WHEN b IS NULL THEN al WHEN a IS NULL THEN bl ELSE bl + (pos - b) * (al - bl) / (a - b) END")} AS load_kwh,
   {r("CASE WHEN a = b THEN bt WHEN b IS NULL THEN tt WHEN a IS NULL THEN bt ELSE bt + (pos - b) * (tt - bt) / (a - b) END")} AS apparent_temperature
 FROM lined"""
-_BETWEEN_HOURS = "CASE WHEN {c} THEN 1 ELSE 0 END"
-
-
-def _flag(condition: str) -> str:
-    return _BETWEEN_HOURS.format(c=condition)
 
 
 ORACLE = {
@@ -219,44 +204,13 @@ ORACLE = {
     "weather_flags": q.CALENDAR
     + f"""SELECT series_id, datetime, rain, cloud_cover, humid_hot, rainy_hour, heavy_rain, dark_or_cloudy,
        {_rounded(["humidity", "cooling_degree", "heating_degree", "temp_humidity_interaction"])} FROM feat""",
-    "meal_and_windows": q.CALENDAR
-    + f"""SELECT series_id, datetime, breakfast_hour, lunch_hour, dinner_hour, {r("meal_activity")} AS meal_activity,
-       {_flag("is_weekend = 1 AND hour BETWEEN 8 AND 16")} AS weekend_laundry_window,
-       {_flag("holiday_effect = 1 AND hour BETWEEN 9 AND 16")} AS holiday_laundry_window,
-       {_flag("is_workday = 1 AND hour BETWEEN 19 AND 21")} AS workday_laundry_window,
-       {_flag("hour IN (6, 7, 11, 12, 18, 19, 20)")} AS meal_window,
-       {_flag("hour BETWEEN 7 AND 22 AND (is_workday = 0 OR hour >= 18)")} AS appliance_window,
-       {_flag("cooling_degree >= 5 AND hour BETWEEN 18 AND 22")} AS ac_startup_window,
-       CASE WHEN hour >= 18 OR hour <= 5 THEN 1e0 WHEN cloud_cover >= 85 THEN 35e-2 ELSE 0e0 END AS lighting_factor
-       FROM feat""",
+    "meal_hours": q.CALENDAR
+    + f"""SELECT series_id, datetime, breakfast_hour, lunch_hour, dinner_hour, {r("meal_activity")} AS meal_activity FROM feat""",
     "holiday_range_join": q.with_(q.HOLIDAY_ROWS)
     + """SELECT strftime(ts, '%Y-%m-%d') AS day, CASE WHEN a IS NULL THEN 0 ELSE 1 END AS holiday_effect, count(*) AS events
        FROM events LEFT JOIN holidays ON CAST(ts AS DATE) BETWEEN a AND b GROUP BY 1, 2""",
     "profile_cross_occupancy": q.HOUSE
     + "SELECT datetime, profile_code, profile_name, household_size, occupancy_share, occupancy_level FROM households",
-    "component_load": q.HOUSE
-    + f""", parts AS (
-  SELECT profile_code, datetime,
-    base_load_kw * (1e0 + 6e-2 * (household_size - 1)) AS standby,
-    45e-3 + 10e-3 * greatest(temperature - 24e0, 0e0) AS fridge,
-    12e-2 * (CASE WHEN hour >= 18 OR hour <= 5 THEN 1e0 WHEN cloud_cover >= 85 THEN 35e-2 ELSE 0e0 END)
-      * sqrt(household_size) * share AS lighting,
-    26e-2 * meal_activity * cooking_scale * (65e-2 + 18e-2 * household_size) AS cooking,
-    15e-2 * evening_activity * evening_peak * share * sqrt(household_size) AS entertainment,
-    7e-2 * (working_hour + 7e-1 * evening_peak) * share * household_size AS work_study,
-    85e-3 * cooling_degree * ac_sensitivity * share * (85e-2 + 17e-2 * household_size) AS cooling,
-    60e-3 * heating_degree * share * (80e-2 + 15e-2 * household_size) AS heating,
-    45e-3 * humid_hot * share * (8e-1 + 2e-1 * household_size) AS fan_dehumidifier,
-    55e-2 * laundry_activity * appliance_scale AS laundry,
-    -35e-3 * heavy_rain + 20e-3 * rainy_hour AS rain_adjustment,
-    55e-3 * holiday_effect * share * (8e-1 + 2e-1 * household_size) AS holiday_adjustment,
-    CASE usage_period WHEN 0 THEN -25e-3 WHEN 2 THEN 45e-3 ELSE 0e0 END AS usage_period_adjustment,
-    30e-3 * household_size * (5e-1 * morning_peak + evening_peak + 25e-2 * sleep_hour) AS personal_devices,
-    CASE WHEN dinner_hour = 1 THEN 16e-2 ELSE 0e0 END AS dinner_boost
-  FROM households JOIN loads USING (profile_code, datetime))
-SELECT profile_code, datetime, {_rounded(list(load_components()))},
-  {r("greatest(" + " + ".join(load_components()) + ", 5e-2)")} AS expected_load
-FROM parts""",
     "profile_attach": q.with_(q.EV, q.LOADS, q.PROFILE_ROWS)
     + """SELECT profile_code, datetime, load_kwh, profile_name, household_size, base_load_kw
        FROM loads LEFT JOIN profiles USING (profile_code)""",
