@@ -14,9 +14,10 @@ def ape(actual: Expr, prediction: Expr) -> Expr:
 
 
 def metric_aggregates(actual: Expr, prediction: Expr) -> dict[str, Expr]:
-    """MAE, RMSE, MAPE and R2 as aggregates of one pass."""
+    """MAE, RMSE, MAPE and R2 as aggregates of one pass, over the rows that have both values."""
     error = f"({actual} - {prediction})"
-    total = f"var_pop({actual}) * count({actual})"
+    scored = f"CASE WHEN {prediction} IS NOT NULL THEN {actual} END"
+    total = f"var_pop({scored}) * count({scored})"
     return {
         "mae": f"avg(abs({error}))",
         "rmse": f"sqrt(avg({error} * {error}))",

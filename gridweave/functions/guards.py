@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from gridweave.functions.text import Expr, col, num, put
 
 INFINITY = "double('infinity')"
+SETTLED_BELOW = 9e6
 
 
 def clip(e: Expr, lo: float | None = None, hi: float | None = None) -> Expr:
@@ -28,9 +29,13 @@ def half_even(e: Expr, decimals: int) -> Expr:
     return f"(rint(({e}) * {factor}) / {factor} + 0.0D)"
 
 
-def to_units(e: Expr, decimals: int) -> Expr:
-    """Exact whole-number form of a value with a fixed number of decimals."""
-    return f"bigint(rint(({e}) * {num(10**decimals)}))"
+def settled(e: Expr) -> Expr:
+    """A sum of doubles to nine decimals, which hides the order in which it was added up.
+
+    Only sums are settled, never their addends. Sums beyond about 9e6 have fewer than nine decimals
+    anyway and stay as they are.
+    """
+    return f"CASE WHEN abs({e}) < {num(SETTLED_BELOW)} THEN rint(({e}) * 1e9D) / 1e9D ELSE {e} END"
 
 
 def not_finite(e: Expr) -> Expr:
@@ -47,8 +52,11 @@ def missing_or_not_finite(e: Expr) -> Expr:
 
 
 def number(e: Expr) -> Expr:
-    """Text or number to double; anything unparsable, and NaN, becomes null."""
-    return f"nullif(try_cast({e} AS DOUBLE), double('NaN'))"
+    """Text or number to double; anything unparsable, and NaN, becomes null.
+
+    A cast also takes type suffixes (``1d``, ``1f``), which are no part of a number here.
+    """
+    return f"CASE WHEN string({e}) NOT RLIKE '[0-9.][dDfF]\\\\s*$' THEN nullif(try_cast({e} AS DOUBLE), double('NaN')) END"
 
 
 def parse_time(e: Expr) -> Expr:

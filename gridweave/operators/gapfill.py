@@ -14,23 +14,26 @@ STEP_INTERVAL = {"hour": "INTERVAL 1 HOUR", "day": "INTERVAL 1 DAY"}
 
 
 def dense_grid(panel: DataFrame, series: Series) -> DataFrame:
-    """One row per series and step between the panel's first and last time.
+    """One row per series and step between the first and last time of that series.
 
-    The span is two scalar values (no join); each series key expands to ``span`` rows.
+    One aggregate gives every series its own span, so a short-lived series stays short.
     """
-    lo = panel.agg(F.min(series.time)).scalar()
-    hi = panel.agg(F.max(series.time)).scalar()
-    steps = F.sequence(lo, hi, F.expr(STEP_INTERVAL[series.step]))
-    grid = panel.select(*series.keys).distinct().select(*series.keys, F.explode(steps).alias(series.time))
+    spans = panel.groupBy(*series.keys).agg(F.min(series.time).alias("_lo"), F.max(series.time).alias("_hi"))
+    steps = F.sequence("_lo", "_hi", F.expr(STEP_INTERVAL[series.step]))
+    grid = spans.where("_lo IS NOT NULL").select(*series.keys, F.explode(steps).alias(series.time))
     # one struct as the join key: a null series key matches itself
     key = f"struct({cols([*series.keys, series.time])}) AS _g"
     values = [c for c in panel.columns if c not in (*series.keys, series.time)]
     return grid.selectExpr("*", key).join(panel.selectExpr(key, *map(col, values)), "_g", "left").drop("_g")
 
 
+def present(c: str) -> Expr:
+    return f"({col(c)} IS NOT NULL AND NOT isnan(double({col(c)})))"
+
+
 def _known(c: str) -> Expr:
-    """(position, value) of a filled row, null otherwise."""
-    return f"CASE WHEN {col(c)} IS NOT NULL THEN named_struct('pos', _pos, 'val', double({col(c)})) END"
+    """(position, value) of a filled row, null otherwise; NaN is no value."""
+    return f"CASE WHEN {present(c)} THEN named_struct('pos', _pos, 'val', double({col(c)})) END"
 
 
 def _between(c: str) -> Expr:
@@ -38,7 +41,7 @@ def _between(c: str) -> Expr:
     b, a = col(f"_b_{c}"), col(f"_a_{c}")
     inner = f"{b}.val + (_pos - {b}.pos) * ({a}.val - {b}.val) / double({a}.pos - {b}.pos)"
     return (
-        f"CASE WHEN {col(c)} IS NOT NULL THEN double({col(c)}) "
+        f"CASE WHEN {present(c)} THEN double({col(c)}) "
         f"WHEN {b} IS NULL THEN {a}.val WHEN {a} IS NULL THEN {b}.val ELSE {inner} END"
     )
 

@@ -81,8 +81,8 @@ def raise_on_violations(report: DataFrame, what: str) -> None:
 
 
 def invalid_row(columns: list[str], target: str) -> Expr:
-    """True for rows to remove: a null in any listed column, or a negative target."""
-    nulls = any_of(f"{col(c)} IS NULL" for c in [*columns, target])
+    """True for rows to remove: null or NaN in any listed column, or a negative target."""
+    nulls = any_of(f"{col(c)} IS NULL OR isnan(double({col(c)}))" for c in [*columns, target])
     return f"({nulls} OR {col(target)} < 0)"
 
 

@@ -60,7 +60,7 @@ def _targets(values: DataFrame, group: list[str], probabilities: list[float]) ->
     sizes = values.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
     ranks = sizes.selectExpr(*group, "_n", f"inline({levels})").selectExpr(*group, "_i", "_p * (_n - 1) AS _rank")
     return ranks.selectExpr(
-        *group, "_i", "floor(_rank) AS _lo_rank", "ceil(_rank) AS _hi_rank", "_rank - floor(_rank) AS _frac"
+        *group, "_i", "floor(_rank) AS _lo_rank", "ceil(_rank) AS _hi_rank", "_rank"
     )
 
 
@@ -84,7 +84,7 @@ def _brackets(inside: DataFrame, targets: DataFrame, group: list[str], margin: f
         *slot,
         "_lo_rank",
         "_hi_rank",
-        "_frac",
+        "_rank",
         "CASE WHEN _from <= 0 THEN _min ELSE _grid[_from] END AS _lo",
         f"CASE WHEN _to >= {GRID} THEN _max ELSE _grid[_to] END AS _hi",
     )
@@ -132,7 +132,7 @@ def _ordered(inside: DataFrame, group: list[str]) -> DataFrame:
     """Rank the bracket's distinct values and interpolate."""
     slot = [*group, "_i"]
     # equal values collapse before they are ordered
-    distinct = inside.groupBy(*slot, "_lo_rank", "_hi_rank", "_frac", "_below", "value").agg(
+    distinct = inside.groupBy(*slot, "_lo_rank", "_hi_rank", "_rank", "_below", "value").agg(
         F.count(F.lit(1)).alias("_c")
     )
     order = window(slot, "value", "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW")
@@ -141,8 +141,10 @@ def _ordered(inside: DataFrame, group: list[str]) -> DataFrame:
     def at(rank: str) -> Expr:
         return f"max(CASE WHEN _end - _c <= {rank} AND {rank} < _end THEN value END)"
 
-    picked = ends.groupBy(*slot, "_frac").agg(
+    picked = ends.groupBy(*slot, "_lo_rank", "_hi_rank", "_rank").agg(
         F.expr(at("_lo_rank")).alias("_a"), F.expr(at("_hi_rank")).alias("_b")
     )
-    entries = picked.selectExpr(*group, "named_struct('_i', _i, 'v', _a + (_b - _a) * _frac) AS _e")
+    # the weights of ``percentile``, and like there none between equal values: infinity stays infinity
+    value = "CASE WHEN _a = _b THEN _a ELSE (_hi_rank - _rank) * _a + (_rank - _lo_rank) * _b END"
+    entries = picked.selectExpr(*group, f"named_struct('_i', _i, 'v', {value}) AS _e")
     return entries.groupBy(*group).agg(F.expr("sort_array(collect_list(_e)).v").alias("quantiles"))

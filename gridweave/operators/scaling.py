@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,10 +24,14 @@ Stats = dict[str, ColumnStats]
 
 
 def minmax_stats(train: DataFrame, columns: list[str]) -> DataFrame:
-    """Long table (column, min, max, range) from one aggregate; a constant column gets range 1."""
+    """Long table (column, min, max, range) from one aggregate; a constant column gets range 1.
+
+    NaN is missing, as null is.
+    """
     rows = []
     for c in columns:
-        lo, hi = f"min(double({col(c)}))", f"max(double({col(c)}))"
+        value = f"nullif(double({col(c)}), double('NaN'))"
+        lo, hi = f"min({value})", f"max({value})"
         rows.append(
             {
                 "column": quote(c),
@@ -39,8 +44,12 @@ def minmax_stats(train: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def collect_stats(stats: DataFrame) -> Stats:
-    """One small row per column, needed as literals in the scaling projection."""
-    return {r["column"]: ColumnStats(r["min"], r["max"], r["range"]) for r in stats.collect()}
+    """One small row per column, needed as literals in the scaling projection; all must be finite."""
+    rows = stats.collect()
+    bad = [r["column"] for r in rows if not all(v is None or math.isfinite(v) for v in (r["min"], r["max"], r["range"]))]
+    if bad:
+        raise DataQualityError(f"scaler statistics are not finite: {bad}")
+    return {r["column"]: ColumnStats(r["min"], r["max"], r["range"]) for r in rows}
 
 
 def stats_table(spark: SparkSession, stats: Stats) -> DataFrame:

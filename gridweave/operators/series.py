@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.functions.calendar import grid_index
-from gridweave.functions.guards import half_even, to_units
+from gridweave.functions.guards import half_even, settled
 from gridweave.functions.text import Expr, add, col, cols, num, put, struct, window
 
 PLAIN_ROWS = 1_000_000
@@ -98,7 +98,8 @@ def over_series(
     """
     if bound is not None and bound <= PLAIN_ROWS:
         return add(df, columns(list(series.keys), col(series.time)))
-    chunks = with_chunks(with_positions(df, series), before, after, chunk_rows)
+    # a row is copied to the next chunk at most, so a chunk is at least twice as long as the reach
+    chunks = with_chunks(with_positions(df, series), before, after, max(chunk_rows, 2 * before, 2 * after))
     made = add(chunks, columns([*series.keys, "_chunk"], "_pos"))
     return made.filter("_own").drop("_bucket", "_cell", "_pos", "_chunk", "_own")
 
@@ -106,15 +107,14 @@ def over_series(
 def rolling_mean_before(value: Expr, rows: int, keys: list[str], order: str, decimals: int | None) -> Expr:
     """Mean of the ``rows`` rows before the current one; null unless all of them hold a value.
 
-    With ``decimals`` the sum runs over exact whole numbers, so neither row order nor engine
-    can move a value across a rounding edge.
+    With ``decimals`` the mean is rounded. The sum is settled first (``guards.settled``), so that the
+    order of additions cannot move an exact tie across the rounding edge.
     """
     frame = window(keys, order, f"ROWS BETWEEN {rows} PRECEDING AND 1 PRECEDING")
     if decimals is None:
         mean = f"avg({value}) OVER {frame}"
     else:
-        units = f"sum({to_units(value, decimals)}) OVER {frame}"
-        mean = f"rint({units} / {num(rows)}) / {num(10**decimals)}"
+        mean = half_even(f"{settled(f'sum({value}) OVER {frame}')} / {num(rows)}", decimals)
     return f"CASE WHEN count({value}) OVER {frame} = {rows} THEN {mean} END"
 
 

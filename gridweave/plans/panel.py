@@ -11,23 +11,23 @@ from pyspark.sql import functions as F
 
 from gridweave.fixed_values import DIAGNOSTIC_COLUMNS, LOAD_DECIMALS, PROFILES
 from gridweave.functions.calendar import day_start, hour_of_day
-from gridweave.functions.guards import to_units
-from gridweave.functions.text import Expr, add, num, quote, select
+from gridweave.functions.guards import half_even, nan_to_null, settled
+from gridweave.functions.text import Expr, add, quote, select
 
 # event type -> diagnostic flag column of the load table
 FLAG_EVENTS = dict(zip(("view", "click", "purchase", "signup", "error"), DIAGNOSTIC_COLUMNS))
 
 
-def exact_sum(value: Expr) -> Expr:
-    """Order-independent sum of a value with at most four decimals."""
-    return f"sum({to_units(value, LOAD_DECIMALS)}) / {num(10**LOAD_DECIMALS)}"
+def load_sum(value: Expr) -> Expr:
+    """Sum of doubles, of which only the result is rounded; NaN is missing, infinity stays."""
+    return half_even(settled(f"sum({value})"), LOAD_DECIMALS)
 
 
 # Weather stand-ins of one cell of events; ``_k`` is the number in ``props``.
 WEATHER = {
     "temperature": "(min(value) + max(value)) / 2.0D",
     "humidity": "double(sum(_k)) / count(_k)",
-    "apparent_temperature": f"{exact_sum('value')} / count(value)",
+    "apparent_temperature": f"{settled('sum(value)')} / count(value)",
     "rain": "double(min(_k))",
     "wind_speed": "double(count(*))",
     "cloud_cover": "double(max(_k))",
@@ -41,14 +41,14 @@ def grouped(df: DataFrame, keys: list[str], aggregates: dict[str, Expr]) -> Data
 
 def _hourly(events: DataFrame, keys: dict[str, Expr], aggregates: dict[str, Expr]) -> DataFrame:
     """Groups by date and hour number; the timestamp is put together once per cell, not per event."""
-    cells = add(events, {**keys, "_day": "to_date(ts)", "_hour": "hour(ts)", "_k": K_OF_PROPS})
+    cells = add(nan_to_null(events), {**keys, "_day": "to_date(ts)", "_hour": "hour(ts)", "_k": K_OF_PROPS})
     grid = grouped(cells, [*keys, "_day", "_hour"], aggregates)
     return grid.selectExpr(*select(keys, {"datetime": hour_of_day("_day", "_hour")}), *aggregates)
 
 
 def hourly_panel(events: DataFrame) -> DataFrame:
     """Series per event type and hour."""
-    values = {"load_kwh": exact_sum("value"), **WEATHER, "occupancy_level": "count(DISTINCT user_id)"}
+    values = {"load_kwh": load_sum("value"), **WEATHER, "occupancy_level": "count(DISTINCT user_id)"}
     return _hourly(events, {"series_id": "event_type"}, values)
 
 
@@ -61,16 +61,16 @@ def hourly_load(events: DataFrame) -> DataFrame:
     """Load and event flags per household profile and hour."""
     flags = {name: f"max(int(event_type = {quote(kind)}))" for kind, name in FLAG_EVENTS.items()}
     profile = f"int(user_id % {len(PROFILES)})"
-    return _hourly(events, {"profile_code": profile}, {"load_kwh": exact_sum("value"), **flags})
+    return _hourly(events, {"profile_code": profile}, {"load_kwh": load_sum("value"), **flags})
 
 
 def user_hour_panel(events: DataFrame) -> DataFrame:
     """Series per user and hour: many sparse series."""
-    return _hourly(events, {"series_id": "user_id"}, {"load_kwh": exact_sum("value")})
+    return _hourly(events, {"series_id": "user_id"}, {"load_kwh": load_sum("value")})
 
 
 def supplier_daily_panel(lineitem: DataFrame) -> DataFrame:
     """Series per supplier and shipping day."""
-    days = add(lineitem, {"series_id": "l_suppkey", "_day": "to_date(l_shipdate)"})
-    grid = grouped(days, ["series_id", "_day"], {"load_kwh": exact_sum("l_quantity")})
+    days = add(nan_to_null(lineitem), {"series_id": "l_suppkey", "_day": "to_date(l_shipdate)"})
+    grid = grouped(days, ["series_id", "_day"], {"load_kwh": load_sum("l_quantity")})
     return grid.selectExpr("series_id", f"{day_start('_day')} AS datetime", "load_kwh")

@@ -30,7 +30,7 @@ from gridweave.operators.quality import (
 from gridweave.operators.scaling import Stats, feature_columns, scaled_target, stats_table, unscaled
 from gridweave.operators.splits import add_fit_split, require_splits
 from gridweave.plans.preprocess import ALL_FEATURES, Prepared, prepare
-from gridweave.session import scratch_path
+from gridweave.session import scratch_path, stored
 from gridweave.sources.models import save_baseline
 
 SPLITS = ("train_fit", "validation", "test")
@@ -142,10 +142,12 @@ def fit_diagnostics(scored: DataFrame, target: str) -> DataFrame:
 def test_predictions(data: FitData, model: fuzzy.FuzzyModel, text_time: bool = True) -> DataFrame:
     """Prediction frame of the test split beside the lag-24 forecast.
 
-    The split filter runs before scoring, so only test rows reach Python.
+    The split filter runs before scoring, so only test rows reach Python. The scores are written once:
+    the run stops when one of them, or a lag-24 value, is missing or not finite.
     """
     test = replace(data, rows=data.rows.filter("split = 'test'"))
-    scored = score_fit_data(test, model)
+    scored = stored(score_fit_data(test, model), f"scored-{data.horizon}")
+    evaluate.require_complete(scored, ("predicted", "raw_lag_24"), f"test predictions {data.horizon}")
     return evaluate.prediction_frame(scored, data.target, "predicted", "raw_lag_24", text_time=text_time)
 
 
@@ -160,7 +162,8 @@ def run_records(
 
     ``paths`` names the data read and the artifacts written. Every number comes from one scoring pass over all splits.
     """
-    scored = score_fit_data(data, model)
+    scored = stored(score_fit_data(data, model), f"scored-{data.horizon}")
+    evaluate.require_complete(scored, ("predicted", "raw_lag_24"), f"predictions {data.horizon}")
     error = f"(predicted_scaled - {data.target}_scaled)"
 
     def rmse(split: str) -> Expr:

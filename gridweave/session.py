@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     # Wall-clock timestamps are TIMESTAMP_NTZ everywhere; UTC only matters for text output.
@@ -37,9 +38,11 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    # only a session of a single process may fall back to a folder of this machine, one per session
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    return tempfile.mkdtemp(prefix="gridweave-")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gridweave-"))
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -48,6 +51,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows written once to the shared folder and read back: several passes, one computation."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder."""
     return f"{shared_dir(spark)}/gridweave/{name}-{uuid.uuid4().hex}"

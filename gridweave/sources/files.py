@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,7 +14,8 @@ from gridweave.functions.text import col, select
 
 TIMESTAMP_TEXT = "yyyy-MM-dd HH:mm:ss"
 PREDICTION_DECIMALS = 10
-UNNAMED = ("Unnamed:", "_c")
+# columns without a header, as written by data frames and as named by the CSV reader
+UNNAMED = re.compile(r"Unnamed:.*|_c\d+")
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
@@ -30,7 +33,7 @@ def read_text_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def drop_empty_unnamed(df: DataFrame) -> DataFrame:
     """Drop columns without a name that hold no value at all: one aggregate over the candidates."""
-    candidates = [c for c in df.columns if c.startswith(UNNAMED)]
+    candidates = [c for c in df.columns if UNNAMED.fullmatch(c)]
     if not candidates:
         return df
     filled = df.selectExpr(*select([], {c: f"count({col(c)})" for c in candidates})).first()
@@ -113,9 +116,15 @@ def append_runs(runs: DataFrame, path: str) -> None:
 
 def write_model_predictions(predictions: DataFrame, path: str) -> None:
     """Long prediction rows of all baselines, a folder per dataset and horizon."""
-    predictions.write.mode("overwrite").partitionBy("dataset", "horizon").parquet(path)
+    _write_folders(predictions, path)
 
 
 def write_model_metrics(metrics: DataFrame, path: str) -> None:
     """All baseline metrics in one table, a folder per dataset and horizon."""
-    metrics.write.mode("overwrite").partitionBy("dataset", "horizon").parquet(path)
+    _write_folders(metrics, path)
+
+
+def _write_folders(df: DataFrame, path: str) -> None:
+    """Replaces the folders that ``df`` has rows for; other runs keep theirs."""
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("dataset", "horizon").parquet(path)

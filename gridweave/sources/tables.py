@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gridweave.functions.guards import nan_to_null
+
 SCHEMAS = {
     "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
     "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
     "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
     "l_shipdate timestamp_ntz",
-    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
-    "o_orderdate timestamp_ntz, o_orderpriority string",
 }
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
+    """One table; NaN counts as missing from here on."""
+    return nan_to_null(spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet"))

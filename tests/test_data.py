@@ -13,12 +13,14 @@ from gridweave.operators.quality import (
     quality_checks,
     raise_on_violations,
     raw_scaled_parity,
+    remove_invalid_rows,
+    removed_row_count,
     require_columns,
     stats_coverage,
 )
 from gridweave.operators.scaling import ColumnStats, collect_stats, minmax_stats, scaled, scaled_target, stats_table, unscaled
 from gridweave.operators.splits import add_fit_split, add_split, require_splits
-from gridweave.plans import preprocess, train
+from gridweave.plans import panel, preprocess, train
 from gridweave.sources import files
 from gridweave.sources.payload import explode_payload
 
@@ -57,15 +59,13 @@ def test_scaling_there_and_back(spark):
     assert gap < 1e-10
 
 
-def test_split_rows(processed):
+def test_split_rows(processed, table, part_rows):
     _, scaled_rows, _ = processed
-    assert require_splits(add_fit_split(scaled_rows), ("train_fit", "validation", "test")) == {
-        "train_fit": 48,
-        "validation": 48,
-        "test": 48,
-    }
+    assert require_splits(add_fit_split(scaled_rows), ("train_fit", "validation", "test")) == dict(
+        zip(("train_fit", "validation", "test"), part_rows)
+    )
     first_test = add_split(scaled_rows).filter("split = 'test'").selectExpr("min(datetime)").first()[0]
-    assert first_test == datetime(2025, 1, 1)
+    assert first_test == table["datetime"][table["datetime"] >= "2025-01-01"].min()
     with pytest.raises(DataQualityError, match="empty split: test"):
         require_splits(add_split(scaled_rows.filter("datetime < TIMESTAMP_NTZ'2025-01-01'")), ("train", "test"))
 
@@ -92,14 +92,21 @@ def test_quality_checks_find_every_kind(spark):
         raise_on_violations(report, "rows")
 
 
-def test_parity(processed):
+def at_hour(table, hour):
+    return int((table["datetime"].dt.hour == hour).sum())
+
+
+def test_parity(processed, table):
     raw, scaled_rows, _ = processed
     row = raw_scaled_parity(raw, scaled_rows, KEYS, "load_kwh").first()
-    assert row.asDict() == {"raw_rows": 144, "scaled_rows": 144, "key_mismatches": 0, "target_mismatches": 0, "repeated_keys": 0}
+    n = len(table)
+    assert row.asDict() == {"raw_rows": n, "scaled_rows": n, "key_mismatches": 0, "target_mismatches": 0, "repeated_keys": 0}
     moved = put(scaled_rows, {"load_kwh": "load_kwh + CASE WHEN hour(datetime) = 3 THEN 1e-7D ELSE 1e-9D END"})
     twice = moved.unionByName(moved.filter("hour(datetime) = 4"))
     row = raw_scaled_parity(raw, twice.filter("hour(datetime) <> 5"), KEYS, "load_kwh").first()
-    assert (row["target_mismatches"], row["key_mismatches"], row["repeated_keys"]) == (6, 12, 6)
+    assert row["target_mismatches"] == at_hour(table, 3)
+    assert row["key_mismatches"] == at_hour(table, 4) + at_hour(table, 5)
+    assert row["repeated_keys"] == at_hour(table, 4)
 
 
 def test_stats_coverage(spark, processed):
@@ -111,18 +118,18 @@ def test_stats_coverage(spark, processed):
     assert got == {("hour_sin", "missing"), ("humidity", "bad_range")}
 
 
-def test_files_to_fit_data_rejects_bad_input(processed):
+def test_files_to_fit_data_rejects_bad_input(processed, table):
     raw, scaled_rows, stats = processed
 
     def load(r=raw, s=scaled_rows, st=stats):
         return train.fit_data_from_files(s, r, st, "1h", "load_kwh")
 
-    assert load().rows.count() == 144
+    assert load().rows.count() == len(table)
     with pytest.raises(DataQualityError, match="scaled data is missing required columns"):
         load(s=scaled_rows.drop("humidity"))
     with pytest.raises(DataQualityError, match=r"negative\(load_kwh\)"):
         load(r=put(raw, {"load_kwh": "load_kwh - 1000"}))
-    with pytest.raises(DataQualityError, match=r"invalid_time\(datetime\)=6"):
+    with pytest.raises(DataQualityError, match=rf"invalid_time\(datetime\)={at_hour(table, 2)}"):
         load(s=put(scaled_rows, {"datetime": "CASE WHEN hour(datetime) <> 2 THEN datetime END"}))
     with pytest.raises(DataQualityError, match="do not match"):
         load(r=raw.filter("hour(datetime) <> 1"))
@@ -157,7 +164,7 @@ def test_fixed_decimals(spark):
     assert tuple(files.fixed_decimals(df).first()) == ("0.3333333333", 2)
 
 
-def test_summary_and_files_of_a_horizon(spark, processed, tmp_path):
+def test_summary_and_files_of_a_horizon(spark, processed, table, tmp_path):
     """Eight split folders, both statistics and the summary, and reading them back."""
     _, scaled_rows, _ = processed
     wide = add(
@@ -166,17 +173,52 @@ def test_summary_and_files_of_a_horizon(spark, processed, tmp_path):
             **{c: "1.0D" for c in preprocess.ALL_FEATURES if c not in CORE},
             **{c: "0" for c in preprocess.DIAGNOSTIC_COLUMNS},
             "target_1h": "CASE WHEN hour(datetime) = 0 THEN NULL ELSE load_kwh END",
-            "target_24h": "load_kwh - 130",
+            "target_24h": "load_kwh - 130",  # below zero for some rows
         },
     )
     wide.write.parquet(str(tmp_path / "wide"))
     preprocess.run(spark, str(tmp_path / "wide"), str(tmp_path / "out"))
     one = spark.read.parquet(str(tmp_path / "out/summary/horizon=1h")).toPandas().set_index("split")
-    assert one.loc["all", "rows"] == 138 and one.loc["train", "rows"] == 92 and one.loc["test", "rows"] == 46
+    usable = table[table["datetime"].dt.hour != 0]
+    in_test = int((usable["datetime"] >= "2025-01-01").sum())
+    assert (one.loc["all", "rows"], one.loc["test", "rows"]) == (len(usable), in_test)
+    assert one.loc["train", "rows"] == len(usable) - in_test
     day = spark.read.parquet(str(tmp_path / "out/summary/horizon=24h")).toPandas().set_index("split")
     assert day.loc["all", "rows"] == wide.filter("target_24h >= 0").count()
     for horizon in ("1h", "24h"):
         rows, raw, stats = preprocess.load(spark, str(tmp_path / "out"), horizon, "extended")
         assert rows.count() == raw.count() > 0 and len(stats) == len(preprocess.ALL_FEATURES) + 1
         assert rows.agg({f"target_{horizon}_scaled": "max"}).first()[0] <= 1.25
-    assert files.read_split_dataset(spark, str(tmp_path / "out"), "scaled", "core", "1h", "test").count() == 46
+    assert files.read_split_dataset(spark, str(tmp_path / "out"), "scaled", "core", "1h", "test").count() == in_test
+
+
+def test_nan_rows_are_removed_and_ignored(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(1.0, 2.0), (nan, 2.0), (3.0, nan), (None, 1.0), (5.0, 9.0)], "f double, t double")
+    assert [tuple(r) for r in remove_invalid_rows(df, ["f"], "t").collect()] == [(1.0, 2.0), (5.0, 9.0)]
+    assert removed_row_count(df, ["f"], "t").first()["removed_rows"] == 3
+    assert collect_stats(minmax_stats(df, ["f", "t"])) == {"f": ColumnStats(1.0, 5.0, 4.0), "t": ColumnStats(1.0, 9.0, 8.0)}
+    with pytest.raises(DataQualityError, match=r"not finite: \['f'\]"):
+        collect_stats(minmax_stats(df.unionByName(df.selectExpr("double('inf') AS f", "t")), ["f"]))
+
+
+def test_two_writes_keep_each_others_folders(spark, tmp_path):
+    for horizon, value in (("1h", 1.0), ("24h", 2.0), ("1h", 3.0)):
+        rows = spark.createDataFrame([("core", horizon, value)], "dataset string, horizon string, mae double")
+        files.write_model_metrics(rows, str(tmp_path / "m"))
+        files.write_model_predictions(rows, str(tmp_path / "p"))
+    for part in ("m", "p"):
+        back = spark.read.parquet(str(tmp_path / part))
+        assert {(r["horizon"], r["mae"]) for r in back.collect()} == {("1h", 3.0), ("24h", 2.0)}
+
+
+def test_only_nameless_empty_columns_are_dropped(spark):
+    df = spark.createDataFrame([(1, None, None, None, "x")], "a int, _comment string, _c7 string, `Unnamed: 0` string, _c8 string")
+    assert files.drop_empty_unnamed(df).columns == ["a", "_comment", "_c8"]
+
+
+def test_sums_keep_small_values_and_survive_nan_and_large_ones(spark):
+    rows = [(datetime(2024, 1, 1, h), 1, "view", v, None) for h, v in [(0, 0.00004)] * 100 + [(1, 1e15), (1, float("nan")), (2, float("nan"))]]
+    events = spark.createDataFrame(rows, "ts timestamp_ntz, user_id bigint, event_type string, value double, props string")
+    got = {r["datetime"].hour: r["load_kwh"] for r in panel.hourly_panel(events).collect()}
+    assert got == {0: 0.004, 1: 1e15, 2: None}

@@ -73,3 +73,14 @@ def test_histogram_of_one_value(spark):
 def test_low_cardinality_columns(data, spark):
     df = data[1].selectExpr("*", "CAST(NULL AS INT) AS nothing", "int(normal * 2) AS many")
     assert low_cardinality_columns(df) == ["g", "nothing", "ties"]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_both_paths_agree_on_infinity_and_ties(spark, seed):
+    """Bit for bit, with infinite values, ties and long decimals."""
+    rng = np.random.default_rng(seed)
+    values = np.concatenate([rng.normal(0, 1, 12), [np.inf, np.inf, -np.inf], np.repeat(0.1, 5), rng.integers(0, 3, 8) / 3])
+    df = spark.createDataFrame([(float(v),) for v in rng.permutation(values)], "v double")
+    levels = [0.0, 0.05, 0.25, 1 / 3, 0.5, 0.75, 0.9, 0.97, 1.0]
+    found = [exact_quantiles(df, ["v"], levels, buffer_rows=n).first()["quantiles"] for n in (1_000, 5)]
+    assert list(map(repr, found[0])) == list(map(repr, found[1]))

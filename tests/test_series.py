@@ -1,11 +1,13 @@
 """Row-position windows, gap filling and duplicates against pandas."""
 
+from datetime import datetime
+
 import numpy as np
 import pandas as pd
 import pytest
 
 from gridweave.operators.dedup import duplicate_count, keep_first
-from gridweave.operators.gapfill import interpolate
+from gridweave.operators.gapfill import dense_grid, interpolate
 from gridweave.operators.series import Series, add_lag_block, first_rows, first_series, rows_bound, with_positions
 
 SCHEMA = "series_id string, datetime timestamp_ntz, load_kwh double"
@@ -140,7 +142,38 @@ def test_keep_first_breaks_ties_by_value(spark):
     rows = [("a", 1, 5.0), ("a", 1, 3.0), ("a", 2, 1.0), ("b", 1, None), ("b", 1, 2.0)]
     df = spark.createDataFrame(rows, "series_id string, t int, v double")
     got = {(r["series_id"], r["t"]): r["v"] for r in keep_first(df, ["series_id", "t"], ["v"]).collect()}
-    assert got == {("a", 1): 3.0, ("a", 2): 1.0, ("b", 1): None}
+    assert got == {("a", 1): 3.0, ("a", 2): 1.0, ("b", 1): 2.0}
+
+
+def test_keep_first_prefers_readings(spark):
+    nan = float("nan")
+    rows = [(1, None, 7.0), (1, nan, 1.0), (1, 5.0, None), (2, None, 2.0), (2, nan, 1.0)]
+    df = spark.createDataFrame(rows, "k int, v double, w double")
+    got = {r["k"]: (r["v"], r["w"]) for r in keep_first(df, ["k"], []).collect()}
+    assert got == {1: (5.0, None), 2: (None, 1.0)}
+
+
+@pytest.mark.parametrize("bound", [9_000, None])
+def test_lag_beyond_a_chunk(spark, bound):
+    """A yearly lag of hourly rows: longer than a chunk of rows."""
+    hours = spark.range(9_000).selectExpr("'a' AS series_id", "TIMESTAMP_NTZ'2023-01-01' + make_interval(0, 0, 0, 0, id) AS datetime", "double(id) AS load_kwh")
+    got = add_lag_block(hours, Series(), lags={"l": 8_760}, leads={}, rolling={}, bound=bound)
+    assert got.selectExpr("count(*)", "min(load_kwh - l)", "max(load_kwh - l)").first() == (240, 8_760.0, 8_760.0)
+
+
+def test_nan_is_a_gap(spark):
+    rows = [("a", datetime(2024, 1, 1, h), v) for h, v in enumerate([1.0, float("nan"), 3.0, None, 5.0])]
+    df = spark.createDataFrame(rows, "series_id string, datetime timestamp_ntz, load_kwh double")
+    for mode in ({"bound": 10}, {"bucket_steps": 2}):
+        got = interpolate(df, Series(), ["load_kwh"], **mode).orderBy("datetime").collect()
+        assert [r["load_kwh"] for r in got] == [1.0, 2.0, 3.0, 4.0, 5.0]
+
+
+def test_grid_spans_each_series(spark):
+    rows = [("a", datetime(2024, 1, 1, h), 1.0) for h in (0, 3)] + [("b", datetime(2024, 6, 1, h), 1.0) for h in (5, 6)]
+    df = spark.createDataFrame(rows, "series_id string, datetime timestamp_ntz, load_kwh double")
+    got = dense_grid(df, Series()).groupBy("series_id").count().collect()
+    assert {r["series_id"]: r["count"] for r in got} == {"a": 4, "b": 2}
 
 
 def test_duplicate_count(spark):
