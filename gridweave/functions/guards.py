@@ -35,7 +35,13 @@ def settled(e: Expr) -> Expr:
     Only sums are settled, never their addends. Sums beyond about 9e6 have fewer than nine decimals
     anyway and stay as they are.
     """
-    return f"CASE WHEN abs({e}) < {num(SETTLED_BELOW)} THEN rint(({e}) * 1e9D) / 1e9D ELSE {e} END"
+    return settled_units(e, 0)
+
+
+def settled_units(e: Expr, decimals: int) -> Expr:
+    """A settled sum in units of the last decimal; a whole number if all addends are."""
+    inside = f"rint(({e}) * 1e9D) / {num(10 ** (9 - decimals))}"
+    return f"CASE WHEN abs({e}) < {num(SETTLED_BELOW)} THEN {inside} ELSE ({e}) * {num(10**decimals)} END"
 
 
 def not_finite(e: Expr) -> Expr:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.functions.calendar import grid_index
-from gridweave.functions.guards import half_even, settled
+from gridweave.functions.guards import half_even, settled_units
 from gridweave.functions.text import Expr, add, col, cols, num, put, struct, window
 
 PLAIN_ROWS = 1_000_000
@@ -114,7 +114,8 @@ def rolling_mean_before(value: Expr, rows: int, keys: list[str], order: str, dec
     if decimals is None:
         mean = f"avg({value}) OVER {frame}"
     else:
-        mean = half_even(f"{settled(f'sum({value}) OVER {frame}')} / {num(rows)}", decimals)
+        units = settled_units(f"sum({value}) OVER {frame}", decimals)
+        mean = f"rint(({units}) / {num(rows)}) / {num(10**decimals)}"
     return f"CASE WHEN count({value}) OVER {frame} = {rows} THEN {mean} END"
 
 
