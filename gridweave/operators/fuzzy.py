@@ -23,14 +23,15 @@ from pyspark.sql import functions as F
 
 from gridweave.fixed_values import CORE_FEATURES, EPS, MIN_SIGMA, N_MFS, RIDGE_ALPHA, SEED
 from gridweave.functions import kernels
-from gridweave.functions.text import Expr, array, col, let, num, put, quote, select, struct, table
+from gridweave.functions.text import Expr, add, array, col, let, num, put, quote, select, struct, table
 from gridweave.operators.quality import DataQualityError, finite_report, raise_on_violations
 from gridweave.operators.quantiles import exact_quantiles
 
 # the executors need no installed copy of the package: the kernels are pickled by value
 register_pickle_by_value(kernels)
 
-FEW_PARTS = 2000
+# widest normal equations that the driver solves: 20,000 coefficients are 3.2 GB
+WIDTH_LIMIT = 20_000
 # limits of the exponent before exp() under- or overflows
 EXP_LIMITS = (-745.0, 709.0)
 
@@ -40,6 +41,9 @@ EXP_LIMITS = (-745.0, 709.0)
 
 def rule_grid(n_mfs: int, n_inputs: int) -> np.ndarray:
     """All combinations of set numbers, the last input running fastest."""
+    width = n_mfs**n_inputs * (n_inputs + 1)
+    if width > WIDTH_LIMIT:
+        raise DataQualityError(f"{n_mfs} sets for {n_inputs} inputs make {width} coefficients; the limit is {WIDTH_LIMIT}")
     return np.indices((n_mfs,) * n_inputs).reshape(n_inputs, -1).T.copy()
 
 
@@ -131,9 +135,10 @@ def score(df: DataFrame, model: FuzzyModel, output: str = "prediction") -> DataF
 def partial_sums(df: DataFrame, model: FuzzyModel, targets: list[str]) -> DataFrame:
     """(segment, values): the packed upper triangle of D'D, then D'y per target, summed over all rows.
 
-    One partial result per task. Beyond ``FEW_PARTS`` input partitions neighbouring ones share a
-    task, so the shuffled volume depends on the cluster and the model, not on the input size.
-    Segments are re-distributed and added in a stream: a task holds one total per segment.
+    One partial result per task, and twice as many tasks as cores: the few input columns are dealt out to
+    them, so the scan keeps its own tasks and the volume of matrices depends on the cluster and the model,
+    not on the input size. Segments are re-distributed and added in a stream: a task holds one total per
+    segment.
     """
     names, rules = list(model.features), model.batch_rules()
 
@@ -141,9 +146,9 @@ def partial_sums(df: DataFrame, model: FuzzyModel, targets: list[str]) -> DataFr
         return kernels.partial_sums(batches, names, targets, rules)
 
     numbers = df.selectExpr(*select([], {c: f"double({col(c)})" for c in [*names, *targets]}))
-    tasks = max(FEW_PARTS, 4 * df.sparkSession.sparkContext.defaultParallelism)
+    tasks = 2 * df.sparkSession.sparkContext.defaultParallelism
     schema = "segment bigint, values array<double>"
-    parts = numbers.coalesce(tasks).mapInPandas(accumulate, schema)
+    parts = numbers.repartition(tasks).mapInPandas(accumulate, schema)
     return parts.repartition("segment").mapInPandas(kernels.add_segments, schema)
 
 
@@ -303,14 +308,18 @@ def sugeno_rows(df: DataFrame, model: FuzzyModel, keys: list[str], output: str =
 
 def gram_rows(df: DataFrame, model: FuzzyModel, targets: list[str]) -> DataFrame:
     """D'D and D'y as (i, j, value) rows; ``j`` = -1 - k marks D'y of target k."""
-    rows, cols = np.triu_indices(model.width)
-    index = pd.DataFrame(
-        {
-            "_cell": np.arange(len(rows) + model.width * len(targets)),
-            "i": np.concatenate([rows, np.tile(np.arange(model.width), len(targets))]),
-            "j": np.concatenate([cols, np.repeat(-1 - np.arange(len(targets)), model.width)]),
-        }
-    )
+    width, triangle = model.width, model.width * (model.width + 1) // 2
     cells = partial_sums(df, model, targets).selectExpr("segment", "posexplode(values) AS (_at, value)")
     placed = cells.selectExpr(f"segment * {kernels.SEGMENT} + _at AS _cell", "value")
-    return placed.join(df.sparkSession.createDataFrame(index), "_cell").select("i", "j", "value")
+    # row i of the packed triangle begins at i * width - i * (i - 1) / 2; the root may be one off
+    near = f"bigint(floor((2 * {width} + 1 - sqrt(greatest(pow(2 * {width} + 1, 2) - 8 * _cell, 0))) / 2))"
+    begin = "({i} * {w} - {i} * ({i} - 1) div 2)"
+    first, following = begin.format(i="_i", w=width), begin.format(i="(_i + 1)", w=width)
+    rows = add(placed, {"_i": near})
+    rows = put(rows, {"_i": f"CASE WHEN _cell < {first} THEN _i - 1 WHEN _cell >= {following} THEN _i + 1 ELSE _i END"})
+    inside = f"_cell < {triangle}"
+    return rows.selectExpr(
+        f"CASE WHEN {inside} THEN _i ELSE (_cell - {triangle}) % {width} END AS i",
+        f"CASE WHEN {inside} THEN _cell - {first} + _i ELSE -1 - (_cell - {triangle}) div {width} END AS j",
+        "value",
+    )

@@ -64,6 +64,33 @@ def hourly_load(events: DataFrame) -> DataFrame:
     return _hourly(events, {"profile_code": profile}, {"load_kwh": load_sum("value"), **flags})
 
 
+# Partial weather of one profile and hour; ``WEATHER_OF_CELLS`` puts the profiles of an hour together.
+CELL = {
+    "_sum": "sum(value)", "_count": "count(value)", "_min": "min(value)", "_max": "max(value)", "_rows": "count(*)",
+    "_k_sum": "sum(_k)", "_k_count": "count(_k)", "_k_min": "min(_k)", "_k_max": "max(_k)",
+}
+WEATHER_OF_CELLS = {
+    "temperature": "(min(_min) + max(_max)) / 2.0D",
+    "humidity": "double(sum(_k_sum)) / sum(_k_count)",
+    "apparent_temperature": f"{settled('sum(_sum)')} / sum(_count)",
+    "rain": "double(min(_k_min))",
+    "wind_speed": "double(sum(_rows))",
+    "cloud_cover": "double(max(_k_max))",
+}
+
+
+def household_cells(events: DataFrame) -> DataFrame:
+    """Load, event flags and partial weather per household profile and hour: the events are read once."""
+    flags = {name: f"max(int(event_type = {quote(kind)}))" for kind, name in FLAG_EVENTS.items()}
+    profile = f"int(user_id % {len(PROFILES)})"
+    return _hourly(events, {"profile_code": profile}, {"load_kwh": load_sum("value"), **flags, **CELL})
+
+
+def weather_of_cells(cells: DataFrame) -> DataFrame:
+    """One weather row per hour from ``household_cells``."""
+    return grouped(cells, ["datetime"], WEATHER_OF_CELLS)
+
+
 def user_hour_panel(events: DataFrame) -> DataFrame:
     """Series per user and hour: many sparse series."""
     return _hourly(events, {"series_id": "user_id"}, {"load_kwh": load_sum("value")})

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
+from functools import reduce
 
+from pyspark import inheritable_thread_target
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 
 from gridweave.fixed_values import (
@@ -16,7 +20,7 @@ from gridweave.fixed_values import (
     VALIDATION_START,
 )
 from gridweave.functions.errors import metric_aggregates
-from gridweave.functions.text import Expr, add, any_of, array, cols, num, quote, select, table
+from gridweave.functions.text import Expr, add, any_of, array, col, cols, num, quote, select, table
 from gridweave.operators import baselines, evaluate, fuzzy
 from gridweave.operators.quality import (
     DataQualityError,
@@ -30,10 +34,12 @@ from gridweave.operators.quality import (
 from gridweave.operators.scaling import Stats, feature_columns, scaled_target, stats_table, unscaled
 from gridweave.operators.splits import add_fit_split, require_splits
 from gridweave.plans.preprocess import ALL_FEATURES, Prepared, prepare
-from gridweave.session import scratch_path, stored
+from gridweave.session import stored
 from gridweave.sources.models import save_baseline
 
 SPLITS = ("train_fit", "validation", "test")
+# baseline fits submitted at a time
+SIDE_BY_SIDE = 4
 
 
 @dataclass(frozen=True)
@@ -196,27 +202,77 @@ def run_records(
     return scored.selectExpr(*select([], record))
 
 
+@dataclass(frozen=True)
+class BaselineFit:
+    """One fitted baseline; ``scored`` has its prediction for the rows of both splits."""
+
+    dataset: str
+    horizon: str
+    name: str
+    target: str
+    features: list[str]
+    model: PipelineModel
+    scored: DataFrame
+
+    @property
+    def size(self) -> int:
+        """Trees in the model."""
+        last = self.model.stages[-1]
+        return last.getNumTrees if hasattr(last, "getNumTrees") else int(hasattr(last, "numNodes"))
+
+
+def fit_baselines(
+    prepared: dict[str, Prepared], datasets: tuple[str, ...], names: tuple[str, ...] = baselines.MODEL_NAMES, **sizes: int
+) -> list[BaselineFit]:
+    """Every model on every feature set and horizon, on the whole training part.
+
+    The scaled rows of a feature set and horizon are written once, so that the many passes of the tree
+    learners read a table instead of rebuilding the features. The fits do not depend on each other and
+    each is many small jobs, so they are submitted side by side.
+    """
+    tables = {(d, h): stored(p.scaled(d), f"baseline-{d}-{h}") for h, p in prepared.items() for d in datasets}
+
+    def one(key: tuple[str, str, str]) -> BaselineFit:
+        dataset, horizon, name = key
+        rows, target = tables[dataset, horizon], prepared[horizon].target
+        features = feature_columns(rows, target)
+        model = baselines.fit(rows.filter("split = 'train'"), name, features, target, **sizes)
+        return BaselineFit(dataset, horizon, name, target, features, model, model.transform(rows).drop("features"))
+
+    # the slow learners first
+    keys = [(d, h, n) for n in reversed(names) for d, h in tables]
+    with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
+        done = list(pool.map(inheritable_thread_target(one), keys))
+    return sorted(done, key=lambda f: (f.dataset, f.horizon, names.index(f.name)))
+
+
 def train_baselines(
     prepared: Prepared, dataset: str, names: tuple[str, ...] = baselines.MODEL_NAMES, base: str | None = None,
     **sizes: int,
 ) -> DataFrame:
-    """Fits the named models on the whole training part; test predictions, a column per model.
-
-    The scaled rows are written once (``base`` or the shared folder) so that the many passes of
-    the tree learners read a table instead of rebuilding the features.
-    """
-    spark = prepared.rows.sparkSession
-    frame = prepared.scaled(dataset)
-    path = scratch_path(spark, f"baseline-{dataset}-{prepared.horizon}")
-    frame.write.partitionBy("split").parquet(path)
-    stored = spark.read.parquet(path)
-    features = feature_columns(stored, prepared.target)
-    train, test = stored.filter("split = 'train'"), stored.filter("split = 'test'")
-    models = {name: baselines.fit(train, name, features, prepared.target, **sizes) for name in names}
+    """Fits the named models on the whole training part; test predictions, a column per model."""
+    fits = fit_baselines({prepared.horizon: prepared}, (dataset,), names, **sizes)
     if base is not None:
-        for name, model in models.items():
-            save_baseline(model, base, dataset, name, prepared.horizon)
-    return baselines.predict(models, test, list(META_COLUMNS), prepared.target)
+        for fit in fits:
+            save_baseline(fit.model, base, dataset, fit.name, prepared.horizon)
+    test = prepared_test(prepared, dataset)
+    return baselines.predict({f.name: f.model for f in fits}, test, list(META_COLUMNS), prepared.target)
+
+
+def prepared_test(prepared: Prepared, dataset: str) -> DataFrame:
+    return prepared.scaled(dataset).filter("split = 'test'")
+
+
+def all_baseline_rows(prepared: dict[str, Prepared], datasets: tuple[str, ...], **sizes: int) -> DataFrame:
+    """Test predictions of all fits as (dataset, horizon, keys, actual, model, prediction) rows."""
+    frames = []
+    for fit in fit_baselines(prepared, datasets, **sizes):
+        values = {
+            "dataset": quote(fit.dataset), "horizon": quote(fit.horizon), "actual": col(fit.target),
+            "model": quote(fit.name), "prediction": "prediction",
+        }
+        frames.append(fit.scored.filter("split = 'test'").selectExpr(*select(META_COLUMNS, values)))
+    return reduce(DataFrame.unionByName, frames)
 
 
 def baseline_rows(predictions: DataFrame, dataset: str, horizon: str) -> DataFrame:
