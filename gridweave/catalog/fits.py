@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from gridweave.catalog import inputs as i
 from gridweave.catalog import sql as q
 from gridweave.fixed_values import CORE_FEATURES, TARGETS
-from gridweave.functions.text import array, col, num, put, quote
+from gridweave.functions.text import add, array, col, num, put, quote
 from gridweave.operators import evaluate, fuzzy
 from gridweave.operators.baselines import MODEL_NAMES
 from gridweave.plans import train
@@ -61,7 +61,7 @@ def fuzzy_normal_equations(spark: SparkSession, sf: str) -> DataFrame:
 def fuzzy_published_fit(spark: SparkSession, sf: str) -> DataFrame:
     """The published size, three sets for each input: equations that do not hold to six digits."""
     data, models = _fitted(spark, sf, 3)
-    found = put(_union([_residuals(data[h], models[h]) for h in TARGETS]), {"wrong": "int(abs(residual) > 1e-6D)"})
+    found = add(_union([_residuals(data[h], models[h]) for h in TARGETS]), {"wrong": "int(abs(residual) > 1e-6D)"})
     counted = found.groupBy("n_mfs", "horizon").agg({"rule": "count", "wrong": "sum"})
     return counted.selectExpr("n_mfs", "horizon", "`count(rule)` AS coefficients", "int(`sum(wrong)`) AS wrong")
 
