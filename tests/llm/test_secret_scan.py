@@ -65,12 +65,12 @@ GOOD = token("ghp_", "a1B2c3D4e5F6g7H8i9J0k1L2m3N4o5")
     [
         (f"é {GOOD} end", ["github"]),
         (GOOD[:-1] + ("0" if GOOD[-1] != "0" else "1"), []),
-        (token("npm_", "0" * 30), ["npm"]),
+        (token("npm_", "Zx" * 15), ["npm"]),
         ("eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxIn0.c2ln", ["signed"]),
         ("eyJhbGc.eyJzdWIi.c2ln", []),
         ("-----BEGIN PRIVATE KEY-----\nMAMCAQU=\n-----END PRIVATE KEY-----", ["pem"]),
         ("-----BEGIN PRIVATE KEY-----\nMAQCAQU=\n-----END PRIVATE KEY-----", []),
-        ("AIza" + "b" * 35, ["google"]),
+        ("AIza" + "w" * 35, ["google"]),
         ("sk_live_" + "A1" * 12, ["stripe"]),
     ],
 )
