@@ -92,9 +92,13 @@ def links(points: DataFrame, distance: int, count: int) -> DataFrame:
         """Segment number and bits in one number; at most 32 bits and 8 segments."""
         return F.shiftrightunsigned("_fp", shift).bitwiseAND((1 << bits) - 1) + (number << 32)
 
+    def around(k: Column, radius_masks: list[int]) -> Column:
+        """The key with every pattern of changed bits."""
+        return F.transform(F.array(*map(F.lit, radius_masks)).cast("array<long>"), lambda mask: k.bitwiseXOR(mask))
+
     keys = [(key(i, shift, bits), ball(bits, radius)) for i, (shift, bits, radius) in enumerate(plan) if radius >= 0]
     listed = F.array(*[k for k, _ in keys])
-    probes = F.concat(*[F.transform(F.array(*map(F.lit, masks)).cast("array<long>"), lambda m, k=k: k.bitwiseXOR(m)) for k, masks in keys])
+    probes = F.concat(*[around(k, masks) for k, masks in keys])
     table = points.select(F.explode(listed).alias("_key"), F.col("_fp").alias("_fp2"), F.col("_rep").alias("b"))
     probing = points.select(F.explode(probes).alias("_key"), "_fp", F.col("_rep").alias("a"))
     near = F.bit_count(F.col("_fp").bitwiseXOR(F.col("_fp2"))) <= distance
