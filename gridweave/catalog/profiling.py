@@ -7,13 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 from gridweave.catalog import inputs as i
 from gridweave.catalog import sql as q
 from gridweave.catalog.sql import r
-from gridweave.fixed_values import CORRELATION_COLUMNS, DIAGNOSTIC_COLUMNS
-from gridweave.functions.text import add
+from gridweave.fixed_values import CORRELATION_COLUMNS, DIAGNOSTIC_COLUMNS, WIDE_COLUMNS
+from gridweave.functions.text import add, put
 from gridweave.operators import summary
 
 KEY = ["series_id", "datetime"]
 DESCRIBED = ["mean", "std", "min", "p25", "p50", "p75", "max"]
-NUMERIC = ["load_kwh", "temperature", "humidity", "occupancy_level"]
+NUMERIC = [
+    "load_kwh", "temperature", "humidity", "apparent_temperature", "rain", "wind_speed", "cloud_cover", "occupancy_level",
+]
 FIGURE_HOURS = 24 * 14
 
 
@@ -32,17 +34,17 @@ def describe_narrowed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def shape_columns(spark: SparkSession, sf: str) -> DataFrame:
-    return summary.shape_report(i.hourly(spark, sf)).select("rows", "position", "column")
+    return summary.shape_report(i.wide_table(spark, sf))
 
 
 def missing_report(spark: SparkSession, sf: str) -> DataFrame:
-    return summary.missing_report(i.panel_lags(spark, sf, drop_incomplete=False).select(*KEY, "load_kwh", "load_lag_1", "load_lag_24", "target_24h"))
+    """All columns of the panel with its lags; every seventh load is NaN, which is missing."""
+    lags = i.panel_lags(spark, sf, drop_incomplete=False)
+    return summary.missing_report(put(lags, {"load_kwh": "CASE WHEN wind_speed % 7 = 0 THEN double('NaN') ELSE load_kwh END"}))
 
 
 def _flags(spark: SparkSession, sf: str) -> DataFrame:
-    return i.wide_table(spark, sf).select(
-        "datetime", "profile_name", "household_size", "is_weekend", "usage_period", "season_code", "hour", "load_kwh"
-    )
+    return i.wide_table(spark, sf)
 
 
 def low_cardinality(spark: SparkSession, sf: str) -> DataFrame:
@@ -50,8 +52,7 @@ def low_cardinality(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def top_correlations(spark: SparkSession, sf: str) -> DataFrame:
-    panel = i.hourly(spark, sf).select(*KEY, *NUMERIC, "rain", "cloud_cover")
-    return i.rounded(summary.top_correlations(panel, "load_kwh", 5), ["r"])
+    return i.rounded(summary.top_correlations(i.wide_table(spark, sf), "load_kwh"), ["r"])
 
 
 def top_values(spark: SparkSession, sf: str) -> DataFrame:
@@ -115,11 +116,14 @@ def _describe(column: str, name: str) -> str:
 
 
 _BY_SERIES = q.BASE + f"SELECT series_id, {_describe('load_kwh', 'load_kwh')} FROM panel GROUP BY series_id"
-_PANEL_COLUMNS = [
-    "series_id", "datetime", "load_kwh", "temperature", "humidity", "apparent_temperature", "rain", "wind_speed",
-    "cloud_cover", "occupancy_level",
-]
-_LOW = ["household_size", "is_weekend", "profile_name", "season_code", "usage_period"]
+_KINDS = {"datetime": "timestamp_ntz", "profile_code": "int", "profile_name": "string", "household_size": "int"}
+# integer columns of the wide table; the others are doubles
+_WHOLE = {
+    *DIAGNOSTIC_COLUMNS, "hour", "day_of_week", "day_of_year", "month", "is_weekend", "is_workday", "holiday_effect",
+    "season_code", "sleep_hour", "morning_peak", "evening_peak", "breakfast_hour", "lunch_hour", "dinner_hour",
+    "working_hour", "school_vacation", "usage_period", "humid_hot", "rainy_hour", "heavy_rain", "dark_or_cloudy",
+}
+_NUMBERS = [c for c in WIDE_COLUMNS if c not in ("datetime", "profile_name")]
 _LIMITS = "lim AS (SELECT min(load_kwh) AS lo, max(load_kwh) AS hi FROM panel)"
 
 ORACLE = {
@@ -127,25 +131,28 @@ ORACLE = {
     "describe_narrowed": _BY_SERIES,
     "describe_columns": q.BASE
     + " UNION ALL ".join(f"SELECT {_describe(f'CAST({c} AS DOUBLE)', c)} FROM panel" for c in NUMERIC),
-    "shape_columns": q.BASE
+    "shape_columns": q.WIDE
     + " UNION ALL ".join(
-        f"""SELECT count(*) AS rows, {n} AS position, '{c}' AS "column" FROM panel""" for n, c in enumerate(_PANEL_COLUMNS)
+        f"""SELECT count(*) AS rows, {n} AS position, '{c}' AS "column", '{_KINDS.get(c, "int" if c in _WHOLE else "double")}' AS type FROM wide"""
+        for n, c in enumerate(WIDE_COLUMNS)
     ),
     "missing_report": q.LAGS
     + " UNION ALL ".join(
-        f"""SELECT '{c}' AS "column", count(*) - count({c}) AS missing FROM lags_all"""
-        for c in (*KEY, "load_kwh", "load_lag_1", "load_lag_24", "target_24h")
+        f"""SELECT '{c}' AS "column", count(*) - count({f"CASE WHEN wind_speed % 7 <> 0 THEN {c} END" if c == "load_kwh" else c}) AS missing FROM lags_all"""
+        for c in (*KEY, *NUMERIC, "load_lag_1", "load_lag_24", "load_rolling_3", "load_rolling_24", "target_1h", "target_24h")
     ),
     "low_cardinality": q.WIDE
+    + ", seen AS ("
     + " UNION ALL ".join(
-        f"""SELECT '{c}' AS "column", CAST({c} AS VARCHAR) AS "value", count(*) AS rows FROM wide GROUP BY 2""" for c in _LOW
-    ),
-    "top_correlations": q.BASE
-    + "SELECT * FROM ("
-    + " UNION ALL ".join(
-        f"""SELECT '{c}' AS "column", {r(f"corr({c}, load_kwh)")} AS r FROM panel""" for c in [*NUMERIC, "rain", "cloud_cover"]
+        f"""SELECT '{c}' AS "column", CAST({c} AS VARCHAR) AS "value", CAST({c} AS DOUBLE) AS n FROM wide""" for c in _NUMBERS
     )
-    + ") ORDER BY r DESC LIMIT 5",
+    + """ UNION ALL SELECT 'profile_name', profile_name, NULL FROM wide),
+few AS (SELECT "column" FROM seen GROUP BY 1 HAVING count(DISTINCT "value") <= 5 OR "column" = 'profile_name' ORDER BY 1 LIMIT 15)
+SELECT "column", "value", count(*) AS rows FROM seen JOIN few USING ("column") GROUP BY 1, 2""",
+    "top_correlations": q.WIDE
+    + """SELECT * FROM (SELECT "column", CASE WHEN isnan(r) THEN NULL ELSE r END AS r FROM ("""
+    + " UNION ALL ".join(f"""SELECT '{c}' AS "column", {r(f"corr({c}, load_kwh)")} AS r FROM wide""" for c in _NUMBERS)
+    + """)) ORDER BY r DESC NULLS LAST, "column" LIMIT 15""",
     "top_values": q.BASE + "SELECT series_id, datetime, load_kwh FROM panel ORDER BY load_kwh DESC, series_id, datetime LIMIT 10",
     "head_rows": q.BASE + "SELECT series_id, datetime, load_kwh FROM panel ORDER BY series_id, datetime LIMIT 5",
     "tail_rows": q.BASE + "SELECT series_id, datetime, load_kwh FROM panel ORDER BY series_id DESC, datetime DESC LIMIT 5",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,9 +12,9 @@ from gridweave.catalog import scaling as scaling_queries
 from gridweave.catalog import sql as q
 from gridweave.catalog.evaluation import ORACLE as EVALUATION_SQL
 from gridweave.catalog.evaluation import _model_metrics
-
-
+from gridweave.fixed_values import CORE_FEATURES, EXTENDED_FEATURES
 from gridweave.functions.errors import METRICS
+from gridweave.functions.nested import flatten
 from gridweave.functions.text import add
 from gridweave.operators import evaluate
 from gridweave.operators.baselines import persistence
@@ -22,15 +24,17 @@ from gridweave.session import scratch_path
 from gridweave.sources import files
 
 KEY = ["series_id", "datetime"]
-PANEL_CSV = "series_id string, datetime timestamp_ntz, load_kwh double, rain double, occupancy_level bigint"
-PANEL_CSV_COLUMNS = ["series_id", "datetime", "load_kwh", "rain", "occupancy_level"]
+MEASURES = ["load_kwh", "temperature", "humidity", "apparent_temperature", "rain", "wind_speed", "cloud_cover"]
+PANEL_CSV = "series_id string, datetime timestamp_ntz, " + ", ".join(f"{c} double" for c in MEASURES) + ", occupancy_level bigint"
+PANEL_CSV_COLUMNS = ["series_id", "datetime", *MEASURES, "occupancy_level"]
+UNEVEN = ["humidity", "apparent_temperature"]
 
 
 def csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Ordered CSV files with a header, read back with a declared schema."""
     path = scratch_path(spark, "panel-csv")
     files.write_sorted(i.hourly(spark, sf).select(*PANEL_CSV_COLUMNS), path, KEY, "csv")
-    return files.read_csv(spark, path, PANEL_CSV)
+    return i.rounded(files.read_csv(spark, path, PANEL_CSV), UNEVEN)
 
 
 def csv_unnamed_columns(spark: SparkSession, sf: str) -> DataFrame:
@@ -59,6 +63,19 @@ def partitioned_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return i.rounded(back, [*scaling_queries.CORE, "target_1h_scaled"])
 
 
+def partitioned_folders(spark: SparkSession, sf: str) -> DataFrame:
+    """Both variants and feature sets with both splits, read back folder by folder."""
+    base, frames = _write_horizon(spark, sf, "24h"), []
+    for variant in ("raw", "scaled"):
+        for feature_set in ("core", "extended"):
+            back = files.read_split_dataset(spark, base, variant, feature_set, "24h")
+            sums = back.groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.sum("target_24h").alias("total"))
+            frames.append(
+                sums.selectExpr(f"'{variant}' AS variant", f"'{feature_set}' AS feature_set", "string(split) AS split", f"{len(back.columns)} AS columns", "rows", "total")
+            )
+    return i.rounded(reduce(DataFrame.unionByName, frames), ["total"], 3)
+
+
 def summary_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     base = _write_horizon(spark, sf, "24h")
     back = spark.read.parquet(f"{base}/summary").withColumn("horizon", F.col("horizon").cast("string"))
@@ -76,9 +93,7 @@ def predictions_text(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "predictions")
     _, test = train_test(i.wide_table(spark, sf), i.TRAIN_END)
     files.write_predictions(
-        evaluate.prediction_frame(test, "target_1h", "load_rolling_24", persistence(test)).select(
-            "datetime", "profile_name", "actual_kwh", "predicted_kwh"
-        ),
+        evaluate.prediction_frame(test, "target_1h", "load_rolling_24", persistence(test)),
         path,
     )
     return spark.read.option("header", True).csv(path)
@@ -99,30 +114,53 @@ def metrics_json_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     frame = evaluate.prediction_frame(test, "target_24h", "load_rolling_24", persistence(test), text_time=False)
     payload = evaluate.payload(frame, run_id="check", horizon="24h", feature_set="core", target="target_24h")
     files.write_metrics(payload, path)
-    back = spark.read.schema(payload.schema).json(path)
-    return i.rounded(back.selectExpr("horizon", "test.rows AS rows", "model.mae AS mae", "baselines.lag24.rmse AS lag24_rmse"), ["mae", "lag24_rmse"])
+    back = flatten(spark.read.schema(payload.schema).json(path))
+    return i.rounded(back, [c for c, t in back.dtypes if t == "double"])
+
+
+def metrics_csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """The same payload as CSV with dotted columns, read back as text."""
+    path = scratch_path(spark, "payload-csv")
+    _, test = train_test(i.wide_table(spark, sf), i.TRAIN_END)
+    frame = evaluate.prediction_frame(test, "target_24h", "load_rolling_24", persistence(test), text_time=False)
+    payload = evaluate.payload(frame, run_id="check", horizon="24h", feature_set="core", target="target_24h")
+    files.write_metrics(payload, path, "csv")
+    kinds = dict(flatten(payload).dtypes)
+    back = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    typed = back.selectExpr(*[f"CAST(`{c}` AS {kinds[c]}) AS `{c}`" for c in back.columns])
+    return i.rounded(typed, [c for c, t in typed.dtypes if t == "double"])
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         csv_roundtrip, csv_unnamed_columns, partitioned_roundtrip, summary_roundtrip, stats_roundtrip, predictions_text,
-        metrics_roundtrip, metrics_json_roundtrip,
+        metrics_roundtrip, metrics_json_roundtrip, metrics_csv_roundtrip, partitioned_folders,
     )
 }
 
 _CORE = scaling_queries.ORACLE["scaled_core"]
 
 ORACLE = {
-    "csv_roundtrip": q.BASE + f"SELECT {', '.join(PANEL_CSV_COLUMNS)} FROM panel",
+    "csv_roundtrip": q.BASE
+    + f"SELECT {', '.join(f'{q.r(c)} AS {c}' if c in UNEVEN else c for c in PANEL_CSV_COLUMNS)} FROM panel",
+    "partitioned_folders": q.wide_plus(q.splits())
+    + f"""SELECT variant, feature_set, split, CAST(features + extra AS INTEGER) AS columns, count(*) AS rows, {q.r("sum(target_24h)", 3)} AS total
+       FROM rows1, (VALUES ('raw', 5), ('scaled', 6)) v(variant, extra),
+            (VALUES ('core', {len(CORE_FEATURES)}), ('extended', {len(EXTENDED_FEATURES)})) f(feature_set, features)
+       GROUP BY 1, 2, 3, features, extra""",
     "csv_unnamed_columns": q.BASE + "SELECT series_id, CAST(occupancy_level AS VARCHAR) AS kept, count(*) AS rows FROM panel GROUP BY 1, 2",
     "partitioned_roundtrip": f"SELECT * FROM ({_CORE}) WHERE split = 'test'",
     "summary_roundtrip": f"SELECT * FROM ({scaling_queries.ORACLE['split_summaries']}) WHERE horizon = '24h'",
     "stats_roundtrip": scaling_queries.ORACLE["minmax_statistics"],
     "predictions_text": q.wide_plus(q.splits())
-    + """SELECT strftime(datetime, '%Y-%m-%d %H:%M:%S') AS datetime, profile_name, printf('%.10f', target_1h) AS actual_kwh,
-       printf('%.10f', load_rolling_24) AS predicted_kwh FROM rows1 WHERE split = 'test'""",
+    + """SELECT strftime(datetime, '%Y-%m-%d %H:%M:%S') AS datetime, CAST(profile_code AS VARCHAR) AS profile_code, profile_name,
+       printf('%.10f', target_1h) AS actual_kwh, printf('%.10f', load_rolling_24) AS predicted_kwh,
+       printf('%.10f', load_lag_24) AS baseline_lag24_kwh, printf('%.10f', target_1h - load_rolling_24) AS error_kwh,
+       printf('%.10f', abs(target_1h - load_rolling_24)) AS abs_error_kwh,
+       printf('%.10f', abs(target_1h - load_rolling_24) / greatest(abs(target_1h), 1e-8) * 1e2) AS ape
+       FROM rows1 WHERE split = 'test'""",
     "metrics_roundtrip": EVALUATION_SQL["metrics_records"],
-    "metrics_json_roundtrip": f"""SELECT horizon, "test.rows" AS rows, "model.mae" AS mae, "baselines.lag24.rmse" AS lag24_rmse
-       FROM ({EVALUATION_SQL["run_payload"]})""",
+    "metrics_json_roundtrip": EVALUATION_SQL["run_payload"],
+    "metrics_csv_roundtrip": EVALUATION_SQL["run_payload"],
 }

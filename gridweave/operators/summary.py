@@ -122,12 +122,19 @@ def histogram(df: DataFrame, value: str, bins: int = HISTOGRAM_BINS) -> DataFram
     )
 
 
+def correlation(x: str, y: str) -> Expr:
+    """Pearson's r over the rows with both values; null where one of them does not vary."""
+    a, b = f"double({col(x)})", f"double({col(y)})"
+    spread = f"var_pop(CASE WHEN {b} IS NOT NULL THEN {a} END) > 0 AND var_pop(CASE WHEN {a} IS NOT NULL THEN {b} END) > 0"
+    return f"CASE WHEN {spread} THEN nullif(corr({a}, {b}), double('NaN')) END"
+
+
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """Pearson correlation of every pair, pairwise complete, in one aggregate: (x, y, r) rows."""
     rows = []
     for i, x in enumerate(columns):
         for y in columns[i:]:
-            r = f"corr(double({col(x)}), double({col(y)}))"
+            r = correlation(x, y)
             pairs = [(x, y)] if x == y else [(x, y), (y, x)]
             rows += [{"x": quote(a), "y": quote(b), "r": r} for a, b in pairs]
     return aggregate_rows(df, rows)
@@ -136,15 +143,20 @@ def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
 def top_correlations(df: DataFrame, target: str, limit: int = 15) -> DataFrame:
     """The highest correlations with the target, itself included; undefined ones come last."""
     rows = [
-        {"column": quote(c), "r": f"nullif(corr(double({col(c)}), double({col(target)})), double('NaN'))"}
+        {"column": quote(c), "r": correlation(c, target)}
         for c in numeric_columns(df)
     ]
     return aggregate_rows(df, rows).orderBy(F.desc_nulls_last("r"), "column").limit(limit)
 
 
+def missing(column: str, kind: str) -> Expr:
+    """Null, and NaN in floating columns."""
+    return f"{col(column)} IS NULL" + (f" OR isnan({col(column)})" if kind in ("double", "float") else "")
+
+
 def missing_report(df: DataFrame) -> DataFrame:
     return aggregate_rows(
-        df, [{"column": quote(c), "missing": f"count_if({col(c)} IS NULL)"} for c in df.columns]
+        df, [{"column": quote(c), "missing": f"count_if({missing(c, kind)})"} for c, kind in df.dtypes]
     )
 
 
