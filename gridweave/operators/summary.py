@@ -125,8 +125,9 @@ def histogram(df: DataFrame, value: str, bins: int = HISTOGRAM_BINS) -> DataFram
 def correlation(x: str, y: str) -> Expr:
     """Pearson's r over the rows with both values; null where one of them does not vary."""
     a, b = f"double({col(x)})", f"double({col(y)})"
-    spread = f"var_pop(CASE WHEN {b} IS NOT NULL THEN {a} END) > 0 AND var_pop(CASE WHEN {a} IS NOT NULL THEN {b} END) > 0"
-    return f"CASE WHEN {spread} THEN nullif(corr({a}, {b}), double('NaN')) END"
+    # ``corr`` itself fails on a constant column when division by zero is an error
+    spread = f"var_pop(CASE WHEN {b} IS NOT NULL THEN {a} END) * var_pop(CASE WHEN {a} IS NOT NULL THEN {b} END)"
+    return f"nullif(try_divide(covar_pop({a}, {b}), sqrt({spread})), double('NaN'))"
 
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
