@@ -9,10 +9,10 @@ repeats make one maximal span. Windows are judged on the input.
    passage. An anchor that occurs in one passage of the corpus only cannot hold a repeat across passages.
    Anchors are counted by a shuffle of narrow rows; those that may be frequent (Misra-Gries counters)
    are known to repeat and skip it.
-2. The passages of repeated anchors are cut out. Passages with equal words are merged before they meet:
+2. The passages of repeated anchors are hashed. Passages with equal words are merged before they meet:
    the first one represents them, and all later ones are repeats as a whole.
-3. The representatives are the reference. They are dealt into shards by anchor, a shard gets a suffix
-   automaton over words in which each state knows the earliest place of its string, and passages are
+3. The representatives of anchors that have several, or one that repeats itself, are the reference. Their
+   words are fetched and dealt into shards by anchor, a shard gets a suffix automaton over words in which each state knows the earliest place of its string, and passages are
    streamed through it. Where the matching statistics reach ``WINDOW`` words, the state of the last
    ``WINDOW`` words tells where the window starts first.
 
@@ -34,6 +34,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,33 +120,71 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     return found.groupBy("_id").agg(F.collect_set(F.struct("start", "n", "h")).alias("flagged"))
 
 
+def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as compressed words: each text is shuffled and written a few times."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        squeezed = [pack(b" ".join(words_of(text))) for text in batch.column("_text")]
+        yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(squeezed, pa.binary())], names=["_id", "packed"])
+
+
+def opened(packed: pa.BinaryScalar) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(packed.as_buffer())
+
+
+def signed_hash(raw: bytes) -> int:
+    return xxhash.xxh64_intdigest(raw) - (1 << 63)
+
+
 #: kind 0: finished document, 1: document with flagged passages, 2: passage.
-UNIFIED = "kind int, _id long, doc long, start long, n long, h long, same long, text binary, n_words long, kept_sha256 string"
+UNIFIED = "kind int, _id long, doc long, start long, n long, h long, same long, loops boolean, packed binary, n_words long, kept_sha256 string"
+
+
+def loops(part: list[bytes]) -> bool:
+    """Whether a window of the passage occurs in it twice."""
+    windows = len(part) - WINDOW + 1
+    # the words of the second window have all been seen before
+    if windows == 1 or len(set(part)) > len(part) - WINDOW:
+        return False
+    return len({tuple(part[i : i + WINDOW]) for i in range(windows)}) < windows
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    types = [pa.int32(), *[pa.int64()] * 6, pa.binary(), pa.int64(), pa.string()]
+    types = [pa.int32(), *[pa.int64()] * 6, pa.bool_(), pa.binary(), pa.int64(), pa.string()]
     names = [c.split()[0] for c in UNIFIED.split(", ")]
     for batch in batches:
         rows: list[tuple] = []
-        for key, text, flagged in zip(batch.column("_id").to_pylist(), batch.column("_text"), batch.column("flagged")):
-            words = words_of(text)
+        for key, packed, flagged in zip(batch.column("_id").to_pylist(), batch.column("packed"), batch.column("flagged")):
+            raw = opened(packed)
+            words = raw.split()
             if not flagged.is_valid:
-                rows.append((0, key, 0, 0, 0, 0, 0, None, len(words), sha256(b" ".join(words)).hexdigest()))
+                rows.append((0, key, 0, 0, 0, 0, 0, None, None, len(words), sha256(raw).hexdigest()))
                 continue
-            raw = b" ".join(words)
-            doc = np.uint64(xxhash.xxh64_intdigest(raw)).astype(np.int64).item()
-            rows.append((1, key, doc, 0, 0, 0, 0, raw, len(words), None))
+            doc = signed_hash(raw)
+            rows.append((1, key, doc, 0, 0, 0, 0, None, packed.as_py(), len(words), None))
             for p in flagged.as_py():
                 # rows that share an id share flags; those beyond this text belong to another row
                 part = words[p["start"] : p["start"] + p["n"] + WINDOW - 1]
                 if len(part) == p["n"] + WINDOW - 1:
-                    passage = b" ".join(part)
-                    same = np.uint64(xxhash.xxh64_intdigest(passage)).astype(np.int64).item()
-                    rows.append((2, key, doc, p["start"], p["n"], p["h"], same, passage, None, None))
+                    rows.append((2, key, doc, p["start"], p["n"], p["h"], signed_hash(b" ".join(part)), loops(part), None, None, None))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(types), types)], names=names)
 
 
+REFERENCE = "h long, _id long, doc long, start long, text binary"
+
+
+def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of the wanted passages of each document."""
+    types = [*[pa.int64()] * 4, pa.binary()]
+    for batch in batches:
+        rows: list[tuple] = []
+        for key, doc, packed, wanted in zip(*(batch.column(c).to_pylist() for c in ("_id", "doc", "packed", "wanted"))):
+            words = zstandard.ZstdDecompressor().decompress(packed).split()
+            for p in wanted:
+                rows.append((p["h"], key, doc, p["start"], b" ".join(words[p["start"] : p["start"] + p["n"] + WINDOW - 1])))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, types)], names=["h", "_id", "doc", "start", "text"])
+
+
 class Automaton:
     """Suffix automaton of several word sequences; every state knows the earliest place of its string.
 
@@ -216,11 +255,6 @@ class Automaton:
 def repeats(group: list[tuple[int, int, int, bytes]]) -> Iterator[tuple[int, int, int, int]]:
     """(id, doc, first word, end) of the spans that repeat earlier ones within the passages of one anchor."""
     split = [(key, doc, start, text.split()) for key, doc, start, text in group]
-    if len(split) == 1:
-        words = split[0][3]
-        windows = len(words) - WINDOW + 1
-        if windows == 1 or len({tuple(words[i : i + WINDOW]) for i in range(windows)}) == windows:
-            return
     found: list[set[int]] = [set() for _ in split]
     position = 0
     while position < len(split):
@@ -265,8 +299,8 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _remove(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[list] = [[], [], [], [], [], []]
-        for key, text, spans in zip(batch.column("_id").to_pylist(), batch.column("text"), batch.column("spans").to_pylist()):
-            words = text.as_buffer().to_pybytes().split()
+        for key, packed, spans in zip(batch.column("_id").to_pylist(), batch.column("packed"), batch.column("spans").to_pylist()):
+            words = opened(packed).split()
             kept, merged, end = [], [], 0
             for a, b in sorted((s["a"], s["b"]) for s in spans or ()):
                 if merged and a <= merged[-1][1]:
@@ -293,18 +327,24 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     """One row per row of ``docs``: id, n_words, n_removed, kept_sha256, removed spans (word numbers, end
     exclusive); ``kept_text`` on request, for documents that lose words."""
     rows = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NULL_ID)).alias("_id"), text_or_empty(text).alias("_text"))
-    joined = rows.join(repeated_passages(rows), "_id", "left")
+    squeezed = rows.mapInArrow(_squeeze, "_id long, packed binary")
+    joined = squeezed.join(repeated_passages(rows), "_id", "left")
     unified = stored(joined.mapInArrow(_cut, UNIFIED), "passages")
-    parts = unified.where("kind = 2")
+    parts, texts = unified.where("kind = 2"), unified.where("kind = 1").select("_id", "doc", "packed")
     firsts = stored(
-        parts.groupBy("h", "same").agg(F.min(F.struct("_id", "start", "doc")).alias("f"), F.min("text").alias("text")).select("h", "same", "f.*", "text"),
+        parts.groupBy("h", "same").agg(F.min(F.struct("_id", "start", "doc", "n")).alias("f"), F.max("loops").alias("loops")).select("h", "same", "f.*", "loops"),
         "representatives",
     )
     later = parts.join(firsts.select("h", "same", F.struct("_id", "start").alias("f")), ["h", "same"]).where(F.struct("_id", "start") != F.col("f"))
     whole = later.select("_id", "doc", F.col("start").alias("a"), F.expr(f"start + n + {WINDOW - 1}").alias("b"))
-    dealt = firsts.repartition("h").sortWithinPartitions("h").select("h", "_id", "doc", "start", "text")
+    # an anchor with one passage, without a repeat inside, has nothing left to compare
+    contested = firsts.groupBy("h").agg(F.min("same").alias("least"), F.max("same").alias("most"), F.max("loops").alias("loops"))
+    wanted = firsts.join(contested.where("least <> most OR loops").select("h"), "h", "left_semi")
+    by_doc = wanted.groupBy("_id", "doc").agg(F.collect_list(F.struct("h", "start", "n")).alias("wanted"))
+    reference = texts.join(by_doc, ["_id", "doc"]).mapInArrow(_fetch, REFERENCE)
+    dealt = reference.repartition("h").sortWithinPartitions("h")
     spans = whole.unionByName(dealt.mapInArrow(_stream, SPANS)).groupBy("_id", "doc").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-    touched = unified.where("kind = 1").select("_id", "doc", "text").join(stored(spans, "spans"), ["_id", "doc"], "left")
+    touched = texts.join(stored(spans, "spans"), ["_id", "doc"], "left")
     clean = unified.where("kind = 0").select(
         "_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256",
         F.expr("cast(array() AS array<struct<a: bigint, b: bigint>>)").alias("removed"), F.lit(None).cast("string").alias("kept_text"),
