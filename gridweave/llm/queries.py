@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gridweave.llm import decontamination, exact_dedup, language, licenses, packing, quality, secret_scan, sharding, simhash, substring_dedup
 
@@ -63,6 +64,22 @@ def op4_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+def language_id_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """The same operator on raw pages, which have markup, an address suffix and a host."""
+    pages = table(spark, sf, "pages")
+    bare = F.regexp_replace("html", "(?is)<(script|style).*?</\\1>|<!--.*?-->|<[^>]*>|&[a-z]+;", " ")
+    host = F.lower(F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1))
+    found = language.identify(
+        pages.select("page_id", "html", "url"),
+        bare,
+        declared=F.regexp_extract("html", '(?i)<html[^>]*\\blang="?([a-z]{2})', 1),
+        host=host,
+        suffix=F.substring_index(host, ".", -1),
+        keep=["page_id"],
+    )
+    return found.select("row.page_id", "language", "confidence", "text_language", "accepted")
+
+
 QUERIES: dict[str, Query] = {
     "op7_exact_dedup": op7_exact_dedup,
     "op1_best_fit_packing": op1_best_fit_packing,
@@ -74,6 +91,7 @@ QUERIES: dict[str, Query] = {
     "op9_substring_dedup": op9_substring_dedup,
     "op3_language_id": op3_language_id,
     "op4_quality_rules": op4_quality_rules,
+    "language_id_pages": language_id_pages,
 }
 
 ORACLE: dict[str, str] = {
