@@ -37,7 +37,8 @@ def regressors(**sizes: int) -> dict[str, object]:
     # deep trees keep each row's node instead of walking the tree again at every level
     deep = {**trees, "cacheNodeIds": True}
     return {
-        "Linear Regression": LinearRegression(**common, regParam=0.0),
+        # collinear calendar columns leave the direct solver without a unique solution; the iterations go on to this tolerance
+        "Linear Regression": LinearRegression(**common, regParam=0.0, tol=1e-9, maxIter=500),
         "Decision Tree": DecisionTreeRegressor(**deep, maxDepth=TREE_DEPTH),
         "Random Forest": RandomForestRegressor(
             **deep,
