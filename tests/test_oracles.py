@@ -6,7 +6,8 @@ from oracle import connect, differences
 from __spark_entry__ import entry
 from gridweave.catalog import all_oracles, all_queries
 
-SLOW = {"baseline_boosted", "baseline_forest"}
+# the same fits run, and are checked, in baseline_fit_checks
+SLOW = {"baseline_boosted", "baseline_forest", "baseline_comparison"}
 QUERIES, SQL = all_queries(), all_oracles()
 
 
