@@ -1,4 +1,5 @@
 import zlib
+from pathlib import Path
 
 import pytest
 from samples import crowded, frame, rows
@@ -9,8 +10,10 @@ LABELS = "doc_id long, quality int, toxic int"
 
 
 @pytest.fixture(scope="module")
-def scored(spark):
-    folder = "/root/testdata/sf0.1"
+def scored(spark, sf):
+    folder = Path(sf).parent / "sf0.1"
+    if not folder.is_dir():
+        pytest.skip(f"no tables at {folder}")
     docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
     found = {r["doc_id"]: r for r in quality.classify(docs, labels).collect()}
     return docs, {r["doc_id"]: r["quality"] for r in labels.collect()}, found
