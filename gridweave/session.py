@@ -52,7 +52,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows written once to the shared folder and read back: several passes, one computation."""
+    """The rows written once to the shared folder and read back.
+
+    Several passes cost one computation, lineage is cut, and lost executors are survived. A join of two
+    written tables also has plain exchanges on both sides, which is what adaptive execution needs to split
+    a hot key.
+    """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
