@@ -6,10 +6,10 @@ import re
 import sys
 
 from pyspark.cloudpickle import register_pickle_by_value
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gridweave.session import scratch_path
+from gridweave.session import stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words between blanks, tabs and line ends only.
@@ -23,16 +23,7 @@ def by_value(module: str) -> None:
 
 by_value(__name__)
 
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows written once to the shared folder and read back.
-
-    Cuts lineage and survives lost executors. A join of two written tables also has plain exchanges
-    on both sides, which is what adaptive execution needs to split a hot key.
-    """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["WORD", "ascii_lower", "by_value", "lowered", "stored", "text_or_empty"]
 
 
 def text_or_empty(name: str) -> Column:

@@ -71,7 +71,7 @@ def _gnu() -> list[Rule]:
             number = version if " " in version else f"{version}(?: 0)?"
             label = f"{short}-{version.replace(' ', '.') if ' ' in version else version + '.0'}"
             for suffix, tail in tails.items():
-                said = f"(?: v| version| v ersion)? ?{number}{tail}"
+                said = f"(?: v| version)? ?{number}{tail}"
                 rules += [
                     Rule("gnu", f"gnu {name} {LICENCE}{said}", label + suffix, SPECIFIC),
                     Rule("gnu", f"gnu {name} {LICENCE} as published by the free software foundation(?: either)?{said}", label + suffix, SPECIFIC),
