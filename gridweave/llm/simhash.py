@@ -10,7 +10,9 @@ are found by multi-index hashing: the 64 bits are cut into segments, every point
 under each of its segments, and looks up a small Hamming ball around each. With ``distance`` = q * m + r
 for m segments, two points within ``distance`` agree up to q bits in one of the first r + 1 segments or up
 to q - 1 bits in a later one, so nothing is missed. Table matches are verified on all 64 bits inside the
-join. Segments get about as many bits as it takes to number the points, which keeps table lists short.
+join. The number of segments follows from the number of points, so that table lists stay short. Beyond
+``FIRST_DISTANCE`` bits links are made only between the classes that nearer links leave, so that a dense
+group does not produce all its pairs.
 
 Null text counts as empty. Repeated rows share a class. An empty table gives an empty result.
 """
@@ -33,6 +35,10 @@ from gridweave.llm.components import components
 by_value(__name__)
 
 BITS = 64
+#: What it costs a probe to meet a point, in rows shuffled.
+MEETING_COST = 0.02
+#: Links are searched at this distance first, and farther ones between the classes that it leaves.
+FIRST_DISTANCE = 4
 #: Shingles whose bits are counted at a time.
 SLICE = 65_536
 
@@ -67,16 +73,27 @@ def fingerprints(docs: DataFrame, id_column: str, text: str, shingle: int) -> Da
 
 
 def segment_plan(points: int, distance: int) -> list[tuple[int, int, int]]:
-    """(shift, bits, radius) of every segment for so many points."""
-    wanted = BITS / max(1.0, math.log2(max(2, points)))
-    count = max(2, min(round(wanted), distance + 1, 8))
-    whole, rest = divmod(distance, count)
-    plan, shift = [], 0
-    for i in range(count):
-        bits = BITS // count + (i < BITS % count)
-        plan.append((shift, bits, whole if i <= rest else whole - 1))
-        shift += bits
-    return plan
+    """(shift, bits, radius) of every segment, for so many points.
+
+    Of all numbers of segments the one with the least work is taken: every probe is a row to shuffle and
+    meets as many points as share its segment by chance.
+    """
+
+    def layout(count: int) -> list[tuple[int, int, int]]:
+        whole, rest = divmod(distance, count)
+        plan, shift = [], 0
+        for i in range(count):
+            bits = BITS // count + (i < BITS % count)
+            plan.append((shift, bits, whole if i <= rest else whole - 1))
+            shift += bits
+        return plan
+
+    def work(plan: list[tuple[int, int, int]]) -> float:
+        return sum(
+            sum(math.comb(bits, r) for r in range(radius + 1)) * (1 + MEETING_COST * points / 2**bits) for _, bits, radius in plan
+        )
+
+    return min(map(layout, range(2, max(2, min(distance + 1, 8)) + 1)), key=work)
 
 
 def ball(bits: int, radius: int) -> list[int]:
@@ -85,7 +102,8 @@ def ball(bits: int, radius: int) -> list[int]:
 
 
 def links(points: DataFrame, distance: int, count: int) -> DataFrame:
-    """(a, b) for every two rows of ``points`` (_fp, _rep) within ``distance`` bits; a, b are the _rep."""
+    """(a, b) for every two rows of ``points`` (_fp, _class) of different classes within ``distance`` bits;
+    a and b are their classes."""
     plan = segment_plan(count, distance)
 
     def key(number: int, shift: int, bits: int) -> Column:
@@ -99,23 +117,28 @@ def links(points: DataFrame, distance: int, count: int) -> DataFrame:
     keys = [(key(i, shift, bits), ball(bits, radius)) for i, (shift, bits, radius) in enumerate(plan) if radius >= 0]
     listed = F.array(*[k for k, _ in keys])
     probes = F.concat(*[around(k, masks) for k, masks in keys])
-    table = points.select(F.explode(listed).alias("_key"), F.col("_fp").alias("_fp2"), F.col("_rep").alias("b"))
-    probing = points.select(F.explode(probes).alias("_key"), "_fp", F.col("_rep").alias("a"))
-    near = F.bit_count(F.col("_fp").bitwiseXOR(F.col("_fp2"))) <= distance
-    found = probing.join(table, (probing["_key"] == table["_key"]) & (F.col("_fp") < F.col("_fp2")) & near)
-    return found.select("a", "b").distinct()
+    table = points.select(F.explode(listed).alias("_key"), F.col("_fp").alias("_fp2"), F.col("_class").alias("b"))
+    probing = points.select(F.explode(probes).alias("_key"), "_fp", F.col("_class").alias("a"))
+    differing = F.col("_fp").bitwiseXOR(F.col("_fp2"))
+    # two points may meet in several segments; only the first of them counts
+    first = F.lit(None).cast("long")
+    for i, (shift, bits, radius) in reversed(list(enumerate(plan))):
+        within = F.bit_count(F.shiftrightunsigned(differing, shift).bitwiseAND((1 << bits) - 1)) <= radius
+        first = F.when(within, F.lit(i)).otherwise(first)
+    near = (F.bit_count(differing) <= distance) & (F.col("a") != F.col("b")) & (F.col("_fp") < F.col("_fp2"))
+    met = probing.join(table, (probing["_key"] == table["_key"]) & near & (F.shiftright(probing["_key"], 32) == first))
+    return met.select("a", "b").distinct()
 
 
 def classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = 4, distance: int = 4) -> DataFrame:
     """One row per row of ``docs``: id, fingerprint as 16 hexadecimal digits, component_id."""
     prints = stored(fingerprints(docs, id_column, text, shingle), "fingerprints")
-    points = stored(prints.groupBy("_fp").agg(F.min("_id").alias("_rep")), "points")
-    found = stored(links(points, distance, points.count()), "links")
-    linked = components(found)
-    named = stored(
-        points.join(linked, F.col("_rep") == F.col("node"), "left").select("_fp", F.coalesce("component", "_rep").alias("_class")),
-        "classes",
-    )
+    named = stored(prints.groupBy("_fp").agg(F.min("_id").alias("_class")), "points")
+    count = named.count()
+    for reach in sorted({min(distance, FIRST_DISTANCE), distance}):
+        found = stored(links(named, reach, count), "links")
+        joined = named.join(stored(components(found), "components"), F.col("_class") == F.col("node"), "left")
+        named = stored(joined.select("_fp", F.coalesce("component", "_class").alias("_class")), "classes")
     return prints.join(named, "_fp", "left").select(
         F.col("_id").alias(id_column),
         F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"),
