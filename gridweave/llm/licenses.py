@@ -1,7 +1,8 @@
 """License scan: ordered signature rules behind a keyword prefilter.
 
 A text is read as words (runs of letters, digits and non-ASCII characters, A-Z lower-cased). Texts that
-hold none of the keywords are done after the prefilter. In the others every rule is tried where its first
+hold no keyword and no word of the gate are done after the prefilter; the gate is made from the rules, so
+that it holds back no text in which one matches. In the others every rule is tried where its first
 word, the anchor, stands, on that word and the ``REACH`` words after it. Overlaps are resolved by interval
 containment: of two detections of which one contains the other, the one with the stronger priority stays,
 and at equal priority the longer one, then the one whose rule comes first.
@@ -12,6 +13,7 @@ and copies of a row are scanned each for itself. Null text counts as empty: no w
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -33,8 +35,8 @@ BASE = {
     "mit license": "mit",
 }
 
-#: A text without any of these holds no rule and no base phrase; "cc by" is looked for as well.
-KEYWORDS = ("licen", "gpl", "copyright", "copyleft", "spdx", "public domain", "creative", "rights reserved", "wtfpl", "free of charge", "redistribution")
+#: What most rules hold, in any place of a text and in any order. A rule without any is found by its anchor (``gate_words``).
+KEYWORDS = ("licen", "gpl", "bsd", "copyright", "copyleft", "spdx", "public domain", "creative", "rights reserved", "wtfpl", "free of charge", "redistribution")
 
 SPECIFIC, FAMILY, NOTICE = 1, 2, 3
 CONFIDENCE = {SPECIFIC: 1.0, FAMILY: 0.8, NOTICE: 0.5}
@@ -181,6 +183,38 @@ def _plain() -> list[Rule]:
 
 RULES: tuple[Rule, ...] = tuple(_gnu() + _creative_commons() + _versioned() + _plain())
 
+# --- prefilter --------------------------------------------------------------------------------------
+
+
+def fixed_parts(pattern: str) -> list[str]:
+    """Runs of letters and digits that every match of ``pattern`` holds."""
+    before = None
+    while before != pattern:  # innermost groups first, whatever follows them
+        before, pattern = pattern, re.sub(r"\(\?:[^()]*\)(?:[?*+]|\{[^}]*\})?", "|", pattern)
+    return re.findall("[a-z0-9]+", re.sub(r"\[[^]]*\](?:[?*+]|\{[^}]*\})?|.(?:[?*]|\{[^}]*\})", "|", pattern))
+
+
+def gate_words(rules: tuple[Rule, ...], base: dict[str, str]) -> list[str]:
+    """First words of the rules and phrases that may match without any keyword; of "cc by" both."""
+    words = set()
+    for anchor, pattern in [(r.anchor, r.pattern) for r in rules] + [(phrase.split()[0], phrase) for phrase in base]:
+        parts = fixed_parts(pattern)
+        if not any(all(any(piece in part for part in parts) for piece in keyword.split()) for keyword in KEYWORDS):
+            words.add("cc by" if parts[:2] == ["cc", "by"] and pattern.startswith("cc by") else anchor)
+    return sorted(words)
+
+
+def may_match(rules: tuple[Rule, ...], base: dict[str, str]) -> Column:
+    low = F.lower("_text")
+    words = "|".join(w.replace(" ", GAP) for w in gate_words(rules, base))
+    edge = GAP.removesuffix("+")
+    hit: Column = F.col("_text").rlike(f"(?i)(?:^|{edge})(?:{words})(?:{edge}|$)") if words else F.lit(False)
+    for keyword in KEYWORDS:
+        pieces = keyword.split()
+        hit = hit | (low.contains(pieces[0]) if len(pieces) == 1 else F.forall(F.array(*map(F.lit, pieces)), lambda p: low.contains(p)))
+    return hit
+
+
 # --- expressions ------------------------------------------------------------------------------------
 # ``let`` binds a value to a lambda variable, so that it is computed once.
 
@@ -235,12 +269,7 @@ def scan(
     """``keep`` columns, n_words, base_places array of (start, label) and detections array of
     (label, start, words, priority), one row per row of ``docs``."""
     source = docs.select(*[F.col(c) for c in keep], text_or_empty(text).alias("_text"))
-    low = F.lower("_text")
-    hit: Column = F.col("_text").rlike(f"[cC][cC]{GAP}[bB][yY]")
-    for keyword in KEYWORDS:
-        pieces = keyword.split()
-        hit = hit | (low.contains(pieces[0]) if len(pieces) == 1 else F.forall(F.array(*map(F.lit, pieces)), lambda p: low.contains(p)))
-    gated = source.withColumn("_hit", hit)
+    gated = source.withColumn("_hit", may_match(rules, base))
     words = F.regexp_extract_all(ascii_lower(F.col("_text")), F.lit(WORD_ANY_CASE), 0)
     read = gated.select(
         *keep,

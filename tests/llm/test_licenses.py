@@ -1,5 +1,6 @@
 import random
 import re
+from re import _parser
 
 import pytest
 from samples import crowded, frame, rows
@@ -130,3 +131,45 @@ def test_many_detections_in_one_text(spark):
 def test_plan_has_no_python(spark, sf):
     plan = licenses.report(spark.read.parquet(f"{sf}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def spelled(tree, longest):
+    """The shortest or the longest text of a parsed rule, at most eight repetitions."""
+    out = ""
+    for kind, value in tree:
+        match str(kind):
+            case "LITERAL":
+                out += chr(value)
+            case "NOT_LITERAL":
+                out += "x"
+            case "IN":
+                first = value[0]
+                out += "x" if str(first[0]) == "NEGATE" else chr(first[1][0] if str(first[0]) == "RANGE" else first[1])
+            case "MAX_REPEAT":
+                least, most, inner = value
+                out += spelled(inner, longest) * (min(int(most), 8) if longest else least)
+            case "SUBPATTERN":
+                out += spelled(value[-1], longest)
+            case "BRANCH":
+                out += (max if longest else min)((spelled(b, longest) for b in value[1]), key=len)
+            case _:
+                raise ValueError(kind)
+    return out
+
+
+def test_each_rule_alone(spark):
+    # a word of its own after the anchor, as everywhere in the texts
+    texts = [spelled(_parser.parse(r.pattern.replace(" ?", " ")), longest) for r in licenses.RULES for longest in (False, True)]
+    texts += [t.upper().replace(" ", "-") for t in texts] + list(licenses.BASE)
+    assert all(brute_rules(words_of(t)) or brute_base(words_of(t)) for t in texts)
+    found = licenses.report(frame(spark, [(i, t, None, None, None) for i, t in enumerate(texts)])).collect()
+    assert len(found) == len(texts)
+    compare(found, dict(enumerate(texts)))
+
+
+def test_gate_is_made_from_the_rules(spark):
+    rule = licenses.Rule("acme", "acme(?: terms)? v?[0-9]", "acme", licenses.SPECIFIC)
+    data = [(1, "see ACME terms 4", None, None, None), (2, "acme4", None, None, None), (3, "of House Rules", None, None, None)]
+    found = licenses.scan(frame(spark, data), rules=(rule,), base={"house rules": "house"}).orderBy("doc_id").collect()
+    assert [len(r["detections"]) for r in found] == [1, 0, 0]
+    assert [len(r["base_places"]) for r in found] == [0, 0, 1]
