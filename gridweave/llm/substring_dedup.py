@@ -17,9 +17,10 @@ repeats make one maximal span. Windows are judged on the input.
    ``WINDOW`` words tells where the window starts first.
 
 The reference is as large as the repeated part of the corpus and has no size bound, so the automata are
-not sent to every task: a passage is streamed through the automata that hold its anchor, and no other can
-hold its windows. An anchor with very many different passages gets several automata of bounded size, one
-after the other.
+not sent to every task: a passage is streamed through the automaton that holds its anchor, and no other can
+hold its windows. An anchor whose different passages have more than ``SHARD_WORDS`` words, such as one of a
+frequent line in many surroundings, gets no automaton: its windows are filed one by one under their own
+hash, the earliest place of each is aggregated before the shuffle, and no task holds the anchor.
 
 Null text counts as no words. Rows that repeat both id and text are the same document; rows that share an
 id only are ordered by start. A null id comes before all others. An empty table gives an empty result.
@@ -47,7 +48,7 @@ MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 KNOWN_WORDS = 300_000
 #: Share of all passages from which an anchor is surely found frequent.
 SUPPORT = 0.001
-#: Words in one automaton.
+#: Words in one automaton; anchors with more are filed by window.
 SHARD_WORDS = 400_000
 NULL_ID = -(1 << 63)
 
@@ -185,6 +186,26 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, types)], names=["h", "_id", "doc", "start", "text"])
 
 
+WINDOWS = "h long, same long, _id long, doc long, start long"
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hash of every window of the wanted passages of each document."""
+    for batch in batches:
+        for key, doc, packed, wanted in zip(*(batch.column(c).to_pylist() for c in ("_id", "doc", "packed", "wanted"))):
+            words = zstandard.ZstdDecompressor().decompress(packed).split()
+            rows = [(p["h"], signed_hash(b" ".join(words[i : i + WINDOW])), key, doc, i) for p in wanted for i in range(p["start"], p["start"] + p["n"])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["h", "same", "_id", "doc", "start"])
+
+
+def repeated_windows(texts: DataFrame, by_doc: DataFrame) -> DataFrame:
+    """SPANS of the windows of the wanted passages that start earlier with the same anchor."""
+    windows = stored(texts.join(by_doc, ["_id", "doc"]).mapInArrow(_windows, WINDOWS), "windows")
+    firsts = windows.groupBy("h", "same").agg(F.min(F.struct("_id", "start")).alias("f"))
+    later = windows.join(firsts, ["h", "same"]).where(F.struct("_id", "start") != F.col("f"))
+    return later.select("_id", "doc", F.col("start").alias("a"), (F.col("start") + WINDOW).alias("b"))
+
+
 class Automaton:
     """Suffix automaton of several word sequences; every state knows the earliest place of its string.
 
@@ -255,21 +276,14 @@ class Automaton:
 def repeats(group: list[tuple[int, int, int, bytes]]) -> Iterator[tuple[int, int, int, int]]:
     """(id, doc, first word, end) of the spans that repeat earlier ones within the passages of one anchor."""
     split = [(key, doc, start, text.split()) for key, doc, start, text in group]
-    found: list[set[int]] = [set() for _ in split]
-    position = 0
-    while position < len(split):
-        automaton, size = Automaton(), 0
-        while position < len(split) and (not size or size + len(split[position][3]) <= SHARD_WORDS):
-            key, _, start, words = split[position]
-            automaton.add(words, key, start)
-            size += len(words)
-            position += 1
-        automaton.finish()
-        for mine, (key, _, start, words) in zip(found, split):
-            mine.update(i for i, place in automaton.earliest(words, WINDOW) if place < (key, start + i))
+    automaton = Automaton()
+    for key, _, start, words in split:
+        automaton.add(words, key, start)
+    automaton.finish()
+    found = [[i for i, place in automaton.earliest(words, WINDOW) if place < (key, start + i)] for key, _, start, words in split]
     for mine, (key, doc, start, _) in zip(found, split):
         begin = end = None
-        for i in sorted(mine):
+        for i in mine:
             if end is not None and i - WINDOW + 1 <= end:
                 end = i
                 continue
@@ -338,12 +352,20 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text
     later = parts.join(firsts.select("h", "same", F.struct("_id", "start").alias("f")), ["h", "same"]).where(F.struct("_id", "start") != F.col("f"))
     whole = later.select("_id", "doc", F.col("start").alias("a"), F.expr(f"start + n + {WINDOW - 1}").alias("b"))
     # an anchor with one passage, without a repeat inside, has nothing left to compare
-    contested = firsts.groupBy("h").agg(F.min("same").alias("least"), F.max("same").alias("most"), F.max("loops").alias("loops"))
-    wanted = firsts.join(contested.where("least <> most OR loops").select("h"), "h", "left_semi")
-    by_doc = wanted.groupBy("_id", "doc").agg(F.collect_list(F.struct("h", "start", "n")).alias("wanted"))
-    reference = texts.join(by_doc, ["_id", "doc"]).mapInArrow(_fetch, REFERENCE)
+    words = F.sum(F.col("n") + WINDOW - 1)
+    contested = firsts.groupBy("h").agg(F.min("same").alias("least"), F.max("same").alias("most"), F.max("loops").alias("loops"), (words > SHARD_WORDS).alias("large"))
+    anchors = stored(contested.where("least <> most OR loops").select("h", "large"), "anchors")
+    wanted = firsts.join(anchors, "h")
+
+    def by_doc(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("_id", "doc").agg(F.collect_list(F.struct("h", "start", "n")).alias("wanted"))
+
+    reference = texts.join(by_doc(wanted.where("NOT large")), ["_id", "doc"]).mapInArrow(_fetch, REFERENCE)
     dealt = reference.repartition("h").sortWithinPartitions("h")
-    spans = whole.unionByName(dealt.mapInArrow(_stream, SPANS)).groupBy("_id", "doc").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    found = whole.unionByName(dealt.mapInArrow(_stream, SPANS))
+    if not anchors.where("large").isEmpty():  # their texts are shuffled once more
+        found = found.unionByName(repeated_windows(texts, by_doc(wanted.where("large"))))
+    spans = found.groupBy("_id", "doc").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     touched = texts.join(stored(spans, "spans"), ["_id", "doc"], "left")
     clean = unified.where("kind = 0").select(
         "_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256",

@@ -58,6 +58,24 @@ def test_removed(spark, monkeypatch, support, shard_words):
             assert sha256(r["kept_text"].encode()).hexdigest() == r["kept_sha256"]
 
 
+def test_no_task_holds_a_frequent_line_in_many_surroundings(spark, monkeypatch):
+    real = substring_dedup.repeats
+
+    def bounded(group):
+        assert sum(len(text.split()) for *_, text in group) <= 400
+        return real(group)
+
+    monkeypatch.setattr(substring_dedup, "SHARD_WORDS", 400)
+    monkeypatch.setattr(substring_dedup, "repeats", bounded)
+    line, longer = prose(1, 12), prose(2, 24)
+    data = [(i, f"{prose(100 + i, 30)} {line} {prose(500 + i, 30)} {longer} {prose(900 + i % 7, 40)}", None, None, None) for i in range(200)]
+    data += [(1_000, f"{line} " * 60, None, None, None), (1_001, f"{line} " * 60, None, None, None)]
+    want = brute_force(data)
+    found = substring_dedup.remove_repeats(frame(spark, data)).collect()
+    assert {(r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in found} == {(i, *v) for (i, _), v in want.items()}
+    assert len(found) == len(data)
+
+
 def test_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     want = {i: v for (i, _), v in brute_force([(r["doc_id"], r["text"]) for r in docs.collect()]).items()}
