@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridweave.llm import decontamination, exact_dedup, language, licenses, merkle, packing, quality, secret_scan, sharding, simhash, substring_dedup
+from gridweave.llm import decontamination, exact_dedup, language, licenses, merkle, packing, periodic_runs, quality, secret_scan, sharding, simhash, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,6 +64,10 @@ def op4_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return periodic_runs.find(table(spark, sf, "documents"), prepare=periodic_runs.planted).drop("runs")
+
+
 def op13_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
     return merkle.tamper_check(table(spark, sf, "documents")).drop("position")
 
@@ -95,6 +99,7 @@ QUERIES: dict[str, Query] = {
     "op9_substring_dedup": op9_substring_dedup,
     "op3_language_id": op3_language_id,
     "op4_quality_rules": op4_quality_rules,
+    "op11_periodic_runs": op11_periodic_runs,
     "op13_merkle_manifest": op13_merkle_manifest,
     "language_id_pages": language_id_pages,
 }
