@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridweave.llm import decontamination, exact_dedup, language, licenses, merkle, packing, periodic_runs, quality, secret_scan, sharding, simhash, substring_dedup
+from gridweave.llm import decontamination, exact_dedup, language, licenses, merkle, packing, periodic_runs, quality, secret_scan, sharding, simhash, substring_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -68,6 +68,11 @@ def op11_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
     return periodic_runs.find(table(spark, sf, "documents"), prepare=periodic_runs.planted).drop("runs")
 
 
+def op12_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    found = toxicity.detect(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted", "evidence", F.size("passages").alias("n_passages"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
     return merkle.tamper_check(table(spark, sf, "documents")).drop("position")
 
@@ -100,6 +105,7 @@ QUERIES: dict[str, Query] = {
     "op3_language_id": op3_language_id,
     "op4_quality_rules": op4_quality_rules,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_toxicity": op12_toxicity,
     "op13_merkle_manifest": op13_merkle_manifest,
     "language_id_pages": language_id_pages,
 }
