@@ -61,33 +61,73 @@ def predict(x: np.ndarray, rules: Rules) -> np.ndarray:
     return out
 
 
-def partial_sums(
-    batches: Iterator[pd.DataFrame], names: list[str], targets: list[str], rules: Rules
+def panel(weights: np.ndarray, base: np.ndarray, first: int, last: int) -> np.ndarray:
+    """The columns of the design that belong to the rules from ``first`` to ``last``, exclusive."""
+    return (weights[:, first:last, None] * base[:, None, :]).reshape(len(weights), -1)
+
+
+def tile_sums(
+    batches: Iterator[pd.DataFrame], names: list[str], targets: list[str], rules: Rules, cuts: np.ndarray, pairs: list[tuple[int, int]]
+) -> Iterator[pd.DataFrame]:
+    """One tile of D'D, and D'y beside a tile on the diagonal, over the rows of one task."""
+    each = rules.grid.shape[1] + 1
+    gram = moments = None
+    for batch in batches:
+        if batch.empty:
+            continue
+        a, b = pairs[int(batch["_tile"].iloc[0])]
+        one, two = (cuts[a], cuts[a + 1]), (cuts[b], cuts[b + 1])
+        if gram is None:
+            gram = np.zeros(((one[1] - one[0]) * each, (two[1] - two[0]) * each))
+            moments = np.zeros((len(targets), len(gram)))
+        x, y = batch[names].to_numpy(dtype=float), batch[targets].to_numpy(dtype=float)
+        for part in slices(len(x), rules.width):
+            weights, base = normalized(x[part], rules), basis(x[part])
+            left = panel(weights, base, *one)
+            gram += left.T @ (left if a == b else panel(weights, base, *two))
+            moments += y[part].T @ left
+    if gram is None:
+        return
+    top, side = int(one[0]) * each, int(two[0]) * each
+    if a == b:
+        cells = [(top + i, top + i, gram[i, i:]) for i in range(len(gram))] + [(top, -1 - k, m) for k, m in enumerate(moments)]
+    else:
+        cells = [(top + i, side, row) for i, row in enumerate(gram)]
+    for start in range(0, len(cells), 256):
+        yield pd.DataFrame(cells[start : start + 256], columns=["i", "j", "values"])
+
+
+def product_sums(
+    batches: Iterator[pd.DataFrame], names: list[str], targets: list[str], rules: Rules, columns: np.ndarray | None, cuts: np.ndarray
 ) -> Iterator[pd.DataFrame]:
-    """One task's D'D (packed upper triangle) followed by D'y per target, cut into segments."""
-    width = rules.width
-    gram, moments, seen = np.zeros((width, width)), np.zeros((len(targets), width)), False
+    """D'(D V) for one panel of the columns V, or D'Y, over the rows of one task."""
+    out = None
     for batch in batches:
+        if batch.empty:
+            continue
+        number = int(batch["_tile"].iloc[0])
+        first, last = int(cuts[number]), int(cuts[number + 1])
+        out = np.zeros((rules.width, last - first)) if out is None else out
         x, y = batch[names].to_numpy(dtype=float), batch[targets].to_numpy(dtype=float)
-        for part in slices(len(x), width):
+        for part in slices(len(x), rules.width):
             d = design(x[part], rules)
-            gram += d.T @ d
-            moments += y[part].T @ d
-            seen = True
-    if seen:
-        packed = np.concatenate([gram[np.triu_indices(width)], moments.ravel()])
-        cuts = range(0, len(packed), SEGMENT)
-        yield pd.DataFrame({"segment": [c // SEGMENT for c in cuts], "values": [packed[c : c + SEGMENT] for c in cuts]})
-
-
-def add_segments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Streams (segment, values) rows into one total per segment."""
-    totals: dict[int, np.ndarray] = {}
+            out += d.T @ (y[part][:, first:last] if columns is None else d @ columns[:, first:last])
+    if out is None:
+        return
+    step = max(1, SEGMENT // (last - first))
+    cells = [(i, first, out[i : i + step].ravel()) for i in range(0, len(out), step)]
+    for start in range(0, len(cells), 4096):
+        yield pd.DataFrame(cells[start : start + 4096], columns=["i", "j", "values"])
+
+
+def add_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Streams (i, j, values) rows into one total for each (i, j)."""
+    totals: dict[tuple[int, int], np.ndarray] = {}
     for batch in batches:
-        for segment, values in zip(batch["segment"], batch["values"]):
-            if segment in totals:
-                totals[segment] += np.asarray(values, dtype=float)
+        for i, j, values in zip(batch["i"], batch["j"], batch["values"]):
+            if (i, j) in totals:
+                totals[i, j] += np.asarray(values, dtype=float)
             else:
-                totals[segment] = np.array(values, dtype=float)
+                totals[i, j] = np.array(values, dtype=float)
     if totals:
-        yield pd.DataFrame({"segment": list(totals), "values": list(totals.values())})
+        yield pd.DataFrame([(i, j, v) for (i, j), v in totals.items()], columns=["i", "j", "values"])

@@ -5,14 +5,12 @@ Two forms of the layers:
 * SQL expressions that turn rows into (row, input, set) or (row, rule) rows, for reports;
 * batch scoring and partial normal equations with NumPy on Arrow batches, for the bulk work.
 
-The fit needs D'D and D'y only (D: rows x rules*(inputs+1)). Every task adds up its own part
-batch by batch, the parts are summed by matrix segment, and the driver solves a system whose
-size depends on the model alone.
+The fit needs D'D and D'y only (D: rows x rules*(inputs+1)), or products with D'D for large models; see
+``normal_equations``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -24,6 +22,7 @@ from pyspark.sql import functions as F
 from gridweave.fixed_values import CORE_FEATURES, EPS, MIN_SIGMA, N_MFS, RIDGE_ALPHA, SEED
 from gridweave.functions import kernels
 from gridweave.functions.text import Expr, add, array, col, let, num, put, quote, select, struct, table
+from gridweave.operators import normal_equations
 from gridweave.operators.quality import DataQualityError, finite_report, raise_on_violations
 from gridweave.operators.quantiles import exact_quantiles
 
@@ -41,9 +40,6 @@ EXP_LIMITS = (-745.0, 709.0)
 
 def rule_grid(n_mfs: int, n_inputs: int) -> np.ndarray:
     """All combinations of set numbers, the last input running fastest."""
-    width = n_mfs**n_inputs * (n_inputs + 1)
-    if width > WIDTH_LIMIT:
-        raise DataQualityError(f"{n_mfs} sets for {n_inputs} inputs make {width} coefficients; the limit is {WIDTH_LIMIT}")
     return np.indices((n_mfs,) * n_inputs).reshape(n_inputs, -1).T.copy()
 
 
@@ -132,71 +128,34 @@ def score(df: DataFrame, model: FuzzyModel, output: str = "prediction") -> DataF
 # --- distributed fit ----------------------------------------------------------------------
 
 
-def partial_sums(df: DataFrame, model: FuzzyModel, targets: list[str]) -> DataFrame:
-    """(segment, values): the packed upper triangle of D'D, then D'y per target, summed over all rows.
-
-    One partial result per task, and twice as many tasks as cores: the few input columns are dealt out to
-    them, so the scan keeps its own tasks and the volume of matrices depends on the cluster and the model,
-    not on the input size. Segments are re-distributed and added in a stream: a task holds one total per
-    segment.
-    """
-    names, rules = list(model.features), model.batch_rules()
-
-    def accumulate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return kernels.partial_sums(batches, names, targets, rules)
-
-    numbers = df.selectExpr(*select([], {c: f"double({col(c)})" for c in [*names, *targets]}))
-    tasks = 2 * df.sparkSession.sparkContext.defaultParallelism
-    schema = "segment bigint, values array<double>"
-    parts = numbers.repartition(tasks).mapInPandas(accumulate, schema)
-    return parts.repartition("segment").mapInPandas(kernels.add_segments, schema)
-
-
-def unpack(sums: DataFrame, width: int, n_targets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Driver side: model-sized matrices, whatever the number of input rows."""
-    found = sums.toArrow().combine_chunks()
-    if not found.num_rows:
-        raise DataQualityError("no rows to fit on")
-    segments, values = found["segment"].to_numpy(), found["values"].combine_chunks()
-    # a single chunk is a list array already; its parts follow each other in row order
-    values = values.chunk(0) if hasattr(values, "chunk") else values
-    # a sum spoilt by a missing input arrives as null and becomes NaN here
-    starts, flat = values.offsets.to_numpy(), values.values.to_numpy(zero_copy_only=False)
-    packed = np.concatenate([flat[starts[row] : starts[row + 1]] for row in np.argsort(segments)])
-    triangle = width * (width + 1) // 2
-    gram = np.zeros((width, width))
-    rows, cols = np.triu_indices(width)
-    gram[rows, cols] = packed[:triangle]
-    gram[cols, rows] = packed[:triangle]
-    return gram, packed[triangle:].reshape(n_targets, width)
-
-
-def solve(gram: np.ndarray, moment: np.ndarray, alpha: float) -> np.ndarray:
-    """Ridge with every coefficient penalised; least squares when the system is singular."""
-    system = gram + alpha * np.eye(len(gram))
-    try:
-        return np.linalg.solve(system, moment)
-    except np.linalg.LinAlgError:
-        return np.linalg.lstsq(system, moment, rcond=None)[0]
-
-
 def fit_consequents(
-    df: DataFrame, model: FuzzyModel, targets: list[str], alpha: float | None = None
+    df: DataFrame, model: FuzzyModel, targets: list[str], alpha: float | None = None, iterative: bool | None = None
 ) -> dict[str, FuzzyModel]:
-    """One fitted model per target from a single pass: one D'D, one D'y per target.
+    """One fitted model per target from the same passes.
 
-    A missing or infinite input shows up in the sums, so the check costs no pass of its own.
+    The direct solution has one D'D on the driver and one D'y per target. Models with more than
+    ``WIDTH_LIMIT`` coefficients are solved by conjugate gradients; ``iterative`` forces either way. A missing
+    or infinite input shows up in the sums, so the check costs no pass of its own.
     """
     alpha = model.ridge_alpha if alpha is None else alpha
-    gram, moments = unpack(partial_sums(df, model, targets), model.width, len(targets))
-    if not (np.isfinite(gram).all() and np.isfinite(moments).all()):
-        raise_on_violations(finite_report(df, [*model.features, *targets]), "fit input")
-        raise DataQualityError("fit input: the sums overflow")
+    iterative = model.width > WIDTH_LIMIT if iterative is None else iterative
+    if not iterative and model.width > WIDTH_LIMIT:
+        raise DataQualityError(f"{model.width} coefficients; the direct solution takes {WIDTH_LIMIT}")
+    data, rules = normal_equations.fit_input(df, list(model.features), targets), model.batch_rules()
+    if iterative:
+        try:
+            solution = normal_equations.conjugate_gradients(data, rules, alpha, seed=model.seed)
+        except DataQualityError:
+            raise_on_violations(finite_report(df, [*model.features, *targets]), "fit input")
+            raise
+    else:
+        gram, moments = normal_equations.gram_and_moments(data, rules)
+        if not (np.isfinite(gram).all() and np.isfinite(moments).all()):
+            raise_on_violations(finite_report(df, [*model.features, *targets]), "fit input")
+            raise DataQualityError("fit input: the sums overflow")
+        solution = normal_equations.solve(gram, moments.T, alpha).T
     shape = (model.n_rules, len(model.features) + 1)
-    return {
-        t: replace(model, coefficients=solve(gram, moments[i], alpha).reshape(shape), ridge_alpha=alpha)
-        for i, t in enumerate(targets)
-    }
+    return {t: replace(model, coefficients=solution[i].reshape(shape), ridge_alpha=alpha) for i, t in enumerate(targets)}
 
 
 def split_rmse(df: DataFrame, actual: str, prediction: str) -> DataFrame:
@@ -307,19 +266,8 @@ def sugeno_rows(df: DataFrame, model: FuzzyModel, keys: list[str], output: str =
 
 
 def gram_rows(df: DataFrame, model: FuzzyModel, targets: list[str]) -> DataFrame:
-    """D'D and D'y as (i, j, value) rows; ``j`` = -1 - k marks D'y of target k."""
-    width, triangle = model.width, model.width * (model.width + 1) // 2
-    cells = partial_sums(df, model, targets).selectExpr("segment", "posexplode(values) AS (_at, value)")
-    placed = cells.selectExpr(f"segment * {kernels.SEGMENT} + _at AS _cell", "value")
-    # row i of the packed triangle begins at i * width - i * (i - 1) / 2; the root may be one off
-    near = f"bigint(floor((2 * {width} + 1 - sqrt(greatest(pow(2 * {width} + 1, 2) - 8 * _cell, 0))) / 2))"
-    begin = "({i} * {w} - {i} * ({i} - 1) div 2)"
-    first, following = begin.format(i="_i", w=width), begin.format(i="(_i + 1)", w=width)
-    rows = add(placed, {"_i": near})
-    rows = put(rows, {"_i": f"CASE WHEN _cell < {first} THEN _i - 1 WHEN _cell >= {following} THEN _i + 1 ELSE _i END"})
-    inside = f"_cell < {triangle}"
-    return rows.selectExpr(
-        f"CASE WHEN {inside} THEN _i ELSE (_cell - {triangle}) % {width} END AS i",
-        f"CASE WHEN {inside} THEN _cell - {first} + _i ELSE -1 - (_cell - {triangle}) div {width} END AS j",
-        "value",
+    """D'D (upper triangle) and D'y as (i, j, value) rows; ``j`` = -1 - k marks D'y of target k."""
+    tiles = normal_equations.gram_tiles(normal_equations.fit_input(df, list(model.features), targets), model.batch_rules())
+    return tiles.selectExpr("i", "j", "posexplode(values) AS (_at, value)").selectExpr(
+        "CASE WHEN j < 0 THEN i + _at ELSE i END AS i", "CASE WHEN j < 0 THEN j ELSE j + _at END AS j", "value"
     )

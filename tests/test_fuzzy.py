@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from gridweave.operators import fuzzy
+from gridweave.operators import fuzzy, normal_equations
 from gridweave.operators.quality import DataQualityError
 from gridweave.sources.models import load_model, save_model
 
@@ -165,14 +165,86 @@ def test_save_and_load(spark, data, tmp_path):
         load_model(spark, str(tmp_path), "other")
 
 
-def test_segments_cover_a_wide_model(spark):
-    """Several segments per matrix, several tasks per segment."""
-    rng = np.random.default_rng(8)
-    x = rng.random((300, 4))
-    df = spark.createDataFrame(pd.DataFrame(x, columns=list("abcd")).assign(y=x.sum(axis=1)))
+# --- sums and solutions ---------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def wide(spark):
+    """A model with 405 coefficients and rows for it."""
+    x = np.random.default_rng(8).random((300, 4))
+    df = spark.createDataFrame(pd.DataFrame(x, columns=list("abcd")).assign(y=x.sum(axis=1), z=np.sin(5 * x[:, 0]) - x[:, 1] ** 2)).repartition(5)
     start = fuzzy.initialize_memberships(df, tuple("abcd"), 3)
-    gram, moment = fuzzy.unpack(fuzzy.partial_sums(df.repartition(5), start, ["y"]), start.width, 1)
-    d = direct_design(x, direct(x, start.mu, start.sigma)[1])
-    assert start.width == 405
+    return df, start, direct_design(x, direct(x, start.mu, start.sigma)[1]), x
+
+
+@pytest.mark.parametrize(("tasks", "bytes_of_a_row"), [(1, 1), (6, 1), (64, 1), (5, 10**7), (7, 50_000)])
+def test_every_layout_gives_the_same_sums(wide, monkeypatch, tasks, bytes_of_a_row):
+    df, start, d, x = wide
+    monkeypatch.setattr(normal_equations.FitInput, "tasks", tasks)
+    monkeypatch.setattr(normal_equations.FitInput, "row_bytes", bytes_of_a_row)
+    data = normal_equations.fit_input(df, list(start.features), ["y", "z"])
+    gram, moments = normal_equations.gram_and_moments(data, start.batch_rules())
+    y = np.column_stack([x.sum(axis=1), np.sin(5 * x[:, 0]) - x[:, 1] ** 2])
     np.testing.assert_allclose(gram, d.T @ d, atol=1e-9)
-    np.testing.assert_allclose(moment[0], d.T @ x.sum(axis=1), atol=1e-9)
+    np.testing.assert_allclose(moments, y.T @ d, atol=1e-9)
+    v = np.random.default_rng(1).normal(size=(start.width, 37))
+    np.testing.assert_allclose(normal_equations.products(data, start.batch_rules(), v), d.T @ (d @ v), atol=1e-8)
+    np.testing.assert_allclose(normal_equations.products(data, start.batch_rules(), None), d.T @ y, atol=1e-9)
+
+
+def test_layout_weighs_rows_against_matrices():
+    few = normal_equations.layout(64, 10**8, 10**4, 90, True)
+    many = normal_equations.layout(64, 10**8, 10**12, 90, True)
+    assert few.groups == 1 and few.panels * (few.panels + 1) // 2 >= 64
+    assert (many.groups, many.panels) == (64, 1)
+    for rows in (10**4, 10**6, 10**8, 10**10, 10**12):
+        found = normal_equations.layout(10_000, 10**8, rows, 90, True)
+        # tasks times the matrix, or the geometric middle of rows and matrices, whichever is less
+        assert found.moved <= 1.1 * min(10_000 * 10**8 + rows, 4 * (10_000 * 10**8 * rows) ** 0.5 + rows)
+
+
+def shuffled(spark) -> int:
+    found = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+
+def test_shuffle_grows_with_the_matrix_not_with_the_tasks(spark, wide, monkeypatch):
+    df, start, _, _ = wide
+    monkeypatch.setattr(normal_equations.FitInput, "tasks", 64)
+    data = normal_equations.fit_input(df, list(start.features), ["y"])
+    before = shuffled(spark)
+    normal_equations.gram_and_moments(data, start.batch_rules())
+    moved = shuffled(spark) - before
+    assert 0 < moved < 4 * start.width**2 * np.log2(64)
+
+
+@pytest.mark.parametrize("sketch", [20, 400])
+def test_iterative_solution_equals_the_direct_one(wide, sketch):
+    df, start, d, x = wide
+    data = normal_equations.fit_input(df, list(start.features), ["y", "z"])
+    found = normal_equations.conjugate_gradients(data, start.batch_rules(), 1e-3, sketch)
+    y = np.column_stack([x.sum(axis=1), np.sin(5 * x[:, 0]) - x[:, 1] ** 2])
+    wanted = np.linalg.solve(d.T @ d + 1e-3 * np.eye(start.width), d.T @ y).T
+    np.testing.assert_allclose(found @ d.T, wanted @ d.T, atol=1e-6)
+
+
+def test_iterative_fit_through_the_model(data, wide):
+    df, start, _, _ = wide
+    one, two = (fuzzy.fit_consequents(df, start, ["y"], 1e-3, iterative)["y"] for iterative in (True, False))
+    a, b = (fuzzy.score(df, m).toPandas()["prediction"] for m in (one, two))
+    np.testing.assert_allclose(a, b, atol=1e-6)
+
+
+def test_iterative_fit_stops_on_missing_inputs(spark, wide):
+    _, start, _, _ = wide
+    bad = spark.createDataFrame([(None, 0.1, 0.2, 1.0, 1.0), (0.5, 0.5, 0.5, 1.0, 1.0)], "a double, b double, c double, d double, y double")
+    with pytest.raises(DataQualityError, match=r"not_finite\(a\)=1"):
+        fuzzy.fit_consequents(bad, start, ["y"], iterative=True)
+
+
+def test_direct_solution_has_a_limit(wide, monkeypatch):
+    df, start, _, _ = wide
+    monkeypatch.setattr(fuzzy, "WIDTH_LIMIT", 100)
+    with pytest.raises(DataQualityError, match="405 coefficients"):
+        fuzzy.fit_consequents(df, start, ["y"], iterative=False)
+    assert np.isfinite(fuzzy.fit_consequents(df, start, ["y"], 1e-3)["y"].coefficients).all()
