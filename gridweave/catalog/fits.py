@@ -7,6 +7,7 @@ persistence values. The queries return such facts; the SQL says what they must b
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +16,9 @@ from gridweave.catalog import inputs as i
 from gridweave.catalog import sql as q
 from gridweave.fixed_values import CORE_FEATURES, TARGETS
 from gridweave.functions.text import add, array, col, num, put, quote
-from gridweave.operators import evaluate, fuzzy
+from gridweave.operators import evaluate, fuzzy, normal_equations
 from gridweave.operators.baselines import MODEL_NAMES
+from gridweave.operators.scaling import unscaled
 from gridweave.plans import train
 from gridweave.session import stored
 
@@ -31,6 +33,13 @@ def _fitted(spark: SparkSession, sf: str, n_mfs: int) -> tuple[dict[str, train.F
     return train.fit_wide(i.stored_wide(spark, sf), i.VALIDATION_START, i.TRAIN_END, n_mfs)
 
 
+def _both_sizes(spark: SparkSession, sf: str) -> Iterator[tuple[int, str, train.FitData, fuzzy.FuzzyModel]]:
+    """The fitted models with two and with the published three sets, for both horizons."""
+    for n_mfs in (2, 3):
+        data, models = _fitted(spark, sf, n_mfs)
+        yield from ((n_mfs, h, data[h], models[h]) for h in TARGETS)
+
+
 def _residuals(data: train.FitData, model: fuzzy.FuzzyModel) -> DataFrame:
     """D'(y - Dc) - alpha c for every coefficient, from the training rows; zero for the ridge solution."""
     spark = data.rows.sparkSession
@@ -66,28 +75,45 @@ def fuzzy_published_fit(spark: SparkSession, sf: str) -> DataFrame:
     return counted.selectExpr("n_mfs", "horizon", "`count(rule)` AS coefficients", "int(`sum(wrong)`) AS wrong")
 
 
+def fuzzy_fit_iterative(spark: SparkSession, sf: str) -> DataFrame:
+    """Conjugate gradients for two, three and four sets: equations that do not hold to six digits, and rows
+    whose prediction differs from that of the direct solution, which four sets are too many for."""
+    frames = []
+    for n_mfs in (2, 3, 4):
+        data, models = train.fit_wide(i.stored_wide(spark, sf), i.VALIDATION_START, i.TRAIN_END, n_mfs, iterative=True)
+        direct = _fitted(spark, sf, n_mfs)[1] if n_mfs < 4 else {}
+        for h in TARGETS:
+            residuals = fuzzy.residuals(data[h].rows.where("split = 'train_fit'"), models[h], f"{TARGETS[h]}_scaled")
+            rows = train.score_fit_data(data[h], models[h])
+            if h in direct:
+                rows = fuzzy.score(rows, direct[h], "again")
+                different = rows.where("NOT coalesce(abs(predicted_scaled - again) < 1e-6D, false)").count()
+            else:
+                different = rows.where("predicted_scaled IS NULL").count()
+            frames.append((n_mfs, h, models[h].width, int((abs(residuals) > 1e-6).sum()), different))
+    return spark.createDataFrame(frames, "n_mfs int, horizon string, coefficients bigint, wrong int, different bigint")
+
+
 def fuzzy_scores_agree(spark: SparkSession, sf: str) -> DataFrame:
     """Batch scores against the forward pass in SQL expressions, per horizon and split."""
-    data, models = _fitted(spark, sf, 2)
     frames = []
-    for h in TARGETS:
-        rows = train.score_fit_data(data[h], models[h])
-        both = fuzzy.sugeno_rows(rows, models[h], ["split", "predicted_scaled"], "again")
+    for n_mfs, h, data, model in _both_sizes(spark, sf):
+        rows = train.score_fit_data(data, model)
+        both = fuzzy.sugeno_rows(rows, model, ["split", "predicted_scaled"], "again")
         marked = both.selectExpr("split", "bigint(NOT coalesce(abs(predicted_scaled - again) < 1e-6D, false)) AS _d")
         counted = marked.groupBy("split").agg({"*": "count", "_d": "sum"})
-        frames.append(counted.selectExpr(f"{quote(h)} AS horizon", "split", "`count(1)` AS rows", "`sum(_d)` AS different"))
+        frames.append(counted.selectExpr(f"{n_mfs} AS n_mfs", f"{quote(h)} AS horizon", "split", "`count(1)` AS rows", "`sum(_d)` AS different"))
     return _union(frames)
 
 
 def fitted_predictions(spark: SparkSession, sf: str) -> DataFrame:
     """Prediction frames of both horizons; whether the prediction columns fit together is one column."""
-    data, models = _fitted(spark, sf, 2)
     frames = []
-    for h in TARGETS:
-        frame = train.test_predictions(data[h], models[h])
+    for n_mfs, h, data, model in _both_sizes(spark, sf):
+        frame = train.test_predictions(data, model)
         frames.append(
             frame.selectExpr(
-                f"{quote(h)} AS horizon", "profile_code", "profile_name", "datetime", "actual_kwh", "baseline_lag24_kwh",
+                f"{n_mfs} AS n_mfs", f"{quote(h)} AS horizon", "profile_code", "profile_name", "datetime", "actual_kwh", "baseline_lag24_kwh",
                 "coalesce(abs(error_kwh - (actual_kwh - predicted_kwh)) < 1e-9D AND abs_error_kwh = abs(error_kwh) AND ape >= 0, false) AS consistent",
             )
         )
@@ -95,21 +121,32 @@ def fitted_predictions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fitted_payload(spark: SparkSession, sf: str) -> DataFrame:
-    """Evaluation of the fitted model end to end: payload, deltas and run record of both horizons."""
-    data, models = _fitted(spark, sf, 2)
+    """Evaluation of the fitted model end to end: payload, deltas and run record of both horizons.
+
+    The model's metrics in the payload and in the record are compared with the same metrics computed here,
+    by other expressions, from the rows scored in SQL.
+    """
     frames = []
-    for h in TARGETS:
-        frame = train.test_predictions(data[h], models[h], text_time=False)
+    for n_mfs, h, data, model in _both_sizes(spark, sf):
+        frame = train.test_predictions(data, model, text_time=False)
         payload = evaluate.payload(frame, run_id="fit", horizon=h, feature_set="core", target=TARGETS[h])
-        record = train.run_records(data[h], models[h], "fit", i.VALIDATION_START)
+        record = train.run_records(data, model, "fit", i.VALIDATION_START)
         joined = payload.join(record.selectExpr("horizon", "test_rows", "test_mae", "test_rmse", "test_r2", "predictions_finite"), "horizon")
+        again = fuzzy.sugeno_rows(data.rows.where("split = 'test'"), model, [f"double({col(data.target)}) AS y"], "p")
+        error = f"y - ({unscaled('p', data.target, data.stats)})"
+        found = again.selectExpr("y", f"{error} AS e").selectExpr(
+            f"{quote(h)} AS horizon", "sum(abs(e)) / count(*) AS mae2", "sqrt(sum(e * e) / count(*)) AS rmse2",
+            "1D - sum(e * e) / regr_syy(y, y) AS r22",
+        )
+        joined = joined.join(found, "horizon")
         lag = "baselines.lag24"
         frames.append(
             joined.selectExpr(
-                "horizon", "target_column", "test.rows AS rows", "test.profile_count AS profiles",
+                f"{n_mfs} AS n_mfs", "horizon", "target_column", "test.rows AS rows", "test.profile_count AS profiles",
                 f"{lag}.mae AS lag24_mae", f"{lag}.rmse AS lag24_rmse", f"{lag}.r2 AS lag24_r2",
                 f"abs(model.mae - {lag}.mae - comparison.mae_delta_model_minus_lag24) < 1e-9D AS deltas_fit",
-                "test_rows = test.rows AND abs(test_mae - model.mae) < 1e-9D AND abs(test_rmse - model.rmse) < 1e-9D AND predictions_finite AS record_fits",
+                "test_rows = test.rows AND abs(test_mae - model.mae) < 1e-9D AND abs(test_rmse - model.rmse) < 1e-9D AND abs(test_r2 - model.r2) < 1e-9D AND predictions_finite AS record_fits",
+                "abs(mae2 - model.mae) < 1e-6D AND abs(rmse2 - model.rmse) < 1e-6D AND abs(r22 - model.r2) < 1e-6D AS model_fits",
             )
         )
     return i.rounded(_union(frames), ["lag24_mae", "lag24_rmse", "lag24_r2"])
@@ -150,11 +187,12 @@ def baseline_fit_checks(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        fuzzy_normal_equations, fuzzy_published_fit, fuzzy_scores_agree, fitted_predictions, fitted_payload, baseline_fit_checks,
+        fuzzy_normal_equations, fuzzy_published_fit, fuzzy_fit_iterative, fuzzy_scores_agree, fitted_predictions, fitted_payload, baseline_fit_checks,
     )
 }
 
 _HORIZONS = "(VALUES ('1h', 'target_1h'), ('24h', 'target_24h')) h(horizon, target_column)"
+_SIZES = "(VALUES (2), (3)) s(n_mfs)"
 _WIDTH = len(CORE_FEATURES) + 1
 _TEST = q.wide_plus(q.splits()) + ", tested AS (SELECT '1h' AS horizon, target_1h AS actual, * FROM rows1 WHERE split = 'test' UNION ALL SELECT '24h', target_24h, * FROM rows1 WHERE split = 'test')"
 _TREES = "(VALUES ('Linear Regression', 0), ('Decision Tree', 1), ('Random Forest', 100), ('Boosted Trees', 200)) m(model, trees)"
@@ -165,16 +203,18 @@ SELECT CAST(n_mfs AS INTEGER) AS n_mfs, horizon, CAST(rule AS INTEGER) AS rule,
 FROM (VALUES (1, 1), (2, {2 ** len(CORE_FEATURES)})) s(n_mfs, n_rules), {_HORIZONS}, range({2 ** len(CORE_FEATURES)}) r(rule), range({_WIDTH}) x(input)
 WHERE rule < n_rules""",
     "fuzzy_published_fit": f"SELECT 3 AS n_mfs, horizon, CAST({3 ** len(CORE_FEATURES) * _WIDTH} AS BIGINT) AS coefficients, 0 AS wrong FROM {_HORIZONS}",
+    "fuzzy_fit_iterative": f"""SELECT n_mfs, horizon, CAST(n_mfs ** {len(CORE_FEATURES)} * {_WIDTH} AS BIGINT) AS coefficients, 0 AS wrong, CAST(0 AS BIGINT) AS different
+       FROM (VALUES (2), (3), (4)) s(n_mfs), {_HORIZONS}""",
     "fuzzy_scores_agree": q.wide_plus(q.splits())
-    + f"SELECT horizon, fit_split AS split, count(*) AS rows, CAST(0 AS BIGINT) AS different FROM rows1, {_HORIZONS} GROUP BY 1, 2",
+    + f"SELECT n_mfs, horizon, fit_split AS split, count(*) AS rows, CAST(0 AS BIGINT) AS different FROM rows1, {_HORIZONS}, {_SIZES} GROUP BY 1, 2, 3",
     "fitted_predictions": _TEST
-    + """SELECT horizon, profile_code, profile_name, strftime(datetime, '%Y-%m-%d %H:%M:%S') AS datetime, actual AS actual_kwh,
-       load_lag_24 AS baseline_lag24_kwh, true AS consistent FROM tested""",
+    + f"""SELECT n_mfs, horizon, profile_code, profile_name, strftime(datetime, '%Y-%m-%d %H:%M:%S') AS datetime, actual AS actual_kwh,
+       load_lag_24 AS baseline_lag24_kwh, true AS consistent FROM tested, {_SIZES}""",
     "fitted_payload": _TEST
-    + f"""SELECT horizon, 'target_' || horizon AS target_column, count(*) AS rows, count(DISTINCT profile_code) AS profiles,
+    + f"""SELECT n_mfs, horizon, 'target_' || horizon AS target_column, count(*) AS rows, count(DISTINCT profile_code) AS profiles,
        {q.r("avg(abs(actual - load_lag_24))")} AS lag24_mae, {q.r("sqrt(avg((actual - load_lag_24) ** 2))")} AS lag24_rmse,
-       {q.r("1e0 - sum((actual - load_lag_24) ** 2) / (var_pop(actual) * count(*))")} AS lag24_r2, true AS deltas_fit, true AS record_fits
-       FROM tested GROUP BY horizon""",
+       {q.r("1e0 - sum((actual - load_lag_24) ** 2) / (var_pop(actual) * count(*))")} AS lag24_r2, true AS deltas_fit, true AS record_fits, true AS model_fits
+       FROM tested, {_SIZES} GROUP BY n_mfs, horizon""",
     "baseline_fit_checks": q.wide_plus(q.splits())
     + f"""SELECT dataset, horizon, model, CAST(trees AS INTEGER) AS trees, count(*) FILTER (WHERE split = 'train') AS train_rows,
        count(*) FILTER (WHERE split = 'test') AS test_rows, 0 AS broken

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gridweave.catalog import inputs as i
 from gridweave.catalog import sql as q
@@ -105,6 +106,25 @@ def gram_matrix(spark: SparkSession, sf: str) -> DataFrame:
     return i.rounded(fuzzy.gram_rows(rows, fixed_model(1), ["target_1h_scaled"]), ["value"])
 
 
+def gram_products(spark: SparkSession, sf: str) -> DataFrame:
+    """Every row of D'D times a fixed vector, for two and three sets: all cells of both matrices take part."""
+    rows = _fit_data(spark, sf).rows.filter("split = 'train_fit'")
+    frames = []
+    for n_mfs in (2, 3):
+        cells = fuzzy.gram_rows(rows, fixed_model(n_mfs), ["target_1h_scaled"])
+        upper = cells.where("j >= i").selectExpr("i", f"value * {_weight('j')} AS t")
+        lower = cells.where("j > i").selectExpr("j AS i", f"value * {_weight('i')} AS t")
+        moments = cells.where("j < 0").selectExpr("i", "value AS moment")
+        sums = upper.unionByName(lower).groupBy("i").agg(F.sum("t").alias("product"))
+        frames.append(sums.join(moments, "i").selectExpr(f"{n_mfs} AS n_mfs", "i", "product", "moment"))
+    return i.rounded(frames[0].unionByName(frames[1]), ["product", "moment"])
+
+
+def _weight(index: str) -> str:
+    """The fixed vector of ``gram_products``; the same text in both engines."""
+    return f"((({index} * 37) % 101 - 50) / 5e1)"
+
+
 def fuzzy_fit_predict(spark: SparkSession, sf: str) -> DataFrame:
     """Fit on train_fit, score every split, RMSE per split in scaled units, both horizons."""
     stored = i.stored_wide(spark, sf)
@@ -133,7 +153,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         membership_init, core_quantiles, membership_values, firing_strengths, normalized_strengths, active_rules,
-        rule_grid, sugeno_predict, sugeno_predict_batch, gram_matrix, fuzzy_fit_predict, fuzzy_fit_shared,
+        rule_grid, sugeno_predict, sugeno_predict_batch, gram_matrix, gram_products, fuzzy_fit_predict, fuzzy_fit_shared,
     )
 }
 
@@ -172,6 +192,26 @@ _PREDICT = (
 )
 _TERMS = ["1e0", *CORE]
 
+
+def _log_of(c: str, n_mfs: int) -> str:
+    """Log membership of the set that the rule's digit names, for any number of sets."""
+    model = fixed_model(n_mfs)
+    digit = f"((rule // {n_mfs ** (5 - CORE.index(c))}) % {n_mfs})"
+    z = f"(({c} - CASE {digit} {' '.join(f'WHEN {j} THEN {d(float(m))}' for j, m in enumerate(model.mu[0]))} END) / {d(float(model.sigma[0][0]))})"
+    return f"(-5e-1 * {z} * {z})"
+
+
+def _products(n_mfs: int) -> str:
+    """D (D v) row by row: the rows' D v first, then the sums over the rows."""
+    terms = [f"sum(weight * {t} * dv) AS p{k}, sum(weight * {t} * y) AS m{k}" for k, t in enumerate(_TERMS)]
+    own = " + ".join(f"{_weight(f'(rule * {len(_TERMS)} + {k})')} * {t}" for k, t in enumerate(_TERMS))
+    return f"""
+l{n_mfs} AS (SELECT x.*, rule, {" + ".join(_log_of(c, n_mfs) for c in CORE)} AS l FROM x, range({n_mfs ** len(CORE)}) g(rule) WHERE fit_split = 'train_fit'),
+w{n_mfs} AS (SELECT *, exp(l - top) / sum(exp(l - top)) OVER w AS weight
+  FROM (SELECT *, max(l) OVER (PARTITION BY profile_code, datetime) AS top FROM l{n_mfs}) WINDOW w AS (PARTITION BY profile_code, datetime)),
+v{n_mfs} AS (SELECT *, sum(weight * ({own})) OVER (PARTITION BY profile_code, datetime) AS dv FROM w{n_mfs}),
+s{n_mfs} AS (SELECT rule, {", ".join(terms)} FROM v{n_mfs} GROUP BY rule)"""
+
 ORACLE = {
     "membership_init": _X
     + f""", qs AS ({" UNION ALL ".join(f"SELECT '{c}' AS input, quantile_cont({c}, 0.25) AS a, quantile_cont({c}, 0.75) AS b FROM x WHERE fit_split = 'train_fit'" for c in CORE)})
@@ -209,4 +249,9 @@ UNION ALL SELECT input, 1, {r("CASE WHEN b - a <= 1e-12 THEN 67e-2 ELSE b END")}
         ]
         + [f"SELECT {a} AS i, -1 AS j, {r(f'sum({_TERMS[a]} * y)')} AS value FROM x WHERE fit_split = 'train_fit'" for a in range(7)]
     ),
+    "gram_products": _X + ", " + ",".join(_products(n) for n in (2, 3)) + " " + " UNION ALL ".join(
+        f"SELECT {n} AS n_mfs, rule * {len(_TERMS)} + {k} AS i, {r(f'p{k}')} AS product, {r(f'm{k}')} AS moment FROM s{n}"
+        for n in (2, 3)
+        for k in range(len(_TERMS))
+    ),
 }

@@ -158,6 +158,14 @@ def fit_consequents(
     return {t: replace(model, coefficients=solution[i].reshape(shape), ridge_alpha=alpha) for i, t in enumerate(targets)}
 
 
+def residuals(df: DataFrame, model: FuzzyModel, target: str) -> np.ndarray:
+    """D'(y - Dc) - alpha c for every coefficient c of a fitted model: zero for the ridge solution."""
+    data, rules = normal_equations.fit_input(df, list(model.features), [target]), model.batch_rules()
+    c = model.coefficients.reshape(-1, 1)
+    gone = normal_equations.products(data, rules, None) - normal_equations.products(data, rules, c)
+    return (gone - model.ridge_alpha * c).ravel()
+
+
 def split_rmse(df: DataFrame, actual: str, prediction: str) -> DataFrame:
     """RMSE, rows and unusable predictions per split from one scoring pass."""
     error = f"({col(prediction)} - {col(actual)})"

@@ -86,7 +86,8 @@ def fit_data_from_files(
 
 
 def fit_horizons(
-    data: list[FitData], n_mfs: int = N_MFS, alpha: float = RIDGE_ALPHA, features: tuple[str, ...] = CORE_FEATURES
+    data: list[FitData], n_mfs: int = N_MFS, alpha: float = RIDGE_ALPHA, features: tuple[str, ...] = CORE_FEATURES,
+    iterative: bool | None = None,
 ) -> dict[str, fuzzy.FuzzyModel]:
     """One model per horizon, each from its own training rows."""
     out = {}
@@ -95,7 +96,7 @@ def fit_horizons(
         train = d.rows.filter("split = 'train_fit'")
         start = fuzzy.initialize_memberships(train, features, n_mfs, rows=sizes["train_fit"])
         target = f"{d.target}_scaled"
-        fitted = fuzzy.fit_consequents(train, start, [target], alpha)[target]
+        fitted = fuzzy.fit_consequents(train, start, [target], alpha, iterative)[target]
         out[d.horizon] = replace(fitted, metadata={"horizon": d.horizon, "target_column": d.target})
     return out
 
@@ -113,6 +114,7 @@ def fit_wide(
     train_end: str = TRAIN_END,
     n_mfs: int = N_MFS,
     alpha: float = RIDGE_ALPHA,
+    iterative: bool | None = None,
 ) -> tuple[dict[str, FitData], dict[str, fuzzy.FuzzyModel]]:
     """Models of all horizons from one wide table.
 
@@ -122,14 +124,14 @@ def fit_wide(
     prepared = {h: prepare(wide, h, train_end) for h in TARGETS}
     data = {h: fit_data(p, validation_start, train_end) for h, p in prepared.items()}
     if not horizons_agree(wide):
-        return data, fit_horizons(list(data.values()), n_mfs, alpha)
+        return data, fit_horizons(list(data.values()), n_mfs, alpha, iterative=iterative)
     first = next(iter(prepared.values()))
     extra = {f"y_{h}": scaled_target(p.target, p.stats) for h, p in prepared.items()}
     rows = add_fit_split(first.scaled("core", extra=extra), validation_start, train_end)
     sizes = require_splits(rows, SPLITS)
     train = rows.filter("split = 'train_fit'")
     start = fuzzy.initialize_memberships(train, CORE_FEATURES, n_mfs, rows=sizes["train_fit"])
-    fitted = fuzzy.fit_consequents(train, start, list(extra), alpha)
+    fitted = fuzzy.fit_consequents(train, start, list(extra), alpha, iterative)
     return data, {
         h: replace(fitted[f"y_{h}"], metadata={"horizon": h, "target_column": p.target}) for h, p in prepared.items()
     }
