@@ -8,15 +8,17 @@ persistence values. The queries return such facts; the SQL says what they must b
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gridweave.catalog import inputs as i
 from gridweave.catalog import sql as q
-from gridweave.fixed_values import CORE_FEATURES, TARGETS
+from gridweave.fixed_values import CORE_FEATURES, META_COLUMNS, TARGETS
 from gridweave.functions.text import add, array, col, num, put, quote
-from gridweave.operators import evaluate, fuzzy, normal_equations
+from gridweave.operators import evaluate, fuzzy, normal_equations, tree_models
 from gridweave.operators.baselines import MODEL_NAMES
 from gridweave.operators.scaling import unscaled
 from gridweave.plans import train
@@ -152,42 +154,87 @@ def fitted_payload(spark: SparkSession, sf: str) -> DataFrame:
     return i.rounded(_union(frames), ["lag24_mae", "lag24_rmse", "lag24_r2"])
 
 
-def _checked(fit: train.BaselineFit) -> DataFrame:
-    """How many of its defining conditions a fitted baseline breaks, and its row counts."""
-    rows = stored(fit.scored.selectExpr("*", f"double({col(fit.target)}) AS _y"), "baseline-scored")
-    learned = rows.where("split = 'train'")
-    size = {r["split"]: r["count"] for r in rows.groupBy("split").count().collect()}
+def all_fits(spark: SparkSession, sf: str) -> list[train.BaselineFit]:
+    """The sixteen published fits: feature sets x horizons x models, with full parameters. Several queries
+    look at them, so a session fits them once for each table folder."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _FITS:
+        wide = i.stored_wide(spark, sf)
+        prepared = {h: i.prepared(spark, sf, h, wide) for h in TARGETS}
+        fits = train.fit_baselines(prepared, DATASETS, MODEL_NAMES)
+        _FITS.clear()
+        _FITS[key] = [replace(f, scored=stored(f.scored.selectExpr("*", f"double({col(f.target)}) AS _y"), "baseline-scored")) for f in fits]
+    return _FITS[key]
+
+
+_FITS: dict[tuple[str, str], list[train.BaselineFit]] = {}
+
+
+def _broken(fit: train.BaselineFit) -> int:
+    """How many of its defining conditions a fitted baseline breaks on its training rows."""
+    learned, model = fit.scored.where("split = 'train'"), fit.model.stages[-1]
     if fit.name == "Linear Regression":
         sums = learned.selectExpr(
             "avg(_y - prediction)", *[f"avg(double({col(f)}) * (_y - prediction))" for f in fit.features]
         ).first()
-        broken = sum(abs(v) > 1e-4 for v in sums)
-    elif fit.name == "Decision Tree":
-        leaves = learned.groupBy("prediction").agg({"_y": "avg"})
-        broken = leaves.where("abs(prediction - `avg(_y)`) > 1e-6").count()
-    else:
-        # every tree averages labels, and an ensemble must explain more than the mean does
-        low, high, error, spread = learned.selectExpr("min(_y)", "max(_y)", "avg(pow(_y - prediction, 2))", "var_pop(_y)").first()
-        slack = 0.0 if fit.name == "Random Forest" else high - low
-        outside = rows.where(f"prediction < {num(low - slack - 1e-9)} OR prediction > {num(high + slack + 1e-9)}").count()
-        broken = outside + int(not error < spread)
-    values = (fit.dataset, fit.horizon, fit.name, fit.size, size.get("train", 0), size.get("test", 0), int(broken))
-    return rows.sparkSession.createDataFrame(
-        [values], "dataset string, horizon string, model string, trees int, train_rows bigint, test_rows bigint, broken int"
-    )
+        return sum(abs(v) > 1e-4 for v in sums)
+    trees = tree_models.read_trees(model, fit.features)
+    if fit.name == "Random Forest":
+        return tree_models.wrong_forest_leaves(learned, trees, "_y")
+    return tree_models.wrong_boosted_leaves(learned, trees, "_y")  # a single tree is one stage
 
 
 def baseline_fit_checks(spark: SparkSession, sf: str) -> DataFrame:
-    """All sixteen published fits: feature sets x horizons x models, with full parameters."""
-    wide = i.stored_wide(spark, sf)
-    prepared = {h: i.prepared(spark, sf, h, wide) for h in TARGETS}
-    return _union([_checked(fit) for fit in train.fit_baselines(prepared, DATASETS, MODEL_NAMES)])
+    """Broken conditions of all sixteen fits: normal equations of the linear models, every leaf of every tree,
+    forest and boosting stage, from the rows that reach it."""
+    rows = []
+    for fit in all_fits(spark, sf):
+        size = {r["split"]: r["count"] for r in fit.scored.groupBy("split").count().collect()}
+        rows.append((fit.dataset, fit.horizon, fit.name, fit.size, size.get("train", 0), size.get("test", 0), _broken(fit)))
+    return spark.createDataFrame(rows, "dataset string, horizon string, model string, trees int, train_rows bigint, test_rows bigint, broken int")
+
+
+def boosted_stage_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """Every stage of the four boosted models: rows that reach a leaf, and leaves that are not the mean of
+    what the stages before left over."""
+    frames = []
+    for fit in all_fits(spark, sf):
+        if fit.name != "Boosted Trees":
+            continue
+        trees = tree_models.read_trees(fit.model.stages[-1], fit.features)
+        rows = tree_models.stage_rows(fit.scored.where("split = 'train'"), trees, "_y")
+        leaves = rows.groupBy("stage", "leaf", "value").agg(
+            F.count("*").alias("n"), F.expr("avg(if(stage = 0, label, 2D * (label - before)))").alias("mean")
+        )
+        wrong = "coalesce(abs(value - mean) > 1e-6D * greatest(1D, abs(mean)), true)"
+        stages = leaves.groupBy("stage").agg(F.sum("n").alias("rows"), F.expr(f"count_if({wrong})").alias("broken"))
+        frames.append(stages.selectExpr(f"{quote(fit.dataset)} AS dataset", f"{quote(fit.horizon)} AS horizon", "stage", "rows", "broken"))
+    return _union(frames)
+
+
+def tree_expression_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of all sixteen models as Spark expressions against those of ``pyspark.ml``: one projection for
+    the four models of a feature set and horizon."""
+    fits, frames = all_fits(spark, sf), []
+    for dataset, horizon in sorted({(f.dataset, f.horizon) for f in fits}):
+        group = [f for f in fits if (f.dataset, f.horizon) == (dataset, horizon)]
+        again = {f"_p{k}": tree_models.expression(f.model.stages[-1], f.features) for k, f in enumerate(group)}
+        rows = stored(group[0].scored.selectExpr(*META_COLUMNS, *[f"{e} AS {n}" for n, e in again.items()]), "expression-scores")
+        for k, f in enumerate(group):
+            both = rows.join(f.scored.select(*META_COLUMNS, "prediction"), list(META_COLUMNS))
+            frames.append(
+                both.selectExpr(
+                    f"{quote(dataset)} AS dataset", f"{quote(horizon)} AS horizon", f"{quote(f.name)} AS model", "count(*) AS rows",
+                    f"count_if(NOT coalesce(abs(_p{k} - prediction) <= 1e-9D * greatest(1D, abs(prediction)), false)) AS different",
+                )
+            )
+    return _union(frames)
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        fuzzy_normal_equations, fuzzy_published_fit, fuzzy_fit_iterative, fuzzy_scores_agree, fitted_predictions, fitted_payload, baseline_fit_checks,
+        fuzzy_normal_equations, fuzzy_published_fit, fuzzy_fit_iterative, fuzzy_scores_agree, fitted_predictions, fitted_payload, baseline_fit_checks, boosted_stage_checks, tree_expression_scores,
     )
 }
 
@@ -219,4 +266,10 @@ WHERE rule < n_rules""",
     + f"""SELECT dataset, horizon, model, CAST(trees AS INTEGER) AS trees, count(*) FILTER (WHERE split = 'train') AS train_rows,
        count(*) FILTER (WHERE split = 'test') AS test_rows, 0 AS broken
        FROM rows1, {_HORIZONS}, (VALUES ('core'), ('extended')) d(dataset), {_TREES} GROUP BY 1, 2, 3, 4""",
+    "boosted_stage_checks": q.wide_plus(q.splits())
+    + f"""SELECT dataset, horizon, CAST(stage AS INTEGER) AS stage, count(*) AS rows, CAST(0 AS BIGINT) AS broken
+       FROM rows1, {_HORIZONS}, (VALUES ('core'), ('extended')) d(dataset), range(200) g(stage) WHERE split = 'train' GROUP BY 1, 2, 3""",
+    "tree_expression_scores": q.wide_plus(q.splits())
+    + f"""SELECT dataset, horizon, model, count(*) AS rows, CAST(0 AS BIGINT) AS different
+       FROM rows1, {_HORIZONS}, (VALUES ('core'), ('extended')) d(dataset), {_TREES} GROUP BY 1, 2, 3""",
 }

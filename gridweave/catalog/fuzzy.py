@@ -125,27 +125,30 @@ def _weight(index: str) -> str:
     return f"((({index} * 37) % 101 - 50) / 5e1)"
 
 
+def _diagnostics(data: train.FitData, model: fuzzy.FuzzyModel) -> DataFrame:
+    """Rows, unusable predictions and, against the forward pass in SQL expressions, the RMSE of every split."""
+    found = train.fit_diagnostics(train.score_fit_data(data, model), data.target)
+    again = fuzzy.sugeno_rows(data.rows, model, ["split", f"{data.target}_scaled AS y"], "p").groupBy("split").agg(
+        F.expr("pow(sum((y - p) * (y - p)) / count(*), 0.5D)").alias("_again")
+    )
+    return found.join(again, "split").selectExpr(
+        f"'{data.horizon}' AS horizon", "split", "rows", "not_finite", "coalesce(abs(rmse - _again) < 1e-9D, false) AS rmse_agrees"
+    )
+
+
 def fuzzy_fit_predict(spark: SparkSession, sf: str) -> DataFrame:
-    """Fit on train_fit, score every split, RMSE per split in scaled units, both horizons."""
+    """Fit on train_fit, score every split, both horizons, each from its own rows."""
     stored = i.stored_wide(spark, sf)
     data = [_fit_data(spark, sf, h, stored) for h in ("1h", "24h")]
     models = train.fit_horizons(data)
-    parts = [
-        train.fit_diagnostics(train.score_fit_data(x, models[x.horizon]), x.target).selectExpr(
-            f"'{x.horizon}' AS horizon", "*"
-        )
-        for x in data
-    ]
+    parts = [_diagnostics(x, models[x.horizon]) for x in data]
     return parts[0].unionByName(parts[1])
 
 
 def fuzzy_fit_shared(spark: SparkSession, sf: str) -> DataFrame:
     """Both horizons from one pass over the training rows, which keep the same rows."""
     data, models = train.fit_wide(i.stored_wide(spark, sf), i.VALIDATION_START, i.TRAIN_END)
-    parts = [
-        train.fit_diagnostics(train.score_fit_data(x, models[h]), x.target).selectExpr(f"'{h}' AS horizon", "*")
-        for h, x in data.items()
-    ]
+    parts = [_diagnostics(x, models[h]) for h, x in data.items()]
     return parts[0].unionByName(parts[1])
 
 
@@ -254,4 +257,9 @@ UNION ALL SELECT input, 1, {r("CASE WHEN b - a <= 1e-12 THEN 67e-2 ELSE b END")}
         for n in (2, 3)
         for k in range(len(_TERMS))
     ),
+    **dict.fromkeys(
+        ("fuzzy_fit_predict", "fuzzy_fit_shared"),
+        _X + """SELECT horizon, fit_split AS split, count(*) AS rows, CAST(0 AS BIGINT) AS not_finite, true AS rmse_agrees
+       FROM x, (VALUES ('1h'), ('24h')) h(horizon) GROUP BY 1, 2""",
+    ),
 }

@@ -49,7 +49,7 @@ def regressors(**sizes: int) -> dict[str, object]:
         "Boosted Trees": GBTRegressor(
             **trees,
             maxIter=sizes.get("boost_rounds", BOOST_ROUNDS),
-            stepSize=BOOST_RATE,
+            stepSize=BOOST_RATE / 2,  # a stage is fitted to twice the residual
             maxDepth=BOOST_DEPTH,
             lossType="squared",
         ),

@@ -109,9 +109,23 @@ def write_metrics(payload: DataFrame, path: str, fmt: str = "json") -> None:
         raise ValueError(f"unsupported format: {fmt}")
 
 
+RUN_KEYS = ("run_id", "horizon")
+
+
 def append_runs(runs: DataFrame, path: str) -> None:
-    """Run records grow by appending one struct row per run and horizon."""
-    runs.write.mode("append").parquet(path)
+    """Run records grow by one row per run and horizon; a run that is written again replaces its own rows.
+
+    A run and horizon has a folder of its own. Spark writes beside the table and moves the finished folders in
+    when the job commits, so a run that fails or is retried leaves the records of the others as they were.
+    """
+    _write_folders(runs, path, RUN_KEYS)
+
+
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """All run records; run ids are text even when they look like numbers."""
+    found = spark.read.parquet(path).schema
+    kinds = [T.StructField(f.name, T.StringType() if f.name in RUN_KEYS else f.dataType) for f in found]
+    return spark.read.schema(T.StructType(kinds)).parquet(path)
 
 
 def write_model_predictions(predictions: DataFrame, path: str) -> None:
@@ -124,7 +138,7 @@ def write_model_metrics(metrics: DataFrame, path: str) -> None:
     _write_folders(metrics, path)
 
 
-def _write_folders(df: DataFrame, path: str) -> None:
+def _write_folders(df: DataFrame, path: str, keys: tuple[str, ...] = ("dataset", "horizon")) -> None:
     """Replaces the folders that ``df`` has rows for; other runs keep theirs."""
     writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy("dataset", "horizon").parquet(path)
+    writer.partitionBy(*keys).parquet(path)
