@@ -4,23 +4,28 @@ A window is ``WINDOW`` consecutive words of one document. A window whose words a
 id, or same document and earlier start) is a repeat, and every word under a repeat is removed; overlapping
 repeats make one maximal span. Windows are judged on the input.
 
-1. Every window is filed under its anchor, the smallest hash of the runs of ``ANCHOR`` words inside it.
-   Equal windows have equal anchors, and neighbouring windows mostly share one: such a run of windows is a
-   passage. An anchor that occurs in one passage of the corpus only cannot hold a repeat across passages.
-   Anchors are counted by a shuffle of narrow rows; those that may be frequent (Misra-Gries counters)
-   are known to repeat and skip it.
-2. The passages of repeated anchors are hashed. Passages with equal words are merged before they meet:
-   the first one represents them, and all later ones are repeats as a whole.
-3. The representatives of anchors that have several, or one that repeats itself, are the reference. Their
-   words are fetched and dealt into shards by anchor, a shard gets a suffix automaton over words in which each state knows the earliest place of its string, and passages are
-   streamed through it. Where the matching statistics reach ``WINDOW`` words, the state of the last
-   ``WINDOW`` words tells where the window starts first.
+1. One pass over the texts files every window under its anchor, the smallest hash of the runs of ``ANCHOR``
+   words inside it. Equal windows have equal anchors, and neighbouring windows mostly share one: such a run
+   of windows is a passage. Passages of one Arrow batch that are equal are settled at once: all but the first
+   are repeats as a whole, so a passage that a third of all documents hold leaves one row for each batch. The
+   pass also writes the words compressed, for later, and the anchors that are frequent in the batch.
+2. The other passages meet by anchor, in order of words and place, in a stream that holds one row of state.
+   The first of equal passages represents them, all later ones are repeats as a whole. Anchors with one
+   representative that does not repeat itself have nothing left to compare.
+3. The other representatives are the reference. Their words are fetched and dealt into shards by anchor, a
+   shard gets a suffix automaton over words in which each state knows the earliest place of its string, and
+   passages are streamed through it. Where the matching statistics reach ``WINDOW`` words, the state of the
+   last ``WINDOW`` words tells where the window starts first.
 
 The reference is as large as the repeated part of the corpus and has no size bound, so the automata are
 not sent to every task: a passage is streamed through the automaton that holds its anchor, and no other can
-hold its windows. An anchor whose different passages have more than ``SHARD_WORDS`` words, such as one of a
-frequent line in many surroundings, gets no automaton: its windows are filed one by one under their own
-hash, the earliest place of each is aggregated before the shuffle, and no task holds the anchor.
+hold its windows. An anchor with a share of ``SUPPORT`` of all passages (at most 1 / ``SUPPORT`` of these are
+broadcast), or whose different passages have more than ``SHARD_WORDS`` words, such as one of a frequent line
+in many surroundings, gets no automaton: its windows are filed one by one under their own hash, the earliest
+place of each is aggregated before the shuffle, and no task holds the anchor.
+
+Passages count as equal when their anchor, length and a further 64-bit hash of their words agree, and windows
+of frequent anchors when anchor and a 64-bit hash agree; the words themselves are compared by the automata only.
 
 Null text counts as no words. Rows that repeat both id and text are the same document; rows that share an
 id only are ordered by start. A null id comes before all others. An empty table gives an empty result.
@@ -66,13 +71,12 @@ class WordHashes(dict):
         return found
 
 
-def window_anchors(words: list[bytes], known: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """The anchor of every window, and the hashes that more than one run of the document has."""
-    count = len(words) - WINDOW + 1
+def window_anchors(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The anchor of every window of words with these hashes, and the hashes that more than one run has."""
+    count = len(hashes) - WINDOW + 1
     if count <= 0:
         return np.empty(0, np.uint64), np.empty(0, np.uint64)
-    hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    runs = np.zeros(len(words) - ANCHOR + 1, np.uint64)
+    runs = np.zeros(len(hashes) - ANCHOR + 1, np.uint64)
     for i in range(ANCHOR):
         runs *= MULTIPLIER
         runs += hashes[i : i + len(runs)]
@@ -92,53 +96,28 @@ def passages(anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.append(starts, len(anchors)))
 
 
-def _file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known = WordHashes()
-    for batch in batches:
-        out: list[list[np.ndarray]] = [[], [], [], []]
-        for key, text in zip(batch.column("_id").to_pylist(), batch.column("_text")):
-            anchors, again = window_anchors(words_of(text), known)
-            starts, counts = passages(anchors)
-            if len(again):  # equal windows inside one passage: file it twice, so that it counts as repeated
-                twice = np.isin(anchors[starts], again) + 1
-                starts, counts = np.repeat(starts, twice), np.repeat(counts, twice)
-            for column, values in zip(out, (anchors[starts].view(np.int64), np.full(len(starts), key), starts, counts)):
-                column.append(values.astype(np.int64, copy=False))
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["h", "_id", "start", "n"])
-
-
-FILED = "h long, _id long, start long, n long"
-
-
-def repeated_passages(docs: DataFrame) -> DataFrame:
-    """(_id, flagged array of (start, n, h)) of the documents with passages whose anchor occurs again."""
-    filed = docs.mapInArrow(_file, FILED)
-    hot = stored(filed.stat.freqItems(["h"], SUPPORT).select(F.explode("h_freqItems").alias("h")), "hot-anchors")
-    marked = filed.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), "h", "left")  # at most 1 / SUPPORT rows
-    rare = marked.where("_hot IS NULL").withColumn("_times", F.count("*").over(Window.partitionBy("h"))).where("_times > 1")
-    found = marked.where("_hot").select("h", "_id", "start", "n").unionByName(rare.select("h", "_id", "start", "n"))
-    return found.groupBy("_id").agg(F.collect_set(F.struct("start", "n", "h")).alias("flagged"))
-
-
-def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts as compressed words: each text is shuffled and written a few times."""
-    pack = zstandard.ZstdCompressor(level=3).compress
-    for batch in batches:
-        squeezed = [pack(b" ".join(words_of(text))) for text in batch.column("_text")]
-        yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(squeezed, pa.binary())], names=["_id", "packed"])
+def passage_hashes(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of the words in every [start, end), from prefix sums of a polynomial modulo 2 ** 64."""
+    powers, inverse = powers_of(len(hashes) + 1)
+    mixed = hashes ^ (hashes >> np.uint64(31))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed * powers[: len(mixed)], dtype=np.uint64)])
+    return (sums[ends] - sums[starts]) * inverse[starts]
 
 
-def opened(packed: pa.BinaryScalar) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(packed.as_buffer())
-
-
-def signed_hash(raw: bytes) -> int:
-    return xxhash.xxh64_intdigest(raw) - (1 << 63)
+POWERS: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+BASE = 0xD6E8FEB86659FD93
 
 
-#: kind 0: finished document, 1: document with flagged passages, 2: passage.
-UNIFIED = "kind int, _id long, doc long, start long, n long, h long, same long, loops boolean, packed binary, n_words long, kept_sha256 string"
+def powers_of(count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of ``BASE`` and of its inverse modulo 2 ** 64, at least so many."""
+    if "all" not in POWERS or len(POWERS["all"][0]) < count:
+        found = []
+        for base in (BASE, pow(BASE, -1, 1 << 64)):
+            steps = np.full(2 * count, base, np.uint64)
+            steps[0] = 1
+            found.append(np.cumprod(steps, dtype=np.uint64))
+        POWERS["all"] = (found[0], found[1])
+    return POWERS["all"]
 
 
 def loops(part: list[bytes]) -> bool:
@@ -150,25 +129,194 @@ def loops(part: list[bytes]) -> bool:
     return len({tuple(part[i : i + WINDOW]) for i in range(windows)}) < windows
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    types = [pa.int32(), *[pa.int64()] * 6, pa.bool_(), pa.binary(), pa.int64(), pa.string()]
-    names = [c.split()[0] for c in UNIFIED.split(", ")]
+def signed_hash(raw: bytes) -> int:
+    return xxhash.xxh64_intdigest(raw) - (1 << 63)
+
+
+#: A passage in one number: first word, number of windows, whether a window repeats inside.
+LOOP_BIT, WINDOW_BITS = 1, 31
+
+
+def filed(words: list[bytes], known: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, hash, packed place) of every passage of one document."""
+    hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    anchors, again = window_anchors(hashes)
+    starts, counts = passages(anchors)
+    own = anchors[starts]
+    same = passage_hashes(hashes, starts, starts + counts + WINDOW - 1)
+    looped = np.zeros(len(starts), np.int64)
+    if len(again):
+        for i in np.flatnonzero(np.isin(own, again) & (counts > 1)):
+            looped[i] = loops(words[starts[i] : starts[i] + counts[i] + WINDOW - 1])
+    return own.view(np.int64), same.view(np.int64), (starts << (WINDOW_BITS + 1)) | (counts << 1) | looped
+
+
+def first_word(span: np.ndarray) -> np.ndarray:
+    return span >> (WINDOW_BITS + 1)
+
+
+def windows_in(span: np.ndarray) -> np.ndarray:
+    return (span >> 1) & ((1 << WINDOW_BITS) - 1)
+
+
+def settle(h: np.ndarray, same: np.ndarray, span: np.ndarray, key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(shipped, repeated): which passages of a batch stay in play, and which repeat an earlier one as a whole.
+
+    Rows come in the order of their places. One of several rows at one place of one document is enough.
+    """
+    order = np.argsort(h ^ (same * np.int64(0x9E3779B97F4A7C1)), kind="stable")
+    a, b = order[1:], order[:-1]
+    fresh = np.concatenate([[True], (h[a] != h[b]) | (same[a] != same[b]) | (windows_in(span[a]) != windows_in(span[b]))]) if len(h) else np.zeros(0, bool)
+    lead = order[np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))] if len(h) else order
+    later = (key[order] != key[lead]) | (first_word(span[order]) != first_word(span[lead]))
+    shipped, repeated = np.zeros(len(h), bool), np.zeros(len(h), bool)
+    repeated[order] = later
+    shipped[order] = ~later & (fresh | (doc[order] != doc[lead]))
+    return shipped, repeated
+
+
+def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
+    """Sorted spans (first word, end) that touch, joined."""
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
+
+
+PASSAGE = pa.struct([("h", pa.int64()), ("same", pa.int64()), ("span", pa.int64())])
+SPAN = pa.struct([("a", pa.int64()), ("b", pa.int64())])
+HOT = pa.struct([("h", pa.int64()), ("n", pa.int64())])
+FILED = (
+    "_id long, doc long, packed binary, n_words long, kept_sha256 string, n_passages long, passages array<struct<h: long, same: long, span: long>>, "
+    "early array<struct<a: long, b: long>>, hot array<struct<h: long, n: long>>"
+)
+
+
+def lists(values: pa.StructArray, owner: np.ndarray, rows: int) -> pa.ListArray:
+    """One list for each of ``rows`` owners; ``owner`` does not decrease."""
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=rows))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), values)
+
+
+def _file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = WordHashes()
+    squeeze = zstandard.ZstdCompressor(level=1).compress
     for batch in batches:
-        rows: list[tuple] = []
-        for key, packed, flagged in zip(batch.column("_id").to_pylist(), batch.column("packed"), batch.column("flagged")):
-            raw = opened(packed)
-            words = raw.split()
-            if not flagged.is_valid:
-                rows.append((0, key, 0, 0, 0, 0, 0, None, None, len(words), sha256(raw).hexdigest()))
-                continue
-            doc = signed_hash(raw)
-            rows.append((1, key, doc, 0, 0, 0, 0, None, packed.as_py(), len(words), None))
-            for p in flagged.as_py():
-                # rows that share an id share flags; those beyond this text belong to another row
-                part = words[p["start"] : p["start"] + p["n"] + WINDOW - 1]
-                if len(part) == p["n"] + WINDOW - 1:
-                    rows.append((2, key, doc, p["start"], p["n"], p["h"], signed_hash(b" ".join(part)), loops(part), None, None, None))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(types), types)], names=names)
+        keys = batch.column("_id").to_numpy(zero_copy_only=False)
+        texts = batch.column("_text")
+        copies: dict[bytes, tuple] = {}  # copies inside a batch are read once
+        found = []
+        order = np.argsort(keys, kind="stable")
+        for row in order:
+            words = words_of(texts[int(row)])
+            raw = b" ".join(words)
+            if raw not in copies:
+                copies[raw] = (signed_hash(raw), squeeze(raw), len(words), sha256(raw).hexdigest(), *filed(words, known))
+            found.append(copies[raw])
+        if not found:
+            continue
+        keys = keys[order]
+        owner = np.repeat(np.arange(len(found)), [len(f[4]) for f in found])
+        h, same, span = (np.concatenate([f[i] for f in found]) for i in (4, 5, 6))
+        doc = np.array([f[0] for f in found], np.int64)
+        shipped, repeated = settle(h, same, span, keys[owner], doc[owner])
+        early: list[list[tuple[int, int]]] = [[] for _ in found]
+        for i, a, n in zip(owner[repeated].tolist(), first_word(span[repeated]).tolist(), windows_in(span[repeated]).tolist()):
+            early[i].append((a, a + n + WINDOW - 1))
+        anchors, times = np.unique(h[shipped], return_counts=True)
+        often = times >= SUPPORT * shipped.sum()
+        hot = lists(pa.StructArray.from_arrays([pa.array(anchors[often]), pa.array(times[often])], ["h", "n"]), np.zeros(often.sum(), np.int64), len(found))
+        kept = pa.StructArray.from_arrays([pa.array(x[shipped]) for x in (h, same, span)], ["h", "same", "span"])
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(keys), pa.array(doc), pa.array([f[1] for f in found], pa.binary()), pa.array([f[2] for f in found], pa.int64()),
+                pa.array([f[3] for f in found], pa.string()), pa.array(np.bincount(owner[shipped], minlength=len(found))),
+                lists(kept, owner[shipped], len(found)),
+                pa.array([[{"a": a, "b": b} for a, b in merged(e)] for e in early], pa.list_(SPAN)), hot,
+            ],
+            names=["_id", "doc", "packed", "n_words", "kept_sha256", "n_passages", "passages", "early", "hot"],
+        )
+
+
+def opened(packed: pa.BinaryScalar) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(packed.as_buffer())
+
+
+#: kind 0: the words [start, n) are repeated; kind 1: a representative of ``n`` windows.
+MET = "kind int, h long, _id long, doc long, start long, n long, shard long"
+
+
+class Meeting:
+    """Passages in order of anchor, words and place, one Arrow batch after the other.
+
+    What is carried between batches: the last anchor and hash with the place of its first row, how many words
+    the representatives of the anchor have so far, whether it is contested, and its only representative.
+    """
+
+    def __init__(self) -> None:
+        self.last: tuple | None = None  # anchor, hash, windows, id and first word of the first row
+        self.words, self.contested, self.pending = 0, False, None
+
+    def add(self, h: np.ndarray, same: np.ndarray, key: np.ndarray, span: np.ndarray, doc: np.ndarray) -> list[np.ndarray]:
+        """Columns of MET."""
+        start, n = first_word(span), windows_in(span)
+        size, carried = len(h), self.last
+        anchor_new, text_new = np.ones(size, bool), np.ones(size, bool)
+        anchor_new[1:] = h[1:] != h[:-1]
+        text_new[1:] = anchor_new[1:] | (same[1:] != same[:-1]) | (n[1:] != n[:-1])
+        if carried is not None:
+            anchor_new[0] = h[0] != carried[0]
+            text_new[0] = anchor_new[0] or same[0] != carried[1] or n[0] != carried[2]
+        at = np.maximum.accumulate(np.where(text_new, np.arange(size), -1))
+        lead_key, lead_start = key[at], start[at]
+        if carried is not None:
+            lead_key, lead_start = np.where(at < 0, carried[3], lead_key), np.where(at < 0, carried[4], lead_start)
+        later = (key != lead_key) | (start != lead_start)
+        # groups of one anchor; number 0 goes on from the last batch
+        group = np.cumsum(anchor_new)
+        groups = int(group[-1]) + 1
+        different = np.bincount(group[text_new], minlength=groups)
+        contested = np.bincount(group, weights=span & LOOP_BIT, minlength=groups) > 0
+        if carried is not None:
+            different[0] += 1
+            contested[0] |= self.contested
+        contested |= different > 1
+        size_of = np.where(text_new, n + WINDOW - 1, 0)
+        run = np.cumsum(size_of)
+        base = np.concatenate([[0], run])[np.searchsorted(group, np.arange(groups))]  # words before the group
+        words = run - base[group] + np.where(group == 0, self.words, 0)
+        speaks = ~later & contested[group]
+        out = [
+            np.concatenate([np.zeros(later.sum(), np.int32), np.ones(speaks.sum(), np.int32)]),
+            *[np.concatenate([x[later], x[speaks]]) for x in (h, key, doc, start)],
+            np.concatenate([start[later] + n[later] + WINDOW - 1, n[speaks]]),
+            np.concatenate([np.zeros(later.sum(), np.int64), words[speaks] // SHARD_WORDS]),
+        ]
+        if self.pending is not None and contested[0]:
+            out = [np.append(column, value) for column, value in zip(out, self.pending)]
+            self.pending = None
+        final = groups - 1
+        if final > 0:
+            self.pending = None
+            if not contested[final]:
+                i = int(np.flatnonzero(anchor_new)[-1])
+                self.pending = (1, h[i], key[i], doc[i], start[i], n[i], 0)
+        self.words = int(words[-1])
+        self.contested = bool(contested[final])
+        i = int(at[-1])
+        self.last = (h[-1], same[-1], n[-1], key[i], start[i]) if i >= 0 else carried
+        return out
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    meeting = Meeting()
+    for batch in batches:
+        if batch.num_rows:
+            columns = meeting.add(*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("h", "same", "_id", "span", "doc")))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["kind", "h", "_id", "doc", "start", "n", "shard"])
 
 
 REFERENCE = "h long, _id long, doc long, start long, text binary"
@@ -186,24 +334,33 @@ def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, types)], names=["h", "_id", "doc", "start", "text"])
 
 
-WINDOWS = "h long, same long, _id long, doc long, start long"
+WINDOWS = "h long, same long, _id long, doc long, start long, later boolean"
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The hash of every window of the wanted passages of each document."""
+    """The windows of the wanted passages of each document. Of equal windows in one batch only the first is
+    not yet known to be later than another."""
     for batch in batches:
+        rows: list[tuple] = []
         for key, doc, packed, wanted in zip(*(batch.column(c).to_pylist() for c in ("_id", "doc", "packed", "wanted"))):
             words = zstandard.ZstdDecompressor().decompress(packed).split()
-            rows = [(p["h"], signed_hash(b" ".join(words[i : i + WINDOW])), key, doc, i) for p in wanted for i in range(p["start"], p["start"] + p["n"])]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["h", "same", "_id", "doc", "start"])
+            rows += [(p["h"], signed_hash(b" ".join(words[i : i + WINDOW])), key, doc, i) for p in wanted for i in range(p["start"], p["start"] + p["n"])]
+        first: dict[tuple[int, int], tuple[int, int]] = {}
+        for h, same, key, _, i in rows:
+            first[h, same] = min(first.get((h, same), (key, i)), (key, i))
+        later = [(key, i) != first[h, same] for h, same, key, _, i in rows]
+        columns = zip(*rows) if rows else [[]] * 5
+        yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns], pa.array(later, pa.bool_())], names=["h", "same", "_id", "doc", "start", "later"])
 
 
 def repeated_windows(texts: DataFrame, by_doc: DataFrame) -> DataFrame:
     """SPANS of the windows of the wanted passages that start earlier with the same anchor."""
     windows = stored(texts.join(by_doc, ["_id", "doc"]).mapInArrow(_windows, WINDOWS), "windows")
-    firsts = windows.groupBy("h", "same").agg(F.min(F.struct("_id", "start")).alias("f"))
-    later = windows.join(firsts, ["h", "same"]).where(F.struct("_id", "start") != F.col("f"))
-    return later.select("_id", "doc", F.col("start").alias("a"), (F.col("start") + WINDOW).alias("b"))
+    open_ = windows.where("NOT later")  # one row for each different window and batch
+    firsts = open_.groupBy("h", "same").agg(F.min(F.struct("_id", "start")).alias("f"), F.count("*").alias("n")).where("n > 1")
+    met = open_.join(firsts, ["h", "same"]).where(F.struct("_id", "start") != F.col("f"))
+    late = windows.where("later").select("_id", "doc", "start").unionByName(met.select("_id", "doc", "start"))
+    return late.select("_id", "doc", F.col("start").alias("a"), (F.col("start") + WINDOW).alias("b"))
 
 
 class Automaton:
@@ -313,64 +470,59 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _remove(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[list] = [[], [], [], [], [], []]
-        for key, packed, spans in zip(batch.column("_id").to_pylist(), batch.column("packed"), batch.column("spans").to_pylist()):
-            words = opened(packed).split()
-            kept, merged, end = [], [], 0
-            for a, b in sorted((s["a"], s["b"]) for s in spans or ()):
-                if merged and a <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], b)
-                else:
-                    merged.append([a, b])
-            for a, b in merged:
-                kept += words[end:a]
-                end = b
-            kept += words[end:]
-            left = b" ".join(kept)
-            shown = [{"a": a, "b": b} for a, b in merged]
-            for column, value in zip(out, (key, len(words), len(words) - len(kept), sha256(left).hexdigest(), shown, left.decode() if with_text else None)):
+        columns = (batch.column(c).to_pylist() for c in ("_id", "n_words", "kept_sha256", "early", "spans"))
+        for key, count, digest, early, later, packed in zip(*columns, batch.column("packed")):
+            cuts = merged([(s["a"], s["b"]) for s in (*early, *(later or ()))])
+            text = None
+            if cuts:
+                words, kept, end = opened(packed).split(), [], 0
+                for a, b in cuts:
+                    kept += words[end:a]
+                    end = b
+                left = b" ".join(kept + words[end:])
+                digest, text = sha256(left).hexdigest(), left.decode() if with_text else None
+            shown = [{"a": a, "b": b} for a, b in cuts]
+            for column, value in zip(out, (key, count, sum(b - a for a, b in cuts), digest, shown, text)):
                 column.append(value)
-        spans = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), spans, pa.string()]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(SPAN), pa.string()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["_id", "n_words", "n_removed", "kept_sha256", "removed", "kept_text"])
 
 
 REMOVED = "_id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<a: long, b: long>>, kept_text string"
 
 
+def frequent(filed_rows: DataFrame) -> DataFrame:
+    """Anchors with a share of ``SUPPORT`` of all passages, by the counts of the batches where they are frequent."""
+    total = filed_rows.agg(F.sum("n_passages")).first()[0] or 0
+    counts = filed_rows.selectExpr("inline(hot)").groupBy("h").agg(F.sum("n").alias("n"))
+    return stored(counts.where(F.col("n") >= max(2.0, SUPPORT * total)).select("h"), "hot-anchors")
+
+
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
     """One row per row of ``docs``: id, n_words, n_removed, kept_sha256, removed spans (word numbers, end
     exclusive); ``kept_text`` on request, for documents that lose words."""
     rows = docs.select(F.coalesce(F.col(id_column).cast("long"), F.lit(NULL_ID)).alias("_id"), text_or_empty(text).alias("_text"))
-    squeezed = rows.mapInArrow(_squeeze, "_id long, packed binary")
-    joined = squeezed.join(repeated_passages(rows), "_id", "left")
-    unified = stored(joined.mapInArrow(_cut, UNIFIED), "passages")
-    parts, texts = unified.where("kind = 2"), unified.where("kind = 1").select("_id", "doc", "packed")
-    firsts = stored(
-        parts.groupBy("h", "same").agg(F.min(F.struct("_id", "start", "doc", "n")).alias("f"), F.max("loops").alias("loops")).select("h", "same", "f.*", "loops"),
-        "representatives",
-    )
-    later = parts.join(firsts.select("h", "same", F.struct("_id", "start").alias("f")), ["h", "same"]).where(F.struct("_id", "start") != F.col("f"))
-    whole = later.select("_id", "doc", F.col("start").alias("a"), F.expr(f"start + n + {WINDOW - 1}").alias("b"))
-    # an anchor with one passage, without a repeat inside, has nothing left to compare
-    words = F.sum(F.col("n") + WINDOW - 1)
-    contested = firsts.groupBy("h").agg(F.min("same").alias("least"), F.max("same").alias("most"), F.max("loops").alias("loops"), (words > SHARD_WORDS).alias("large"))
-    anchors = stored(contested.where("least <> most OR loops").select("h", "large"), "anchors")
-    wanted = firsts.join(anchors, "h")
+    texts = stored(rows.mapInArrow(_file, FILED), "filed")
+    every = texts.selectExpr("_id", "doc", "inline(passages)")
+    hot = F.broadcast(frequent(texts))  # at most 1 / SUPPORT rows
+    cold = every.join(hot, "h", "left_anti").repartition("h").sortWithinPartitions("h", "same", "_id", "span")
+    met = stored(cold.mapInArrow(_meet, MET), "met")
+    whole = met.where("kind = 0").select("_id", "doc", F.col("start").alias("a"), F.col("n").alias("b"))
+    speaking = met.where("kind = 1")
+    large = stored(speaking.where("shard > 0").select("h").distinct(), "large-anchors")
 
     def by_doc(rows: DataFrame) -> DataFrame:
         return rows.groupBy("_id", "doc").agg(F.collect_list(F.struct("h", "start", "n")).alias("wanted"))
 
-    reference = texts.join(by_doc(wanted.where("NOT large")), ["_id", "doc"]).mapInArrow(_fetch, REFERENCE)
+    packed = texts.select("_id", "doc", "packed")
+    reference = packed.join(by_doc(speaking.join(large, "h", "left_anti")), ["_id", "doc"]).mapInArrow(_fetch, REFERENCE)
     dealt = reference.repartition("h").sortWithinPartitions("h")
-    found = whole.unionByName(dealt.mapInArrow(_stream, SPANS))
-    if not anchors.where("large").isEmpty():  # their texts are shuffled once more
-        found = found.unionByName(repeated_windows(texts, by_doc(wanted.where("large"))))
+    # a passage of a frequent anchor as (h, start, n)
+    place = f"shiftright(span, {WINDOW_BITS + 1}) AS start", f"shiftright(span, 1) & {(1 << WINDOW_BITS) - 1} AS n"
+    by_window = every.join(hot, "h", "left_semi").selectExpr("_id", "doc", "h", *place)
+    by_window = by_window.unionByName(speaking.join(large, "h", "left_semi").select("_id", "doc", "h", "start", "n"))
+    found = whole.unionByName(dealt.mapInArrow(_stream, SPANS)).unionByName(repeated_windows(packed, by_doc(by_window)))
     spans = found.groupBy("_id", "doc").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-    touched = texts.join(stored(spans, "spans"), ["_id", "doc"], "left")
-    clean = unified.where("kind = 0").select(
-        "_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256",
-        F.expr("cast(array() AS array<struct<a: bigint, b: bigint>>)").alias("removed"), F.lit(None).cast("string").alias("kept_text"),
-    )
-    done = touched.mapInArrow(lambda batches: _remove(batches, with_text), REMOVED).unionByName(clean)
+    joined = texts.drop("passages", "hot", "n_passages").join(stored(spans, "spans"), ["_id", "doc"], "left")
     names = ["n_words", "n_removed", "kept_sha256", "removed", *(["kept_text"] if with_text else [])]
-    return done.select(F.nullif(F.col("_id"), F.lit(NULL_ID)).alias(id_column), *names)
+    return joined.mapInArrow(lambda batches: _remove(batches, with_text), REMOVED).select(F.nullif(F.col("_id"), F.lit(NULL_ID)).alias(id_column), *names)

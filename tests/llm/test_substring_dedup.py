@@ -1,6 +1,7 @@
 import random
 from hashlib import sha256
 
+import numpy as np
 import pytest
 from samples import crowded, frame, prose, rows
 
@@ -102,3 +103,50 @@ def test_automaton_matches_by_search():
             if places:
                 want[i - 1] = min(places)
         assert dict(automaton.earliest(probe, 4)) == want
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_meeting_does_not_depend_on_batches(monkeypatch, seed):
+    """Representatives, repeats and shards of a sorted stream, whole and cut anywhere, against a plain count."""
+    monkeypatch.setattr(substring_dedup, "SHARD_WORDS", 70)
+    draw = random.Random(seed)
+    rows = []
+    for _ in range(draw.randrange(1, 60)):
+        h, same = draw.randrange(6), draw.randrange(3)
+        loop = int((h, same) == (4, 1))
+        rows.append((h, same, draw.randrange(5), (draw.randrange(9) << 32) | ((same + 1) << 1) | loop, 0))
+    rows = sorted(set(rows))
+    columns = [np.array(c, np.int64) for c in zip(*rows)]
+    want = set()
+    for h in {r[0] for r in rows}:
+        group = [r for r in rows if r[0] == h]
+        leads: dict[int, tuple] = {}
+        for r in group:
+            leads.setdefault(r[1], (r[2], r[3] >> 32))
+        contested, words = len(leads) > 1 or any(r[3] & 1 for r in group), 0
+        for r in group:
+            start, n = r[3] >> 32, (r[3] >> 1) & 0x7FFFFFFF
+            if (r[2], start) != leads[r[1]]:
+                want.add((0, h, r[2], 0, start, start + n + 19, 0))
+            elif contested:
+                words += n + 19
+                want.add((1, h, r[2], 0, start, n, words // 70))
+    for cuts in ([], sorted(draw.sample(range(len(rows) + 1), min(4, len(rows)))), list(range(1, len(rows)))):
+        meeting, got = substring_dedup.Meeting(), []
+        for a, b in zip([0, *cuts], [*cuts, len(rows)]):
+            if a < b:
+                got += zip(*(c.tolist() for c in meeting.add(*(c[a:b] for c in columns))))
+        # a representative that waited for the second one of its anchor comes with shard 0
+        assert {r[:6] for r in got} == {r[:6] for r in want} and len(got) == len(want)
+        assert {r[1] for r in got if r[6]} == {r[1] for r in want if r[6]}
+
+
+def test_equal_passages_of_a_batch():
+    one, two = (np.array([5, 5, 5, 7, 5], np.int64), np.array([1, 1, 1, 1, 2], np.int64))
+    span = np.array([0 << 32 | 2, 4 << 32 | 2, 4 << 32 | 2, 0 << 32 | 2, 0 << 32 | 2])
+    shipped, repeated = substring_dedup.settle(one, two, span, np.array([1, 1, 1, 2, 3]), np.array([9, 9, 9, 8, 7]))
+    assert shipped.tolist() == [True, False, False, True, True] and repeated.tolist() == [False, True, True, False, False]
+    # two rows of one document at one place, and of two documents that share an id
+    place = np.array([2, 2, 2])
+    shipped, repeated = substring_dedup.settle(place * 0, place * 0, place, np.array([1, 1, 1]), np.array([9, 9, 8]))
+    assert shipped.tolist() == [True, False, True] and not repeated.any()
