@@ -316,7 +316,8 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
             columns = meeting.add(*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("h", "same", "_id", "span", "doc")))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["kind", "h", "_id", "doc", "start", "n", "shard"])
+            types = [pa.int32(), *[pa.int64()] * 6]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["kind", "h", "_id", "doc", "start", "n", "shard"])
 
 
 REFERENCE = "h long, _id long, doc long, start long, text binary"

@@ -43,8 +43,9 @@ def passages():
     return data
 
 
-@pytest.mark.parametrize(("support", "shard_words"), [(0.001, 400_000), (0.02, 60)])
-def test_removed(spark, monkeypatch, support, shard_words):
+@pytest.mark.parametrize(("support", "shard_words", "batch"), [(0.001, 400_000, 10_000), (0.02, 60, 10_000), (0.002, 60, 7)])
+def test_removed(spark, monkeypatch, support, shard_words, batch):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
     monkeypatch.setattr(substring_dedup, "SUPPORT", support)
     monkeypatch.setattr(substring_dedup, "SHARD_WORDS", shard_words)
     data = passages()
@@ -57,6 +58,7 @@ def test_removed(spark, monkeypatch, support, shard_words):
         assert sum(s["b"] - s["a"] for s in r["removed"]) == r["n_removed"]
         if r["kept_text"] is not None:
             assert sha256(r["kept_text"].encode()).hexdigest() == r["kept_sha256"]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
 
 
 def test_no_task_holds_a_frequent_line_in_many_surroundings(spark, monkeypatch):
