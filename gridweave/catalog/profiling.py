@@ -84,6 +84,13 @@ def correlation_matrix(spark: SparkSession, sf: str) -> DataFrame:
     return i.rounded(summary.correlation_matrix(i.wide_table(spark, sf), list(CORRELATION_COLUMNS)), ["r"])
 
 
+def correlation_all(spark: SparkSession, sf: str) -> DataFrame:
+    """All numeric columns of the wide table against each other; two of them with missing values."""
+    holes = {"humidity": "CASE WHEN hour % 5 = 0 THEN NULL ELSE humidity END", "load_lag_24": "CASE WHEN hour % 7 = 0 THEN double('NaN') ELSE load_lag_24 END"}
+    wide = put(i.wide_table(spark, sf), holes)
+    return i.rounded(summary.correlation_matrix(wide, summary.numeric_columns(wide)), ["r"])
+
+
 def indicator_rates(spark: SparkSession, sf: str) -> DataFrame:
     names = [*DIAGNOSTIC_COLUMNS[1:], "holiday_effect"]
     return i.rounded(summary.indicator_rates(i.wide_table(spark, sf), names), names)
@@ -104,7 +111,7 @@ QUERIES = {
     for f in (
         describe_by_series, describe_columns, describe_narrowed, shape_columns, missing_report, low_cardinality,
         top_correlations, top_values, head_rows, tail_rows, load_histogram, mean_by_hour, mean_by_series,
-        correlation_matrix, indicator_rates, series_count, figure_data,
+        correlation_matrix, correlation_all, indicator_rates, series_count, figure_data,
     )
 }
 
@@ -167,6 +174,10 @@ FROM binned GROUP BY bin, lo, hi""",
     + " UNION ALL ".join(
         f"SELECT '{x}' AS x, '{y}' AS y, {r(f'corr({x}, {y})')} AS r FROM wide" for x in CORRELATION_COLUMNS for y in CORRELATION_COLUMNS
     ),
+    "correlation_all": q.WIDE
+    + ", held AS (SELECT * REPLACE (CASE WHEN hour % 5 = 0 THEN NULL ELSE humidity END AS humidity, CASE WHEN hour % 7 = 0 THEN NULL ELSE load_lag_24 END AS load_lag_24) FROM wide), rs AS ("
+    + " UNION ALL ".join("SELECT '" + x + "' AS x, " + ", ".join(f"corr({x}, {y}) AS {y}" for y in _NUMBERS) + " FROM held" for x in _NUMBERS)
+    + f""") SELECT x, y, {r("CASE WHEN isnan(v) THEN NULL ELSE v END")} AS r FROM rs UNPIVOT INCLUDE NULLS (v FOR y IN ({", ".join(_NUMBERS)}))""",
     "indicator_rates": q.WIDE
     + "SELECT "
     + ", ".join(f"{r(f'avg({c})')} AS {c}" for c in [*DIAGNOSTIC_COLUMNS[1:], "holiday_effect"])

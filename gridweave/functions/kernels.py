@@ -131,3 +131,47 @@ def add_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 totals[i, j] = np.array(values, dtype=float)
     if totals:
         yield pd.DataFrame([(i, j, v) for (i, j), v in totals.items()], columns=["i", "j", "values"])
+
+
+# --- co-moments of pairs of columns -----------------------------------------------------------
+
+#: Rows with both values, the two means, and the centred sums of squares and products.
+MOMENTS = ("n", "mean_x", "mean_y", "xx", "yy", "xy")
+
+
+def co_moments(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
+    """MOMENTS of every column of ``x`` with every column of ``y``; NaN is missing."""
+
+    def shifted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        there = ~np.isnan(values)
+        # a value of the column itself: constant columns get exact zeros
+        base = values[there.argmax(axis=0), np.arange(values.shape[1])]
+        base = np.where(np.isfinite(base), base, 0.0)
+        return np.where(there, values - base, 0.0), there.astype(float), base
+
+    with np.errstate(invalid="ignore", over="ignore"):
+        (a, has_a, base_a), (b, has_b, base_b) = shifted(x), shifted(y)
+        n = has_a.T @ has_b
+        some = np.maximum(n, 1)
+        sum_a, sum_b = a.T @ has_b, has_a.T @ b
+        xx, yy, xy = (a * a).T @ has_b - sum_a**2 / some, has_a.T @ (b * b) - sum_b**2 / some, a.T @ b - sum_a * sum_b / some
+        return n, base_a[:, None] + sum_a / some, base_b[None, :] + sum_b / some, xx, yy, xy
+
+
+def merged_moments(one: tuple[np.ndarray, ...], two: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """MOMENTS of the rows of both."""
+    with np.errstate(invalid="ignore", over="ignore"):
+        n = one[0] + two[0]
+        share = two[0] / np.maximum(n, 1)
+        # an empty side has no mean
+        dx, dy = (np.where((one[0] > 0) & (two[0] > 0), two[i] - one[i], 0.0) for i in (1, 2))
+        mean_x, mean_y = (np.where(one[0] > 0, one[i] + d * share, two[i]) for i, d in ((1, dx), (2, dy)))
+        weight = one[0] * share
+        return n, mean_x, mean_y, *(one[i] + two[i] + p * weight for i, p in ((3, dx * dx), (4, dy * dy), (5, dx * dy)))
+
+
+def pearson(found: tuple[np.ndarray, ...]) -> np.ndarray:
+    """r, NaN where it is undefined."""
+    with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+        spread = np.sqrt(found[3]) * np.sqrt(found[4])
+        return np.where((spread > 0) & np.isfinite(spread), found[5] / spread, np.nan)

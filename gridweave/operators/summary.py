@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from gridweave.fixed_values import HISTOGRAM_BINS
 from gridweave.functions.text import Expr, aggregate_rows, col, cols, num, quote, select, table
+from gridweave.operators.moments import correlations
 from gridweave.operators.quantiles import BUFFER_ROWS, exact_quantiles
 
 QUARTILES = [0.25, 0.5, 0.75]
@@ -122,32 +123,15 @@ def histogram(df: DataFrame, value: str, bins: int = HISTOGRAM_BINS) -> DataFram
     )
 
 
-def correlation(x: str, y: str) -> Expr:
-    """Pearson's r over the rows with both values; null where one of them does not vary."""
-    a, b = f"double({col(x)})", f"double({col(y)})"
-    # ``corr`` itself fails on a constant column when division by zero is an error
-    spread = f"var_pop(CASE WHEN {b} IS NOT NULL THEN {a} END) * var_pop(CASE WHEN {a} IS NOT NULL THEN {b} END)"
-    return f"nullif(try_divide(covar_pop({a}, {b}), sqrt({spread})), double('NaN'))"
-
-
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Pearson correlation of every pair, pairwise complete, in one aggregate: (x, y, r) rows."""
-    rows = []
-    for i, x in enumerate(columns):
-        for y in columns[i:]:
-            r = correlation(x, y)
-            pairs = [(x, y)] if x == y else [(x, y), (y, x)]
-            rows += [{"x": quote(a), "y": quote(b), "r": r} for a, b in pairs]
-    return aggregate_rows(df, rows)
+    """Pearson correlation of every pair, pairwise complete, in one pass: (x, y, r) rows."""
+    return correlations(df, columns, columns)
 
 
 def top_correlations(df: DataFrame, target: str, limit: int = 15) -> DataFrame:
     """The highest correlations with the target, itself included; undefined ones come last."""
-    rows = [
-        {"column": quote(c), "r": correlation(c, target)}
-        for c in numeric_columns(df)
-    ]
-    return aggregate_rows(df, rows).orderBy(F.desc_nulls_last("r"), "column").limit(limit)
+    rows = correlations(df, numeric_columns(df), [target]).selectExpr("x AS `column`", "r")
+    return rows.orderBy(F.desc_nulls_last("r"), "column").limit(limit)
 
 
 def missing(column: str, kind: str) -> Expr:
