@@ -5,10 +5,15 @@ which the first may be shorter. Where a piece goes depends on its length alone,
 the histogram of lengths (at most ``capacity`` numbers, however many documents there are):
 
 1. Configuration linear program: cover the count of every length with patterns of lengths that fit one
-   sequence, using as few patterns as possible. Multiplicative weights hold a price for each length, and
-   a knapsack dynamic program finds the pattern worth most at these prices.
-2. Rounding: pattern counts are rounded down and cut to what is left of each length; the rest goes, by
-   decreasing length, to the fullest sequence with room for it (best fit), also on the histogram.
+   sequence, using as few patterns as possible. Multiplicative weights hold a price for each length, which
+   falls exponentially with what is covered of it; a knapsack dynamic program finds the patterns worth most
+   at these prices. One program serves a batch of patterns, the best one through each length.
+2. Rounding: patterns become whole sequences as long as pieces last, those with the longest piece first and
+   only full ones. What is left is a smaller instance, which is solved and rounded again, until no full
+   pattern is left; then patterns with more and more room are taken, up to ``MOST_ROOM``. The few last
+   pieces go, by decreasing length, to the fullest sequence with room (best fit), also on the histogram.
+3. A few settings of the weights are tried and the plan with fewest sequences is taken; best fit alone is
+   cheap to plan and taken only if it needs fewer sequences than all of them.
 
 A piece finds its sequence by its rank among the pieces of its length. Ranks come from counts of hashed
 slices of each length, so no task holds all pieces of a common length.
@@ -21,6 +26,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 import sys
 import zlib
 from array import array
@@ -38,8 +44,13 @@ by_value(__name__)
 
 CAPACITY = 1024
 END_ID = 2
-ROUNDS = 300
-STEP = 0.25
+#: How much of its count a length may gain from one pattern, and how much less than the best pattern another
+#: one of the same batch may be worth; the settings that are tried.
+SETTINGS = ((0.5, 1.0), (1.0, 1.0), (0.5, 0.3))
+#: Prices grow a little faster than lengths, so that long pieces, which are hard to place, come first.
+PRICE_POWER = 1.2
+#: Room that a pattern may leave in the last rounds.
+MOST_ROOM = 64
 #: Pieces that one task ranks; lengths with more are cut into slices.
 SLICE_ROWS = 200_000
 
@@ -51,6 +62,10 @@ SLICE_ROWS = 200_000
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+#: White space as the pattern knows it, in runs that are too long for its look-ahead.
+LONG_BLANKS = re.compile("[\\t-\\r\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{10000,}")
+
+
 def byte_ranks(path: str) -> dict[bytes, int]:
     """Byte strings and ids of a byte-level vocabulary file (JSON of the ``tokenizers`` library).
 
@@ -82,11 +97,25 @@ class Encoder:
         import tiktoken
 
         found = special_ids(path) if special else {}
+        self.special = tuple(found)
         self.merges = tiktoken.Encoding("vocabulary", pat_str=SPLIT, mergeable_ranks=byte_ranks(path), special_tokens=found)
 
+    def encode(self, text: str) -> list[int]:
+        """The pattern takes a run of white space as one piece, without its last character when more text follows
+        than a special token. Very long runs are cut off by this rule first, since the look-ahead of the
+        pattern cannot hold them."""
+        out, done = [], 0
+        for run in LONG_BLANKS.finditer(text):
+            last = run.end() == len(text) or text.startswith(self.special, run.end())
+            end = run.end() if last else run.end() - 1
+            out += self.merges.encode(text[done : run.start()], allowed_special="all")
+            out += self.merges._encode_single_piece(text[run.start() : end])
+            done = end
+        return out + self.merges.encode(text[done:], allowed_special="all") if done else self.merges.encode(text, allowed_special="all")
+
     def __call__(self, text: str) -> bytes:
         """Little-endian 32-bit numbers."""
-        ids = array("I", self.merges.encode(text, allowed_special="all"))
+        ids = array("I", self.encode(text))
         if sys.byteorder == "big":
             ids.byteswap()
         return ids.tobytes()
@@ -144,8 +173,9 @@ def pieces(
 # --- plan on the histogram --------------------------------------------------------------------------
 
 
-def best_pattern(lengths: np.ndarray, values: np.ndarray, capacity: int) -> np.ndarray:
-    """How often each length occurs in the pattern of greatest value that fits (unbounded knapsack)."""
+def knapsack(lengths: np.ndarray, values: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Greatest value that fits into every room up to ``capacity`` (lengths may repeat), and the length to
+    take first, -1 where the room stays as one smaller."""
     best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
     fitting = np.searchsorted(lengths, np.arange(capacity + 1), "right")
     for room in range(1, capacity + 1):
@@ -154,56 +184,87 @@ def best_pattern(lengths: np.ndarray, values: np.ndarray, capacity: int) -> np.n
             totals = best[room - lengths[:k]] + values[:k]
             if totals[i := int(totals.argmax())] > best[room]:
                 best[room], pick[room] = totals[i], i
-    times, room = np.zeros(len(lengths), np.int64), capacity
+    return best, pick
+
+
+def pattern_through(start: int, lengths: np.ndarray, pick: np.ndarray, capacity: int) -> np.ndarray:
+    """How often each length occurs in the best pattern that holds length number ``start``."""
+    times, room = np.zeros(len(lengths), np.int64), capacity - int(lengths[start])
+    times[start] = 1
     while room > 0:
         if pick[room] < 0:
             room -= 1
         else:
             times[pick[room]] += 1
-            room -= lengths[pick[room]]
+            room -= int(lengths[pick[room]])
     return times
 
 
-def solve_lp(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int, step: float) -> list[tuple[np.ndarray, float]]:
+def solve_lp(lengths: np.ndarray, counts: np.ndarray, capacity: int, step: float, near: float) -> list[tuple[np.ndarray, float]]:
     """Patterns with fractional counts that cover the histogram, by multiplicative weights.
 
-    Every round takes the pattern worth most at the current prices until its scarcest length has
-    gained ``step`` of its count; prices fall exponentially with what is covered.
+    In every round each uncovered length whose best pattern is worth at least 1 - ``near`` of the best of all
+    takes that pattern until its scarcest length has gained ``step`` of its count. Every round covers ``step``
+    of some length, so it ends.
     """
     covered = np.zeros(len(lengths))
     chosen: dict[bytes, tuple[np.ndarray, float]] = {}
-    for _ in range(rounds):
-        # long pieces are hard to place, so the prices start in proportion to the length
-        price = np.where(covered < 1, lengths * np.exp(-covered / step), 0.0)
-        if not price.any():
-            break
-        pattern = best_pattern(lengths, price, capacity)
-        used = pattern > 0
-        amount = step * (counts[used] / pattern[used]).min()
-        covered[used] += amount * pattern[used] / counts[used]
-        old = chosen.get(pattern.tobytes(), (pattern, 0.0))[1]
-        chosen[pattern.tobytes()] = (pattern, old + amount)
+    weight = (lengths / capacity) ** PRICE_POWER
+    while (open_ := covered < 1).any():
+        price = np.where(open_, weight * np.exp(-covered / step), 0.0)
+        price /= price.max()
+        best, pick = knapsack(lengths, price, capacity)
+        worth = price + best[capacity - lengths]
+        for i in np.flatnonzero(open_ & (worth >= (1 - near) * best[capacity]))[::-1]:
+            if covered[i] >= 1:
+                continue
+            pattern = pattern_through(i, lengths, pick, capacity)
+            used = pattern > 0
+            amount = step * (counts[used] / pattern[used]).min()
+            covered[used] += amount * pattern[used] / counts[used]
+            old = chosen.get(pattern.tobytes(), (pattern, 0.0))[1]
+            chosen[pattern.tobytes()] = (pattern, old + amount)
     return list(chosen.values())
 
 
-def round_patterns(
-    lengths: np.ndarray, counts: np.ndarray, capacity: int, solution: list[tuple[np.ndarray, float]]
-) -> list[tuple[tuple[int, ...], int]]:
-    """Whole sequences as (lengths inside, number of such sequences); every piece is in exactly one."""
-    left = counts.copy()
-    by_room: dict[int, list[tuple[tuple[int, ...], int]]] = {}
+Sequences = list[tuple[tuple[int, ...], int]]
+
+
+def place_patterns(lengths: np.ndarray, counts: np.ndarray, capacity: int, step: float, near: float) -> tuple[Sequences, np.ndarray]:
+    """Whole sequences as (lengths inside, number of such sequences), and the counts that are left."""
+    left, out, room = counts.copy(), [], 0
+    while left.any():
+        here = np.flatnonzero(left)
+        own, rest = lengths[here], left[here]
+        solution = [(p, amount, capacity - int(p @ own), int(own[np.flatnonzero(p)[-1]])) for p, amount in solve_lp(own, rest, capacity, step, near)]
+        placed = False
+        for pattern, amount, free, longest in sorted(solution, key=lambda x: (-x[3], x[2], -x[1])):
+            used = pattern > 0
+            number = min(max(1, round(amount)), int((rest[used] // pattern[used]).min())) if free <= room else 0
+            if number:
+                rest[used] -= number * pattern[used]
+                out.append((tuple(int(x) for x in np.repeat(own, pattern)[::-1]), number))
+                placed = True
+        left[here] = rest
+        if not placed:
+            if room >= min(MOST_ROOM, capacity):
+                break
+            room = 2 * room + 1
+    return out, left
+
+
+def best_fit(sequences: Sequences, lengths: np.ndarray, counts: np.ndarray, capacity: int) -> Sequences:
+    """The sequences and those of the remaining counts, each piece in the fullest sequence with room for it."""
+    by_room: dict[int, Sequences] = {}
 
     def put(inside: tuple[int, ...], number: int) -> None:
         if number:
             by_room.setdefault(capacity - sum(inside), []).append((inside, number))
 
-    for pattern, amount in sorted(solution, key=lambda x: -x[1]):
-        used = pattern > 0
-        number = min(int(amount), int((left[used] // pattern[used]).min()))
-        left[used] -= number * pattern[used]
-        put(tuple(int(x) for x in np.repeat(lengths, pattern)[::-1]), number)
+    for inside, number in sequences:
+        put(inside, number)
     for i in range(len(lengths) - 1, -1, -1):
-        length, rest = int(lengths[i]), int(left[i])
+        length, rest = int(lengths[i]), int(counts[i])
         while rest:
             room = min((r for r in by_room if r >= length), default=None)
             if room is None:
@@ -231,6 +292,8 @@ class Plan:
     per_sequence: np.ndarray
     offset: np.ndarray
     sequences: int
+    #: Pieces shorter than a sequence that patterns of the program have placed.
+    by_pattern: int
 
     def place(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         key = (self.length << 44) + self.first_rank
@@ -239,15 +302,18 @@ class Plan:
         return self.sequence[run] + turn, self.offset[run] + place * length
 
 
-def make_plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS, step: float = STEP) -> Plan:
+def make_plan(histogram: dict[int, int], capacity: int = CAPACITY, settings: tuple[tuple[float, float], ...] = SETTINGS) -> Plan:
     """The packing plan of a histogram length -> count."""
     lengths = np.array(sorted(histogram), np.int64)
     counts = np.array([histogram[int(x)] for x in lengths], np.int64)
-    solution = solve_lp(lengths, counts, capacity, rounds, step) if len(lengths) else []
-    # best fit alone is cheap to plan, and the rounded solution must not be worse
-    plans = [round_patterns(lengths, counts, capacity, x) for x in (solution, [])]
+    plans = []
+    for step, near in settings:
+        placed, left = place_patterns(lengths, counts, capacity, step, near)
+        plans.append((best_fit(placed, lengths, left, capacity), int((counts - left)[lengths < capacity].sum())))
+    plans.append((best_fit([], lengths, counts, capacity), 0))
+    chosen, by_pattern = min(plans, key=lambda plan: sum(n for _, n in plan[0]))
     runs, sequences, seen = [], 0, dict.fromkeys(histogram, 0)
-    for inside, number in min(plans, key=lambda plan: sum(n for _, n in plan)):
+    for inside, number in chosen:
         offset = 0
         for length in sorted(set(inside), reverse=True):
             times = inside.count(length)
@@ -256,7 +322,7 @@ def make_plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int =
             offset += times * length
         sequences += number
     table = np.array(sorted(runs), np.int64).reshape(-1, 5)
-    return Plan(*table.T.copy(), sequences=sequences)
+    return Plan(*table.T.copy(), sequences=sequences, by_pattern=by_pattern)
 
 
 # --- placing ----------------------------------------------------------------------------------------

@@ -2,6 +2,7 @@ import math
 import random
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -123,6 +124,64 @@ def test_program_beats_best_fit():
     assert plan.sequences == 24
 
 
+def test_program_places_the_pieces():
+    """Nearly all pieces come from patterns, and no more sequences are used than by best fit."""
+    draw = random.Random(2)
+    histogram = defaultdict(int)
+    for _ in range(12_000):
+        histogram[min(1024, 3 + int(draw.expovariate(1 / 250)))] += 1
+    plan = packing.make_plan(dict(histogram))
+    short = sum(n for x, n in histogram.items() if x < 1024)
+    assert plan.by_pattern >= 0.9 * short
+    alone = packing.make_plan(dict(histogram), settings=())
+    assert alone.by_pattern == 0 and plan.sequences <= alone.sequences
+    assert plan.sequences <= math.ceil(sum(x * n for x, n in histogram.items()) / 1024) + 2
+
+
+def test_program_places_the_documents(spark, sf):
+    docs = spark.read.parquet(f"{Path(sf).parent}/sf0.1/documents.parquet" if (Path(sf).parent / "sf0.1").is_dir() else f"{sf}/documents.parquet")
+    histogram = {r["length"]: r["count"] for r in packing.pieces(docs, PATH).groupBy("length").count().collect()}
+    plan = packing.make_plan(histogram)
+    assert plan.by_pattern >= 0.9 * sum(n for x, n in histogram.items() if x < 1024)
+    assert plan.sequences <= packing.make_plan(histogram, settings=()).sequences
+
+
+def test_program_covers_the_histogram():
+    lengths, counts = np.array([3, 5, 7, 10]), np.array([40, 30, 20, 1])
+    solution = packing.solve_lp(lengths, counts, 10, 0.25, 0.5)
+    assert all(p @ lengths <= 10 for p, _ in solution)
+    assert (sum(p * amount for p, amount in solution) >= counts - 1e-9).all()
+    # a lower bound of any covering, and what the last uncovered lengths may cost
+    assert counts @ lengths / 10 <= sum(amount for _, amount in solution) <= 1.5 * (counts @ lengths) / 10
+
+
 def test_knapsack_price():
-    pattern = packing.best_pattern(np.array([3, 5, 7]), np.array([3.0, 5.5, 7.0]), 10)
-    assert pattern.tolist() == [0, 2, 0]
+    lengths, values = np.array([3, 5, 7]), np.array([3.0, 5.5, 7.0])
+    best, pick = packing.knapsack(lengths, values, 10)
+    assert best[10] == 11.0
+    assert packing.pattern_through(1, lengths, pick, 10).tolist() == [0, 2, 0]
+    assert packing.pattern_through(2, lengths, pick, 10).tolist() == [1, 0, 1]
+
+
+LONG_RUNS = {
+    "blanks": " " * 2_000_000,
+    "line ends": "\n" * 1_000_000,
+    "tabs inside": "a" + "\t" * 1_000_000 + "b",
+    "mixed": "x" + " \n\t\u3000\xa0\u2028" * 200_000 + "word",
+    "before a word and a special token": " " * 200_000 + "word " + "\n" * 20_000 + "<|endoftext|>" + " " * 9_999 + "x" + " " * 10_000 + "x",
+    "at the end": "x" + "\r\n" * 100_000,
+    "letters": "a" * 200_000,
+    "marks": "!" * 200_000,
+}
+
+
+@pytest.mark.parametrize("name", LONG_RUNS)
+def test_long_runs(name):
+    encode, plain = packing.Encoder(PATH, special=True), Tokenizer.from_file(PATH)
+    text = LONG_RUNS[name]
+    assert np.array_equal(np.frombuffer(encode(text), "<u4"), plain.encode(text, add_special_tokens=False).ids)
+
+
+def test_documents_of_blanks_are_packed(spark, tokenizer):
+    data = [(i, text, None, None, None) for i, text in enumerate((" " * 1_500_000, "\n \n" * 100_000, "a b"))]
+    check(packing.pack(frame(spark, data), PATH).collect(), data, tokenizer, 1024)
