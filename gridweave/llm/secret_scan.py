@@ -73,7 +73,9 @@ def der_length(block: str) -> bool:
 class Kind:
     """Tokens that begin with one of ``keywords``; ``least`` characters in ``group``; an optional check.
 
-    Keywords are in lower case and found in either case; the expression decides.
+    Keywords are in lower case and found in either case; the expression decides. Where it fails at one place
+    of a stretch of ``run``, it fails at all later ones of the stretch, which are not tried: without this, a
+    stretch of keywords would be read again for each of them.
     """
 
     name: str
@@ -82,6 +84,7 @@ class Kind:
     least: int = 0
     group: int = 0
     valid: Callable[[str], bool] | None = None
+    run: re.Pattern | None = None
 
 
 ASSIGN = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -95,7 +98,7 @@ KINDS = (
     Kind("access", ("akia",), re.compile("AKIA[A-Z0-9]+"), 20),
     Kind("github", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), re.compile("gh[pousr]_[A-Za-z0-9]{36}(?![A-Za-z0-9])"), valid=crc_in_base62),
     Kind("npm", ("npm_",), re.compile("npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])"), valid=crc_in_base62),
-    Kind("signed", ("eyj",), re.compile(r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"), valid=signed_header),
+    Kind("signed", ("eyj",), re.compile(r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"), valid=signed_header, run=re.compile("[A-Za-z0-9_-]+")),
     Kind("pem", ("-----begin ",), re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END (?:[A-Z]+ )*PRIVATE KEY-----"), valid=der_length),
     Kind("google", ("aiza",), re.compile("AIza[A-Za-z0-9_-]{35}(?![A-Za-z0-9_-])")),
     Kind("slack", ("xoxb-", "xoxp-", "xoxa-", "xoxr-"), re.compile("xox[bpar]-[0-9]{10,}-[A-Za-z0-9-]{20,}")),
@@ -129,7 +132,12 @@ def spans(text: str, keywords: ahocorasick.Automaton, kinds: tuple[Kind, ...] =
     for number, places in starts.items():
         kind, end = kinds[number], 0
         for place in sorted(places):
-            if place < end or not (m := kind.pattern.match(text, place)):
+            if place < end:
+                continue
+            m = kind.pattern.match(text, place)
+            if not m:
+                if kind.run and (stretch := kind.run.match(text, place)):
+                    end = stretch.end()
                 continue
             end = m.end()
             if len(m[kind.group]) >= kind.least and (kind.valid is None or kind.valid(m[0])):

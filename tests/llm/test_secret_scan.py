@@ -1,5 +1,7 @@
+import base64
 import random
 import re
+import time
 import zlib
 from hashlib import sha256
 
@@ -85,3 +87,24 @@ def test_edge_cases(spark):
     assert len(found) == len(rows())
     assert {r["base_sha256"] for r in found if r["doc_id"] in (3, 4, 5)} == {sha256(b"").hexdigest()}
     assert secret_scan.scan(frame(spark, [])).count() == 0
+
+
+def test_long_stretches_of_keywords_take_linear_time():
+    found, began = secret_scan.automaton(secret_scan.KINDS), time.process_time()
+    header = base64.urlsafe_b64encode(b'{"alg":"HS256"}').decode().rstrip("=")
+    token = f"{header}.eyJzdWIiOjF9.c2ln"
+    for part in ("eyJ", "password", "token=", "AKIA", "-----BEGIN ", "xoxb-", "ghp_", "sk_live_", "AIza", "abcdef0123456789 "):
+        text = part * (1_000_000 // len(part))
+        listed = secret_scan.spans(f"{text} {token}", found)
+        assert any(kind == "signed" and b == len(text) + 1 + len(token) for _, b, kind in listed)
+    assert time.process_time() - began < 20
+
+
+def test_a_failed_stretch_hides_no_later_token():
+    found = secret_scan.automaton(secret_scan.KINDS)
+    header = base64.urlsafe_b64encode(b'{"alg":"HS256"}').decode().rstrip("=")
+    token = f"{header}.eyJzdWIiOjF9.c2ln"
+    for before in ("eyJeyJ ", "eyJabc.eyJ ", "eyJ.", "eyJabc.", "eyJabc.def."):
+        want = re.search(r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", before + token).span()
+        spans = [(a, b) for a, b, kind in secret_scan.spans(before + token, found) if kind == "signed"]
+        assert spans == ([want] if secret_scan.signed_header((before + token)[want[0] : want[1]]) else [])
