@@ -37,6 +37,8 @@ TEXT_WEIGHT = 60.0
 SMOOTHING = 20.0
 LEAST = 0.5
 BIGRAMS = 1 << 16
+#: Bigrams that a task holds before it counts them.
+HELD_CODES = 4_000_000
 #: Country suffixes and the main language of each.
 SUFFIX_LANGUAGE = {
     "at": "de", "de": "de", "li": "de",
@@ -59,6 +61,7 @@ def _count(batches: Iterator[pa.RecordBatch], languages: tuple[str, ...]) -> Ite
     total = np.zeros((len(languages), BIGRAMS), np.int64)
     waiting: list[list[np.ndarray]] = [[] for _ in languages]
     place = {name: i for i, name in enumerate(languages)}
+    held = 0
 
     def add() -> None:
         for row, parts in zip(total, waiting):
@@ -69,9 +72,12 @@ def _count(batches: Iterator[pa.RecordBatch], languages: tuple[str, ...]) -> Ite
     for batch in batches:
         for text, declared in zip(batch.column("_text"), batch.column("_declared").to_pylist()):
             if declared in place and text.is_valid:
-                waiting[place[declared]].append(bigrams(text.as_py()))
-                if sum(map(len, waiting)) >= 500:
+                codes = bigrams(text.as_py())
+                waiting[place[declared]].append(codes)
+                held += len(codes)
+                if held >= HELD_CODES:
                     add()
+                    held = 0
     add()
     language, code = np.nonzero(total)
     yield pa.RecordBatch.from_arrays(
