@@ -45,8 +45,13 @@ FILTER_BITS = 16
 KNOWN_WORDS = 300_000
 
 
+#: Of the ASCII characters only letters and digits belong to words.
+ASCII_WORDS = "".join(chr(c) if chr(c).isalnum() else " " for c in range(128))
+
+
 def tokens(text: str) -> list[str]:
-    return TOKEN.findall(text.lower())
+    lower = text.lower()
+    return lower.translate(ASCII_WORDS).split() if lower.isascii() else TOKEN.findall(lower)
 
 
 class WordHashes(dict):
@@ -63,8 +68,11 @@ def shingle_hashes(words: list[str], size: int, known: WordHashes) -> np.ndarray
     """Hash of every shingle of ``size`` words, in order."""
     if len(words) < size:
         return np.empty(0, np.uint64)
-    hashes = np.array([known[w] for w in words], np.uint64)
-    return rolled(hashes, size)
+    return rolled(word_hashes(words, known), size)
+
+
+def word_hashes(words: list[str], known: WordHashes) -> np.ndarray:
+    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def rolled(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -112,7 +120,7 @@ class Items:
         """(item number, item shingles, shingles held) of every item that the words leak."""
         if not words:
             return []
-        hashes = np.array([known[w] for w in words], np.uint64)
+        hashes = word_hashes(words, known)
         candidates: set[int] = set()
         for size, wanted in self.hashes.items():
             if len(words) < size:

@@ -72,3 +72,11 @@ def test_empty(spark):
     assert decontamination.leaks(frame(spark, []), items).count() == 0
     assert decontamination.leaks(frame(spark), items.limit(0)).count() == 0
     assert decontamination.keep_clean(frame(spark), items.limit(0)).count() == len(rows())
+
+
+def test_words_of_plain_and_other_texts():
+    draw = random.Random(2)
+    for alphabet in ("aZ09_ .-\n\x1f'", "aZ09_ .-\nÄßé中\xa0"):
+        for _ in range(300):
+            text = "".join(draw.choices(alphabet, k=40))
+            assert decontamination.tokens(text) == re.findall(r"[^\W_]+", text.lower())
