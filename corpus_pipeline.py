@@ -17,8 +17,8 @@ from gridweave.llm import decontamination, exact_dedup, language, packing, simha
 from gridweave.llm.common import stored  # noqa: E402
 from gridweave.llm.queries import table, tokenizer_path  # noqa: E402
 
-#: Words in a shingle and differing bits of the near-copy stage.
-SHINGLE, DISTANCE = 5, 6
+#: Words in a shingle and differing bits of the near-copy stage, those of the operator's own query.
+SHINGLE, DISTANCE = 4, 4
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
