@@ -51,8 +51,8 @@ SETTINGS = ((0.5, 1.0), (1.0, 1.0), (0.5, 0.3))
 PRICE_POWER = 1.2
 #: Room that a pattern may leave in the last rounds.
 MOST_ROOM = 64
-#: Pieces that one task ranks; lengths with more are cut into slices.
-SLICE_ROWS = 200_000
+#: Most pieces that one task ranks, and into how many slices a length that all pieces had would be cut.
+SLICE_ROWS, SLICES = 200_000, 256
 
 
 # --- tokens -----------------------------------------------------------------------------------------
@@ -340,7 +340,8 @@ def _place(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordB
 def ranked(rows: DataFrame, histogram: dict[int, int]) -> DataFrame:
     """Rows with their rank, from 0, among the rows of equal length."""
     spark = rows.sparkSession
-    slices = [(length, math.ceil(n / SLICE_ROWS)) for length, n in histogram.items()]
+    most = min(SLICE_ROWS, max(1_000, sum(histogram.values()) // SLICES))
+    slices = [(length, math.ceil(n / most)) for length, n in histogram.items()]
     by_length = F.broadcast(spark.createDataFrame(slices, "length long, _slices long"))
     cut = rows.join(by_length, "length").withColumn("_slice", F.expr("pmod(xxhash64(id, piece), _slices)")).drop("_slices")
     before = Window.partitionBy("length").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -352,7 +353,7 @@ def ranked(rows: DataFrame, histogram: dict[int, int]) -> DataFrame:
     number = F.row_number().over(Window.partitionBy("length", "_slice").orderBy("id", "piece"))
     return (
         cut.withColumn("_number", number.cast("long"))
-        .join(F.broadcast(starts), ["length", "_slice"])  # at most 1,024 + pieces / SLICE_ROWS rows
+        .join(F.broadcast(starts), ["length", "_slice"])  # at most 1,024 + SLICES + pieces / SLICE_ROWS rows
         .withColumn("rank", F.expr("_before + _number - 1"))
         .drop("_slice", "_number", "_before")
     )
