@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from gridweave.fixed_values import HISTOGRAM_BINS
 from gridweave.functions.text import Expr, aggregate_rows, col, cols, num, quote, select, table
 from gridweave.operators.moments import correlations
-from gridweave.operators.quantiles import BUFFER_ROWS, exact_quantiles
+from gridweave.operators.quantiles import BUFFER_ROWS, exact_quantiles, profile
 
 QUARTILES = [0.25, 0.5, 0.75]
 # HyperLogLog can never estimate more than this from five distinct values or fewer
@@ -68,24 +68,15 @@ def describe(
 ) -> DataFrame:
     """count, mean, sample std, min, exact quartiles, max per column (and per key)."""
     keys = list(keys or [])
-    entries = table(
-        {
-            "column": quote(c),
-            "count": f"count({col(c)})",
-            "mean": f"double(avg({col(c)}))",
-            "std": f"stddev_samp({col(c)})",
-            "min": f"double(min({col(c)}))",
-            "max": f"double(max({col(c)}))",
-        }
-        for c in columns
-    )
-    moments = grouped(df, keys, {"_r": entries}).selectExpr(*keys, "inline(_r)")
-    quartiles = exact_quantiles(df, columns, QUARTILES, keys, buffer_rows)
+    moments = {"mean": "double(avg({}))", "std": "stddev_samp({})"}
+    known = profile(df, columns, keys, moments)
+    quartiles = exact_quantiles(df, columns, QUARTILES, keys, buffer_rows, known=known)
     # one struct as the join key: null keys match each other
     key = f"struct({cols([*keys, 'column'])}) AS _g"
-    joined = moments.selectExpr("*", key).join(quartiles.selectExpr(key, "quantiles"), "_g", "left")
-    picked = {"p25": "quantiles[0]", "p50": "quantiles[1]", "p75": "quantiles[2]"}
-    return joined.selectExpr(*select([*keys, "column", "count", "mean", "std", "min"], picked), "max")
+    joined = known.selectExpr("*", key).join(quartiles.selectExpr(key, "quantiles"), "_g", "left")
+    picked = {"count": "n", "mean": "mean", "std": "std", "min": "low"}
+    quarters = {"p25": "quantiles[0]", "p50": "quantiles[1]", "p75": "quantiles[2]", "max": "high"}
+    return joined.selectExpr(*select([*keys, "column"], {**picked, **quarters}))
 
 
 def indicator_rates(df: DataFrame, columns: list[str]) -> DataFrame:

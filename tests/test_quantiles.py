@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from gridweave.operators import quantiles
 from gridweave.operators.quantiles import exact_quantiles
 from gridweave.operators.summary import describe, histogram, low_cardinality_columns
 
@@ -84,3 +85,34 @@ def test_both_paths_agree_on_infinity_and_ties(spark, seed):
     levels = [0.0, 0.05, 0.25, 1 / 3, 0.5, 0.75, 0.9, 0.97, 1.0]
     found = [exact_quantiles(df, ["v"], levels, buffer_rows=n).first()["quantiles"] for n in (1_000, 5)]
     assert list(map(repr, found[0])) == list(map(repr, found[1]))
+
+
+def test_large_group_beside_small_ones(spark):
+    """A group of ten times the buffer, exact, with ties and a narrow sketch margin that must be widened."""
+    n = 200_000
+    df = spark.range(n).selectExpr("CASE WHEN id % 10 = 0 THEN 'small' ELSE 'large' END AS g", "double(pmod(id * 7919, 100003)) / 7 AS v", "double(id % 3) AS t")
+    pdf = df.toPandas()
+    for margin in (quantiles.MARGIN, 1e-6):
+        got = {(r["g"], r["column"]): list(r["quantiles"]) for r in _narrow(df, margin).collect()}
+        for g in ("small", "large"):
+            for c in ("v", "t"):
+                np.testing.assert_allclose(got[g, c], np.quantile(pdf[pdf["g"] == g][c], LEVELS), rtol=1e-12)
+
+
+def _narrow(df, margin):
+    known = quantiles.profile(df, ["v", "t"], ["g"])
+    return quantiles._narrowed(quantiles.long_values(df, ["g"], ["v", "t"]), known, ["g", "column"], LEVELS, margin)
+
+
+@pytest.mark.parametrize("limit", [100, 10**6])
+def test_describe_reads_its_input_twice(spark, limit):
+    seen, n = spark.sparkContext.accumulator(0), 20_000
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(n).selectExpr("id % 3 AS g", "double(hash(id)) AS v").mapInArrow(counted, "g long, v double")
+    assert describe(df, ["v"], ["g"], buffer_rows=limit).count() == 3
+    assert seen.value == 2 * n
