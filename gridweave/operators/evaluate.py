@@ -66,12 +66,20 @@ def baseline_gaps(df: DataFrame, baseline: str = BASELINE) -> DataFrame:
     return df.selectExpr("count(*) AS rows", f"count_if({missing_or_not_finite(col(baseline))}) AS missing_count")
 
 
+def gaps(columns: tuple[str, ...]) -> dict[str, Expr]:
+    """Missing, NaN or infinite values of every column, as aggregates."""
+    return {c: f"count_if({missing_or_not_finite(col(c))})" for c in columns}
+
+
+def require_none(found: dict[str, int], what: str) -> None:
+    for column, count in found.items():
+        if count:
+            raise DataQualityError(f"{what}: {count} missing or non-finite values in {column}")
+
+
 def require_complete(df: DataFrame, columns: tuple[str, ...], what: str) -> None:
     """Fails when any value is missing, NaN or infinite; one pass for all columns."""
-    found = df.selectExpr(*select([], {c: f"count_if({missing_or_not_finite(col(c))})" for c in columns})).first()
-    for column in columns:
-        if found[column]:
-            raise DataQualityError(f"{what}: {found[column]} missing or non-finite values in {column}")
+    require_none(df.selectExpr(*select([], gaps(columns))).first().asDict(), what)
 
 
 def plot_window(

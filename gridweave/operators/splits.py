@@ -44,10 +44,14 @@ def split_rows(df: DataFrame) -> DataFrame:
     return df.groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
 
 
-def require_splits(df: DataFrame, names: tuple[str, ...]) -> dict[str, int]:
-    """Row counts per split; fails when one is empty."""
-    counts = {r["split"]: r["rows"] for r in split_rows(df).collect()}
+def require_rows(counts: dict[str, int], names: tuple[str, ...]) -> dict[str, int]:
+    """Fails when one of the splits has no rows."""
     empty = [n for n in names if not counts.get(n)]
     if empty:
         raise DataQualityError(f"empty split: {', '.join(empty)}")
     return counts
+
+
+def require_splits(df: DataFrame, names: tuple[str, ...]) -> dict[str, int]:
+    """Row counts per split; fails when one is empty."""
+    return require_rows({r["split"]: r["rows"] for r in split_rows(df).collect()}, names)

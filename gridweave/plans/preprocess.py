@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from gridweave.fixed_values import (
     CORE_FEATURES,
@@ -18,11 +19,12 @@ from gridweave.fixed_values import (
 from gridweave.functions.text import Expr
 from gridweave.operators.quality import remove_invalid_rows, require_columns
 from gridweave.operators.scaling import Stats, collect_stats, minmax_stats, raw_frame, scaled_frame, stats_table
-from gridweave.operators.splits import add_split, require_splits, train_test
+from gridweave.operators.splits import add_split, require_rows, train_test
 from gridweave.operators.summary import split_summary
 from gridweave.sources.files import read_split_dataset, read_stats, write_split_dataset, write_stats
 
 ALL_FEATURES = sorted({*CORE_FEATURES, *EXTENDED_FEATURES})
+SPLITS = ("train", "test")
 REQUIRED = [*META_COLUMNS, *ALL_FEATURES, *DIAGNOSTIC_COLUMNS, *TARGETS.values()]
 
 
@@ -59,10 +61,18 @@ def summary(prepared: Prepared) -> DataFrame:
 
 
 def write_horizon(spark: SparkSession, prepared: Prepared, base: str) -> None:
-    """Eight split folders (two variants, two feature sets, two splits), statistics and summary."""
-    require_splits(prepared.rows, ("train", "test"))
+    """Eight split folders (two variants, two feature sets, two splits), statistics and summary.
+
+    Whether both splits have rows is seen while the first folders are written, and stops the run there.
+    """
+    seen = None
     for feature_set in FEATURE_SETS:
-        write_split_dataset(prepared.raw(feature_set), base, "raw", feature_set, prepared.horizon)
+        raw = prepared.raw(feature_set)
+        if seen is None:
+            seen = Observation()
+            raw = raw.observe(seen, *[F.expr(f"count_if(split = '{s}')").alias(s) for s in SPLITS])
+        write_split_dataset(raw, base, "raw", feature_set, prepared.horizon)
+        require_rows(seen.get, SPLITS)
         write_split_dataset(prepared.scaled(feature_set), base, "scaled", feature_set, prepared.horizon)
     features = {c: s for c, s in prepared.stats.items() if c != prepared.target}
     write_stats(stats_table(spark, features), base, "feature", prepared.horizon)

@@ -34,10 +34,12 @@ from gridweave.operators.quality import (
 from gridweave.operators.scaling import Stats, feature_columns, scaled_target, stats_table, unscaled
 from gridweave.operators.splits import add_fit_split, require_splits
 from gridweave.plans.preprocess import ALL_FEATURES, Prepared, prepare
-from gridweave.session import stored
+from gridweave.session import stored, stored_observed
 from gridweave.sources.models import save_baseline
 
 SPLITS = ("train_fit", "validation", "test")
+# what the evaluation of a row needs
+NEEDED = ("predicted", "raw_lag_24")
 # baseline fits submitted at a time
 SIDE_BY_SIDE = 4
 
@@ -154,8 +156,8 @@ def test_predictions(data: FitData, model: fuzzy.FuzzyModel, text_time: bool = T
     the run stops when one of them, or a lag-24 value, is missing or not finite.
     """
     test = replace(data, rows=data.rows.filter("split = 'test'"))
-    scored = stored(score_fit_data(test, model), f"scored-{data.horizon}")
-    evaluate.require_complete(scored, ("predicted", "raw_lag_24"), f"test predictions {data.horizon}")
+    scored, found = stored_observed(score_fit_data(test, model), f"scored-{data.horizon}", evaluate.gaps(NEEDED))
+    evaluate.require_none(found, f"test predictions {data.horizon}")
     return evaluate.prediction_frame(scored, data.target, "predicted", "raw_lag_24", text_time=text_time)
 
 
@@ -170,8 +172,8 @@ def run_records(
 
     ``paths`` names the data read and the artifacts written. Every number comes from one scoring pass over all splits.
     """
-    scored = stored(score_fit_data(data, model), f"scored-{data.horizon}")
-    evaluate.require_complete(scored, ("predicted", "raw_lag_24"), f"predictions {data.horizon}")
+    scored, found = stored_observed(score_fit_data(data, model), f"scored-{data.horizon}", evaluate.gaps(NEEDED))
+    evaluate.require_none(found, f"predictions {data.horizon}")
     error = f"(predicted_scaled - {data.target}_scaled)"
 
     def rmse(split: str) -> Expr:

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 SETTINGS = {
     # Wall-clock timestamps are TIMESTAMP_NTZ everywhere; UTC only matters for text output.
@@ -38,11 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
-    # only a session of a single process may fall back to a folder of this machine, one per session
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gridweave-"))
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -63,6 +58,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_observed(df: DataFrame, name: str, aggregates: dict[str, str]) -> tuple[DataFrame, dict]:
+    """``stored``, and aggregates (SQL text) of the rows that ride along with the write: no pass of their own.
+
+    A task that is retried may be counted twice, so these are for checks of presence, not for totals.
+    """
+    seen = Observation()
+    table = stored(df.observe(seen, *[F.expr(e).alias(n) for n, e in aggregates.items()]), name)
+    return table, seen.get
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder."""
     return f"{shared_dir(spark)}/gridweave/{name}-{uuid.uuid4().hex}"

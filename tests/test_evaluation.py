@@ -1,5 +1,6 @@
 """Metrics, comparisons, training runs, baselines and streaming."""
 
+import uuid
 from dataclasses import replace
 
 import numpy as np
@@ -12,6 +13,7 @@ from gridweave.operators.quality import DataQualityError
 from gridweave.operators.scaling import ColumnStats
 from gridweave.plans import train
 from gridweave.plans.preprocess import Prepared
+from gridweave.session import stored
 from gridweave.sources import files
 from gridweave.sources.models import load_baseline
 from gridweave.streaming.scoring import read_rows, score_stream, write_scores
@@ -158,3 +160,69 @@ def test_unusable_predictions_stop_the_run(data):
     bad = replace(data, rows=put(data.rows, {"humidity": hole.format("double('NaN')", "humidity")}))
     with pytest.raises(DataQualityError, match="missing or non-finite"):
         train.run_records(bad, model, "run")
+
+
+def jobs_of(spark, work) -> int:
+    name = f"jobs-{uuid.uuid4()}"
+    spark.sparkContext.setJobGroup(name, "counted")
+    try:
+        work()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+
+def test_checks_ride_along_with_the_write(spark, data):
+    """Predictions and run records start no job besides those that write the scores."""
+    model = train.fit_horizons([data], n_mfs=1)["1h"]
+    test = replace(data, rows=data.rows.filter("split = 'test'"))
+    once = jobs_of(spark, lambda: stored(train.score_fit_data(test, model), "test"))
+    assert jobs_of(spark, lambda: train.test_predictions(data, model)) == once > 0
+    every = jobs_of(spark, lambda: stored(train.score_fit_data(data, model), "test"))
+    assert jobs_of(spark, lambda: train.run_records(data, model, "run")) == every
+
+
+def test_empty_split_stops_the_preprocessing(spark, data, tmp_path):
+    from gridweave.operators.splits import add_split
+    from gridweave.plans import preprocess
+
+    rows = data.rows.drop("split", "raw_lag_24", "load_kwh_scaled").selectExpr("* EXCEPT (load_kwh)", "load_kwh AS target_1h")
+    late = Prepared("1h", "target_1h", add_split(rows, "2030-01-01 00:00:00"), {**data.stats, "target_1h": data.stats["load_kwh"]})
+    only_core = {"core": preprocess.FEATURE_SETS["core"]}
+    before, preprocess.FEATURE_SETS = preprocess.FEATURE_SETS, only_core
+    try:
+        with pytest.raises(DataQualityError, match="empty split: test"):
+            preprocess.write_horizon(spark, late, str(tmp_path / "out"))
+    finally:
+        preprocess.FEATURE_SETS = before
+
+
+def test_a_shared_folder_is_required(spark):
+    from gridweave import session
+
+    assert session.shared_dir(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir").rstrip("/")
+
+    class Context:
+        def getConf(self):
+            return self
+
+        def get(self, name):
+            return None
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(Session())
+
+
+def test_a_run_written_again_replaces_its_own_records(spark, tmp_path):
+    path = str(tmp_path / "runs")
+    rows = lambda run, value: spark.createDataFrame([(run, "1h", value), (run, "24h", value)], "run_id string, horizon string, v double")
+    for run, value in (("007", 1.0), ("b", 2.0), ("007", 3.0)):
+        files.append_runs(rows(run, value), path)
+    found = {(r["run_id"], r["horizon"]): r["v"] for r in files.read_runs(spark, path).collect()}
+    assert found == {("007", "1h"): 3.0, ("007", "24h"): 3.0, ("b", "1h"): 2.0, ("b", "24h"): 2.0}
