@@ -8,17 +8,19 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridweave.catalog import fits
 from gridweave.catalog import inputs as i
 from gridweave.catalog import sql as q
-from gridweave.fixed_values import META_COLUMNS, RIDGE_ALPHA
+from gridweave.fixed_values import CORE_FEATURES, META_COLUMNS, RIDGE_ALPHA
 from gridweave.functions.errors import METRICS
-from gridweave.functions.text import col, quote, select, table
-from gridweave.operators import baselines, fuzzy, tree_models
-from gridweave.operators.scaling import feature_columns, unscaled
+from gridweave.functions.text import col, put, quote, select, table
+from gridweave.operators import baselines, estimators, fuzzy, tree_models
+from gridweave.operators.scaling import collect_stats, feature_columns, minmax_stats, scaled, unscaled
+from gridweave.operators.splits import add_split
 from gridweave.plans import train
 from gridweave.session import scratch_path, stored
 from gridweave.sources import files, models
@@ -124,6 +126,28 @@ def model_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return both.selectExpr("count(*) AS rows", "count_if(NOT before <=> after) AS different")
 
 
+def pipeline_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Scaler and fuzzy model as a ``pyspark.ml`` pipeline: fitted, saved, loaded and applied; rows whose
+    prediction differs from the loaded pipeline's, or from that of the plain functions."""
+    wide = add_split(i.stored_wide(spark, sf), i.TRAIN_END).selectExpr("*", "double(target_1h) AS label")
+    train_rows, inputs = wide.where("split = 'train'"), list(CORE_FEATURES)
+    fitted = Pipeline(stages=[estimators.MinMaxColumns(inputs), estimators.FuzzyRegressor(inputs, nMfs=2)]).fit(train_rows)
+    path = scratch_path(spark, "pipeline")
+    fitted.write().save(path)
+    loaded = PipelineModel.load(path)
+    keyed = ["profile_code", "datetime", "prediction"]
+    stats = collect_stats(minmax_stats(train_rows, inputs))
+    plain = put(wide, {c: scaled(c, stats) for c in inputs})
+    start = fuzzy.initialize_memberships(plain.where("split = 'train'"), CORE_FEATURES, 2)
+    model = fuzzy.fit_consequents(plain.where("split = 'train'"), start, ["label"])["label"]
+    first, second, third = (df.select(*keyed) for df in (fitted.transform(wide), loaded.transform(wide), fuzzy.score(plain, model)))
+    both = first.join(second.withColumnRenamed("prediction", "again"), keyed[:2]).join(third.withColumnRenamed("prediction", "other"), keyed[:2])
+    return both.selectExpr(
+        "count(*) AS rows", "count_if(NOT prediction <=> again) AS different",
+        "count_if(NOT coalesce(abs(prediction - other) < 1e-6D, false)) AS unlike",
+    )
+
+
 def test_predictions(spark: SparkSession, sf: str) -> DataFrame:
     """Prediction frames of the fitted model on the test split, both horizons; ``agrees`` compares every
     prediction with the forward pass in SQL expressions."""
@@ -184,7 +208,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         baseline_linear, baseline_tree, baseline_forest, baseline_boosted, baseline_comparison,
-        baseline_predictions_wide, baseline_model_roundtrip, model_roundtrip, test_predictions, run_records, runs_repeated,
+        baseline_predictions_wide, baseline_model_roundtrip, model_roundtrip, pipeline_roundtrip, test_predictions, run_records, runs_repeated,
     )
 }
 
@@ -201,6 +225,7 @@ _TESTED = q.wide_plus(q.splits()) + (
 
 ORACLE = {
     "baseline_model_roundtrip": _TEST_ROWS,
+    "pipeline_roundtrip": q.WIDE + "SELECT count(*) AS rows, 0 AS different, 0 AS unlike FROM wide",
     "model_roundtrip": q.WIDE + "SELECT count(*) AS rows, 0 AS different FROM wide",
     "run_records": q.wide_plus(q.splits())
     + f"""SELECT '0' || n_mfs AS run_id, horizon, {_COUNTS}, n_mfs, CAST(n_mfs ** 6 AS INTEGER) AS n_rules, true AS predictions_finite, true AS agrees

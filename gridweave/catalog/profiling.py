@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gridweave.catalog import inputs as i
 from gridweave.catalog import sql as q
@@ -100,6 +101,23 @@ def series_count(spark: SparkSession, sf: str) -> DataFrame:
     return summary.series_count(i.events(spark, sf), "user_id")
 
 
+SPANS = {"day": "string(day)", "week": "string(to_date(date_trunc('week', day)))", "all": "'all'"}
+
+
+def series_count_daily(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct users of every day, week and the whole time: exact, and whether the counts merged from the
+    stored sketches of the days come within five standard errors."""
+    events = i.events(spark, sf)
+    sketches = summary.daily_sketches(events, "user_id", "ts")
+    frames = []
+    for kind, span in SPANS.items():
+        users = events.selectExpr("to_date(ts) AS day", "user_id").selectExpr(f"{span} AS span", "user_id")
+        exact = users.groupBy("span").agg(F.countDistinct("user_id").alias("users"))
+        both = exact.join(summary.merged_count(sketches, span, "span"), "span")
+        frames.append(both.selectExpr(f"'{kind}' AS kind", "span", "users", "abs(series - users) <= 0.08D * users + 1D AS close"))
+    return frames[0].unionByName(frames[1]).unionByName(frames[2])
+
+
 def figure_data(spark: SparkSession, sf: str) -> DataFrame:
     """First two weeks of readings in time order, as drawn."""
     rows = i.hourly(spark, sf).select("datetime", "series_id", "load_kwh")
@@ -111,7 +129,7 @@ QUERIES = {
     for f in (
         describe_by_series, describe_columns, describe_narrowed, shape_columns, missing_report, low_cardinality,
         top_correlations, top_values, head_rows, tail_rows, load_histogram, mean_by_hour, mean_by_series,
-        correlation_matrix, correlation_all, indicator_rates, series_count, figure_data,
+        correlation_matrix, correlation_all, indicator_rates, series_count, series_count_daily, figure_data,
     )
 }
 
@@ -183,5 +201,9 @@ FROM binned GROUP BY bin, lo, hi""",
     + ", ".join(f"{r(f'avg({c})')} AS {c}" for c in [*DIAGNOSTIC_COLUMNS[1:], "holiday_effect"])
     + " FROM wide",
     "series_count": "SELECT count(DISTINCT user_id) AS series FROM events",
+    "series_count_daily": " UNION ALL ".join(
+        f"SELECT '{kind}' AS kind, {span} AS span, count(DISTINCT user_id) AS users, true AS close FROM events GROUP BY 2"
+        for kind, span in (("day", "CAST(CAST(ts AS DATE) AS VARCHAR)"), ("week", "CAST(CAST(date_trunc('week', ts) AS DATE) AS VARCHAR)"), ("all", "'all'"))
+    ),
     "figure_data": q.BASE + f"SELECT datetime, series_id, load_kwh FROM panel ORDER BY datetime, series_id LIMIT {FIGURE_HOURS}",
 }
