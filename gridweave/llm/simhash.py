@@ -10,11 +10,16 @@ are found by multi-index hashing: the 64 bits are cut into segments, every point
 under each of its segments, and looks up a small Hamming ball around each. With ``distance`` = q * m + r
 for m segments, two points within ``distance`` agree up to q bits in one of the first r + 1 segments or up
 to q - 1 bits in a later one, so nothing is missed. Table matches are verified on all 64 bits inside the
-join. The number of segments follows from the number of points, so that table lists stay short. Beyond
-``FIRST_DISTANCE`` bits links are made only between the classes that nearer links leave, so that a dense
-group does not produce all its pairs.
+join. The number of segments follows from the number of points, so that table lists stay short.
 
-Null text counts as empty. Repeated rows share a class. An empty table gives an empty result.
+Links are made in rounds. In a round every class keeps one link, to the smallest class that one of its points
+meets (a minimum taken before the exchange), so a dense group writes one row for each point and not its pairs;
+the joined classes search again, and only for points of other classes, until none is found. At least half of
+the classes that have a link go in every round.
+
+Null text counts as empty. Repeated rows share a class. Rows without an id belong to the class of their
+fingerprint; when all rows of a fingerprint lack one, it has no class and takes no links. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,8 +42,6 @@ by_value(__name__)
 BITS = 64
 #: What it costs a probe to meet a point, in rows shuffled.
 MEETING_COST = 0.02
-#: Links are searched at this distance first, and farther ones between the classes that it leaves.
-FIRST_DISTANCE = 4
 #: Shingles whose bits are counted at a time.
 SLICE = 65_536
 
@@ -102,8 +105,8 @@ def ball(bits: int, radius: int) -> list[int]:
 
 
 def links(points: DataFrame, distance: int, count: int) -> DataFrame:
-    """(a, b) for every two rows of ``points`` (_fp, _class) of different classes within ``distance`` bits;
-    a and b are their classes."""
+    """(a, b): for every class a of ``points`` (_fp, _class) the smallest class b below it that one of its
+    points comes within ``distance`` bits of."""
     plan = segment_plan(count, distance)
 
     def key(number: int, shift: int, bits: int) -> Column:
@@ -127,7 +130,7 @@ def links(points: DataFrame, distance: int, count: int) -> DataFrame:
         first = F.when(within, F.lit(i)).otherwise(first)
     near = (F.bit_count(differing) <= distance) & (F.col("a") != F.col("b")) & (F.col("_fp") < F.col("_fp2"))
     met = probing.join(table, (probing["_key"] == table["_key"]) & near & (F.shiftright(probing["_key"], 32) == first))
-    return met.select("a", "b").distinct()
+    return met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).groupBy("a").agg(F.min("b").alias("b"))
 
 
 def classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shingle: int = 4, distance: int = 4) -> DataFrame:
@@ -135,8 +138,10 @@ def classes(docs: DataFrame, id_column: str = "doc_id", text: str = "text", shin
     prints = stored(fingerprints(docs, id_column, text, shingle), "fingerprints")
     named = stored(prints.groupBy("_fp").agg(F.min("_id").alias("_class")), "points")
     count = named.count()
-    for reach in sorted({min(distance, FIRST_DISTANCE), distance}):
-        found = stored(links(named, reach, count), "links")
+    while True:
+        found = stored(links(named, distance, count), "links")
+        if found.isEmpty():
+            break
         joined = named.join(stored(components(found), "components"), F.col("_class") == F.col("node"), "left")
         named = stored(joined.select("_fp", F.coalesce("component", "_class").alias("_class")), "classes")
     return prints.join(named, "_fp", "left").select(

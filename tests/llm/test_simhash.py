@@ -72,6 +72,33 @@ def test_segments_miss_nothing(points, distance):
         assert any(((changed >= shift) & (changed < shift + bits)).sum() <= radius for shift, bits, radius in plan)
 
 
+def test_dense_cluster_writes_one_row_a_point(spark, monkeypatch):
+    """2,000 fingerprints within 4 bits of each other have two million pairs; links stay fewer than points."""
+    draw, center = random.Random(5), 0x0123_4567_89AB_CDEF
+    prints = {center ^ mask for mask in simhash.ball(64, 2)}
+    prints = sorted(draw.sample(sorted(prints), 2_000)) + [draw.getrandbits(63) for _ in range(50)]
+    points = spark.createDataFrame([(p, i) for i, p in enumerate(prints)], "_fp long, _class long")
+    written, count = [], len(prints)
+    real = simhash.links
+
+    def counted(*args):
+        found = real(*args)
+        written.append(found.count())
+        return found
+
+    monkeypatch.setattr(simhash, "links", counted)
+    monkeypatch.setattr(simhash, "fingerprints", lambda *args: points.selectExpr("_class AS _id", "_fp"))
+    found = {r["doc_id"]: r["component_id"] for r in simhash.classes(points).collect()}
+    assert found == brute_force({i: p for i, p in enumerate(prints)}, 4)
+    assert sum(written) <= count and written[-1] == 0
+
+
+def test_rows_without_an_id(spark):
+    data = [(None, "same words here now", "en", "s", 1), (3, "same words here now", "en", "s", 1), (None, "other text alone there", "en", "s", 1)]
+    found = sorted((r["component_id"] or 0, r["doc_id"] or 0) for r in simhash.classes(frame(spark, data)).collect())
+    assert found == [(0, 0), (3, 0), (3, 3)]
+
+
 def test_ball():
     assert len(simhash.ball(16, 1)) == 17 and len(simhash.ball(21, 2)) == 1 + 21 + 210
 
