@@ -77,7 +77,8 @@ def test_dense_cluster_writes_one_row_a_point(spark, monkeypatch):
     draw, center = random.Random(5), 0x0123_4567_89AB_CDEF
     prints = {center ^ mask for mask in simhash.ball(64, 2)}
     prints = sorted(draw.sample(sorted(prints), 2_000)) + [draw.getrandbits(63) for _ in range(50)]
-    points = spark.createDataFrame([(p, i) for i, p in enumerate(prints)], "_fp long, _class long")
+    signed = np.array(prints, np.uint64).view(np.int64).tolist()
+    points = spark.createDataFrame([(p, i) for i, p in enumerate(signed)], "_fp long, _class long")
     written, count = [], len(prints)
     real = simhash.links
 
