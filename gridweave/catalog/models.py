@@ -22,7 +22,7 @@ from gridweave.operators import baselines, estimators, fuzzy, tree_models
 from gridweave.operators.scaling import collect_stats, feature_columns, minmax_stats, scaled, unscaled
 from gridweave.operators.splits import add_split
 from gridweave.plans import train
-from gridweave.session import scratch_path, stored
+from gridweave.session import scratch_path, spread, stored
 from gridweave.sources import files, models
 
 
@@ -42,8 +42,9 @@ def _metric_checks(fits: list[train.BaselineFit]) -> DataFrame:
         test = fit.scored.where("split = 'test'")
         key = {"dataset": quote(fit.dataset), "horizon": quote(fit.horizon), "model": quote(fit.name)}
         frames.append(test.selectExpr(*select(META_COLUMNS, {**key, "actual": col(fit.target), "prediction": "prediction"})))
-        scored = test.selectExpr(f"double({col(fit.target)}) AS y", f"{tree_models.expression(fit.model.stages[-1], fit.features)} AS p")
-        again.append(scored.selectExpr("y", "y - p AS e").selectExpr(*[f"{v} AS {k}" for k, v in key.items()], *_SECOND))
+        scored = tree_models.predicted(spread(test), fit.model.stages[-1], fit.features, "_p").selectExpr(f"double({col(fit.target)}) AS y", "_p AS p")
+        # one model at a time: a query over all of them would hold the nodes of all
+        again.append(stored(scored.selectExpr("y", "y - p AS e").selectExpr(*[f"{v} AS {k}" for k, v in key.items()], *_SECOND), "baseline-second"))
     files.write_model_predictions(reduce(DataFrame.unionByName, frames), path)
     written = spark.read.schema(frames[0].schema).parquet(path)
     metrics = baselines.score_models(written, ["dataset", "horizon", "model"])

@@ -68,6 +68,12 @@ def stored_observed(df: DataFrame, name: str, aggregates: dict[str, str]) -> tup
     return table, seen.get
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows dealt out to every core, for work that takes long for each row: a small table is one file,
+    and so one task, however long its rows take."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder."""
     return f"{shared_dir(spark)}/gridweave/{name}-{uuid.uuid4().hex}"

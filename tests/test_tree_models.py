@@ -92,3 +92,66 @@ def test_single_leaf_and_missing_split(spark, fitted):
 def test_a_stage_adds_the_published_share_of_the_residual(spark):
     """A stage fits twice the residual, so half the published rate makes it move by the rate."""
     assert 2 * baselines.regressors()["Boosted Trees"].getStepSize() == pytest.approx(baselines.BOOST_RATE)
+
+
+def test_written_trees_score_alike_in_a_plan_of_one_size(fitted):
+    """The nodes are in a table, not in the plan that Spark prints and keeps."""
+    models, vectors = fitted
+    lengths = {}
+    for name in MODELS:
+        both = tree_models.predicted(models[name].transform(vectors), models[name], FEATURES, "again")
+        assert "_nodes" not in both.columns
+        found = both.select("prediction", "again").toPandas()
+        np.testing.assert_allclose(found["again"], found["prediction"], rtol=1e-12)
+        lengths[name] = len(both.select("again")._jdf.queryExecution().toString())
+    small = RandomForestRegressor(numTrees=7, maxDepth=1, seed=1, featureSubsetStrategy="all").fit(vectors)
+    short = len(tree_models.predicted(small.transform(vectors), small, FEATURES, "again").select("again")._jdf.queryExecution().toString())
+    assert models["forest"].totalNumNodes > 10 * small.totalNumNodes
+    assert lengths["forest"] < 1.3 * short
+
+
+def test_written_trees_hold_the_nodes_that_are_read(spark, fitted):
+    models, vectors = fitted
+    for name in ("tree", "forest", "boosted"):
+        read, written = tree_models.read_trees(models[name], FEATURES), tree_models.write_trees(models[name], FEATURES, spark)
+        row = written.nodes.first()
+        assert tuple(row["feature"]) == read.feature and tuple(row["right"]) == read.right and tuple(row["value"]) == read.value
+        assert (written.roots, written.depth) == (read.roots, read.depth) and written.weights == pytest.approx(read.weights)
+        wrong = tree_models.wrong_forest_leaves if name == "forest" else tree_models.wrong_boosted_leaves
+        assert wrong(vectors, written, "label") == 0
+
+
+def test_leaves_are_checked_on_every_core(spark, fitted):
+    """One file is one task; the walk deals its rows out first."""
+    models, vectors = fitted
+    walked = tree_models.stage_rows(vectors.coalesce(1), tree_models.write_trees(models["boosted"], FEATURES, spark), "label")
+    assert walked.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_forests_grow_one_at_a_time(spark, monkeypatch):
+    """The driver holds a growing forest several times over."""
+    import threading
+    import time
+    from types import SimpleNamespace
+
+    from gridweave.plans import train
+
+    rows = spark.createDataFrame([(0.5, 1.0, "train")], "a double, y double, split string")
+    running, most, lock = {"Random Forest": 0, "Boosted Trees": 0}, {}, threading.Lock()
+
+    def fit(_, name, *rest, **sizes):
+        with lock:
+            running[name] += 1
+            most[name] = max(most.get(name, 0), running[name])
+        time.sleep(0.3)
+        with lock:
+            running[name] -= 1
+        return SimpleNamespace(transform=lambda df: df)
+
+    monkeypatch.setattr(train.baselines, "fit", fit)
+    prepared = {h: SimpleNamespace(horizon=h, target="y", scaled=lambda d: rows) for h in ("1h", "24h")}
+    found = train.fit_baselines(prepared, ("core", "extended"), ("Random Forest", "Boosted Trees"))
+    assert [(f.dataset, f.horizon, f.name) for f in found] == [
+        (d, h, n) for d in ("core", "extended") for h in ("1h", "24h") for n in ("Random Forest", "Boosted Trees")
+    ]
+    assert most == {"Random Forest": 1, "Boosted Trees": 4}
